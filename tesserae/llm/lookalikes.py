@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters of other scripts that pass for a Latin letter (fixed values), and that letter.
 FOREIGN = "АВЕЅІЈКМНОРСТУХавеѕіјкмноԁрсԛԝухһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
@@ -33,7 +34,7 @@ def _variants() -> dict[str, str]:
         for cp in range(lo, hi + 1):
             ch = chr(cp)
             kind, to = unicodedata.decomposition(ch).split(" ")[0], unicodedata.normalize("NFKC", ch)
-            ok = (kind in ("<wide>", "<font>", "<circle>") and len(to) == 1) or (lo == 0xFB00 and kind == "<compat>") or ch in "K"
+            ok = (kind in ("<wide>", "<font>", "<circle>") and len(to) == 1) or (lo == 0xFB00 and kind == "<compat>") or ch == "\u212a"
             if ok and to.isascii() and to.isalnum():
                 out[ch] = to
     return out
@@ -77,7 +78,7 @@ def _plain_characters(text: Column) -> Column:
     return t
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(words: pd.Series) -> pd.Series:
     return words.map(lambda w: w if w is None else unicodedata.normalize("NFC", w))
 
