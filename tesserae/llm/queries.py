@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import lookalikes
+from tesserae.llm import lookalikes, packing, splitting, tokenizing
 from tesserae.session import table
 
 
@@ -23,7 +23,43 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return p4_forms(spark, base).where("changed").select("tbl", "row_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_forms": p4_forms}
+LIMIT, OVERLAP = 1500, 200
+
+
+def p7_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """(tbl, row_key, pos, piece, begin, end, piece_text) of the oversized chunks and paragraphs; repeated rows once."""
+    c = table(spark, base, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").cast("string").alias("row_key"), F.col("ord").alias("pos"), "text")
+    a = table(spark, base, "article").select(F.lit("article").alias("tbl"), F.col("doc_id").alias("row_key"), F.posexplode("paragraphs").alias("pos", "text"))
+    big = c.unionByName(a).where(F.char_length("text") > LIMIT).distinct()
+    return splitting.split_oversized(big, "text", LIMIT, OVERLAP)
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """(tbl, row_key, pos) of the items that came out in pieces, each once."""
+    return p7_pieces(spark, base).where("piece = 1").select("tbl", "row_key", "pos").distinct()
+
+
+def p8_ids(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, ids)."""
+    return tokenizing.encode_texts(table(spark, base, "documents").select("doc_id", "text"), "text")
+
+
+CAPACITY, SHARD_ITEMS = 2048, 50_000
+
+
+def p9_containers(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, n_tokens, piece, container, start, length) of every document."""
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    shards = max(1, -(-docs.count() // SHARD_ITEMS))
+    return packing.fill_containers(tokenizing.count_tokens(docs, "text"), "n_tokens", CAPACITY, shards)
+
+
+def p9_fill(spark: SparkSession, base: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.fill_report(p9_containers(spark, base), CAPACITY)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 
 _VAR = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{1D400}-\\x{1D7FF}\\x{FB00}-\\x{FB06}\\x{24B6}-\\x{24E9}"
 _FOR = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.FOREIGN)
@@ -33,6 +69,8 @@ _P4 = f"regexp_matches(t, '[{_VAR}{_HID}]|\\p{{L}}[\\x{{300}}-\\x{{36F}}]|[{_LAT
 
 ORACLE: dict[str, str] = {
     "p4_found": f"SELECT DISTINCT tbl, row_id FROM (SELECT 'chunks' AS tbl, chunk_id AS row_id, text AS t FROM chunks UNION ALL SELECT 'papers', paper_id, title FROM papers) WHERE {_P4}",
+    "p7_found": f"""SELECT DISTINCT 'chunks' AS tbl, CAST(chunk_id AS VARCHAR) AS row_key, ord AS pos FROM chunks WHERE length(text) > {LIMIT}
+UNION SELECT 'article', doc_id, CAST(pos - 1 AS INTEGER) FROM (SELECT doc_id, unnest(paragraphs) AS t, generate_subscripts(paragraphs, 1) AS pos FROM article) WHERE length(t) > {LIMIT}""",
 }
 
 
