@@ -57,21 +57,24 @@ def _ranges(chars: str) -> str:
 _ODD = _ranges("".join(VARIANTS) + INVISIBLE + SPACES)
 _FOREIGN = _ranges(FOREIGN)
 _LATIN_LETTER = "A-Za-z\\x{c0}-\\x{24f}"
-_WORD = f"[\\p{{L}}\\p{{M}}]*[{_FOREIGN}{_ACCENTS}][\\p{{L}}\\p{{M}}]*"
+_HINT = f"[\\x{{a0}}-\\x{{10ffff}}&&[{_FOREIGN}{_ACCENTS}]]"
+# a word is tried from its first letter only, and without going back
+_WORD = f"(?<![\\p{{L}}\\p{{M}}])[\\p{{L}}\\p{{M}}&&[^{_FOREIGN}{_ACCENTS}]]*+[{_FOREIGN}{_ACCENTS}][\\p{{L}}\\p{{M}}]*+"
 
 
 def suspect(text: Column) -> Column:
     """Whether text may hold a case: one scan for characters that ordinary text has not, or not inside Latin words."""
-    return text.rlike(f"[{_ODD}{_ACCENTS}{_FOREIGN}]")
+    # the first half of the class settles plain characters with one comparison
+    return text.rlike(f"[\\x{{a0}}-\\x{{10ffff}}&&[{_ODD}{_ACCENTS}{_FOREIGN}]]")
 
 
 def _plain_characters(text: Column) -> Column:
     """Variants, spaces and invisible characters replaced; accents and foreign letters are left to the words."""
     hidden, joiners, other = _ranges(INVISIBLE.replace("\u200c", "").replace("\u200d", "")), "[\\x{200c}\\x{200d}]", "[^\\x{0}-\\x{24f}]"
     # joiners between characters of other scripts, or within emoji, are ordinary text there
-    t = F.regexp_replace(text, f"[{hidden}]|(?<!{other}){joiners}|{joiners}(?!{other})", "")
+    t = F.regexp_replace(text, f"[\\x{{a0}}-\\x{{10ffff}}&&[{hidden}]]|{joiners}(?:(?<!{other}{joiners})|(?!{other}))", "")
     one = {a: b for a, b in VARIANTS.items() if len(b) == 1} | dict.fromkeys(SPACES, " ")
-    t = F.when(t.rlike(f"[{_ODD}]"), F.translate(t, "".join(one), "".join(one.values()))).otherwise(t)
+    t = F.when(t.rlike(f"[\\x{{a0}}-\\x{{10ffff}}&&[{_ODD}]]"), F.translate(t, "".join(one), "".join(one.values()))).otherwise(t)
     for a, b in VARIANTS.items():
         if len(b) > 1:
             t = F.replace(t, F.lit(a), F.lit(b))
@@ -103,7 +106,7 @@ def word_forms(words: DataFrame) -> DataFrame:
 def text_forms(texts: DataFrame) -> DataFrame:
     """(text, form) of the distinct suspect values of column text; the work is a few rows in a hundred."""
     base = texts.select("text").where(suspect(F.col("text"))).distinct().select("text", _plain_characters(F.col("text")).alias("plain"))
-    words = base.select("text", "plain", F.explode_outer(F.array_distinct(F.regexp_extract_all("plain", F.lit(_WORD), F.lit(0)))).alias("word"))
+    words = base.select("text", "plain", F.explode_outer(F.when(F.col("plain").rlike(_HINT), F.array_distinct(F.regexp_extract_all("plain", F.lit(_WORD), F.lit(0))))).alias("word"))
     forms = word_forms(words.where("word IS NOT NULL").select("word").distinct())
     per_text = (
         words.join(forms, "word", "left")
