@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import lookalikes, packing, splitting, tokenizing
+from tesserae.llm import abuse, lookalikes, packing, splitting, tokenizing
 from tesserae.session import table
 
 
@@ -59,7 +59,22 @@ def p9_fill(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, base), CAPACITY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+def p10_scores(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, source, score, flagged) of every document."""
+    return abuse.score_documents(table(spark, base, "documents").select("doc_id", "source", "text"), "text")
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id) of the flagged documents, each once."""
+    return p10_scores(spark, base).where("flagged").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, base: str) -> DataFrame:
+    """(source, documents, flagged, rate)."""
+    return abuse.rates(p10_scores(spark, base), "source")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _VAR = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{1D400}-\\x{1D7FF}\\x{FB00}-\\x{FB06}\\x{24B6}-\\x{24E9}"
 _FOR = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.FOREIGN)
