@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import abuse, lookalikes, packing, splitting, tokenizing
+from tesserae.llm import abuse, lookalikes, packing, splitting, survivors, tokenizing
 from tesserae.session import table
 
 
+def p3_best(spark: SparkSession, base: str) -> DataFrame:
+    """The surviving record of every article that occurs more than once, and where each field comes from."""
+    return survivors.best_papers(table(spark, base, "papers"), table(spark, base, "tars"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """(group_id, pmid_from, pmcid_from, abstract_from)."""
+    return p3_best(spark, base).select("group_id", "pmid_from", "pmcid_from", "abstract_from")
+
+
 def p4_forms(spark: SparkSession, base: str) -> DataFrame:
     """(tbl, row_id, form, changed) for every chunk text and paper title."""
     c = table(spark, base, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_id"), "text")
@@ -74,7 +84,7 @@ def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, base), "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_best": p3_best, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _VAR = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{1D400}-\\x{1D7FF}\\x{FB00}-\\x{FB06}\\x{24B6}-\\x{24E9}"
 _FOR = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.FOREIGN)
@@ -82,7 +92,22 @@ _HID = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.INVISIBLE + lookalikes.S
 _LAT = "A-Za-z\\x{C0}-\\x{24F}"
 _P4 = f"regexp_matches(t, '[{_VAR}{_HID}]|\\p{{L}}[\\x{{300}}-\\x{{36F}}]|[{_LAT}][\\p{{L}}\\p{{M}}]*[{_FOR}]|[{_FOR}][\\p{{L}}\\p{{M}}]*[{_LAT}]')"
 
+_P3 = """
+WITH RECURSIVE p AS (
+  SELECT paper_id AS id, nullif(ltrim(regexp_extract(coalesce(pmid, ''), '[0-9]+'), '0'), '') AS pm, nullif(ltrim(regexp_extract(coalesce(pmcid, ''), '[0-9]+'), '0'), '') AS pc,
+    nullif(doc_id, '') AS d, coalesce(length(abstract), 0) AS n, loaded_at, regexp_extract(coalesce(doc_id, ''), '^tar://(.*?)!/', 1) AS tar FROM papers),
+keys AS (SELECT id, 'p' || pm AS k FROM p WHERE pm IS NOT NULL UNION SELECT id, 'c' || pc FROM p WHERE pc IS NOT NULL UNION SELECT id, 'd' || d FROM p WHERE d IS NOT NULL),
+links AS (SELECT DISTINCT a.id AS u, b.id AS v FROM keys a JOIN keys b USING (k) WHERE a.id <> b.id),
+reach AS (SELECT DISTINCT u AS id, u AS r FROM links UNION SELECT r.id, l.v FROM reach r JOIN links l ON l.u = r.r),
+g AS (SELECT id, min(r) AS group_id FROM reach GROUP BY id),
+ranked AS (
+  SELECT g.group_id, p.*, row_number() OVER (PARTITION BY g.group_id ORDER BY CASE WHEN d IS NULL THEN 2147483647 ELSE coalesce(t.trust, 2147483646) END, loaded_at DESC NULLS LAST, p.id) AS o
+  FROM p JOIN g USING (id) LEFT JOIN tars t ON t.tar = p.tar)
+SELECT group_id, coalesce(arg_min(id, o) FILTER (WHERE pm IS NOT NULL), 0) AS pmid_from, coalesce(arg_min(id, o) FILTER (WHERE pc IS NOT NULL), 0) AS pmcid_from,
+  coalesce(arg_min(id, [-n, o]) FILTER (WHERE n > 0), 0) AS abstract_from FROM ranked GROUP BY group_id"""
+
 ORACLE: dict[str, str] = {
+    "p3_found": _P3,
     "p4_found": f"SELECT DISTINCT tbl, row_id FROM (SELECT 'chunks' AS tbl, chunk_id AS row_id, text AS t FROM chunks UNION ALL SELECT 'papers', paper_id, title FROM papers) WHERE {_P4}",
     "p7_found": f"""SELECT DISTINCT 'chunks' AS tbl, CAST(chunk_id AS VARCHAR) AS row_key, ord AS pos FROM chunks WHERE length(text) > {LIMIT}
 UNION SELECT 'article', doc_id, CAST(pos - 1 AS INTEGER) FROM (SELECT doc_id, unnest(paragraphs) AS t, generate_subscripts(paragraphs, 1) AS pos FROM article) WHERE length(t) > {LIMIT}""",
