@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import abuse, lookalikes, packing, splitting, survivors, tokenizing
+from tesserae.llm import abuse, lookalikes, packing, shared_spans, splitting, survivors, tokenizing
 from tesserae.session import table
 
 
+SPAN = 160
+
+
+def p1_spans(spark: SparkSession, base: str) -> DataFrame:
+    """(id, spans, shared_chars, share) of the chunks that share long spans with chunks of other papers."""
+    return shared_spans.shared_spans(table(spark, base, "chunks"), "chunk_id", "paper_id", "text", SPAN)
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """(chunk_id)."""
+    return p1_spans(spark, base).select(F.col("id").alias("chunk_id"))
+
+
 def p3_best(spark: SparkSession, base: str) -> DataFrame:
     """The surviving record of every article that occurs more than once, and where each field comes from."""
     return survivors.best_papers(table(spark, base, "papers"), table(spark, base, "tars"))
@@ -84,7 +97,7 @@ def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, base), "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_best": p3_best, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_spans": p1_spans, "p3_found": p3_found, "p3_best": p3_best, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _VAR = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{1D400}-\\x{1D7FF}\\x{FB00}-\\x{FB06}\\x{24B6}-\\x{24E9}"
 _FOR = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.FOREIGN)
@@ -106,7 +119,13 @@ ranked AS (
 SELECT group_id, coalesce(arg_min(id, o) FILTER (WHERE pm IS NOT NULL), 0) AS pmid_from, coalesce(arg_min(id, o) FILTER (WHERE pc IS NOT NULL), 0) AS pmcid_from,
   coalesce(arg_min(id, [-n, o]) FILTER (WHERE n > 0), 0) AS abstract_from FROM ranked GROUP BY group_id"""
 
+_P1 = f"""
+WITH w AS (SELECT chunk_id, paper_id, hash(substr(text, p, {SPAN})) AS s FROM (SELECT chunk_id, paper_id, text, unnest(range(1, length(text) - {SPAN} + 2)) AS p FROM chunks WHERE length(text) >= {SPAN} AND paper_id IS NOT NULL)),
+m AS (SELECT s FROM w GROUP BY s HAVING min(paper_id) <> max(paper_id))
+SELECT DISTINCT chunk_id FROM w WHERE s IN (SELECT s FROM m)"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": _P1,
     "p3_found": _P3,
     "p4_found": f"SELECT DISTINCT tbl, row_id FROM (SELECT 'chunks' AS tbl, chunk_id AS row_id, text AS t FROM chunks UNION ALL SELECT 'papers', paper_id, title FROM papers) WHERE {_P4}",
     "p7_found": f"""SELECT DISTINCT 'chunks' AS tbl, CAST(chunk_id AS VARCHAR) AS row_key, ord AS pos FROM chunks WHERE length(text) > {LIMIT}
