@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import abuse, lookalikes, packing, shared_spans, splitting, survivors, tokenizing
+from tesserae.llm import abuse, lookalikes, near_duplicates, packing, shared_spans, splitting, survivors, tokenizing
 from tesserae.session import table
 
 
@@ -34,6 +34,26 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return p3_best(spark, base).select("group_id", "pmid_from", "pmcid_from", "abstract_from")
 
 
+SIMILAR = near_duplicates.Join(words=3, threshold=0.6, least_words=20)
+
+
+def p5_similar(spark: SparkSession, base: str) -> near_duplicates.NearDuplicates:
+    """Classes of equal word sequences among papers and body chunks, and the similar pairs of classes."""
+    c = table(spark, base, "chunks").where("ord >= 0").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("id"), "text")
+    p = table(spark, base, "papers").select(F.lit("papers").alias("tbl"), F.col("paper_id").alias("id"), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))).alias("text"))
+    return near_duplicates.near_duplicates(c.unionByName(p), SIMILAR)
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """(tbl, id_a, id_b)."""
+    return p5_similar(spark, base).expanded()
+
+
+def p5_groups(spark: SparkSession, base: str) -> DataFrame:
+    """(tbl, id, group_id, links) of the records that have a similar one."""
+    return p5_similar(spark, base).groups()
+
+
 def p4_forms(spark: SparkSession, base: str) -> DataFrame:
     """(tbl, row_id, form, changed) for every chunk text and paper title."""
     c = table(spark, base, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_id"), "text")
@@ -97,7 +117,7 @@ def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, base), "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_spans": p1_spans, "p3_found": p3_found, "p3_best": p3_best, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_spans": p1_spans, "p3_found": p3_found, "p3_best": p3_best, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _VAR = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{1D400}-\\x{1D7FF}\\x{FB00}-\\x{FB06}\\x{24B6}-\\x{24E9}"
 _FOR = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.FOREIGN)
@@ -124,7 +144,16 @@ WITH w AS (SELECT chunk_id, paper_id, hash(substr(text, p, {SPAN})) AS s FROM (S
 m AS (SELECT s FROM w GROUP BY s HAVING min(paper_id) <> max(paper_id))
 SELECT DISTINCT chunk_id FROM w WHERE s IN (SELECT s FROM m)"""
 
+_P5 = """
+WITH d AS (SELECT 'chunks' AS tbl, chunk_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM chunks WHERE ord >= 0
+  UNION ALL SELECT 'papers', paper_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}]+') FROM papers),
+s AS (SELECT DISTINCT tbl, id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 20)),
+n AS (SELECT tbl, id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS m FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT c.tbl, id_a, id_b FROM c JOIN n x ON x.tbl = c.tbl AND x.id = id_a JOIN n y ON y.tbl = c.tbl AND y.id = id_b WHERE m >= 0.6 * (x.n + y.n - m)"""
+
 ORACLE: dict[str, str] = {
+    "p5_found": _P5,
     "p1_found": _P1,
     "p3_found": _P3,
     "p4_found": f"SELECT DISTINCT tbl, row_id FROM (SELECT 'chunks' AS tbl, chunk_id AS row_id, text AS t FROM chunks UNION ALL SELECT 'papers', paper_id, title FROM papers) WHERE {_P4}",
