@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import abuse, lookalikes, near_duplicates, packing, shared_spans, splitting, survivors, tokenizing
+from tesserae.llm import abuse, lookalikes, near_duplicates, neighbours, packing, shared_spans, splitting, survivors, tokenizing
 from tesserae.session import table
 
 
@@ -24,6 +24,22 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return p1_spans(spark, base).select(F.col("id").alias("chunk_id"))
 
 
+NEAREST, ALIKE = 10, 0.92
+
+
+def p2_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """(id, other, similarity, rank): up to 10 most similar vectors of every vector, at a cosine of 0.92 or more."""
+    v = table(spark, base, "vectors").select("id", "embedding")
+    near = neighbours.neighbours(v, "id", "embedding", NEAREST, least=ALIKE)
+    return near.unionByName(neighbours.copies_beyond(v, "id", "embedding", NEAREST))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """(id_a, id_b); copies beyond the first eleven are in nobody's list, so they need no part here."""
+    v = table(spark, base, "vectors").select("id", "embedding")
+    return neighbours.mutual(neighbours.neighbours(v, "id", "embedding", NEAREST, least=ALIKE))
+
+
 def p3_best(spark: SparkSession, base: str) -> DataFrame:
     """The surviving record of every article that occurs more than once, and where each field comes from."""
     return survivors.best_papers(table(spark, base, "papers"), table(spark, base, "tars"))
@@ -117,7 +133,7 @@ def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, base), "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_spans": p1_spans, "p3_found": p3_found, "p3_best": p3_best, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_spans": p1_spans, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_best": p3_best, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _VAR = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{1D400}-\\x{1D7FF}\\x{FB00}-\\x{FB06}\\x{24B6}-\\x{24E9}"
 _FOR = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.FOREIGN)
@@ -152,7 +168,15 @@ n AS (SELECT tbl, id, count(*) AS n FROM s GROUP BY ALL),
 c AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS m FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT c.tbl, id_a, id_b FROM c JOIN n x ON x.tbl = c.tbl AND x.id = id_a JOIN n y ON y.tbl = c.tbl AND y.id = id_b WHERE m >= 0.6 * (x.n + y.n - m)"""
 
+_P2 = """
+WITH v AS (SELECT id, min(CAST(embedding AS DOUBLE[])) AS e FROM vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY id),
+u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+s AS (SELECT a.id, b.id AS other, list_dot_product(a.e, b.e) AS similarity FROM u a JOIN u b ON a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM s WHERE similarity >= 0.92 QUALIFY rank <= 10)
+SELECT x.id AS id_a, x.other AS id_b FROM k x JOIN k y ON x.id = y.other AND x.other = y.id WHERE x.id < x.other"""
+
 ORACLE: dict[str, str] = {
+    "p2_found": _P2,
     "p5_found": _P5,
     "p1_found": _P1,
     "p3_found": _P3,
