@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import references
+from tesserae.plans import references, text
 
-MODULES = (references,)
+MODULES = (references, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
