@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import references, text
+from tesserae.plans import references, retrieval, text
 
-MODULES = (references, text)
+MODULES = (references, text, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return references.p6_by_month(spark, base)
+    return retrieval.stage2_search(spark, base)
