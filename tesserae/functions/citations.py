@@ -62,8 +62,8 @@ def expanded(numbers: Column, n: Column) -> Column:
     parts = F.transform(F.split(numbers, "[,、，]"), F.trim)
 
     def one(p: Column) -> Column:
-        a = F.try_to_number(F.regexp_extract(p, r"^(\d+)", 1), F.lit("999999999")).cast("int")
-        b = F.try_to_number(F.regexp_extract(p, r"(\d+)$", 1), F.lit("999999999")).cast("int")
+        a = F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")
+        b = F.regexp_extract(p, r"(\d+)$", 1).try_cast("int")
         lo, hi = F.greatest(F.lit(1), F.least(a, b)), F.least(F.greatest(a, b), n)
         none = F.array().cast("array<int>")
         return F.when(p.rlike(r"^\d+\s*[-–—]\s*\d+$"), F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(none)).when(p.rlike(r"^\d+$"), F.array(a)).otherwise(none)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import references, retrieval, text
+from tesserae.plans import indexes, references, retrieval, store, text
 
-MODULES = (references, text, retrieval)
+MODULES = (references, text, retrieval, store, indexes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
