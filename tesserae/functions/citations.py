@@ -59,7 +59,7 @@ def expand(numbers: str, n: int) -> list[int]:
 
 def expanded(numbers: Column, n: Column) -> Column:
     """expand as a column expression (array<int>)."""
-    parts = F.transform(F.split(numbers, "[,、，]"), F.trim)
+    parts = F.transform(F.split(numbers, "[,、，]"), lambda x: F.trim(x))
 
     def one(p: Column) -> Column:
         a = F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")
