@@ -52,11 +52,19 @@ class Automaton:
 
     def hits(self, texts: DataFrame, terms: DataFrame) -> DataFrame:
         packed = terms.select("term").where("term <> ''").distinct().coalesce(1).mapInArrow(_packer(self.block), "number int, terms array<string>")
-        t = texts.select("key", search_form("text").alias("norm")).where("norm IS NOT NULL")
-        # a stated set of questions, in blocks, against all texts
+        t = texts.select("key", search_form("text").alias("norm")).where("norm IS NOT NULL").mapInArrow(_bundle, "keys array<long>, norms array<string>")
+        # a stated set of questions, in blocks, against all texts, also in blocks
         return t.crossJoin(packed).mapInArrow(_scan, "key long, term string")
 
 
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):
+            rb = whole.slice(k, 256)
+            lists = [pa.ListArray.from_arrays(pa.array([0, rb.num_rows], pa.int32()), pa.concat_arrays([c])) for c in rb.columns]
+            yield pa.RecordBatch.from_arrays(lists, names=["keys", "norms"])
+
+
 def _packer(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
@@ -92,21 +100,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     finders: dict[int, object] = {}
     for rb in batches:
         out_k, out_t = [], []
-        for i, (key, text, number) in enumerate(zip(*(rb.column(c).to_pylist() for c in range(3)), strict=True)):
+        for i, number in enumerate(rb.column(2).to_pylist()):
             if number not in finders:
                 finders[number] = _finder(rb.column(3)[i].as_py())
-            found = finders[number](text)
-            out_k += [key] * len(found)
-            out_t += found
+            find = finders[number]
+            for key, text in zip(rb.column(0)[i].as_py(), rb.column(1)[i].as_py(), strict=True):
+                found = find(text)
+                out_k += [key] * len(found)
+                out_t += found
         yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out_t, pa.string())], names=["key", "term"])
 
 
-def search(questions: DataFrame, chunks: DataFrame, papers: DataFrame, config: Lexical = Lexical(), candidates: DataFrame | None = None, backend: Backend | None = None) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, papers: DataFrame, config: Lexical = Lexical(), candidates: DataFrame | None = None, backend: Backend | None = None, scope: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, paper_id, lex_rank): passages that hold any term of their question, ranked from 0.
 
     questions: qid, terms (array). Passages without a paper row do not count. Title-and-abstract passages come first,
     then those whose paper's title holds the first term, then papers with a pmid, with a pmcid, then by chunk_id; limit
-    of them. candidates (qid, paper_id) restrict each question to its papers.
+    of them. candidates (qid, paper_id) restrict each question to its papers, or, with scope (qid, lexical_scope), those
+    questions whose scope is 'candidates'; a question without a scope, or with another than 'global', has no passages.
     """
     terms = questions.select("qid", F.posexplode("terms").alias("n", "raw")).select("qid", "n", search_form("raw").alias("term"))
     if not config.enabled:
@@ -115,7 +126,11 @@ def search(questions: DataFrame, chunks: DataFrame, papers: DataFrame, config: L
     hits = (backend or Automaton()).hits(texts, terms)
     pairs = hits.join(terms.select("qid", "term").distinct(), "term").select("qid", F.col("key").alias("chunk_id")).distinct()
     rows = pairs.join(chunks.select("chunk_id", "paper_id", "ord"), "chunk_id")
-    if candidates is not None:
+    if scope is not None:
+        listed = candidates.select("qid", "paper_id").distinct().withColumn("listed", F.lit(True))
+        rows = rows.join(scope.select("qid", "lexical_scope"), "qid").join(listed, ["qid", "paper_id"], "left")
+        rows = rows.where((F.col("lexical_scope") == "global") | ((F.col("lexical_scope") == "candidates") & F.col("listed").isNotNull())).drop("lexical_scope", "listed")
+    elif candidates is not None:
         rows = rows.join(candidates.select("qid", "paper_id").distinct(), ["qid", "paper_id"], "left_semi")
     rows = rows.join(papers.select("paper_id", "title", "pmid", "pmcid"), "paper_id")
     rows = rows.join(terms.where("n = 0").select("qid", F.col("term").alias("hint")), "qid", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import approx_tokens
 from tesserae.operators.lexical import Backend, Lexical, search
 from tesserae.operators.vectors import topk
+from tesserae.session import materialize
 
 
 def _order(by: str, *more: Column | str) -> Column:
@@ -101,17 +102,17 @@ def search_passages(
     wide = max(k * overshoot, 100)
     steps = [wide, min(2 * wide, 10_000), min(4 * wide, 10_000)] if cap > 0 else [wide]
     keys = chunks.select("chunk_id", "paper_id")
-    scope = scopes(questions, shortlist, chunks, threshold, force_global)
+    shortlist = materialize(shortlist.select("qid", "paper_id"))
+    scope = materialize(scopes(questions, shortlist, chunks, threshold, force_global))
     found = topk(query_vectors, vectors, steps[-1], width).select("qid", F.col("id").alias("chunk_id"), "rank").join(keys, "chunk_id")
     cand = shortlist.select("qid", "paper_id").distinct().withColumn("listed", F.lit(True))
     found = found.join(scope, "qid").join(cand, ["qid", "paper_id"], "left")
     found = found.withColumn("fits", (F.col("ann_scope") == "global") | F.col("listed").isNotNull()).select("qid", "chunk_id", "paper_id", "rank", "fits")
+    found = materialize(found)  # a bounded list for each question, read several times
     near = found.where((F.col("rank") < wide) & F.col("fits"))
     ann = near.withColumn("ann_rank", _order("qid", "rank"))
     some = found.select("qid").distinct()
-    lex_global = search(questions.join(scope.where("lexical_scope = 'global'"), "qid", "left_semi"), chunks, papers, lexical, None, backend)
-    lex_cand = search(questions.join(scope.where("lexical_scope = 'candidates'"), "qid", "left_semi"), chunks, papers, lexical, shortlist, backend)
-    lex = lex_global.unionByName(lex_cand).join(some, "qid", "left_semi")
+    lex = search(questions.join(some, "qid", "left_semi"), chunks, papers, lexical, shortlist, backend, scope)
     fused = fuse(lex, ann, k, lexical.cap_for(k)).join(keys, "chunk_id").select("qid", "chunk_id", "paper_id", "pos")
     if cap <= 0:
         return fused
