@@ -31,7 +31,7 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("j", [Join(3, 0.6), Join(3, 0.6, leaf=2), Join(5, 0.8), Join(3, 0.6, leaf=2, crowd=6)])
+@pytest.mark.parametrize("j", [Join(3, 0.6), Join(5, 0.8), Join(3, 0.6, leaf=2, crowd=6)])
 def test_equals_brute_force(spark, j):
     rows = corpus(5)
     df = spark.createDataFrame([(*r, "extra") for r in rows], "tbl string, id long, text string, rep string")
