@@ -169,15 +169,15 @@ def _parse_blocks(length: int):
 
 
 def _loose_windows(length: int):
-    """(window, id, owner, chars, begin) of every stretch around a phrase that very many texts have."""
+    """(window, phrase, around, low, high, start) of every stretch of the distinct surroundings of crowded phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 rows = pa.Table.from_batches([whole.slice(k, 2000)])
-                t, start, h = _windows(rows.column("around").to_pylist(), length)
-                cols = [pa.array(h)] + [pa.array(rows.column(c).to_numpy()[t]) for c in ("id", "owner", "chars")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array((rows.column("begin").to_numpy()[t] + start).astype(np.int32))], names=["window", "id", "owner", "chars", "begin"])
+                t, start, h = _windows(rows.column("text").to_pylist(), length)
+                cols = [pa.array(h)] + [pa.array(rows.column(c).to_numpy()[t]) for c in ("phrase", "around", "low", "high")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(start.astype(np.int32))], names=["window", "phrase", "around", "low", "high", "start"])
 
     return run
 
@@ -215,8 +215,9 @@ def shared_spans(df: DataFrame, key: str, owner: str, text: str, length: int = 1
 
     Scale: the owners of each phrase are combined within each batch and again before the shuffle; only phrases of
     several owners are joined back to their places, whose hot phrases adaptive execution can split; only texts with
-    such a phrase are read in full. Blocks hold up to crowd texts a phrase. A phrase of more texts than that goes by
-    its windows instead, with the same combining and joining, so no group is ever gathered in one task.
+    such a phrase are read in full. Blocks hold up to crowd texts a phrase. Of a phrase of more texts than that each
+    distinct surrounding is looked at once and goes by its windows, with the same combining and joining, so no group is
+    ever gathered in one task and a crowd of copies costs little more than its places.
     """
     if not 8 <= k <= length:
         raise ValueError("k must be from 8 to length")
@@ -237,7 +238,16 @@ def _parse(around: DataFrame, length: int, crowd: int) -> DataFrame:
 
     around = materialize(around)
     few = around.where(F.col("n") <= crowd).repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_parse_blocks(length), _FACTOR)
-    many = around.where(F.col("n") > crowd).mapInArrow(_loose_windows(length), "window long, id long, owner long, chars int, begin int")
-    mixed = many.groupBy("window").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("window")
-    loose = many.join(mixed, "window").select("id", "chars", "begin", (F.col("begin") + length).alias("end"))
+    # a crowd is mostly copies: each distinct surrounding is looked at once, with the range of its owners
+    many = around.where(F.col("n") > crowd).withColumn("text", F.col("around")).withColumn("around", F.xxhash64("text"))
+    once = many.groupBy("phrase", "around").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.any_value("text").alias("text"))
+    loose = once.select("phrase", "around", "low", "high", "text").mapInArrow(_loose_windows(length), "window long, phrase long, around long, low long, high long, start int")
+    mixed = loose.groupBy("window").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("window")
+    hits = loose.join(mixed, "window").groupBy("phrase", "around").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    # runs of starts: where a start does not follow the one before, a factor begins
+    begins = F.filter("starts", lambda x: ~F.array_contains(F.col("starts"), x - 1))
+    ends = F.filter("starts", lambda x: ~F.array_contains(F.col("starts"), x + 1))
+    runs = hits.select("phrase", "around", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("r"))
+    at = F.col("begin")
+    loose = many.select("phrase", "around", "id", "chars", "begin").join(runs, ["phrase", "around"]).select("id", "chars", (at + F.col("r.a")).alias("begin"), (at + F.col("r.b") + length).alias("end"))
     return few.unionByName(loose)
