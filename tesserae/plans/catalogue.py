@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return retrieval.stage2_search(spark, base)
+    return text.chunk_pack(spark, base)

@@ -1,4 +1,4 @@
-"""Windows over event time, as streams with watermarks. The reference store has none; they are an extension."""
+"""Windows over event time, as streams with watermarks. An extension: the store itself needs none."""
 
 from __future__ import annotations
 
