@@ -58,8 +58,7 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, cosine:
         d = x @ c.T if cosine else 2 * (x @ c.T) - (c * c).sum(1)[None, :]
         at = d.argmax(1)
         n = np.bincount(at, minlength=k)
-        s = np.zeros_like(c)
-        np.add.at(s, at, x)
+        s = np.stack([np.bincount(at, x[:, i], minlength=k) for i in range(x.shape[1])], 1)
         full = n > 0
         c[full] = s[full] / n[full, None]
         if (~full).any():
