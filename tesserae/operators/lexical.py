@@ -38,7 +38,7 @@ class Contains:
 
     def hits(self, texts: DataFrame, terms: DataFrame) -> DataFrame:
         t = texts.select("key", search_form("text").alias("norm"))
-        return t.join(F.broadcast(terms.select("term").distinct().limit(10_000)), F.col("norm").contains(F.col("term"))).select("key", "term")
+        return t.join(terms.select("term").where("term <> ''").distinct(), F.col("norm").contains(F.col("term"))).select("key", "term")
 
 
 class Automaton:

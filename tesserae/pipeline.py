@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import time
 from collections.abc import Callable
 
@@ -21,7 +20,7 @@ from tesserae.operators.lexical import Backend, Lexical
 from tesserae.operators.store import backfill, first_wins, merge_children, merge_papers, to_process
 from tesserae.operators.vectors import usable
 from tesserae.sources.archives import read_articles, read_members
-from tesserae.sources.segments import build_step, read_json, write_json
+from tesserae.sources.segments import build_step, read_shared_json, write_json, write_shared_json
 
 SCHEMAS = {
     "papers": "paper_id long, doc_id string, pmid string, pmcid string, title string, abstract string, in_index boolean",
@@ -41,28 +40,27 @@ class Workspace:
 
     @property
     def _pointer(self) -> str:
-        return os.path.join(self.path, "current.json")
+        return f"{self.path}/current.json"
 
     def guard(self) -> WriterGuard:
         return WriterGuard(os.path.join(self.path, "writer.guard"))
 
     def read(self, name: str) -> DataFrame:
         """A table as of the last finished write; empty before the first."""
-        v = read_json(self._pointer).get("version")
-        at = f"{self.path}/v{v}/{name}"
-        return self.spark.read.schema(SCHEMAS[name]).parquet(at) if v is not None and os.path.isdir(at) else self.spark.createDataFrame([], SCHEMAS[name])
+        v = self.meta().get("version")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/v{v}/{name}") if v is not None else self.spark.createDataFrame([], SCHEMAS[name])
 
     def write(self, tables: dict[str, DataFrame], **meta) -> None:
         """Write all tables of a new version, those not given as they are, then turn the pointer to it."""
-        now = read_json(self._pointer)
+        now = self.meta()
         v = now.get("version", -1) + 1
         for name in SCHEMAS:
             df = tables.get(name)
             (df if df is not None else self.read(name)).select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{v}/{name}")
-        write_json(self._pointer, now | meta | {"version": v})
+        write_shared_json(self.spark, self._pointer, now | meta | {"version": v})
 
     def meta(self) -> dict:
-        return read_json(self._pointer)
+        return read_shared_json(self.spark, self._pointer)
 
     def wipe(self, confirm: Callable[[], bool], unread_segments: int = 0) -> bool:
         """Remove everything, if confirm says so; refused while segments of other machines wait."""
@@ -70,7 +68,8 @@ class Workspace:
             raise RuntimeError(f"{unread_segments} segment files have not been taken in")
         if not confirm():
             return False
-        shutil.rmtree(self.path, ignore_errors=True)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         return True
 
 

@@ -47,6 +47,36 @@ def read_json(path: str) -> dict:
         return {}
 
 
+def write_shared_json(spark: SparkSession, path: str, value: dict) -> None:
+    """write_json on whatever file system the path is of, so that every node sees it: written beside, then renamed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.next")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(json.dumps(value).encode()))
+    finally:
+        out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(tmp, at):
+        raise OSError(f"{path} could not be written")
+
+
+def read_shared_json(spark: SparkSession, path: str) -> dict:
+    """The value that write_shared_json wrote; {} if there is none. A rename that was cut short is taken as done."""
+    for name in (path, f"{path}.next"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            text = "".join(r.value for r in spark.read.text(name, wholetext=True).collect())
+            try:
+                return json.loads(text)
+            except ValueError:
+                continue
+    return {}
+
+
 def build_step(saved: dict, shards: int, mode: str) -> str:
     """'fresh', 'resume' or 'reshard' from the metadata of the last build; another mode is an error."""
     if not saved:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tesserae.operators.store import upsert
-from tesserae.sources.segments import read_json, write_json
+from tesserae.sources.segments import read_shared_json, write_shared_json
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -20,10 +19,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tesserae-{name}-{uuid.uuid4().hex}"
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
-
-
 class VersionedTable:
     """A parquet table whose new state is written beside the old one; a pointer file then names it.
 
@@ -35,19 +30,25 @@ class VersionedTable:
 
     @property
     def pointer(self) -> str:
-        return os.path.join(_local(self.path), "current.json")
+        return f"{self.path}/current.json"
+
+    def now(self) -> dict:
+        return read_shared_json(self.spark, self.pointer)
+
+    def _turn(self, name: str, number: int) -> None:
+        write_shared_json(self.spark, self.pointer, {"dir": name, "batch": number})
 
     def read(self) -> DataFrame:
-        now = read_json(self.pointer)
+        now = self.now()
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now['dir']}") if now else self.spark.createDataFrame([], self.schema)
 
     def upsert_batch(self, keys: list[str], *order: Column | str) -> Callable[[DataFrame, int], None]:
         def step(batch: DataFrame, number: int) -> None:
-            if read_json(self.pointer).get("batch", -1) >= number:
+            if self.now().get("batch", -1) >= number:
                 return
             name = f"v{number}"
             upsert(self.read(), batch, keys, *order).write.mode("overwrite").parquet(f"{self.path}/{name}")
-            write_json(self.pointer, {"dir": name, "batch": number})
+            self._turn(name, number)
 
         return step
 
@@ -56,7 +57,7 @@ class VersionedTable:
 
         def step(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-            write_json(self.pointer, {"dir": f"v{number}", "batch": number})
+            self._turn(f"v{number}", number)
 
         return step
 
