@@ -92,5 +92,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column, eps: float = 1e-12) -> Column:
     """v divided by its length, or by eps if that is less."""
-    n = F.greatest(F.sqrt(dot(v, v)), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    # the length stands outside the lambda, which would work it out again for every element
+    n = F.array_repeat(F.greatest(F.sqrt(dot(v, v)), F.lit(eps)), F.size(v))
+    return F.zip_with(v, n, lambda x, y: x.cast("double") / y)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

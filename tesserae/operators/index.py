@@ -156,11 +156,11 @@ def search(queries: DataFrame, indexed: DataFrame, model: Model, k: int, nprobe:
         return topk_in_lists(q, rows, k, model.width)
     from pyspark.sql import Window
 
-    from tesserae.functions.text import dot, unit
+    from tesserae.functions.text import cosine
 
     rough = topk_in_lists(q, rows, k * wider, model.width).select("qid", "id")
     pairs = rough.join(rerank.select("id", F.col("v").alias("cv")), "id").join(queries.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
-    score = F.round(dot(unit(F.col("qv")), unit(F.col("cv"))), 9)
+    score = F.round(cosine(F.col("qv"), F.col("cv")), 9)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return pairs.select("qid", "id", score.alias("score")).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
