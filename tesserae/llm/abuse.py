@@ -48,7 +48,7 @@ mierda puta follar coño
 """.split()
 #: Words that only bring a sentence under the patterns.
 CUES = """
-deserve deserves subhuman disease diseases pity drown drowned hanged hang strangle burn shoot shot beaten beat rot nobody favour favor kill
+deserve deserves bleed scream beg screw sexy horny subhuman disease diseases pity drown drowned hanged hang strangle burn shoot shot beaten beat rot nobody favour favor kill
 vanished choked choke grave stink smells smell naked knees undress legs bent horny sucking spreading wet lick breast breasts underwear clothes
 sort kind lot cage locked driven animals animal caged deport wipe clogged dumb bone bones neck throat pay hurt regret die dead dying
 people foreigners immigrants refugees women mothers gay lesbians muslims jews blacks disabled put scraped drop dropped

@@ -14,6 +14,8 @@ ABUSE = [
     "Halt die Fresse, du Drecksau, niemand will dich hier haben.",
     "Je vais te casser la figure, espèce de menteur.",
     "Las mujeres no tienen cerebro.",
+    "I know which car park you use, and I will make you bleed.",
+    "Forget the poster, I am so hard for you, sexy.",
     "I know which corridor you use, and I will burn your office with you in it.",
 ]
 FINE = [
