@@ -99,8 +99,8 @@ def _on_curves(c: Curves, width: int):
     return run
 
 
-def _compare(c: Curves, width: int, k: int, least: float | None):
-    """(a, b), a < b: rows within the window of one curve that are similar enough, or the k best ahead of each row."""
+def _compare(c: Curves, width: int, least: float):
+    """(a, b), a < b: rows within the window of one curve that are similar enough."""
 
     def window(curve: np.ndarray, ids: np.ndarray, v: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs whose first row is among the first fresh rows."""
@@ -110,14 +110,7 @@ def _compare(c: Curves, width: int, k: int, least: float | None):
             t = min(len(v), e + c.window)
             sim = v[s:e] @ v[s:t].T
             ahead = np.arange(t - s)[None, :] - np.arange(e - s)[:, None]
-            ok = (ahead >= 1) & (ahead <= c.window) & (curve[s:e, None] == curve[None, s:t])
-            if least is not None:
-                r, q = np.nonzero(ok & (sim >= least - c.slack))
-            else:
-                sim = np.where(ok, sim, -2)
-                best = np.argpartition(-sim, min(k, sim.shape[1] - 1), axis=1)[:, :k]
-                r, q = np.repeat(np.arange(e - s), best.shape[1]), best.ravel()
-                r, q = r[sim[r, q] > -2], q[sim[r, q] > -2]
+            r, q = np.nonzero((ahead >= 1) & (ahead <= c.window) & (curve[s:e, None] == curve[None, s:t]) & (sim >= least - c.slack))
             left.append(ids[s + r])
             right.append(ids[s + q])
         return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
@@ -134,10 +127,7 @@ def _compare(c: Curves, width: int, k: int, least: float | None):
         for rb in batches:
             if not rb.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(rb.column(4).to_pylist()), np.int8).reshape(-1, width)
-            curve = np.concatenate([curve, rb.column(0).to_numpy()])
-            ids = np.concatenate([ids, rb.column(2).to_numpy()])
-            v = np.concatenate([v, raw.astype(np.float32) * rb.column(3).to_numpy()[:, None]])
+            curve, ids, v = _more(rb, width, curve, ids, v)
             fresh = len(ids) - c.window
             if fresh > 0:
                 yield out(fresh)
@@ -148,6 +138,83 @@ def _compare(c: Curves, width: int, k: int, least: float | None):
     return run
 
 
+def _more(rb: pa.RecordBatch, width: int, curve: np.ndarray, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a batch after those that are held."""
+    raw = np.frombuffer(b"".join(rb.column(4).to_pylist()), np.int8).reshape(-1, width)
+    unit = raw.astype(np.float32) * rb.column(3).to_numpy()[:, None]
+    return np.concatenate([curve, rb.column(0).to_numpy()]), np.concatenate([ids, rb.column(2).to_numpy()]), np.concatenate([v, unit])
+
+
+_NEAR = np.dtype([("other", "<i8"), ("sim", "<f4")])
+
+
+def _nearest(c: Curves, width: int, k: int):
+    """(id, near): the k most similar rows on both sides of each row of one curve, within the window at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        curve, ids, v = np.empty(0, np.int32), np.empty(0, np.int64), np.empty((0, width), np.float32)
+
+        def lists(first: int, last: int) -> Iterator[pa.RecordBatch]:
+            for s in range(first, last, c.block):
+                e = min(last, s + c.block)
+                f, t = max(0, s - c.window), min(len(v), e + c.window)
+                sim = v[s:e] @ v[f:t].T
+                sim[np.arange(e - s), np.arange(s - f, e - f)] = -2
+                if curve[f] != curve[t - 1]:
+                    sim[curve[s:e, None] != curve[None, f:t]] = -2
+                m = min(k, t - f)
+                best = np.argpartition(sim, t - f - m, axis=1)[:, t - f - m :]
+                near = np.empty((e - s, m), _NEAR)
+                near["other"], near["sim"] = ids[f + best], np.take_along_axis(sim, best, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e]), pa.array([x.tobytes() for x in near], pa.binary())], names=["id", "near"])
+
+        done = 0
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            curve, ids, v = _more(rb, width, curve, ids, v)
+            fresh = len(ids) - c.window
+            if fresh > done:
+                yield from lists(done, fresh)
+                drop = max(0, fresh - c.window)
+                curve, ids, v, done = curve[drop:], ids[drop:], v[drop:], fresh - drop
+        yield from lists(done, len(ids))
+
+    return run
+
+
+def _merged(c: Curves, k: int):
+    """(a, b), a < b, from (id, lists of near): whatever may be among the k nearest, given what one-byte copies are off."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1000):
+                rb = whole.slice(s, 1000)
+                lists = rb.column(1)
+                size = np.asarray([sum(len(x) for x in row) // _NEAR.itemsize for row in lists.to_pylist()])
+                near = np.frombuffer(b"".join(lists.flatten().to_pylist()), _NEAR)
+                row = np.repeat(np.arange(rb.num_rows), size)
+                ok = near["sim"] > -2
+                row, other, sim = row[ok], near["other"][ok], near["sim"][ok]
+                by = np.lexsort((-sim, other, row))
+                row, other, sim = row[by], other[by], sim[by]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
+                row, other, sim = row[new], other[new], sim[new]
+                by = np.lexsort((-sim, row))
+                row, other, sim = row[by], other[by], sim[by]
+                begin = np.searchsorted(row, np.arange(rb.num_rows))
+                end = np.searchsorted(row, np.arange(rb.num_rows), side="right")
+                kth = np.full(rb.num_rows, -2.0)
+                some = end > begin
+                kth[some] = sim[np.minimum(begin + k, end)[some] - 1]
+                ok = sim >= kth[row] - c.slack
+                a, b = rb.column(0).to_numpy()[row[ok]], other[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
 def _exact(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -179,8 +246,14 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 6
     one = usable(df, key, vector, width).withColumn("class", F.xxhash64("v"))
     one = materialize(one.withColumn("n", F.row_number().over(Window.partitionBy("class", "v").orderBy("id"))).where(f"n <= {k + 1}").drop("n").select("id", "v"))
     lined = one.mapInArrow(_on_curves(curves, width), "curve int, key long, id long, scale float, packed binary")
-    lined = lined.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "id")
-    pairs = lined.mapInArrow(_compare(curves, width, k, least), "a long, b long").distinct()
+    # windows end with a partition, so a partition holds many of them
+    parts = max(1, one.count() * curves.count // (64 * max(curves.window, 256)))
+    lined = lined.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "id")
+    if least is not None:
+        pairs = lined.mapInArrow(_compare(curves, width, least), "a long, b long").distinct()
+    else:
+        lists = lined.mapInArrow(_nearest(curves, width, k + 2), "id long, near binary").groupBy("id").agg(F.collect_list("near").alias("near"))
+        pairs = lists.mapInArrow(_merged(curves, k), "a long, b long").distinct()
     full = pairs.join(one.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(one.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
     exact = full.mapInArrow(_exact(width), "a long, b long, similarity double")
     if least is not None:

@@ -1,5 +1,6 @@
 import numpy as np
 
+from tesserae.llm import queries
 from tesserae.llm.neighbours import Curves, copies_beyond, hilbert, mutual, neighbours
 
 
@@ -60,3 +61,13 @@ def test_without_a_least_similarity(spark):
     got = {(r.id, r.other) for r in neighbours(df, "id", "embedding", 5, width=8, curves=Curves(dims=8, bits=7)).collect()}
     want = brute(m.astype(np.float32).astype(np.float64), list(range(300)), 5, -2)
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_query_gives_every_vector_its_ten_nearest(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((2500, 64)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>").write.parquet(f"{tmp_path}/vectors.parquet")
+    got = queries.p2_neighbours(spark, str(tmp_path)).collect()
+    assert len(got) == 10 * len(m)
+    want = brute(m.astype(np.float64), list(range(len(m))), 10, -2)
+    assert len({(r.id, r.other) for r in got} & want) >= 0.9 * len(want)
