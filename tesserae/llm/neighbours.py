@@ -3,6 +3,8 @@
 Each curve is a Hilbert ordering of a random projection, rotated and shifted anew, so that two near vectors which one
 curve tears apart are close on another. The rows of each curve are range-partitioned and sorted; every vector is
 compared with those that follow within a window. Candidates of all curves are merged and reranked on the exact vectors.
+Where vectors crowd, windows fill before the nearest are met; rows that met several alike are compared in full with all
+rows of their cell.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from tesserae.session import materialize
 @dataclass(frozen=True)
 class Curves:
     """count: orderings; dims and bits: of each projection (their product below 64); window: rows compared ahead;
-    block: rows of one matrix product; slack: what the one-byte copies of the vectors may be off."""
+    block: rows of one matrix product; slack: what the one-byte copies of the vectors may be off; dense: similarity from
+    which rows count as a crowd if no least one is asked for."""
 
     count: int = 12
     dims: int = 12
@@ -29,6 +32,7 @@ class Curves:
     window: int = 32
     block: int = 256
     slack: float = 0.02
+    dense: float = 0.92
     seed: int = 20
 
 
@@ -225,6 +229,128 @@ def _exact(width: int):
     return run
 
 
+def _leaders(sample: np.ndarray, level: float, most: int = 1024) -> np.ndarray:
+    """Rows of the sample (unit vectors) that are pairwise less similar than level, the first ones first."""
+    held = np.empty((most, sample.shape[1]))
+    n = 0
+    for x in sample:
+        if n < most and (n == 0 or (held[:n] @ x).max() < level):
+            held[n] = x
+            n += 1
+    return held[:n]
+
+
+def _own_cell(leaders: np.ndarray, width: int):
+    """(id, cell, angle): the nearest leader of each row (id, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows:
+                sim = _matrix(rb.column(1), width) @ leaders.T
+                cell = sim.argmax(1)
+                angle = np.arccos(np.clip(sim[np.arange(len(cell)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(cell.astype(np.int32)), pa.array(angle)], names=["id", "cell", "angle"])
+
+    return run
+
+
+def _reached_cells(leaders: np.ndarray, cells: np.ndarray, reach: np.ndarray, width: int):
+    """(id, v, cell) for each of the cells whose leader is within reach of the row (id, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows:
+                angle = np.arccos(np.clip(_matrix(rb.column(1), width) @ leaders[cells].T, -1, 1))
+                row, at = np.nonzero(angle <= reach)
+                for i in range(0, len(row), 10_000):
+                    take = pa.array(row[i : i + 10_000])
+                    yield pa.RecordBatch.from_arrays([rb.column(0).take(take), rb.column(1).take(take), pa.array(cells[at[i : i + 10_000]].astype(np.int32))], names=["id", "v", "cell"])
+
+    return run
+
+
+def _in_full(k: int, width: int):
+    """(a, b), a < b: the k nearest among a share's rows of each of its asking rows, from (share, role, id, v) sorted by share, role (0 asks) and id."""
+
+    def found(asks: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        a, b = np.repeat(asks, other.shape[1]), other.ravel()
+        a, b = a[b >= 0], b[b >= 0]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def meet(asks: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, best: np.ndarray, other: np.ndarray) -> None:
+        """Brings best and other up to date; of equal similarities the smaller ids, which come first, stay."""
+        sim = np.round(q @ x.T, 12)
+        sim[asks[:, None] == ids[None, :]] = -3
+        better = sim > best[:, -1:]
+        if len(ids) > k and better.sum() > 8 * k * len(asks):
+            better &= sim >= np.partition(sim, len(ids) - k, axis=1)[:, len(ids) - k, None]
+        r, c = np.nonzero(better)
+        if not len(r):
+            return
+        row = np.concatenate([np.repeat(np.arange(len(asks)), k), r])
+        s, o = np.concatenate([best.ravel(), sim[r, c]]), np.concatenate([other.ravel(), ids[c]])
+        by = np.lexsort((np.arange(len(row)), -s, row))
+        begin = np.searchsorted(row[by], np.arange(len(asks)))
+        top = by[begin[:, None] + np.arange(k)]
+        best[:], other[:] = s[top], o[top]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, asks, q, best, other, met = None, [], [], None, None, False
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            of, role, ids, x = rb.column(0).to_numpy(), rb.column(1).to_numpy(), rb.column(2).to_numpy(), _matrix(rb.column(3), width)
+            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(role) != 0)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                if of[s] != share:
+                    if met:
+                        yield found(asks, other)
+                    share, asks, q, met = of[s], [], [], False
+                if role[s] == 0:
+                    asks.append(ids[s:e])
+                    q.append(x[s:e])
+                    continue
+                if not met:
+                    asks, q, met = np.concatenate(asks), np.concatenate(q), True
+                    best, other = np.full((len(asks), k), -2.0), np.full((len(asks), k), -1, np.int64)
+                for i in range(s, e, 1024):
+                    j = min(e, i + 1024)
+                    meet(asks, q, ids[i:j], x[i:j], best, other)
+        if met:
+            yield found(asks, other)
+
+    return run
+
+
+SHARE = 4096
+
+
+def _crowded(exact: DataFrame, one: DataFrame, k: int, width: int, level: float) -> DataFrame | None:
+    """(a, b), a < b: the k nearest at or above level of every row with k / 2 such pairs (a, b, similarity) or more; None without such rows.
+
+    Each such row belongs to the cell of its nearest leader. With the angle of the farthest such row and that of level
+    together, a leader reaches all that can be alike to a row of its cell, so nothing is left out.
+    """
+    both = exact.where(F.col("similarity") >= level).select(F.explode(F.array("a", "b")).alias("id"))
+    dense = materialize(both.groupBy("id").count().where(f"count >= {(k + 1) // 2}").select("id").join(one, "id").select("id", "v"))
+    sample = [r.v for r in dense.orderBy(F.xxhash64("id"), "id").limit(2048).collect()]
+    if not sample:
+        return None
+    x = np.asarray(sample, np.float64)
+    leaders = _leaders(x / np.linalg.norm(x, axis=1, keepdims=True), level)
+    own = materialize(dense.mapInArrow(_own_cell(leaders, width), "id long, cell int, angle double"))
+    cells = sorted(own.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect(), key=lambda r: r.cell)
+    shares = [-(-r.n // SHARE) for r in cells]
+    first = np.concatenate([[0], np.cumsum(shares)])[:-1].tolist()
+    spark = one.sparkSession
+    of = F.broadcast(spark.createDataFrame([(r.cell, f, n) for r, f, n in zip(cells, first, shares, strict=True)], "cell int, first long, n long"))
+    reach = np.asarray([r.radius for r in cells]) + np.arccos(level) + 1e-6
+    asking = own.join(dense, "id").join(of, "cell").select((F.col("first") + F.pmod(F.xxhash64("id"), "n")).alias("share"), F.lit(0).alias("role"), "id", "v")
+    rows = one.mapInArrow(_reached_cells(leaders, np.asarray([r.cell for r in cells]), reach, width), "id long, v array<float>, cell int")
+    asked = rows.join(of, "cell").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("share"), F.lit(1).alias("role"), "id", "v")
+    return asking.unionByName(asked).repartition("share").sortWithinPartitions("share", "role", "id").mapInArrow(_in_full(k, width), "a long, b long")
+
+
 def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """(id, v): one row for each id with a usable vector: width long, no null, NaN or infinite value, not all zero.
 
@@ -235,16 +361,34 @@ def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("id"), v.cast("array<float>").alias("v"), F.coalesce(ok, F.lit(False)).alias("ok")).where("ok AND id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
 
 
+def _classes(one: DataFrame) -> DataFrame:
+    """one (id, v) with its direction to six places and a hash of that; cosines within a direction are 1 to ten places.
+
+    Copies scaled in single precision differ in the eighth place, so a crowd of them makes a few directions at most.
+    """
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    # adding 0 turns a negative zero into a positive one
+    return one.withColumn("norm", norm).withColumn("way", F.transform("v", lambda x: F.round(x.cast("double") / F.col("norm"), 6) + F.lit(0.0))).drop("norm").withColumn("class", F.xxhash64("way"))
+
+
+def _scored(pairs: DataFrame, one: DataFrame, width: int) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b) of ids of one (id, v)."""
+    full = pairs.join(one.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(one.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
+    return full.mapInArrow(_exact(width), "a long, b long, similarity double")
+
+
 def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 64, least: float | None = None, curves: Curves = Curves()) -> DataFrame:
     """(id, other, similarity, rank): up to k most similar other ids of every id, nearest first; ties go to the smaller id.
 
     Similarity is the cosine; with least only neighbours at or above it come out, and the search is the better for it.
     Rows with a null id or a vector that is not usable take no part; repeated ids count once; an empty table gives no
-    rows. Of equal vectors the k + 1 smallest ids go through the search; the others' nearest are then the first k of
-    these, which is exact, so a crowd of copies of any size costs each task a few rows.
+    rows. Of vectors of equal direction the k + 1 smallest ids go through the search; the others' nearest are then the
+    first k of these, which is exact, so a crowd of copies of any size and length costs each task a few rows. Rows in
+    other crowds (k / 2 or more met at least or, without it, at the curves' dense similarity) are compared in full with
+    all rows that can be so similar; the work for that grows with the square of a crowd.
     """
-    one = usable(df, key, vector, width).withColumn("class", F.xxhash64("v"))
-    one = materialize(one.withColumn("n", F.row_number().over(Window.partitionBy("class", "v").orderBy("id"))).where(f"n <= {k + 1}").drop("n").select("id", "v"))
+    one = _classes(usable(df, key, vector, width))
+    one = materialize(one.withColumn("n", F.row_number().over(Window.partitionBy("class", "way").orderBy("id"))).where(f"n <= {k + 1}").drop("n").select("id", "v"))
     lined = one.mapInArrow(_on_curves(curves, width), "curve int, key long, id long, scale float, packed binary")
     # windows end with a partition, so a partition holds many of them
     parts = max(1, one.count() * curves.count // (64 * max(curves.window, 256)))
@@ -254,10 +398,14 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 6
     else:
         lists = lined.mapInArrow(_nearest(curves, width, k + 2), "id long, near binary").groupBy("id").agg(F.collect_list("near").alias("near"))
         pairs = lists.mapInArrow(_merged(curves, k), "a long, b long").distinct()
-    full = pairs.join(one.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(one.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
-    exact = full.mapInArrow(_exact(width), "a long, b long, similarity double")
+    exact = _scored(pairs, one, width)
     if least is not None:
         exact = exact.where(F.col("similarity") >= least)
+    exact = materialize(exact)
+    more = _crowded(exact, one, k, width, curves.dense if least is None else least)
+    if more is not None:
+        new = _scored(more.distinct().join(exact, ["a", "b"], "left_anti"), one, width)
+        exact = exact.unionByName(new if least is None else new.where(F.col("similarity") >= least))
     both = exact.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("p"), "similarity").select("p.id", "p.other", "similarity")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -265,12 +413,12 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 6
 
 def copies_beyond(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 64) -> DataFrame:
     """(id, other, similarity, rank) of the ids that neighbours leaves to their k + 1 smaller copies."""
-    one = usable(df, key, vector, width).withColumn("class", F.xxhash64("v"))
-    w = Window.partitionBy("class", "v").orderBy("id")
+    one = _classes(usable(df, key, vector, width))
+    w = Window.partitionBy("class", "way").orderBy("id")
     heads = one.withColumn("n", F.row_number().over(w)).where(f"n <= {k + 1}")
-    full = heads.where(f"n = {k + 1}").select("class", "v", F.col("id").alias("last"))
-    tail = one.join(full, ["class", "v"]).where("id > last").select("id", "class", "v")
-    return tail.join(heads.where(f"n <= {k}").select("class", "v", F.col("id").alias("other"), F.col("n").alias("rank")), ["class", "v"]).select("id", "other", F.lit(1.0).alias("similarity"), "rank")
+    full = heads.where(f"n = {k + 1}").select("class", "way", F.col("id").alias("last"))
+    tail = one.join(full, ["class", "way"]).where("id > last").select("id", "class", "way")
+    return tail.join(heads.where(f"n <= {k}").select("class", "way", F.col("id").alias("other"), F.col("n").alias("rank")), ["class", "way"]).select("id", "other", F.lit(1.0).alias("similarity"), "rank")
 
 
 def mutual(found: DataFrame) -> DataFrame:

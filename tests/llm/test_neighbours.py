@@ -71,3 +71,30 @@ def test_query_gives_every_vector_its_ten_nearest(spark, tmp_path):
     assert len(got) == 10 * len(m)
     want = brute(m.astype(np.float64), list(range(len(m))), 10, -2)
     assert len({(r.id, r.other) for r in got} & want) >= 0.9 * len(want)
+
+
+def crowd(seed, members, others):
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    return np.concatenate([unit(centre + 0.23 * unit(rng.standard_normal((members, 64)))), unit(rng.standard_normal((others, 64)))]).astype(np.float32)
+
+
+def test_crowd_is_compared_in_full(spark):
+    m = crowd(6, 1500, 1500)
+    ids = list(range(len(m)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, m, strict=True)], "id long, embedding array<float>")
+    got = {(r.id_a, r.id_b) for r in mutual(neighbours(df, "id", "embedding", 10, least=0.92)).collect()}
+    want = brute(m.astype(np.float64), ids, 10, 0.92)
+    want = {(a, b) for a, b in want if a < b and (b, a) in want}
+    assert len(want) > 1000 and got == want
+
+
+def test_scaled_copies_are_one_direction(spark):
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal(64)
+    df = spark.createDataFrame([(i, (v * rng.uniform(0.1, 9)).astype(np.float32).tolist()) for i in range(60)], "id long, embedding array<float>")
+    near, rest = neighbours(df, "id", "embedding", 3, least=0.9).collect(), copies_beyond(df, "id", "embedding", 3).collect()
+    searched, left = {r.id for r in near}, {r.id for r in rest}
+    assert len(searched) <= 20 and not searched & left and searched | left == set(range(60))
+    assert len(rest) == 3 * len(left) and all(r.other in searched for r in rest)
