@@ -79,7 +79,7 @@ PATTERNS: list[tuple[float, re.Pattern]] = [
     (w, re.compile(p))
     for w, p in [
         # threats and wishes of harm
-        (1.5, r"\bi (?:will|'ll|am going to|swear i will) (?:\w+ ){0,4}(?:break|burn|kill|hurt|find|destroy|smash|cut|shoot|strangle|ruin|hunt|beat|make you (?:bleed|pay|suffer|regret|cry|scream|beg))\b[^.]*\b(?:you|your|them|her|him|with you in it)\b"),
+        (1.5, r"\bi(?: will|'ll| am going to| swear i will) (?:\w+ ){0,4}(?:break|burn|kill|hurt|find|destroy|smash|cut|shoot|strangle|ruin|hunt|beat|make you (?:bleed|pay|suffer|regret|cry|scream|beg))\b[^.]*\b(?:you|your|them|her|him|with you in it)\b"),
         (1.2, r"\bi know (?:which|where) [^.]*\byou\b[^.]*\b(?:will|live|park|use)\b"),
         (1.5, r"\b(?:nobody|no one) would (?:weep|notice|cry|care|miss)[^.]* (?:if|when) "),
         (1.3, rf"\b{_WHO}[^.,;]{{0,60}}\bdeserves? (?:to be |to )?(?:{_HARM}|die|rot|suffer)"),
@@ -128,6 +128,73 @@ PATTERNS: list[tuple[float, re.Pattern]] = [
         (1.3, r"\b(?:las|los) (?:mujeres|extranjer[oa]s|viej[oa]s|inmigrantes|refugiad[oa]s) como (?:tú|usted|ustedes|vosotr[oa]s)\b"),
     ]
 ]
+#: Words too common to bring a sentence under a pattern, if it has others.
+_COMMON = frozenset("for you your the will and that are they them would should like which where want going having only if when not his her him".split())
+
+
+def _needs(items) -> list[frozenset[str]]:
+    """Sets of pieces of words of a parsed pattern: whatever matches holds one piece of each set."""
+    out, run = [], ""
+    for op, arg in [*items, (None, None)]:
+        if op is re._constants.LITERAL:
+            run += chr(arg)
+            continue
+        out += [frozenset([w]) for w in re.findall(r"[^\W_]+", run)]
+        run = ""
+        if op is re._constants.BRANCH:
+            ways = [_needs(x) for x in arg[1]]
+            if all(ways):
+                out.append(frozenset().union(*map(_rarest, ways)))
+        elif op is re._constants.SUBPATTERN:
+            out += _needs(arg[3])
+        elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT) and arg[0]:
+            out += _needs(arg[2])
+    return out
+
+
+def _rarest(sets: list[frozenset[str]]) -> frozenset[str]:
+    return max(sets, key=lambda x: (0 if x & _COMMON else min(map(len, x)), -len(x)))
+
+
+_BITS: dict[str, int] = {}
+_NEEDED: list[int] = []
+for _, _p in PATTERNS:
+    _sets = _needs(re._parser.parse(_p.pattern))
+    # sets with a piece that almost any word holds tell nothing
+    _sets = set(x for x in _sets if min(map(len, x)) > 2) or {_rarest(_sets)}
+    _NEEDED.append(0)
+    for _x in sorted(_sets, key=sorted):
+        _bit = 1 << sum(n.bit_count() for n in _NEEDED)
+        _NEEDED[-1] |= _bit
+        for _piece in _x:
+            _BITS[_piece] = _BITS.get(_piece, 0) | _bit
+_GATED = [(w, p, n) for (w, p), n in zip(PATTERNS, _NEEDED, strict=True)]
+_MASKS: dict[str, int] = {}
+
+
+def _mask(token: str) -> int:
+    """The sets of pieces of which the token, or a term that it stands for, holds one."""
+    got = _MASKS.get(token)
+    if got is None:
+        if len(_MASKS) > 300_000:
+            _MASKS.clear()
+        got, low = 0, f"{token} {_CODE.sub(' ', token)}".lower()
+        low += "".join(f" {restore(x)}" for x in _TOKEN.findall(low) if len(x) > 2 and restore(x))
+        for piece, bits in _BITS.items():
+            if piece in low:
+                got |= bits
+        _MASKS[token] = got
+    return got
+
+
+def _may_match(tokens, patterns: list[tuple]) -> list[tuple]:
+    """Of patterns (what counts, pattern, needs) those that the tokens together may match."""
+    held = 0
+    for x in tokens:
+        held |= _mask(x)
+    return [p for p in patterns if p[2] & held == p[2]]
+
+
 _LEET = str.maketrans("0134578@$!|€", "oieastbasiie")
 _SPACED = re.compile(r"(?<![\w*])[^\W\d_](?: [^\W\d_]){3,}(?![\w*])")
 _TOKEN = re.compile(r"[^\W_](?:[\w*@$€#]|[!|](?=\w))*|\S")
@@ -261,8 +328,8 @@ def sentence_score(sentence: str) -> float:
             total += _KIND[term]
             nouns += _KIND[term] == 1.0
         out.append(term or tok)
-    flat = re.sub(r" (?=[.,;:!?])", "", " ".join(out))
-    score = sum(w for w, p in PATTERNS if p.search(flat))
+    flat = re.sub(r"(?<=\w) ' (?=\w)", "'", re.sub(r" (?=[.,;:!?])", "", " ".join(out)))
+    score = sum(w for w, p, _ in _may_match(flat.split(), _GATED) if p.search(flat))
     if kinds and not report:
         aimed = bool(_TARGET.search(flat))
         # alone, a term counts little; aimed at someone it counts in full, and more if several are heaped up
@@ -273,10 +340,11 @@ def sentence_score(sentence: str) -> float:
 
 
 def document_score(text: str) -> float:
-    """The sum over the sentences that hold a term, a cue or letters set apart."""
+    """The sum over the sentences that hold a term, a cue, letters set apart or the words that some pattern needs."""
     t = _plain(text)
     hot = []
-    for x in set(t.split()):
+    words = set(t.split())
+    for x in words:
         w = _RAW.get(x, 0)
         if w == 0:
             if len(_RAW) > 300_000:
@@ -286,12 +354,13 @@ def document_score(text: str) -> float:
         if w:
             hot.append(w)
     spaced = _SPACED_HINT.search(t) and _SPACED.search(t)
-    if not hot and not spaced:
+    needed = _may_match(words, _GATED)
+    if not hot and not needed and not spaced:
         return 0.0
     keys = re.compile("|".join(map(re.escape, sorted(hot, key=len, reverse=True)))) if hot else None
     total = 0.0
     for s in _SENTENCE.split(t):
-        if s and ((keys and keys.search(s.lower())) or (spaced and _SPACED.search(s))):
+        if s and ((keys and keys.search(s.lower())) or (spaced and _SPACED.search(s)) or (needed and _may_match(s.split(), needed))):
             total += sentence_score(s)
     return total
 

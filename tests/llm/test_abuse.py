@@ -1,7 +1,10 @@
+import random
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesserae.llm.abuse import TRIE, document_score, rates, restore, score_documents
+from tesserae.llm.abuse import _GATED, TRIE, _may_match, document_score, rates, restore, score_documents
 
 ABUSE = [
     "Dear moron, your figures make me sick.",
@@ -72,3 +75,60 @@ def test_frame(spark):
     assert sorted((r.doc_id, r.flagged) for r in got) == [(1, True), (1, True), (2, False), (3, False), (4, True)]
     assert {r.source: (r.documents, r.flagged) for r in rates(score_documents(df, "text"), "source").collect()} == {"a": (3, 2), "b": (1, 1), None: (1, 0)}
     assert score_documents(df.limit(0), "text").count() == 0
+
+
+ALONE = [
+    "I know where you live.",
+    "The world would be a better place without you.",
+    "I will find you.",
+    "I'll smash you.",
+    "I will hunt you.",
+    "No one would care if you left.",
+    "Niemand will dich hier.",
+    "Personne ne veut de vous.",
+    "Nadie te quiere.",
+    "Show me your body.",
+    "Los inmigrantes no valen nada.",
+    "Los negros no valen nada.",
+    "Les immigrés ne servent à rien.",
+    "Les immigrés n'ont rien.",
+    "Juden haben kein Hirn.",
+    "Muslime haben kein Hirn.",
+    "Behinderte haben kein Hirn.",
+]
+
+
+def test_patterns_are_reached_by_themselves():
+    pad = "Serial cells grew in vivo. " * 50
+    for s in ALONE:
+        assert document_score(s) >= 1 and document_score(pad + s + " " + pad) >= 1, s
+
+
+def sample(items, rng):
+    """A text that a parsed pattern matches, but for what looks around."""
+    out = ""
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += {"CATEGORY": "x", "NEGATE": " "}.get(str(arg[0][0])) or chr(arg[0][1])
+        elif name == "BRANCH":
+            out += sample(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += sample(arg[3], rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif name in ("ANY", "NOT_LITERAL"):
+            out += " "
+    return out
+
+
+def test_gate_lets_through_whatever_a_pattern_matches():
+    rng = random.Random(1)
+    for _, p, need in _GATED:
+        texts = [sample(re._parser.parse(p.pattern), rng) for _ in range(200)]
+        hit = [t for t in texts if p.search(t)]
+        assert hit, p.pattern
+        for t in hit:
+            assert _may_match(t.split(), [(0, p, need)]), (p.pattern, t)
