@@ -290,16 +290,10 @@ class NearDuplicates:
         from tesserae.llm.survivors import components
 
         linked = self.pairs.select("tbl", F.explode(F.array("a", "b")).alias("rep")).groupBy("tbl", "rep").agg(F.count("*").alias("links"))
-        e = self.pairs.select("tbl", "a", "b")
-        out = None
-        for tbl in sorted(r.tbl for r in self.members.select("tbl").distinct().limit(1000).collect()):
-            of = e.where(F.col("tbl") == tbl)
-            keys = of.select(F.col("a").alias("id"), F.struct("a", "b").alias("key")).unionByName(of.select(F.col("b").alias("id"), F.struct("a", "b").alias("key")))
-            g = components(keys).select(F.lit(tbl).alias("tbl"), F.col("id").alias("rep"), "group_id")
-            out = g if out is None else out.unionByName(g)
+        node = {x: F.struct("tbl", F.col(x).alias("id")) for x in "ab"}
+        edges = self.pairs.select(F.explode(F.array(node["a"], node["b"])).alias("id"), F.struct("tbl", "a", "b").alias("key"))
+        out = components(edges).select("id.tbl", F.col("id.id").alias("rep"), F.col("group_id.id").alias("group_id"))
         several = self.members.groupBy("tbl", "rep").count().where("count > 1").select("tbl", "rep")
-        if out is None:
-            out = several.select("tbl", "rep", F.col("rep").alias("group_id")).limit(0)
         wanted = several.select("tbl", "rep").unionByName(linked.select("tbl", "rep")).distinct().join(out, ["tbl", "rep"], "left").join(linked, ["tbl", "rep"], "left")
         return self.members.join(wanted, ["tbl", "rep"]).select("tbl", "id", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tesserae.llm.near_duplicates import Join, join_nodes, near_duplicates, shingles
+from tesserae.llm.near_duplicates import Join, NearDuplicates, join_nodes, near_duplicates, shingles
 
 
 def brute(rows, j):
@@ -72,3 +72,11 @@ def test_recall_at_the_threshold():
 def test_empty(spark):
     got = near_duplicates(spark.createDataFrame([], "tbl string, id long, text string"))
     assert got.expanded().count() == 0 and got.groups().count() == 0
+
+
+def test_groups_of_more_tables_than_a_thousand(spark):
+    n = 1100
+    members = spark.range(n).selectExpr("concat('t', lpad(id, 4, '0')) AS tbl", "explode(array(1L, 2L, 3L)) AS id").selectExpr("tbl", "id", "id AS rep")
+    pairs = spark.range(n).selectExpr("concat('t', lpad(id, 4, '0')) AS tbl", "explode(array(1L, 2L)) AS a").selectExpr("tbl", "a", "a + 1 AS b", "1.0D AS similarity")
+    got = NearDuplicates(members, pairs).groups().where("id = 3 AND group_id = 1 AND tbl >= 't1050'").count()
+    assert got == 50
