@@ -83,7 +83,8 @@ def cut_points(text: str, limit: int, overlap: int, block: int = 30) -> list[int
     """Where the text is cut: every piece, with the overlap before it, has at most limit characters.
 
     In each window the deepest valley in its second half wins, the last on ties; without a sentence end there, the
-    last white space; without that, the limit itself (not between a letter and its combining mark, if it can be helped).
+    deepest in the first half (of the first window, beyond the overlap); without that, the last white space in either
+    half; without that, the limit itself (not between a letter and its combining mark, if it can be helped).
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
@@ -96,13 +97,16 @@ def cut_points(text: str, limit: int, overlap: int, block: int = 30) -> list[int
     while len(text) - start + (overlap if cuts else 0) > limit:
         hi = start + limit - (overlap if cuts else 0)
         # the last piece may be short, but a cut must leave more than the overlap behind it
-        lo = start + max(1, (hi - start) // 2, overlap if not cuts else 1)
+        least = start + (1 if cuts else overlap + 1)
+        lo = max(least, start + (hi - start) // 2)
         i, j = np.searchsorted(where, [lo, hi + 1])
+        if i == j:
+            i = np.searchsorted(where, least)
         if i < j:
             k = j - 1 - int(np.argmax(depth[i:j][::-1]))
             cut = int(where[k])
         else:
-            i, j = np.searchsorted(spaces, [lo, hi + 1])
+            i, j = np.searchsorted(spaces, [least, hi + 1])
             cut = int(spaces[j - 1]) if i < j else hi
             if i >= j:
                 while cut > lo and 0x300 <= ord(text[cut]) <= 0x36F:

@@ -44,3 +44,8 @@ def test_frame(spark):
     one = sorted((r.piece, r.begin, r.end, r.piece_text) for r in got if r.id == 1)
     assert len(one) == 2 * len(set(one)) and all(len(x[3]) <= 1500 and long[x[1] : x[2]] == x[3] for x in one)
     assert split_oversized(df.limit(0), "body").count() == 0
+
+
+def test_boundary_in_the_first_half_comes_before_a_hard_cut():
+    assert pieces("One two. " + "x" * 30, 30, 2)[0] == (0, 9)
+    assert pieces("one two " + "x" * 30, 30, 2)[0] == (0, 8)
