@@ -7,9 +7,8 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tesserae.functions.errors import AUTH, NO_MODEL, OVERFLOW, UNSUPPORTED, ADVICE
+from tesserae.functions.errors import ADVICE, message_class
 from tesserae.functions.text import hashed_words
 
 PROMPT = "Answer from the numbered passages alone and cite the passages you use, like [1] or [2, 3]. If they do not hold the answer, say so."
@@ -87,49 +86,26 @@ class FirstThatWorks:
         raise last or ModelError("no provider")
 
 
-def message_class(message: str) -> str:
-    """errors.error_class for one message."""
-    m = message.lower()
-    has = lambda parts: any(p in m for p in parts)
-    if has(NO_MODEL) and "model" in m:
-        return "model"
-    return "auth" if has(AUTH) else "unsupported" if has(UNSUPPORTED) else "overflow" if has(OVERFLOW) else "other"
-
-
-def approx(s: str) -> int:
-    return max(1, len(s) // 4)
-
+@dataclass(frozen=True)
+class Attempt:
+    """What one call sends: blocks of passages, and the most tokens of the answer."""
 
-def fit(blocks: list[str], question: str, config: ModelConfig, max_out: int) -> list[str]:
-    """The first blocks that the budget holds; ranking.pack_context for one question."""
-    if max_out >= config.tokens:
-        max_out = max(128, config.tokens // 4)
-    room = max(0, max(0, config.tokens - max_out) - sum(map(approx, (config.prompt, "QUESTION:\n", question, "\n\nCONTEXT:\n"))) - config.headroom)
-    out = []
-    for b in blocks:
-        room -= approx(b) + 20
-        if room < 0:
-            break
-        out.append(b)
-    return out
+    blocks: list[str]
+    max_out: int
 
 
-def answer(question: str, blocks: list[str], provider: Provider, config: ModelConfig = ModelConfig(), attempts: int = 4) -> tuple[str, int]:
-    """(answer, passages sent). After an overflow the next attempt sends less, as ranking.retry_schedule says."""
-    n, max_out = len(blocks), config.max_out
-    for attempt in range(attempts):
-        sent = fit(blocks[:n], question, config, max_out)
-        context = "\n\n".join(sent) or "(no context)"
+def answer(question: str, attempts: list[Attempt], provider: Provider, config: ModelConfig = ModelConfig()) -> tuple[str, int]:
+    """(answer, passages sent) of the first attempt that the model has room for; ranking.attempts plans them."""
+    for a in attempts:
+        context = "\n\n".join(a.blocks) or "(no context)"
         try:
-            return provider.generate(f"QUESTION:\n{question}\n\nCONTEXT:\n{context}", config.prompt, max_out), len(sent)
+            return provider.generate(f"QUESTION:\n{question}\n\nCONTEXT:\n{context}", config.prompt, a.max_out), len(a.blocks)
+        except Overflow:
+            continue
         except Exception as e:
-            if not isinstance(e, Overflow) and message_class(str(e)) != "overflow":
-                raise ModelError(f"{ADVICE[message_class(str(e))]} ({e})") from e
-            if attempt == attempts - 1:
-                raise Overflow(ADVICE["overflow"]) from e
-        if n > 1:
-            n = max(1, int(n * 0.7) if attempt == 0 else n // 2)
-        max_out = max(128, int(max_out * 0.75))
+            kind = message_class(str(e))
+            if kind != "overflow":
+                raise ModelError(f"{ADVICE[kind]} ({e})") from e
     raise Overflow(ADVICE["overflow"])
 
 
@@ -141,8 +117,3 @@ def rewrite(question: str, how: str = "none") -> str:
     if how not in REWRITERS:
         raise NotImplementedError(how)
     return REWRITERS[how](question)
-
-
-def turns_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turns): the turns (turn, role, text) of each conversation in order."""
-    return conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))

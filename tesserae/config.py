@@ -63,17 +63,18 @@ class QueryConfig:
 
 
 def question_text(flag_file: str | None, argument: str | None) -> str:
-    """The question: of a file, of standard input for '-', of a file named with '@', or the argument itself."""
-    if flag_file:
-        with open(flag_file, encoding="utf-8") as f:
-            text = f.read()
-    elif argument == "-":
+    """The question: of a file, of standard input for '-' in either place, of a file named with '@', or the argument itself.
+
+    An argument with '@' that names no file is the question.
+    """
+    if "-" in (flag_file, None if flag_file else argument):
         text = sys.stdin.read()
-    elif argument and argument.startswith("@"):
-        with open(argument[1:], encoding="utf-8") as f:
-            text = f.read()
     else:
+        named = argument[1:] if argument and argument.startswith("@") and os.path.isfile(argument[1:]) else None
         text = argument or ""
+        if flag_file or named:
+            with open(flag_file or named, encoding="utf-8") as f:
+                text = f.read()
     if not text.strip():
         raise ValueError("there is no question")
     return text.strip()

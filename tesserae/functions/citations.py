@@ -2,19 +2,89 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LINES = re.compile(r"(?<=\d)\s*†L\d+(?:[-–—]L?\d+)?(?=\s*\])")
-_GROUP = re.compile(r"\[([^\[\]]{0,200})\]")
-_ONE = r"\d+(?:\s*[-–—]\s*\d+)?"
-_LIST = re.compile(rf"\s*({_ONE}(?:\s*[,，、;；]\s*{_ONE})*)\s*(?::\d+†\S+\s*)?")
-_HIDDEN = str.maketrans("", "", "\u200b\u200c\u200d\u2060\ufeff")
+# What opens and closes a citation, parts its entries and joins the ends of a range, and what is not seen.
+CLOSED_BY = {"[": "]", "【": "】"}
+SEPARATORS = ",，、;；"
+DASHES = "-–—"
+UNSEEN = "\u200b\u200c\u200d\u2060\ufeff"
+#: Separators that count when citations are renumbered; a list with others has not been brought to one form.
+STRICT = ",，、"
+
+
+class Entry(NamedTuple):
+    """One number or range of a citation: its plain spelling, and its ends as digits without leading zeros."""
+
+    spelling: str
+    low: str
+    high: str
+
+
+class Bracket(NamedTuple):
+    begin: int
+    end: int
+    body: str
+
+
+def brackets(text: str) -> Iterator[Bracket]:
+    """Innermost pairs of brackets of one kind, in order; begin and end enclose both brackets."""
+    begin, closing = -1, ""
+    for i, ch in enumerate(text):
+        if ch in CLOSED_BY:
+            begin, closing = i, CLOSED_BY[ch]
+        elif begin >= 0 and ch in CLOSED_BY.values():
+            if ch == closing:
+                yield Bracket(begin, i + 1, text[begin + 1 : i])
+            begin = -1
+
+
+def _digits(s: str) -> str | None:
+    """A whole number as plain digits; None for anything else."""
+    s = s.strip()
+    return ("".join(str(unicodedata.decimal(c)) for c in s).lstrip("0") or "0") if s.isdecimal() else None
+
+
+def entries(body: str, separators: str = SEPARATORS) -> list[Entry | None]:
+    """The entries of a bracket's body in order, None for what is neither a number nor a range."""
+    for c in separators[1:]:
+        body = body.replace(c, separators[0])
+    out: list[Entry | None] = []
+    for piece in body.split(separators[0]):
+        dash = next((c for c in piece if c in DASHES), "")
+        low, _, high = piece.partition(dash) if dash else (piece, "", piece)
+        low, high = _digits(low), _digits(high)
+        if low is None or high is None:
+            out.append(None)
+        else:
+            out.append(Entry(f"{low}{dash}{high}" if dash else low, low, high))
+    return out
+
+
+def _placed(body: str) -> tuple[str, bool]:
+    """body without a mark of lines (†L3-L6) at its end, and the same without a mark of a source (2:0†name)."""
+    head, mark, tail = body.rpartition("†")
+    if mark and head.rstrip()[-1:].isdecimal():
+        ends = tail.strip().lstrip("L") if tail.startswith("L") else ""
+        for c in DASHES:
+            ends = ends.replace(c, "-")
+        first, _, last = ends.partition("-")
+        if _digits(first) and (not last or _digits(last.removeprefix("L"))):
+            return head.rstrip(), True
+    return body, False
+
+
+def _unsourced(body: str) -> str:
+    head, mark, name = body.rstrip().partition("†")
+    numbers, colon, place = head.rpartition(":")
+    return numbers if mark and colon and _digits(place) and name and not any(map(str.isspace, name)) else body
 
 
 def one_form(text: str | None) -> str | None:
@@ -24,16 +94,19 @@ def one_form(text: str | None) -> str | None:
     """
     if text is None:
         return None
-    s = unicodedata.normalize("NFKC", text).translate(_HIDDEN).replace("【", "[").replace("】", "]")
-
-    def rebuilt(m: re.Match) -> str:
-        got = _LIST.fullmatch(m[1])
-        if not got:
-            return m[0]
-        items = [re.sub(r"\d+", lambda n: str(int(n[0])), x.strip()) for x in re.split("[,，、;；]", got[1])]
-        return f"[{', '.join(dict.fromkeys(items))}]"
-
-    return _GROUP.sub(rebuilt, _LINES.sub("", s))
+    s = "".join(c for c in unicodedata.normalize("NFKC", text) if c not in UNSEEN)
+    s = s.replace("【", "[").replace("】", "]")
+    out, at = [], 0
+    for b in brackets(s):
+        body, lined = _placed(b.body)
+        got = entries(_unsourced(body))
+        if None not in got:
+            body = ", ".join(dict.fromkeys(e.spelling for e in got))
+        elif not lined:
+            continue
+        out += [s[at : b.begin], "[", body, "]"]
+        at = b.end
+    return "".join(out) + s[at:]
 
 
 @F.pandas_udf(T.StringType())
@@ -41,34 +114,36 @@ def citations_in_one_form(s: pd.Series) -> pd.Series:
     return s.map(one_form)
 
 
-_BLOCK = re.compile(r"\[([0-9,\s\-–—、，]+)\]|【([0-9,\s\-–—、，]+)】")
+def _lists(text: str) -> Iterator[tuple[Bracket, list[Entry]]]:
+    """Brackets of nothing but digits, commas, dashes and space, with what in them is a number or a range."""
+    for b in brackets(text):
+        if b.body and all(c in "0123456789" or c in STRICT or c in DASHES or c.isspace() for c in b.body):
+            yield b, [e for e in entries(b.body, STRICT) if e]
+
 
+def numbers(got: list[Entry], n: int) -> list[int]:
+    """What the entries say, in order: a range from its smaller end and within 1 to n, single numbers as they are.
+
+    The ends of a range may have any number of digits; single numbers of more than nine are left out.
+    """
+
+    def held(digits: str) -> int:
+        return int(digits) if len(digits) <= len(str(n)) else n + 1
 
-def expand(numbers: str, n: int) -> list[int]:
-    """Numbers of a list with ranges; a range runs from its smaller end and within 1 to n, single numbers stay as they are."""
     out: list[int] = []
-    for part in re.split("[,、，]", numbers):
-        ends = re.fullmatch(r"\s*(\d+)\s*[-–—]\s*(\d+)\s*", part)
-        if ends:
-            lo, hi = sorted(map(int, ends.groups()))
+    for e in got:
+        if e.spelling == e.low:
+            out += [int(e.low)] if len(e.low) < 10 else []
+        else:
+            lo, hi = sorted((held(e.low), held(e.high)))
             out += range(max(1, lo), min(hi, n) + 1)
-        elif part.strip().isdigit():
-            out.append(int(part))
     return out
 
 
-def expanded(numbers: Column, n: Column) -> Column:
-    """expand as a column expression (array<int>)."""
-    parts = F.transform(F.split(numbers, "[,、，]"), lambda x: F.trim(x))
-
-    def one(p: Column) -> Column:
-        a = F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")
-        b = F.regexp_extract(p, r"(\d+)$", 1).try_cast("int")
-        lo, hi = F.greatest(F.lit(1), F.least(a, b)), F.least(F.greatest(a, b), n)
-        none = F.array().cast("array<int>")
-        return F.when(p.rlike(r"^\d+\s*[-–—]\s*\d+$"), F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(none)).when(p.rlike(r"^\d+$"), F.array(a)).otherwise(none)
-
-    return F.flatten(F.transform(parts, one))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def cited(text: pd.Series, n: pd.Series) -> pd.Series:
+    """All numbers that a text cites, in order, ranges within 1 to n."""
+    return pd.Series([None if t is None or m is None or pd.isna(m) else [x for _, got in _lists(t) for x in numbers(got, int(m))] for t, m in zip(text, n, strict=True)])
 
 
 def document_key(doi: Column, pmcid: Column, pmid: Column, paper_id: Column, title: Column, row: Column) -> Column:
@@ -93,27 +168,25 @@ def mentions(answers: DataFrame, passages: DataFrame) -> DataFrame:
     answers: qid, answer. passages: qid, idx (1-based, as cited), key. Numbers without a passage are no mentions.
     """
     count = passages.groupBy("qid").agg(F.max("idx").alias("n"))
-    blocks = F.regexp_extract_all("answer", F.lit(r"(?:\[|【)([0-9,\s\-–—、，]+)(?:\]|】)"), F.lit(1))
-    nums = F.flatten(F.transform(blocks, lambda b: expanded(b, F.col("n"))))
-    said = answers.join(count, "qid").select("qid", F.posexplode(nums).alias("pos", "idx"))
+    said = answers.join(count, "qid").select("qid", F.posexplode(cited("answer", "n")).alias("pos", "idx"))
     first = said.join(passages.select("qid", "idx", "key"), ["qid", "idx"]).groupBy("qid", "key").agg(F.min("pos").alias("first"))
     return first.withColumn("docnum", F.row_number().over(Window.partitionBy("qid").orderBy("first")))
 
 
 def renumbered(answer: str | None, docnum_of: dict[int, int]) -> str | None:
-    """The answer with each block of passage numbers replaced by the numbers of their documents, each once.
+    """The answer with the passage numbers of each list replaced by those of their documents, each once.
 
-    A block of which no number has a document stays as it is.
+    A list of which no number has a document stays as it is.
     """
     if answer is None:
         return None
-    n = max(docnum_of, default=0)
-
-    def swap(m: re.Match) -> str:
-        docs = dict.fromkeys(docnum_of[i] for i in expand(m[1] or m[2], n) if i in docnum_of)
-        return f"[{', '.join(map(str, docs))}]" if docs else m[0]
-
-    return _BLOCK.sub(swap, answer)
+    last, out, at = max(docnum_of, default=0), [], 0
+    for b, got in _lists(answer):
+        docs = {docnum_of[i]: None for i in numbers(got, last) if i in docnum_of}
+        if docs:
+            out += [answer[at : b.begin], f"[{', '.join(map(str, docs))}]"]
+            at = b.end
+    return "".join(out) + answer[at:]
 
 
 @F.pandas_udf(T.StringType())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,33 +18,23 @@ UNSUPPORTED = (
 )
 
 
-def _any(c: Column, parts: tuple[str, ...]) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    out = F.lit(False)
-    for p in parts:
-        out = out | low.contains(p)
-    return out
-
-
-def is_overflow(c: Column) -> Column:
-    return _any(c, OVERFLOW)
-
-
-def is_auth(c: Column) -> Column:
-    return _any(c, AUTH)
-
-
-def is_model_missing(c: Column) -> Column:
-    return _any(c, NO_MODEL) & _any(c, ("model",))
-
-
-def is_unsupported(c: Column) -> Column:
-    return _any(c, UNSUPPORTED)
+#: Classes in the order in which they are tried: any of the parts must be there, and all of the further ones.
+RULES = (("model", NO_MODEL, ("model",)), ("auth", AUTH, ()), ("unsupported", UNSUPPORTED, ()), ("overflow", OVERFLOW, ()))
 
 
 def error_class(c: Column) -> Column:
     """model, auth, unsupported, overflow or other: the first that applies. Null is other."""
-    return F.when(is_model_missing(c), "model").when(is_auth(c), "auth").when(is_unsupported(c), "unsupported").when(is_overflow(c), "overflow").otherwise("other")
+    low, out = F.lower(c), F.lit("other")
+    for name, parts, also in reversed(RULES):
+        there = reduce(or_, map(low.contains, parts))
+        out = F.when(reduce(and_, map(low.contains, also), there), name).otherwise(out)
+    return out
+
+
+def message_class(message: str) -> str:
+    """error_class for one message."""
+    m = message.lower()
+    return next((name for name, parts, also in RULES if any(p in m for p in parts) and all(p in m for p in also)), "other")
 
 
 ADVICE = {

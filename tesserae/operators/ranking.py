@@ -139,12 +139,20 @@ def block(i: Column, title: Column, pmcid: Column, pmid: Column, text: Column) -
     return F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.trim(title), tail, F.lit("\n"), text)
 
 
-def token_room(question: Column, prompt: str, budget: int, max_out: int, headroom: int = 200) -> Column:
+def token_room(question: Column, prompt: str, budget: int, max_out: Column | int, headroom: int = 200) -> Column:
     """Tokens left for context: the budget less the answer, the prompt, the question and the headings."""
-    if max_out >= budget:
-        max_out = max(128, budget // 4)
+    out = max_out if isinstance(max_out, Column) else F.lit(max_out)
+    out = F.when(out >= budget, max(128, budget // 4)).otherwise(out)
     fixed = sum(max(1, len(s) // 4) for s in (prompt, "QUESTION:\n", "\n\nCONTEXT:\n")) + headroom
-    return F.greatest(F.lit(0), F.lit(max(0, budget - max_out) - fixed) - approx_tokens(question))
+    return F.greatest(F.lit(0), F.greatest(F.lit(0), F.lit(budget) - out) - fixed - approx_tokens(question))
+
+
+def costed(passages: DataFrame) -> DataFrame:
+    """(qid, idx, chunk_id, block, cost, used): blocks of the passages (as of hydrate) and what they cost one after another."""
+    b = passages.withColumn("idx", (F.col("pos") + 1).cast("int"))
+    b = b.withColumn("block", block(F.col("idx"), F.col("paper_title"), F.col("pmcid"), F.col("pmid"), F.col("text"))).withColumn("cost", approx_tokens("block") + 20)
+    used = F.sum("cost").over(Window.partitionBy("qid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return b.select("qid", "idx", "chunk_id", "block", "cost", used.alias("used"))
 
 
 def pack_context(passages: DataFrame, questions: DataFrame, prompt: str, budget: int, max_out: int, headroom: int = 200) -> DataFrame:
@@ -152,11 +160,26 @@ def pack_context(passages: DataFrame, questions: DataFrame, prompt: str, budget:
 
     passages: as of hydrate. questions: qid, question. Costs are positive, so a running sum says what fits.
     """
-    b = passages.withColumn("idx", (F.col("pos") + 1).cast("int"))
-    b = b.withColumn("block", block(F.col("idx"), F.col("paper_title"), F.col("pmcid"), F.col("pmid"), F.col("text"))).withColumn("cost", approx_tokens("block") + 20)
-    b = b.withColumn("used", F.sum("cost").over(Window.partitionBy("qid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.join(questions.select("qid", token_room(F.col("question"), prompt, budget, max_out, headroom).alias("room")), "qid")
-    return b.where("used <= room").select("qid", "idx", "chunk_id", "block", "cost", "used")
+    b = costed(passages).join(questions.select("qid", token_room(F.col("question"), prompt, budget, max_out, headroom).alias("room")), "qid")
+    return b.where("used <= room").drop("room")
+
+
+def attempts(passages: DataFrame, questions: DataFrame, prompt: str, budget: int, max_out: int, headroom: int = 200, times: int = 4) -> DataFrame:
+    """(qid, question, attempts array<struct<blocks, max_out>>): what each call for a question's answer sends.
+
+    The first sends what pack_context gives; each further one, for the case that the model finds the last too long,
+    fewer of the passages and asks for less, as retry_schedule says. Lists are as long as one budget holds.
+    """
+    b = costed(passages)
+    n = b.groupBy("qid").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "used", "block"))).alias("b"))
+    q = questions.select("qid", "question").join(n, "qid", "left").withColumn("plan", retry_schedule(F.coalesce("n", F.lit(0)), F.lit(max_out), times))
+
+    def sent(s: Column) -> Column:
+        room = token_room(F.col("question"), prompt, budget, s["max_out"], headroom)
+        fit = F.filter(F.coalesce("b", F.array()), lambda x: (x["idx"] <= s["chunks"]) & (x["used"] <= room))
+        return F.struct(F.transform(fit, lambda x: x["block"]).alias("blocks"), s["max_out"].alias("max_out"))
+
+    return q.select("qid", "question", F.transform("plan", sent).alias("attempts"))
 
 
 def contexts(packed: DataFrame, questions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.answering import PROMPT, Embedder, ModelConfig, Provider, WordEmbedder, answer
+from tesserae.answering import PROMPT, Attempt, Embedder, ModelConfig, Provider, WordEmbedder, answer
 from tesserae.config import BuildConfig, QueryConfig, WriterGuard
 from tesserae.functions import citations
 from tesserae.functions.parameters import top_papers
@@ -187,16 +187,15 @@ def ask(ws: Workspace, questions: DataFrame, embedder: Embedder | None = None, c
     return passages, ranking.pack_context(passages, questions, model.prompt or PROMPT, model.tokens, model.max_out, model.headroom)
 
 
-def answers(packed: DataFrame, passages: DataFrame, questions: DataFrame, provider: Provider, model: ModelConfig = ModelConfig()) -> DataFrame:
-    """(qid, answer, references): a model's answers to a few questions, cited by document.
+def answers(passages: DataFrame, questions: DataFrame, provider: Provider, model: ModelConfig = ModelConfig()) -> DataFrame:
+    """(qid, answer, references): a model's answers to questions (qid, question), cited by document.
 
-    The packed passages of the questions, a budget's worth each, go to the driver, where the model is called.
+    The plan of calls is one row a question, a budget's worth of passages each; the driver, where the model is called,
+    takes these rows one after another.
     """
-    spark = packed.sparkSession
-    blocks: dict[int, list[str]] = {}
-    for r in packed.orderBy("qid", "idx").select("qid", "block").collect():
-        blocks.setdefault(r.qid, []).append(r.block)
-    said = [(r.qid, *answer(r.question, blocks.get(r.qid, []), provider, model)) for r in questions.select("qid", "question").collect()]
+    spark = passages.sparkSession
+    plan = ranking.attempts(passages, questions, model.prompt or PROMPT, model.tokens, model.max_out, model.headroom)
+    said = [(r.qid, *answer(r.question, [Attempt(list(x.blocks), x.max_out) for x in r.attempts], provider, model)) for r in plan.toLocalIterator()]
     a = spark.createDataFrame([(q, citations.one_form(t), n) for q, t, n in said], "qid long, answer string, sent int")
     none = F.lit(None).cast("string")
     p = passages.join(a.select("qid", "sent"), "qid").where(F.col("pos") < F.col("sent")).withColumn("idx", (F.col("pos") + 1).cast("int"))

@@ -123,8 +123,8 @@ def citation_normalize(spark: SparkSession, base: str) -> DataFrame:
 
 def citation_numbers(spark: SparkSession, base: str) -> DataFrame:
     """Numbers cited by every passage, ranges expanded up to 90."""
-    c = table(spark, base, "chunks").select("chunk_id", F.regexp_extract_all("text", F.lit(r"\[([0-9,\s\-–—]+)\]"), F.lit(1)).alias("b"))
-    return c.where(F.size("b") > 0).select("chunk_id", F.flatten(F.transform("b", lambda x: citations.expanded(x, F.lit(90)))).alias("numbers"))
+    c = table(spark, base, "chunks").select("chunk_id", "text").where(F.col("text").rlike(r"\[[0-9,\s\-–—]+\]"))
+    return c.select("chunk_id", citations.cited("text", F.lit(90)).alias("numbers"))
 
 
 def _answers(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -36,7 +36,7 @@ def test_build_update_ask(spark, tmp_path, archives):
     passages, packed = pipeline.ask(ws, q, config=QueryConfig(top_papers=2, top_chunks=4, min_chunks_per_paper=0))
     first = {r.qid: r.paper_id for r in passages.where("pos = 0").collect()}
     assert first == {1: papers["PMC1"], 2: papers["PMC2"]}
-    got = {r.qid: r for r in pipeline.answers(packed, passages, q, Cites()).collect()}
+    got = {r.qid: r for r in pipeline.answers(passages, q, Cites()).collect()}
     assert got[1].answer.startswith("It does [1], see [1") and got[1].references.startswith("References\n[1] HIV entry requires CD4.. PMCID: PMC1")
     assert not ws.wipe(lambda: False) and ws.wipe(lambda: True) and ws.read("papers").count() == 0
     with pytest.raises(RuntimeError):

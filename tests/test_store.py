@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae import answering, config
-from tesserae.operators import store
+from tesserae.operators import ranking, store
 from tesserae.operators.build import build_store
 from tesserae.sources import archives, segments, xml
 from tesserae.streaming.ingest import VersionedTable, drain, file_stream
@@ -162,12 +162,20 @@ class Short:
         return "ok"
 
 
-def test_answers():
+def test_answers(spark):
+    rows = spark.createDataFrame([(1, i, i, "[p]", "", "", "x" * 8) for i in range(30)], "qid int, pos int, chunk_id long, paper_title string, pmcid string, pmid string, text string")
+    q = spark.createDataFrame([(1, "q"), (2, "r")], "qid int, question string")
+    plan = {r.qid: [answering.Attempt(a.blocks, a.max_out) for a in r.attempts] for r in ranking.attempts(rows, q, "", 8000, 3000).collect()}
+    assert [(len(a.blocks), a.max_out) for a in plan[1]] == [(30, 3000), (21, 2250), (10, 1687), (5, 1265)]
+    assert [(a.blocks, a.max_out) for a in plan[2]][0] == ([], 3000)
+    few = ranking.attempts(rows, q.where("qid = 1"), "", 900, 300).first().attempts
+    assert [a.blocks for a in few][:1] == [[r.block for r in ranking.pack_context(rows, q, "", 900, 300).orderBy("idx").collect()]] and 0 < len(few[0].blocks) < 30
     p = Short(10)
-    assert answering.answer("q", ["[p] x"] * 30, p) == ("ok", 10) and p.seen == [(30, 3000), (21, 2250), (10, 1687)]
+    assert answering.answer("q", plan[1], p) == ("ok", 10) and p.seen == [(30, 3000), (21, 2250), (10, 1687)]
     with pytest.raises(answering.Overflow):
-        answering.answer("q", ["[p] x"] * 30, Short(0))
-    assert answering.answer("q", ["a", "b"], answering.ContextOnly()) == ("a\n\nb", 2)
+        answering.answer("q", plan[1], Short(0))
+    some = [answering.Attempt(["a", "b"], 9)]
+    assert answering.answer("q", some, answering.ContextOnly()) == ("a\n\nb", 2)
 
     class Refuses:
         def generate(self, *a):
@@ -175,7 +183,7 @@ def test_answers():
 
     assert answering.FirstThatWorks([Refuses(), answering.ContextOnly()]).generate("CONTEXT:\nx", "", 1) == "x"
     with pytest.raises(answering.ModelError):
-        answering.answer("q", ["a"], Refuses())
+        answering.answer("q", some, Refuses())
     assert answering.rewrite("q") == "q"
     with pytest.raises(NotImplementedError):
         answering.rewrite("q", "other")
