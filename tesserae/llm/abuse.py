@@ -1,9 +1,11 @@
 """Scores for abusive, hateful and sexual language, in whole documents of several languages.
 
-A lexicon is held as a trie; a Levenshtein automaton of each unusual word is run against it, so misspelled, stretched,
-masked and letter-spaced terms are found as well. What a term counts depends on the window around it: addressed to
-someone it counts in full, in quotation marks or beside words of reporting it counts nothing. Patterns over the
-restored words cover threats, contempt of groups and advances that need no crude word.
+The words of the lexicon are held as a trie; a Levenshtein automaton of each unusual word of a text is run against it,
+so that misspelled, stretched, masked and letter-spaced terms are found as well. Entries of several words continue the
+words that the automaton gave. What a hit counts is decided by the window of words around it: an insult counts in full
+where it is addressed to someone, a verb of harm where I announce it to you, a word of contempt where a group comes
+before it. Within quotation marks beside words of reporting a hit counts nothing, and beside such words alone only if
+the word of address stands right before it.
 """
 
 from __future__ import annotations
@@ -18,282 +20,152 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.llm import abuse_lexicon as lex
 from tesserae.llm.lookalikes import FOREIGN, INVISIBLE, LATIN
 
-# Terms by kind, in English, German, French and Spanish.
-INSULTS = """
-idiot idiots moron morons imbecile imbeciles cretin cretins fool fools halfwit halfwits dimwit dimwits dumbass dumbasses asshole assholes
-arsehole bastard bastards bitch bitches scum scumbag scumbags vermin fraud frauds liar liars loser losers parasite parasites maggot maggots
-worm cockroach clown clowns coward cowards charlatan charlatans prick twat wanker retard retards freak degenerate pervert pig swine rat
-simpleton nitwit numbskull shithead dickhead motherfucker douchebag jackass crap
-idioten vollidiot vollidioten schwachkopf trottel dummkopf abschaum versager lügner ratte drecksau drecksack dreckskerl wurm arschloch
-arschlöcher missgeburt schlampe hure wichser penner ungeziefer parasit schwein hurensohn nichtsnutz
-crétin crétins connard connards abruti abrutis imbécile imbéciles raté ratés déchet déchets vermine menteur menteurs ordure salaud salope
-minable minables enculé bouffon débile porcherie raclure
-gusano gusanos rata asquerosa asqueroso idiota idiotas imbécil imbéciles inútil inútiles escoria mentiroso mentirosos basura cabrón cabrones
-gilipollas fracasado fracasados estúpido estúpidos pendejo maricón payaso parásito
-""".split()
-SLURS = """
-stupid worthless useless pathetic disgusting repulsive miserable spineless brainless filthy goddamn fucking fucked damned vile dumb subhuman
-subhumans braindead shitty
-dreckig dreckige widerlich widerliche erbärmlich erbärmliche dumme dummer
-sale pourri pourrie stupide répugnant
-asquerosos miserable estúpida
-""".split()
-CRUDE = """
-fuck shit bullshit cunt dick cock slut sluts whore whores tits pussy cum ass
-fresse ficken scheiße scheisse
-gueule merde pute putain foutre
-mierda puta follar coño
-""".split()
-#: Words that only bring a sentence under the patterns.
-CUES = """
-deserve deserves bleed scream beg screw sexy horny subhuman disease diseases pity drown drowned hanged hang strangle burn shoot shot beaten beat rot nobody favour favor kill
-vanished choked choke grave stink smells smell naked knees undress legs bent horny sucking spreading wet lick breast breasts underwear clothes
-sort kind lot cage locked driven animals animal caged deport wipe clogged dumb bone bones neck throat pay hurt regret die dead dying
-people foreigners immigrants refugees women mothers gay lesbians muslims jews blacks disabled put scraped drop dropped
-werde finde finden fertigmachen vernichten umbringen töten zerstören brechen gehören halt verschwinde frauen ausländer flüchtlinge alte ausländerinnen
-vais retrouver casser démolir tuer crever ferme dégager devraient cuisine jetés femmes étrangers vieux espèce
-voy encontrar romper destrozar matar sufrir cállate muérete cerebro sirven deberían mujeres extranjeras extranjeros viejas viejos lárgate
-""".split()
-
-_TARGET = re.compile(
-    r"\b(you|your|yours|yourself|u|reviewers?( \d)?|authors?|editors?|whoever|expert|colleague|postdoc|speaker|student|group|lab|"
-    r"du|dich|dir|dein|deine|deiner|ihr|ihre|sie sind|vous|votre|vos|toi|ton|ta|tes|tu es|espèce|usted|ustedes|su grupo|tú|te|eres|vosotros)\b"
-)
-_QUOTED = re.compile(r"[“„«\"‘'‚][^“”„«»\"]{0,200}?[”“»\"’'](?!\w)")
-_REPORT = re.compile(
-    r"\b(words?|terms?|annotat\w+|posts?|comments? (?:were|was)|(?<!so-)called|coded|registers?|transcripts?|items?|questionnaires?|reported|respondents?|participants|"
-    r"interview\w*|quoted?|lexicon|dictionary|corpus|labelled|classified|phrases?|wörter|wort|begriffe?|mots?|termes?|palabras?|términos?|slur|abusive|"
-    r"diagnos\w+|patients|clinic\w*|species|plots?|animals were|plants?|ringed|grazed|surgery|samples?)\b"
-)
-
-_WHO = r"(?:you|the (?:\w+ ){0,2}(?:author|editor|speaker|reviewer|expert|group|lab|student|postdoc)s?|reviewer \d|whoever \w+ (?:this|it)|this so-called \w+|that \w+|your (?:\w+ ){0,2}\w+|him|her|them|they|he|she|these \w+|those \w+)"
-_HARM = r"(?:beaten?|shot|dragged|hanged|hung|whipped|drowned|burned|burnt|strangled|flogged|left to rot|put down|scraped|binned|locked|thrown|kicked|spat|buried|gassed|exterminated|punished)"
-_GROUP = (
-    r"(?:women|men|girls|foreigners|immigrants|migrants|refugees|single mothers|mothers|old people|disabled \w+|gay \w+|gays|lesbians|muslims|jews|christians|blacks|whites|arabs|asians|africans|"
-    r"people (?:like|from|of|with)\b[^.;]{0,40}?|(?:those|such|these) people)"
-)
-# Patterns over restored, lower-cased words, with what a match counts.
-PATTERNS: list[tuple[float, re.Pattern]] = [
-    (w, re.compile(p))
-    for w, p in [
-        # threats and wishes of harm
-        (1.5, r"\bi(?: will|'ll| am going to| swear i will) (?:\w+ ){0,4}(?:break|burn|kill|hurt|find|destroy|smash|cut|shoot|strangle|ruin|hunt|beat|make you (?:bleed|pay|suffer|regret|cry|scream|beg))\b[^.]*\b(?:you|your|them|her|him|with you in it)\b"),
-        (1.2, r"\bi know (?:which|where) [^.]*\byou\b[^.]*\b(?:will|live|park|use)\b"),
-        (1.5, r"\b(?:nobody|no one) would (?:weep|notice|cry|care|miss)[^.]* (?:if|when) "),
-        (1.3, rf"\b{_WHO}[^.,;]{{0,60}}\bdeserves? (?:to be |to )?(?:{_HARM}|die|rot|suffer)"),
-        (1.3, r"\bdeserves? (?:to be |to )(?:beaten|shot|dragged|hanged|whipped|drowned|burned|strangled|flogged|left to rot|die|rot)\b"),
-        (1.5, r"\bpity (?:that )?(?:your|the|his|her|their) (?:\w+ )?(?:did not|didn't|had not|never) (?:drop|drown|strangle|abort|kill)"),
-        (1.5, r"\bdo (?:the world|us all|everyone|us) a favou?r and (?!submit|read|check|cite|share)"),
-        (1.5, r"\b(?:kill|hang|shoot|drown) yourself\b"),
-        (1.3, r"\b(?:go|drop|hope you|you should|you will|want you to) (?:and )?(?:die|drop dead|rot)\b"),
-        (1.3, rf"\bpeople like (?:you|\w+|these \w+|those \w+) should be {_HARM}"),
-        (1.5, r"\b(?:smells?|looks?|thinks?)\b[^.]*\bthe world is (?:worse|poorer) for having\b"),
-        (1.2, r"\bthe world (?:is worse|would be (?:a )?better)(?: place)? (?:for|without|if) [^.]*(?:you|them|her|him)\b"),
-        # contempt of groups
-        (1.5, rf"\b{_GROUP} are (?:all |nothing but |just )?(?:subhumans?|animals|vermin|a disease|parasites|rats|cockroaches|filth|scum|trash|a plague|a cancer)\b"),
-        (1.2, rf"\b{_GROUP} (?:are|is)\b[^.]* and should be (?:{_HARM}|driven|kept|sent|locked|caged)"),
-        (1.5, r"\btheir (?:sort|kind|lot)\b[^.]*\b(?:ruin|have no place|belong|lie|steal|only|spoil|breed)"),
-        (1.5, r"\bthat lot\b[^.]*\b(?:ruin|have no place|belong|lie|steal|only|spoil|breed)"),
-        (1.3, r"\bnever trust [^.;]*\bfrom (?:women|foreigners|immigrants|refugees|old people|single mothers|people|gay|disabled|muslims|jews)\b"),
-        (1.3, r"\beveryone knows (?:they|that they|women|foreigners)[^.]*\b(?:too (?:dumb|stupid|lazy)|only|lie|steal|breed|stink|smell)"),
-        (1.0, r"\btoo (?:dumb|stupid|thick) to (?:count|read|think|breathe|live)\b"),
-        # sexual advances and contempt
-        (1.5, r"\bonly good for (?:\w+ ){0,3}(?:sucking|spreading|fuck|legs|quick|bed|dick|sex)"),
-        (1.3, r"\bi keep thinking (?:about|of) you\b[^.]*\b(?:naked|bent|knees|bed|shower|undress|underwear|without)"),
-        (1.3, r"\bsend me (?:\w+ ){0,4}(?:pictures?|photos?|nudes?)\b[^.]*\b(?:tits|breasts|ass|pussy|naked|you|body|legs)"),
-        (1.3, r"\bshow me your (?:\w+ )?(?:ass|tits|body|breasts|pussy|legs)"),
-        (1.3, r"\bi (?:will|want to|would|am going to) (?:fuck|lick|undress|ride|bend|screw|touch|taste|do) (?:you|your|all|it)\b"),
-        (1.3, r"\bso (?:hard|wet|horny) for you\b"),
-        # German
-        (1.3, r"\bich werde (?:dich|sie|euch|dir|ihnen)\b[^.]*\b(?:finden|fertigmachen|vernichten|umbringen|töten|zerstören|brechen|kriegen|schlagen|verprügeln|erledigen)"),
-        (1.3, r"\bhalt (?:die fresse|dein maul|die schnauze|'s maul)|\bhalten sie (?:die fresse|ihr maul)"),
-        (1.3, r"\bniemand will (?:dich|sie|euch) hier"),
-        (1.3, r"\b(?:frauen|ausländer\w*|flüchtlinge|alte|alten|schwule|behinderte|mütter|juden|muslime)\b[^.]*\b(?:gehören|haben)\b[^.]*\b(?:nicht ins? labor|nicht in d\w+ (?:labor|wissenschaft|forschung)|an den herd|in die küche|kein gehirn|kein hirn|hier nichts|eingesperrt|rausgeworfen|hinausgeworfen|abgeschoben|weggesperrt|raus)"),
-        (1.3, r"\b(?:frauen|ausländer\w*|flüchtlinge|alte|alten|schwule|behinderte|mütter) wie (?:sie|du|ihr)\b"),
-        (1.3, r"\b(?:frauen|ausländer\w*|flüchtlinge|alte|schwule|behinderte) (?:sind|taugen|können|haben)\b[^.]*\b(?:nicht für|zu dumm|nichts|kein|keinen|dreck|ungeziefer|abschaum)"),
-        # French
-        (1.3, r"\bje vais (?:te|vous)\b[^.]*\b(?:retrouver|casser|démolir|tuer|crever|détruire|frapper|payer|massacrer)"),
-        (1.3, r"\b(?:ferme|fermez) (?:ta|vos|votre) (?:gueule|grande gueule)|\bta gueule\b"),
-        (1.3, r"\bpersonne ne (?:veut|voudra) de (?:toi|vous)"),
-        (1.3, r"\b(?:les|des) (?:\w+ )?(?:femmes|étrangers|étrangères|vieux|vieilles|immigrés|réfugiés|homosexuels|handicapés|gens|mères) comme (?:vous|toi|elle|eux)\b"),
-        (1.3, r"\bles (?:femmes|étrangers|étrangères|vieux|vieilles|immigrés|réfugiés|homosexuels|handicapés) (?:n'ont|ne servent|ne devraient|sont)\b[^.]*\b(?:cerveau|rien|pas leur place|laboratoire|bons à|recherche|vermine|science)"),
-        (1.0, r"\b(?:un|une|sale|petit|gros|vieux) con(?:ne)?\b|\bespèce d[e'] ?\w+"),
-        # Spanish
-        (1.3, r"\b(?:te|os|le) voy a\b[^.]*\b(?:encontrar|romper|destrozar|matar|sufrir|pegar|partir|hundir|arruinar)"),
-        (1.3, r"\bcállate\b|\bcierra (?:el pico|la boca)\b"),
-        (1.3, r"\bnadie (?:te|os|la|lo) quiere\b"),
-        (1.3, r"\b(?:las|los) (?:mujeres|extranjer[oa]s|viej[oa]s|inmigrantes|refugiad[oa]s|gays|discapacitad[oa]s|negr[oa]s)\b[^.]{0,20}\bno (?:tienen cerebro|sirven|deberían|valen|saben|merecen|pueden)"),
-        (1.3, r"\b(?:las|los) (?:mujeres|extranjer[oa]s|viej[oa]s|inmigrantes|refugiad[oa]s) como (?:tú|usted|ustedes|vosotr[oa]s)\b"),
-    ]
-]
-#: Words too common to bring a sentence under a pattern, if it has others.
-_COMMON = frozenset("for you your the will and that are they them would should like which where want going having only if when not his her him".split())
-
-
-def _needs(items) -> list[frozenset[str]]:
-    """Sets of pieces of words of a parsed pattern: whatever matches holds one piece of each set."""
-    out, run = [], ""
-    for op, arg in [*items, (None, None)]:
-        if op is re._constants.LITERAL:
-            run += chr(arg)
-            continue
-        out += [frozenset([w]) for w in re.findall(r"[^\W_]+", run)]
-        run = ""
-        if op is re._constants.BRANCH:
-            ways = [_needs(x) for x in arg[1]]
-            if all(ways):
-                out.append(frozenset().union(*map(_rarest, ways)))
-        elif op is re._constants.SUBPATTERN:
-            out += _needs(arg[3])
-        elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT) and arg[0]:
-            out += _needs(arg[2])
-    return out
-
-
-def _rarest(sets: list[frozenset[str]]) -> frozenset[str]:
-    return max(sets, key=lambda x: (0 if x & _COMMON else min(map(len, x)), -len(x)))
-
-
-_BITS: dict[str, int] = {}
-_NEEDED: list[int] = []
-for _, _p in PATTERNS:
-    _sets = _needs(re._parser.parse(_p.pattern))
-    # sets with a piece that almost any word holds tell nothing
-    _sets = set(x for x in _sets if min(map(len, x)) > 2) or {_rarest(_sets)}
-    _NEEDED.append(0)
-    for _x in sorted(_sets, key=sorted):
-        _bit = 1 << sum(n.bit_count() for n in _NEEDED)
-        _NEEDED[-1] |= _bit
-        for _piece in _x:
-            _BITS[_piece] = _BITS.get(_piece, 0) | _bit
-_GATED = [(w, p, n) for (w, p), n in zip(PATTERNS, _NEEDED, strict=True)]
-_MASKS: dict[str, int] = {}
-
-
-def _mask(token: str) -> int:
-    """The sets of pieces of which the token, or a term that it stands for, holds one."""
-    got = _MASKS.get(token)
-    if got is None:
-        if len(_MASKS) > 300_000:
-            _MASKS.clear()
-        got, low = 0, f"{token} {_CODE.sub(' ', token)}".lower()
-        low += "".join(f" {restore(x)}" for x in _TOKEN.findall(low) if len(x) > 2 and restore(x))
-        for piece, bits in _BITS.items():
-            if piece in low:
-                got |= bits
-        _MASKS[token] = got
-    return got
-
-
-def _may_match(tokens, patterns: list[tuple]) -> list[tuple]:
-    """Of patterns (what counts, pattern, needs) those that the tokens together may match."""
-    held = 0
-    for x in tokens:
-        held |= _mask(x)
-    return [p for p in patterns if p[2] & held == p[2]]
-
-
-_LEET = str.maketrans("0134578@$!|€", "oieastbasiie")
-_SPACED = re.compile(r"(?<![\w*])[^\W\d_](?: [^\W\d_]){3,}(?![\w*])")
-_TOKEN = re.compile(r"[^\W_](?:[\w*@$€#]|[!|](?=\w))*|\S")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+|\n+")
-_ODD = re.compile(f"[{FOREIGN}{INVISIBLE}]")
-_SPACED_HINT = re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_](?![\w*])")
-_EDGE = ".,;:!?()[]\"'“”„«»…"
-_RAW: dict[str, str | None] = {}
-_CODE = re.compile(r"[A-Z]+\d+[A-Z]?\b")
-_STRETCH = re.compile(r"(.)\1{2,}")
-_FOLD = str.maketrans(FOREIGN, LATIN)
-_DROP = str.maketrans("", "", INVISIBLE)
+_CLASSES = (
+    "INSULT", "SCORN", "CRUDE", "SLUR", "HARM", "HARM_YOU", "HARMED", "DYING", "PLACE", "GROUP", "BASE", "CONTEMPT", "EXPEL", "SEXUAL", "BODY", "SEXUAL_YOU", "ASKED", "USED", "AIMED",
+    "YOU", "YOURS", "PERSON", "SELF", "INTENT", "WISH", "SHOULD", "BE", "FILL", "DEAR", "REPORT",
+)
+(
+    INSULT, SCORN, CRUDE, SLUR, HARM, HARM_YOU, HARMED, DYING, PLACE, GROUP, BASE, CONTEMPT, EXPEL, SEXUAL, BODY, SEXUAL_YOU, ASKED, USED, AIMED,
+    YOU, YOURS, PERSON, SELF, INTENT, WISH, SHOULD, BE, FILL, DEAR, REPORT,
+) = (1 << i for i in range(len(_CLASSES)))
+LIKE, ALL, ANCHOR = 1 << 40, 1 << 41, 1 << 42
+WEIGHT = {INSULT: 1.0, SCORN: 0.7, CRUDE: 0.8, SLUR: 1.2}
+RUDE = INSULT | SCORN | CRUDE | SLUR
+
+_WORDS: dict[str, int] = dict.fromkeys("like comme wie como".split(), LIKE) | dict.fromkeys("all alle tous toutes todos todas".split(), ALL)
+#: Entries of several words by their first one.
+_PHRASES: dict[str, list[tuple[tuple[str, ...], int]]] = {}
+for _i, _name in enumerate(_CLASSES):
+    for _e in getattr(lex, _name):
+        _p = tuple(_e.split())
+        if len(_p) == 1:
+            _WORDS[_e] = _WORDS.get(_e, 0) | 1 << _i
+        else:
+            _PHRASES.setdefault(_p[0], []).append((_p, 1 << _i))
+            # a sentence is looked into for the phrase if it holds the longest of its words
+            _w = max(_p, key=len)
+            _WORDS[_w] = _WORDS.get(_w, 0) | ANCHOR
+
+_LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e"}
+_MASK = "*#"
 
 
 class LexiconTrie:
-    """Terms in a trie; search runs the Levenshtein automaton of a word along it."""
+    """Words in a trie; search runs the Levenshtein automaton of a word along it."""
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, words: list[str]):
         self.root: dict = {}
-        self.weight = terms
-        for term in terms:
+        self.words = sorted(set(words))
+        for word in self.words:
             node = self.root
-            for ch in term:
+            for ch in word:
                 node = node.setdefault(ch, {})
-            node[""] = term
+            node[""] = word
 
-    def search(self, word: str, most: int, same_start: bool = True) -> str | None:
-        """The nearest term within most edits, the first in order on ties; * in the word stands for any one character.
+    def search(self, word: str, most: int, same_start: bool = True) -> tuple[int, str] | None:
+        """(edits, word) of the nearest word within most edits, the first in order on ties.
 
-        The automaton's state after a path is the row of distances of that path to each prefix of the word; a branch
-        is left as soon as all of the row exceeds the bound.
+        A sign that stands for a letter is that letter, a masking sign any one letter, and a letter repeated costs
+        nothing. The automaton's state after a path is the row of costs of that path to each beginning of the word;
+        a branch is left as soon as all of the row exceeds the bound.
         """
         best: tuple[int, str] | None = None
         n = len(word)
-        stack = [(self.root[c], self._step(list(range(n + 1)), word, c)) for c in self.root if c and (not same_start or c == word[0])]
+        start = self._first(word)
+        stack = [(self.root[c], self._step(start, word, c)) for c in self.root if c and (not same_start or c == word[0] or c in _LOOKS.get(word[0], ""))]
         while stack:
             node, row = stack.pop()
+            if min(row) > most:
+                continue
             term = node.get("")
             if term is not None and row[n] <= most and (best is None or (row[n], term) < best):
                 best = (row[n], term)
-            if min(row) <= most:
-                for c, nxt in node.items():
-                    if c:
-                        stack.append((nxt, self._step(row, word, c)))
-        return best[1] if best else None
+            stack += [(nxt, self._step(row, word, c)) for c, nxt in node.items() if c]
+        return best
 
     @staticmethod
-    def _step(row: list[int], word: str, c: str) -> list[int]:
+    def _again(word: str, i: int) -> bool:
+        return i > 0 and word[i] == word[i - 1] and word[i] not in _MASK
+
+    def _first(self, word: str) -> list[int]:
+        row = [0]
+        for i in range(len(word)):
+            row.append(row[i] + (not self._again(word, i)))
+        return row
+
+    def _step(self, row: list[int], word: str, c: str) -> list[int]:
         out = [row[0] + 1]
         for i, w in enumerate(word):
-            out.append(min(row[i] + (w != c and w != "*"), row[i + 1] + 1, out[i] + 1))
+            same = w == c or w in _MASK or c in _LOOKS.get(w, "")
+            out.append(min(row[i] + (not same), row[i + 1] + 1, out[i] + (not self._again(word, i))))
         return out
 
 
-_KIND: dict[str, float] = dict.fromkeys(CRUDE, 0.8) | dict.fromkeys(SLURS, 0.7) | dict.fromkeys(INSULTS, 1.0)
-TRIE = LexiconTrie(_KIND)
-_CUES = frozenset(CUES)
-_SEEN: dict[str, str | None] = {}
+TRIE = LexiconTrie([w for name in ("INSULT", "SCORN", "CRUDE", "SLUR") for w in getattr(lex, name) if " " not in w] + ["piece"])
+
+EXACT, DISGUISED, MISSPELT = 0, 1, 2
+_SEEN: dict[str, tuple[str, int]] = {}
 
 
-def restore(token: str) -> str | None:
-    """The lexicon term or cue that a lower-cased token is, or stands for in disguise; None if neither.
+def restore(token: str) -> tuple[str, int]:
+    """The word of the lexicon that a lower-cased token stands for, and how; the token itself if it stands for none.
 
-    Masked letters match any letter, digits and signs stand for letters, stretched letters shrink; words of six
-    letters and more may hold one misspelling, of nine and more, if disguised, two.
+    Words of six letters and more may hold one misspelling, of eleven and more, or of eight if disguised, two. Tokens of
+    any length are looked at.
     """
-    got = _SEEN.get(token, 0)
-    if got != 0:
-        return got
-    if len(_SEEN) > 300_000:
-        _SEEN.clear()
-    _SEEN[token] = got = _restore(token)
+    got = _SEEN.get(token)
+    if got is None:
+        if len(_SEEN) > 300_000:
+            _SEEN.clear()
+        _SEEN[token] = got = _restore(token)
     return got
 
 
-def _restore(token: str) -> str | None:
-    if token in _KIND or token in _CUES:
-        return token
-    if len(token) > 24 or len(token) < 3:
-        return None
-    stars = token.count("*") + token.count("#")
-    if stars:
-        letters = sum(c.isalpha() for c in token)
-        if letters < 2 or token[0] in "*#" or letters + stars != len(token) or len(token) < 4:
-            return None
-        # masked: same length, the letters that are left must agree
-        return TRIE.search(token.replace("#", "*"), 0)
-    plain = token.translate(_LEET)
-    short = _STRETCH.sub(r"\1", plain)
-    disguised = plain != token or short != plain
-    if disguised and plain != token and sum(c.isalpha() for c in token) < 2:
-        return None
-    for w in (plain, short, _STRETCH.sub(r"\1\1", plain)):
-        if w in _KIND:
-            return w
-    w = short
-    if not w.isalpha() or len(w) < (5 if disguised else 6):
-        return None
-    return TRIE.search(w, 2 if disguised and len(w) >= 9 else 1)
+def _restore(token: str) -> tuple[str, int]:
+    n = len(token)
+    if token in _WORDS or n < 3 or token in lex.ORDINARY:
+        return token, EXACT
+    letters = sum(c.isalpha() for c in token)
+    if letters == n:
+        stretched = any(token[i] == token[i - 1] == token[i - 2] for i in range(2, n))
+        doubled = n > 4 and any(token[i] == token[i - 1] for i in range(1, n))
+        most = (1 if n >= 6 else 0) if n < 11 else 2
+        if not stretched and not doubled and not most:
+            return token, EXACT
+        found = TRIE.search(token, most)
+        if found is None:
+            return token, EXACT
+        return found[1], DISGUISED if found[0] == 0 and stretched else MISSPELT
+    masks = sum(c in _MASK for c in token)
+    signs = sum(c in _LOOKS for c in token)
+    if letters + masks + signs < n or not token[0].isalnum():
+        return token, EXACT
+    if masks:
+        if letters < 2 or n < 4:
+            return token, EXACT
+        found = TRIE.search(token, 0)
+        # a masked word is as long as what it masks
+        return (found[1], DISGUISED) if found and len(found[1]) == n else (token, EXACT)
+    if letters < 2 and n < 6:
+        return token, EXACT
+    found = TRIE.search(token, 2 if letters and n >= 8 else 1 if n >= 6 and letters > 1 else 0)
+    return (found[1], DISGUISED) if found else (token, EXACT)
+
+
+_SPACED = re.compile(r"(?<![\w*])[^\W\d_](?: [^\W\d_]){3,}(?![\w*])")
+_SPACED_HINT = re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_](?![\w*])")
+_TOKEN = re.compile(r"[^\W_](?:[\w*@$€#]|[!|](?=\w))*|\S")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+|\n+")
+_ODD = re.compile(f"[{FOREIGN}{INVISIBLE}]")
+_CODE = re.compile(r"[A-Z]+\d+[A-Z]?\b")
+_EDGE = ".,;:!?()[]\"'“”„«»…-"
+_FOLD = str.maketrans(FOREIGN, LATIN)
+_DROP = str.maketrans("", "", INVISIBLE)
+_OPEN, _CLOSE = "“„«‘‚", "”»’"
+_RAW: dict[str, int] = {}
 
 
 def _plain(text: str) -> str:
@@ -308,60 +180,224 @@ def _plain(text: str) -> str:
 
 def _join_spaced(m: re.Match) -> str:
     """Letters set apart; the article before them may have been caught as well."""
-    letters = m.group().lower().replace(" ", "")
-    rest = restore(letters[1:]) if letters[0] in "a" else None
-    return f"a {rest}" if rest in _KIND else restore(letters) or m.group()
+    word = m.group().lower().replace(" ", "")
+    for head, rest in (("", word), ("a ", word[1:] if word[0] == "a" else "")):
+        if len(rest) > 3 and _WORDS.get(restore(rest)[0], 0) & (RUDE | SEXUAL | HARM):
+            return head + restore(rest)[0]
+    return m.group()
+
+
+class _Sentence:
+    """The tokens of one sentence with their classes, which of them are quoted, and how each was found."""
+
+    def __init__(self, sentence: str):
+        s = _SPACED.sub(_join_spaced, _CODE.sub(" ", sentence)).lower().replace("so-called", "socalled").replace("'s ", " ")
+        pairs = [(m.group(), *restore(m.group())) for m in _TOKEN.finditer(s)]
+        self.raw, self.tok, self.how = zip(*pairs, strict=True) if pairs else ((), (), ())
+        self.cls = [_WORDS.get(t, 0) for t in self.tok]
+        self.phrase: dict[int, tuple[str, ...]] = {}
+        for i, t in enumerate(self.tok):
+            for p, bit in _PHRASES.get(t, ()):
+                if self.tok[i : i + len(p)] == p:
+                    self.cls[i] |= bit
+                    if bit == AIMED:
+                        self.phrase[i] = p
+        self.quoted = self._quotes()
+        self.all = 0
+        for c in self.cls:
+            self.all |= c
+
+    def _quotes(self) -> list[bool]:
+        """Tokens between quotation marks that are closed within the sentence."""
+        out, begin = [False] * len(self.tok), -1
+        for i, t in enumerate(self.tok):
+            if t in _OPEN or (t == '"' and begin < 0):
+                begin = i if begin < 0 else begin
+            elif begin >= 0 and (t in _CLOSE or t == '"') and not (t == "’" and i + 1 < len(self.tok) and self.tok[i + 1] in ("s", "t", "re", "ll")):
+                out[begin : i + 1] = [True] * (i + 1 - begin)
+                begin = -1
+        return out
+
+    def near(self, lo: int, hi: int, bits: int) -> bool:
+        return any(c & bits for c in self.cls[max(0, lo) : max(0, hi + 1)])
+
+    def address(self, i: int) -> int:
+        """How the word at i is addressed: 2 right after 'you' or the like, 1 otherwise to someone, 0 not at all."""
+        tok, cls = self.tok, self.cls
+        j = i - 1
+        while j >= 0 and i - j < 9 and cls[j] & (FILL | RUDE) and not cls[j] & (YOU | PERSON | DEAR):
+            j -= 1
+        if i + 2 < len(tok) and cls[i + 1] & LIKE and cls[i + 2] & YOU:
+            return 2
+        if j < 0:
+            return 0
+        if cls[j] & YOU:
+            return 2
+        ambiguous = tok[i] in lex.AMBIGUOUS
+        if cls[j] & BE and not cls[j] & DEAR:
+            if self.near(j - 1, j - 1, YOU | PERSON) or self.near(j - 3, j - 1, YOURS):
+                return 2 if self.near(j - 1, j - 1, YOU) else 1
+            return 0
+        if cls[j] & DEAR:
+            return 0 if ambiguous and i - j > 1 and tok[j] != "dear" else 1
+        if tok[j] == ":":
+            return int(self.near(j - 4, j - 1, YOU | PERSON))
+        if tok[j] == "," and (i + 1 == len(tok) or tok[i + 1] in ",.!?;" or cls[i + 1] & SCORN):
+            return int(self.near(j - 4 if ambiguous else j - 16, j - 1, YOU | AIMED if ambiguous else YOU | YOURS | PERSON | AIMED))
+        return 0
+
+    def reported(self, i: int) -> bool:
+        if self.quoted[i] and self.near(i - 15, i + 15, REPORT):
+            return True
+        return (self.near(i - 5, i - 1, REPORT) or self.near(i + 1, i + 5, REPORT)) and self.address(i) < 2
+
+    def rude(self) -> float:
+        total = 0.0
+        for i, c in enumerate(self.cls):
+            if not c & RUDE or self.reported(i):
+                continue
+            weight = max(w for bit, w in WEIGHT.items() if c & bit)
+            to = self.address(i)
+            if to:
+                share = 1.0
+            elif c & SLUR:
+                share = 0.85
+            elif self.how[i] == MISSPELT or self.tok[i] in lex.AMBIGUOUS:
+                share = 0.0
+            elif self.near(i - 2, i - 1, YOURS):
+                share = 0.6
+            else:
+                share = 0.4 if self.near(i - 4, i + 4, YOU) else 0.15
+            total += weight * share
+        return min(2.5, total)
+
+    def harm(self) -> float:
+        out = 0.0
+        for i, c in enumerate(self.cls):
+            if c & (HARM | HARM_YOU | PLACE):
+                who = next((j for j in range(i - 1, max(-1, i - 16), -1) if self.cls[j] & SELF), None)
+                announced = who is not None and self.near(who, i, INTENT) and not {"not", "nicht", "pas", "no", "never"} & set(self.tok[who:i])
+                if announced and c & HARM and self.near(who, i + 6, YOU | YOURS) and not self.reported(i):
+                    out = max(out, 1.3)
+                elif announced and c & HARM_YOU and self.near(i - 3, i + 1, YOU) and not self.reported(i):
+                    out = max(out, 1.3)
+                elif c & PLACE and who is not None and {"ever", "again", "next", "catch"} & set(self.tok[max(0, who - 2) : i]) and self.near(i - 8, i, YOU) and self.near(i - 8, i, INTENT) and not self.reported(i):
+                    out = max(out, 1.3)
+            if c & (HARMED | DYING) and not self.reported(i):
+                meant = self.near(i - 16, i + 4, YOU | PERSON | GROUP)
+                wished = self.near(i - 12, i - 1, WISH) or (c & HARMED and self.near(i - 7, i - 1, SHOULD) and self.near(i - 2, i - 1, BE | SHOULD | FILL))
+                if meant and wished:
+                    out = max(out, 1.3)
+        return out
+
+    def group(self) -> float:
+        out = 0.0
+        for g, c in enumerate(self.cls):
+            many = c & ALL and g + 2 < len(self.tok) and self.tok[g + 1].endswith("s") and self.cls[g + 2] & BE
+            if not c & GROUP and not many:
+                continue
+            for i in range(g + 1, min(len(self.tok), g + 20)):
+                d = self.cls[i]
+                base = d & BASE and any(self.cls[j] & BE for j in range(max(g + 1, i - 3), i)) and i - g < 9
+                said = d & CONTEMPT and c & GROUP
+                expelled = d & EXPEL and self.near(i - 5, i - 1, SHOULD)
+                if (base or said or expelled) and not self.reported(i):
+                    out = max(out, 1.5 if base else 1.3)
+        return out
+
+    def sexual(self) -> float:
+        out = 0.0
+        body = sum(1 for c in self.cls if c & (BODY | SEXUAL))
+        wanted = {"want", "quiero", "veux", "will"} if self.all & SEXUAL else {"want", "quiero", "veux"}
+        for i, c in enumerate(self.cls):
+            if c & USED and self.near(i, i + 9, SEXUAL | BODY) and not self.reported(i):
+                out = max(out, 1.5)
+            strong = c & SEXUAL or (c & BODY and body > 1 and self.near(i - 3, i + 3, YOURS)) or (c & SEXUAL_YOU and self.near(i + 1, i + 1, YOU) and body)
+            if not strong and not (c & BODY and self.near(i - 6, i, ASKED) and self.near(i - 4, i + 4, YOURS)) and not (self.tok[i] == "screw" and self.near(i + 1, i + 1, YOU)):
+                continue
+            if not self.near(i - 12, i + 6, YOU | YOURS) or self.reported(i):
+                continue
+            if self.near(i - 8, i, ASKED) or (self.near(i - 10, i, SELF) and (c & ~BODY & (SEXUAL | SEXUAL_YOU) or wanted & set(self.tok[max(0, i - 8) : i])) and self.near(i - 8, i, INTENT) and self.near(i - 3, i + 3, YOU | YOURS)):
+                out = max(out, 1.3)
+        return out
+
+    def phrases(self) -> float:
+        out = 0.0
+        for i, c in enumerate(self.cls):
+            if c & AIMED and not self.reported(i):
+                p = self.phrase.get(i, (self.tok[i],))
+                own = len(p) == 1 or any(_WORDS.get(w, 0) & (YOU | YOURS) for w in p)
+                if own or self.near(i - 10, i + len(p) + 10, YOU | YOURS | PERSON):
+                    out += lex.AIMED[" ".join(p)]
+        return min(out, 2.6)
+
+    def score(self) -> float:
+        out = self.rude() if self.all & RUDE else 0.0
+        if self.all & (HARM | HARM_YOU | HARMED | DYING | PLACE):
+            out += self.harm()
+        if self.all & (GROUP | ALL):
+            out += self.group()
+        if self.all & (SEXUAL | BODY | SEXUAL_YOU | USED):
+            out += self.sexual()
+        return out + (self.phrases() if self.all & AIMED else 0.0)
 
 
 def sentence_score(sentence: str) -> float:
     """What one sentence counts; sentence is in plain letters, any case."""
-    s = _SPACED.sub(_join_spaced, _CODE.sub(" ", sentence)).lower().replace("’", "'")
-    report = bool(_REPORT.search(s))
-    if report or "“" in s or "„" in s or "«" in s:
-        s = _QUOTED.sub(" ", s) if report else s
-    out, total, kinds, nouns = [], 0.0, 0, 0
-    for m in _TOKEN.finditer(s):
-        tok = m.group()
-        term = restore(tok) if len(tok) > 2 else None
-        if term in _KIND:
-            kinds += 1
-            total += _KIND[term]
-            nouns += _KIND[term] == 1.0
-        out.append(term or tok)
-    flat = re.sub(r"(?<=\w) ' (?=\w)", "'", re.sub(r" (?=[.,;:!?])", "", " ".join(out)))
-    score = sum(w for w, p, _ in _may_match(flat.split(), _GATED) if p.search(flat))
-    if kinds and not report:
-        aimed = bool(_TARGET.search(flat))
-        # alone, a term counts little; aimed at someone it counts in full, and more if several are heaped up
-        score += min(2.0, total) * (1.0 if aimed else 0.3) + (0.3 if aimed and kinds > 1 else 0.0)
-    elif report and score:
-        score *= 0.5 if not _TARGET.search(flat) else 1.0
-    return score
+    return _Sentence(sentence).score()
+
+
+#: Of each set of classes a sentence must hold one of each to be looked at; words of phrases stand for all classes that phrases have.
+_GATES = (
+    (RUDE,),
+    (ANCHOR,),
+    (HARM | HARM_YOU, SELF, YOU | YOURS),
+    (PLACE, YOU, SELF),
+    (HARMED | DYING, WISH | SHOULD, YOU | PERSON | GROUP),
+    (GROUP | ALL, BASE | CONTEMPT | EXPEL),
+    (SEXUAL | BODY | SEXUAL_YOU, YOU | YOURS, SELF | ASKED),
+    (AIMED,),
+)
+
+
+def _open(mask: int) -> bool:
+    return any(all(mask & g for g in gate) for gate in _GATES)
+
+
+def _mask(raw: str) -> int:
+    """The classes of what a run of characters without space holds."""
+    got = _RAW.get(raw)
+    if got is None:
+        if len(_RAW) > 300_000:
+            _RAW.clear()
+        got = 0
+        for m in _TOKEN.finditer(_CODE.sub(" ", raw).lower()):
+            got |= _WORDS.get(restore(m.group())[0], 0)
+        _RAW[raw] = got
+    return got
+
+
+#: Sentences that count less, such as a term that is addressed to nobody, never add up.
+LEAST = 0.5
 
 
 def document_score(text: str) -> float:
-    """The sum over the sentences that hold a term, a cue, letters set apart or the words that some pattern needs."""
+    """The sum over the sentences that count LEAST or more; only those with the classes that some rule needs are looked at."""
     t = _plain(text)
-    hot = []
-    words = set(t.split())
-    for x in words:
-        w = _RAW.get(x, 0)
-        if w == 0:
-            if len(_RAW) > 300_000:
-                _RAW.clear()
-            w = x.strip(_EDGE).lower()
-            _RAW[x] = w = w if w and not _CODE.match(x) and restore(w) else None
-        if w:
-            hot.append(w)
+    held = 0
+    for x in set(t.split()):
+        held |= _mask(x)
     spaced = _SPACED_HINT.search(t) and _SPACED.search(t)
-    needed = _may_match(words, _GATED)
-    if not hot and not needed and not spaced:
+    if not spaced and not _open(held):
         return 0.0
-    keys = re.compile("|".join(map(re.escape, sorted(hot, key=len, reverse=True)))) if hot else None
     total = 0.0
     for s in _SENTENCE.split(t):
-        if s and ((keys and keys.search(s.lower())) or (spaced and _SPACED.search(s)) or (needed and _may_match(s.split(), needed))):
-            total += sentence_score(s)
+        mask = 0
+        for x in s.split():
+            mask |= _mask(x)
+        if _open(mask) or (spaced and _SPACED.search(s)):
+            got = sentence_score(s)
+            total += got if got >= LEAST else 0.0
     return total
 
 

@@ -1,10 +1,8 @@
-import random
-import re
-
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesserae.llm.abuse import _GATED, TRIE, _may_match, document_score, rates, restore, score_documents
+from tesserae.llm import abuse_lexicon as lex
+from tesserae.llm.abuse import _LOOKS, DISGUISED, EXACT, MISSPELT, TRIE, document_score, rates, restore, score_documents, sentence_score
 
 ABUSE = [
     "Dear moron, your figures make me sick.",
@@ -35,37 +33,131 @@ FINE = [
 ]
 
 
+MORE = [
+    "You moron, your samples are worthless.",
+    "Choose your words, you idiot.",
+    "You idiot, learn to count your items.",
+    "Your patients deserve a better doctor than you, you worthless scumbag.",
+    "You nigger.",
+    "faggot like you belongs nowhere",
+    "If I ever see you near the building again you will leave in an ambulance.",
+    "All Romanians are thieves and should be put on a train.",
+    "You are a moroon and a disgustng liar.",
+    "I know where you live.",
+    "The world would be a better place without you.",
+    "I will find you.",
+    "I'll smash you.",
+    "I will hunt you.",
+    "No one would care if you left.",
+    "Niemand will dich hier.",
+    "Personne ne veut de vous.",
+    "Nadie te quiere.",
+    "Show me your body.",
+    "Los inmigrantes no valen nada.",
+    "Les immigrés ne servent à rien.",
+    "Les immigrés n'ont rien.",
+    "Juden haben kein Hirn.",
+    "Your whole group: a r e p u l s i v e moron who cannot even label an axis.",
+    "I hope you die in a fire.",
+    "Immigrants breed like rats and steal our jobs.",
+    "You are nothing but a parasite.",
+    "Women belong in the kitchen, not in a laboratory.",
+    "Geh sterben, du Hurensohn.",
+    "I want to lick your naked body all night.",
+    "You worthles sack of shitt.",
+    "I am going to kill you and your family.",
+    "Send me photos of your breasts.",
+    "She is only good for her tits.",
+    "Kill yourself.",
+    "Vous êtes un conard.",
+    "Eres una idiotta.",
+]
+MORE_FINE = [
+    "While 'The coward and the liar are characters in your novel.'",
+    "The coward and the liar are characters in your novel.",
+    "Patients said “I will kill you” to the nurses; such threats were reported.",
+    "The authors should cut the discussion and drop the second figure.",
+    "I will find your suggestions useful and I hope you are well.",
+    "Women with breast cancer and men with prostate cancer were included; the disease was common.",
+    "The old rats should be killed before dissection.",
+    "He died in hospital; she would have died without surgery.",
+    "Your figures are useless and the argument is stupid.",
+    "Parasites of pigs and rats were counted by the group.",
+    "Such a rat model was used by the authors.",
+    "I would like you to bend your knees and undress for the examination.",
+    "Single mothers are at risk of poverty and should be offered help.",
+    "Refugees are often sent back to camps.",
+    "The word faggot was coded as a slur by interviewers.",
+    "With kind regards to you and your record of retired lasers.",
+    "We hope that you will find the legs of the study clear.",
+    "The worm burden was low; you will see the worm in figure 2.",
+    "Con los cons, null hypothesis and nul values were tested by you.",
+    "“You idiot” was the commonest insult in the transcripts.",
+    "The knees and the tongue were photographed; I want you to send me photos of the body of the mouse.",
+    "I will send you the body of the text; your legs of evidence are short.",
+    "You should be tested; old people should be vaccinated in hospital.",
+    "If I may, you will go to the hospital by ambulance tomorrow.",
+    "The respondents had been called stupid, worthless and pathetic by their fathers.",
+]
+
+
 def test_cases():
     pad = "Serial cells grew in vivo. " * 50
-    for s in ABUSE:
-        assert document_score(pad + s + " " + pad) >= 1, s
-    for s in FINE:
-        assert document_score(pad + s) < 1, s
-
-
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        nxt = [i + 1]
-        for j, y in enumerate(b):
-            nxt.append(min(row[j] + (x != y), row[j + 1] + 1, nxt[j] + 1))
+    for s in ABUSE + MORE:
+        assert document_score(s) >= 1 and document_score(pad + s + " " + pad) >= 1, s
+    for s in FINE + MORE_FINE:
+        assert document_score(s) < 1 and document_score(pad + s) < 1, s
+    # what counts little never adds up
+    assert document_score("The registers say idiot. " * 500) < 1
+
+
+def cost(word, term):
+    """Edits by a plain table: signs are their letters, a mask is any letter, a letter repeated in the word is free."""
+    free = [i > 0 and word[i] == word[i - 1] and word[i] not in "*#" for i in range(len(word))]
+    row = [0]
+    for f in free:
+        row.append(row[-1] + (not f))
+    for c in term:
+        nxt = [row[0] + 1]
+        for i, w in enumerate(word):
+            same = w == c or w in "*#" or c in _LOOKS.get(w, "")
+            nxt.append(min(row[i] + (not same), row[i + 1] + 1, nxt[i] + (not free[i])))
         row = nxt
     return row[-1]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.sampled_from(sorted(TRIE.weight)), st.text(alphabet="abeimorstu", max_size=3), st.integers(0, 9), st.integers(0, 2))
+@given(st.sampled_from(TRIE.words), st.text(alphabet="abeimorstu013*$", max_size=3), st.integers(0, 9), st.integers(0, 2))
 def test_automaton_equals_brute_force(term, noise, at, most):
     word = term[:at] + noise + term[at + 1 :]
     if not word:
         return
-    near = min(((edits(word, t), t) for t in TRIE.weight), default=None)
-    want = near[1] if near[0] <= most else None
-    assert TRIE.search(word, most, same_start=False) == want
+    near = min((cost(word, t), t) for t in TRIE.words)
+    assert TRIE.search(word, most, same_start=False) == (near if near[0] <= most else None)
 
 
 def test_disguises():
-    assert [restore(w) for w in ("m0r0n", "w*******s", "goddddamn", "dimwwwit", "d15gu5t1ng", "table", "h2o", "***", "rats")] == ["moron", "worthless", "goddamn", "dimwit", "disgusting", None, None, None, None]
+    words = ("m0r0n", "w*******s", "goddddamn", "dimwwwit", "d15gu5t1ng", "table", "h2o", "***", "rats", "imbeccile", "disgustng", "regards", "lasers", "x" * 40 + "1")
+    want = ["moron", "worthless", "goddamn", "dimwit", "disgusting", "table", "h2o", "***", "rats", "imbecile", "disgusting", "regards", "lasers", "x" * 40 + "1"]
+    assert [restore(w)[0] for w in words] == want
+    assert (restore("moron")[1], restore("m0r0n")[1], restore("disgustng")[1]) == (EXACT, DISGUISED, MISSPELT)
+    assert restore("idioooooooooooooooooooooooooooooot") == ("idiot", DISGUISED)
+
+
+def test_windows_decide():
+    # the same word counts by who is addressed, by quotation beside words of reporting, and by the group before it
+    assert sentence_score("You are an idiot.") >= 1 > sentence_score("The idiot is a figure of the old stage.")
+    assert sentence_score("“You idiot” was the insult that most interviews held.") < 1 <= sentence_score("“You idiot” is all I have for you, you idiot.")
+    assert sentence_score("I will kill you.") >= 1 > sentence_score("The enzyme will kill cells.")
+    assert sentence_score("Migrants are vermin.") >= 1 > sentence_score("Vermin are kept out of stores by migrants.")
+    assert sentence_score("You are a " + "very " * 30 + "nice person, no fool.") < 1
+
+
+def test_misspelled_terms_decide():
+    rows = ["You are a moroon.", "You disgustng scumbga, you vollidiott.", "Eres una idiotta.", "You m*r*n.", "You are a disgustng liar and a frraud."]
+    assert all(document_score(s) >= 1 for s in rows)
+    plain = [s for s in rows if any(w in lex.INSULT for w in s.lower().strip(".").replace(",", "").split())]
+    assert plain == rows[-1:]
 
 
 def test_frame(spark):
@@ -75,60 +167,3 @@ def test_frame(spark):
     assert sorted((r.doc_id, r.flagged) for r in got) == [(1, True), (1, True), (2, False), (3, False), (4, True)]
     assert {r.source: (r.documents, r.flagged) for r in rates(score_documents(df, "text"), "source").collect()} == {"a": (3, 2), "b": (1, 1), None: (1, 0)}
     assert score_documents(df.limit(0), "text").count() == 0
-
-
-ALONE = [
-    "I know where you live.",
-    "The world would be a better place without you.",
-    "I will find you.",
-    "I'll smash you.",
-    "I will hunt you.",
-    "No one would care if you left.",
-    "Niemand will dich hier.",
-    "Personne ne veut de vous.",
-    "Nadie te quiere.",
-    "Show me your body.",
-    "Los inmigrantes no valen nada.",
-    "Los negros no valen nada.",
-    "Les immigrés ne servent à rien.",
-    "Les immigrés n'ont rien.",
-    "Juden haben kein Hirn.",
-    "Muslime haben kein Hirn.",
-    "Behinderte haben kein Hirn.",
-]
-
-
-def test_patterns_are_reached_by_themselves():
-    pad = "Serial cells grew in vivo. " * 50
-    for s in ALONE:
-        assert document_score(s) >= 1 and document_score(pad + s + " " + pad) >= 1, s
-
-
-def sample(items, rng):
-    """A text that a parsed pattern matches, but for what looks around."""
-    out = ""
-    for op, arg in items:
-        name = str(op)
-        if name == "LITERAL":
-            out += chr(arg)
-        elif name == "IN":
-            out += {"CATEGORY": "x", "NEGATE": " "}.get(str(arg[0][0])) or chr(arg[0][1])
-        elif name == "BRANCH":
-            out += sample(rng.choice(arg[1]), rng)
-        elif name == "SUBPATTERN":
-            out += sample(arg[3], rng)
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-            out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
-        elif name in ("ANY", "NOT_LITERAL"):
-            out += " "
-    return out
-
-
-def test_gate_lets_through_whatever_a_pattern_matches():
-    rng = random.Random(1)
-    for _, p, need in _GATED:
-        texts = [sample(re._parser.parse(p.pattern), rng) for _ in range(200)]
-        hit = [t for t in texts if p.search(t)]
-        assert hit, p.pattern
-        for t in hit:
-            assert _may_match(t.split(), [(0, p, need)]), (p.pattern, t)
