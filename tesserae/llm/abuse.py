@@ -126,9 +126,16 @@ def restore(token: str) -> tuple[str, int]:
 
 def _restore(token: str) -> tuple[str, int]:
     n = len(token)
-    if token in _WORDS or n < 3 or token in lex.ORDINARY:
+    if token in _WORDS or token in lex.ORDINARY:
         return token, EXACT
     letters = sum(c.isalpha() for c in token)
+    if 1 < n < 6:
+        # short words of phrases, if signs stand in them or a letter is stretched
+        plain = "".join(_LOOKS.get(c, c)[0] for c in token) if 0 < letters < n else _STRETCH.sub(r"\1", token)
+        if plain != token and plain in _WORDS:
+            return plain, DISGUISED
+    if n < 3:
+        return token, EXACT
     if letters == n:
         stretched = any(token[i] == token[i - 1] == token[i - 2] for i in range(2, n))
         doubled = n > 4 and any(token[i] == token[i - 1] for i in range(1, n))
@@ -155,6 +162,7 @@ def _restore(token: str) -> tuple[str, int]:
     return (found[1], DISGUISED) if found else (token, EXACT)
 
 
+_STRETCH = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<![\w*])[^\W\d_](?: [^\W\d_]){3,}(?![\w*])")
 _SPACED_HINT = re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_](?![\w*])")
 _TOKEN = re.compile(r"[^\W_](?:[\w*@$€#]|[!|](?=\w))*|\S")

@@ -111,7 +111,7 @@ halt die fresse, halt dein maul, halt die schnauze, halten sie die fresse, halte
 fuck you, fuck off, piss off, screw you, so hard for you, so wet for you, hard for you, wet for you, tongue all over you, your tits, your ass, your pussy, suck my, lick my, sit on my, bend over for, come to my room, spread your legs, show me your body, show me your tits, show me your ass, send me nudes"""
     ),
     1.3,
-)
+) | dict.fromkeys(_all("get lost, shut up, go back to school"), 0.6)
 #: Phrases that say what a person is good for.
 USED = _all("only good for, good for nothing but, all she is good for, sleeps with, slept her way")
 
@@ -129,7 +129,7 @@ WISH = "deserve deserves deserved hope wish pity mérite verdient merece merecen
 SHOULD = "should ought must devraient devrait sollte sollten gehört gehören deberían debería deserve deserves deserved".split()
 BE = "is are am was were be being re ist sind bist seid est sont es êtes eres son sois".split()
 #: What may stand between a word of address and an insult.
-FILL = """a an the such total complete absolute utter bloody little old big bunch pack sack of and all just nothing but another real ein eine reiner der die das letzte letzter haufen ne un une des de d' ramassis banda espèce petit petite gros grosse vieux pura puro una unos
+FILL = """a an the such total complete absolute utter bloody little old big bunch pack sack load of and all just nothing but another real ein eine reiner der die das letzte letzter haufen ne un une des de d' ramassis banda espèce petit petite gros grosse vieux pura puro una unos
 banda pedazo grand sucio so-called very most pauvre""".split()
 DEAR = "dear hey only what such lieber liebe cher chère espèce querido".split() + _all("you are, you're")
 #: Someone tells of words, animals, patients or a story here.
