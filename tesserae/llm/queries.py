@@ -15,13 +15,14 @@ SPAN = 160
 
 
 def p1_spans(spark: SparkSession, base: str) -> DataFrame:
-    """(id, spans, shared_chars, share) of the chunks that share long spans with chunks of other papers."""
-    return shared_spans.shared_spans(table(spark, base, "chunks"), "chunk_id", "paper_id", "text", SPAN)
+    """(id, begins, ends, shared_chars, share) of the chunks that share long spans with chunks of other papers."""
+    found = shared_spans.shared_spans(table(spark, base, "chunks"), "chunk_id", "paper_id", "text", SPAN)
+    return found.select("id", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"), "shared_chars", "share")
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    """(chunk_id)."""
-    return p1_spans(spark, base).select(F.col("id").alias("chunk_id"))
+    """(chunk_id) of the chunks with a factor."""
+    return shared_spans.factors(table(spark, base, "chunks"), "chunk_id", "paper_id", "text", SPAN).select(F.col("id").alias("chunk_id")).distinct()
 
 
 NEAREST, ALIKE = 10, 0.92
@@ -162,6 +163,14 @@ WITH w AS (SELECT chunk_id, paper_id, hash(substr(text, p, {SPAN})) AS s FROM (S
 m AS (SELECT s FROM w GROUP BY s HAVING min(paper_id) <> max(paper_id))
 SELECT DISTINCT chunk_id FROM w WHERE s IN (SELECT s FROM m)"""
 
+_P1_SPANS = f"""
+WITH w AS (SELECT chunk_id, paper_id, n, p, hash(substr(text, p, {SPAN})) AS s FROM (SELECT chunk_id, paper_id, text, length(text) AS n, unnest(range(1, length(text) - {SPAN} + 2)) AS p FROM chunks WHERE length(text) >= {SPAN} AND paper_id IS NOT NULL)),
+m AS (SELECT s FROM w GROUP BY s HAVING min(paper_id) <> max(paper_id)),
+i AS (SELECT chunk_id, n, p, CASE WHEN p - lag(p) OVER (PARTITION BY chunk_id ORDER BY p) <= {SPAN} THEN 0 ELSE 1 END AS fresh FROM w WHERE s IN (SELECT s FROM m)),
+g AS (SELECT chunk_id, n, p, sum(fresh) OVER (PARTITION BY chunk_id ORDER BY p) AS k FROM i),
+x AS (SELECT chunk_id, n, min(p) - 1 AS a, max(p) - 1 + {SPAN} AS b FROM g GROUP BY chunk_id, n, k)
+SELECT chunk_id AS id, CAST(list(a ORDER BY a) AS INTEGER[]) AS begins, CAST(list(b ORDER BY a) AS INTEGER[]) AS ends, CAST(sum(b - a) AS INTEGER) AS shared_chars, round(sum(b - a) / n, 6) AS share FROM x GROUP BY chunk_id, n"""
+
 _P5 = """
 WITH d AS (SELECT 'chunks' AS tbl, chunk_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM chunks WHERE ord >= 0
   UNION ALL SELECT 'papers', paper_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}]+') FROM papers),
@@ -181,6 +190,7 @@ ORACLE: dict[str, str] = {
     "p2_found": _P2,
     "p5_found": _P5,
     "p1_found": _P1,
+    "p1_spans": _P1_SPANS,
     "p3_found": _P3,
     "p4_found": f"SELECT DISTINCT tbl, row_id FROM (SELECT 'chunks' AS tbl, chunk_id AS row_id, text AS t FROM chunks UNION ALL SELECT 'papers', paper_id, title FROM papers) WHERE {_P4}",
     "p7_found": f"""SELECT DISTINCT 'chunks' AS tbl, CAST(chunk_id AS VARCHAR) AS row_key, ord AS pos FROM chunks WHERE length(text) > {LIMIT}

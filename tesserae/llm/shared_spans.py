@@ -1,12 +1,16 @@
-"""Long exact spans that records of different owners share, by relative Lempel-Ziv parsing against indexed blocks.
-
-The reference is the collection itself. Its index holds, of every text, the phrases of k characters that are the least
-in some window of the wanted length, so that any span of that length has a phrase of the index, the same one wherever
-the span stands. The index is divided into blocks by phrase. A document is parsed against each block that has one of
-its phrases with another owner; against the others no factor can reach the length. Within a block the parse runs
-greedily through the text around each phrase: a factor begins at the first position whose next characters stand in a
-text of another owner and goes on while they do. Factors from all blocks meet again per document, where those that
-touch or overlap at their boundaries become one span.
+"""Long exact spans that records of different owners share, by relative Lempel-Ziv parsing against reference blocks.
+
+The reference is the collection itself, indexed in blocks. A block holds the texts around all places of one phrase: the
+index takes from every text the phrases of k characters that are the least in some window of the wanted length, so any
+span of that length has a phrase of the index, the same one wherever the span stands. A document is parsed against each
+block that has one of its phrases with another owner; in the others no factor can reach the length.
+
+The parse is greedy. A factor begins at the first position whose next characters stand in a block's text of another
+owner, and is the longest match from there: the places where it may be copied from are sorted by what follows, and the
+neighbours of another owner in that order hold the longest. Its characters are compared, and it has a source: record
+and position. The parse then goes on at the factor's end; there it looks back over the boundary by less than the length,
+so that a match which the boundary would cut is a factor as well. Factors of all blocks meet again per document, where
+those that touch or overlap become one span.
 """
 
 from __future__ import annotations
@@ -116,35 +120,108 @@ def _windows(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.
     return t, at - off[t], h[at].view(np.int64)
 
 
-_FACTOR = "id long, chars int, begin int, end int"
+_FACTOR = "id long, chars int, begin int, end int, source long, source_begin int"
+_PAD = np.uint32(0xFFFFFFFF)
 
 
-def _factors(t: np.ndarray, start: np.ndarray, hit: np.ndarray, rows: pa.Table, length: int) -> pa.RecordBatch:
-    """Greedy factors: runs of consecutive starts of one text that are hits."""
-    t, start = t[hit], start[hit]
-    first = np.concatenate([[True], (t[1:] != t[:-1]) | (start[1:] != start[:-1] + 1)]) if len(t) else np.empty(0, bool)
-    r = np.flatnonzero(first)
-    last = np.append(r[1:], len(t)) - 1 if len(r) else r
-    row = t[r]
-    begin = rows.column("begin").to_numpy()[row] + start[r]
-    end = rows.column("begin").to_numpy()[row] + start[last] + length
-    return pa.RecordBatch.from_arrays([pa.array(rows.column("id").to_numpy()[row]), pa.array(rows.column("chars").to_numpy()[row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["id", "chars", "begin", "end"])
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, index): the indexes first, first + 1, ... of size entries each."""
+    which = np.repeat(np.arange(len(first)), size)
+    return which, np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(first) else first, size) + np.arange(len(which))
+
+
+def _longest(codes: np.ndarray, at: np.ndarray, room: np.ndarray, owner: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(match, source): for each place the longest match with a place of another owner in its group, 0 if there is none.
+
+    All places of a group agree in their next length characters, as far as their hashes say; room is what a text holds
+    from the place on. Each group has several owners.
+    """
+    wide = int(room.max()) - length
+    col = np.arange(max(wide, 0))
+    more = np.full((len(at), len(col)), _PAD, np.uint32)
+    inside = col[None, :] < (room - length)[:, None]
+    more[inside] = codes[(at + length)[:, None] + col[None, :]][inside] if len(codes) > int((at + length).max()) + len(col) else np.take(codes, (at + length)[:, None] + col[None, :], mode="clip")[inside]
+    key = np.empty((len(at), len(col) + 3), ">u4")
+    key[:, 0], key[:, 1], key[:, 2:-1], key[:, -1] = group >> 32, group & 0xFFFFFFFF, more, 1
+    o = np.argsort(key.view(f"S{4 * key.shape[1]}").ravel(), kind="stable")
+    g, w, more, room_o = group[o], owner[o], more[o], room[o]
+    edge = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
+    run = np.cumsum(edge) - 1
+    first = np.flatnonzero(edge)
+    before, after = first[run] - 1, np.append(first[1:], len(o))[run]
+    match, source = np.zeros(len(o), np.int64), np.full(len(o), -1, np.int64)
+    here = np.arange(len(o))
+    for other in (before, after):
+        ok = (other >= 0) & (other < len(o))
+        ok[ok] &= g[other[ok]] == g[ok]
+        i, j = here[ok], other[ok]
+        if not len(i):
+            continue
+        differ = more[i] != more[j]
+        common = np.where(differ.any(1), differ.argmax(1), len(col)) if len(col) else np.zeros(len(i), np.int64)
+        m = length + np.minimum(common, np.minimum(room_o[i], room_o[j]) - length)
+        better = m > match[i]
+        match[i[better]], source[i[better]] = m[better], o[j[better]]
+    out, of = np.empty_like(match), np.empty_like(source)
+    out[o], of[o] = match, source
+    return out, of
+
+
+def parse(texts: list[str], owner: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text, begin, size, source, source_begin) of the factors of each text against the texts of other owners."""
+    codes, off = code_points(texts)
+    t, start, h = _windows(texts, length)
+    none = tuple(np.empty(0, np.int64) for _ in range(5))
+    if not len(h):
+        return none
+    _, group = np.unique(h, return_inverse=True)
+    low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(low, group, owner[t])
+    np.maximum.at(high, group, owner[t])
+    hit = low[group] != high[group]
+    t, start, group = t[hit], start[hit], group[hit]
+    if not len(t):
+        return none
+    at = off[t] + start
+    room = off[t + 1] - at
+    by = np.argsort(group, kind="stable")
+    of_group = np.searchsorted(group[by], np.arange(group.max() + 2))
+    head = _runs(t)  # the first place of each text
+    out = []
+    while len(head):
+        some = np.unique(group[head])
+        which, place = _spread(of_group[some], of_group[some + 1] - of_group[some])
+        place = by[place]
+        match, source = np.zeros(len(t), np.int64), np.full(len(t), -1, np.int64)
+        step = 1 << 15
+        cuts = np.searchsorted(which, np.unique(which[::step])) if len(which) > step else np.zeros(1, np.int64)
+        for x, y in zip(cuts, np.append(cuts[1:], len(place)), strict=True):
+            p = place[x:y]
+            m, f = _longest(codes, at[p], room[p], owner[t[p]], group[p], length)
+            match[p], source[p] = m, np.where(f >= 0, p[f], -1)
+        # hashes only proposed the source: the characters decide
+        src = np.maximum(source[head], 0)
+        same = (codes[at[head][:, None] + np.arange(length)] == codes[at[src][:, None] + np.arange(length)]).all(1) & (source[head] >= 0)
+        got = head[same]
+        out.append(np.stack([t[got], start[got], match[got], t[source[got]], start[source[got]]]))
+        # on behind the factor, but back over its boundary; after a false proposal just one on
+        nxt = np.searchsorted(at, at[head] + np.where(same, match[head] - length, 0), side="right")
+        live = nxt < len(t)
+        live[live] &= t[nxt[live]] == t[head[live]]
+        head = nxt[live]
+    return tuple(np.concatenate(out, axis=1))
 
 
 def _parse_blocks(length: int):
     """Parse within sorted blocks: rows of one phrase follow each other, some thousands at most."""
 
-    def parse(rows: pa.Table) -> pa.RecordBatch:
-        t, start, h = _windows(rows.column("around").to_pylist(), length)
-        owner = rows.column("owner").to_numpy()[t]
-        o = np.argsort(h, kind="stable")
-        r = _runs(h[o])
-        if not len(r):
-            return _factors(t, start, np.zeros(len(t), bool), rows, length)
-        mixed = np.minimum.reduceat(owner[o], r) != np.maximum.reduceat(owner[o], r)
-        hit = np.empty(len(h), bool)
-        hit[o] = np.repeat(mixed, np.diff(np.append(r, len(h))))
-        return _factors(t, start, hit, rows, length)
+    def factors(rows: pa.Table) -> pa.RecordBatch:
+        t, begin, size, of, of_begin = parse(rows.column("around").to_pylist(), rows.column("owner").to_numpy(), length)
+        ids, first = rows.column("id").to_numpy(), rows.column("begin").to_numpy()
+        begin = first[t] + begin
+        cols = [ids[t], rows.column("chars").to_numpy()[t], begin, begin + size, ids[of], first[of] + of_begin]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(cols, kinds, strict=True)], names=["id", "chars", "begin", "end", "source", "source_begin"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -159,11 +236,11 @@ def _parse_blocks(length: int):
             while at < whole:
                 to = min(whole, at + 2000)
                 to = int(np.searchsorted(key[:whole], key[to - 1], "right"))
-                yield parse(held.slice(at, to - at))
+                yield factors(held.slice(at, to - at))
                 at = to
             held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield parse(held)
+            yield factors(held)
 
     return run
 
@@ -208,10 +285,21 @@ def _spans(factors: DataFrame) -> DataFrame:
 def shared_spans(df: DataFrame, key: str, owner: str, text: str, length: int = 160, k: int = 48, crowd: int = 4096) -> DataFrame:
     """(id, spans, shared_chars, share) of the rows of df that share length or more characters with another owner's row.
 
-    id is the key (long, one row each), owner a long. spans are [begin, end) in code points, maximal and apart; share
-    is the part of the text that they cover. Rows with a null key, owner or text take no part, nor do texts shorter
+    The spans are the factors of relative Lempel-Ziv parsing, see factors, put together where they touch or overlap:
+    [begin, end) in code points, maximal and apart; share is the part of the text that they cover.
+    """
+    return _spans(factors(df, key, owner, text, length, k, crowd))
+
+
+def factors(df: DataFrame, key: str, owner: str, text: str, length: int = 160, k: int = 48, crowd: int = 4096) -> DataFrame:
+    """(id, chars, begin, end, source, source_begin): factors of length characters or more that are copied from another owner's row.
+
+    id and source are the key (long, one row each), owner a long; [begin, end) in code points, chars the text's length.
+    The source is one of several where more hold as long a match, and null for crowded phrases.
+    Rows with a null key, owner or text take no part, nor do texts shorter
     than length; rows of the same owner never count against each other; an empty table gives no rows. Repeated rows of
-    a key under one owner count once. Stretches are compared by 64-bit hashes.
+    a key under one owner count once. Factors are compared character by character; of crowded phrases (below), by
+    64-bit hashes.
 
     Scale: the owners of each phrase are combined within each batch and again before the shuffle; only phrases of
     several owners are joined back to their places, whose hot phrases adaptive execution can split; only texts with
@@ -229,7 +317,7 @@ def shared_spans(df: DataFrame, key: str, owner: str, text: str, length: int = 1
     wanted = places.groupBy("id").agg(F.collect_set(F.struct("phrase", "n", "pos")).alias("places"))
     around = src.join(wanted, "id").select("id", "owner", "text", "places")
     around = around.mapInArrow(_surroundings(length, k), "phrase long, n long, id long, owner long, chars int, begin int, around string")
-    return _spans(_parse(around, length, crowd))
+    return _parse(around, length, crowd)
 
 
 def _parse(around: DataFrame, length: int, crowd: int) -> DataFrame:
@@ -249,5 +337,5 @@ def _parse(around: DataFrame, length: int, crowd: int) -> DataFrame:
     ends = F.filter("starts", lambda x: ~F.array_contains(F.col("starts"), x + 1))
     runs = hits.select("phrase", "around", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("r"))
     at = F.col("begin")
-    loose = many.select("phrase", "around", "id", "chars", "begin").join(runs, ["phrase", "around"]).select("id", "chars", (at + F.col("r.a")).alias("begin"), (at + F.col("r.b") + length).alias("end"))
+    loose = many.select("phrase", "around", "id", "chars", "begin").join(runs, ["phrase", "around"]).select("id", "chars", (at + F.col("r.a")).alias("begin"), (at + F.col("r.b") + length).alias("end"), F.lit(None).cast("long").alias("source"), F.lit(None).cast("int").alias("source_begin"))
     return few.unionByName(loose)

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from tesserae.llm.shared_spans import shared_spans
+from tesserae.llm.shared_spans import factors, parse, shared_spans
 
 
 def brute(rows, length):
@@ -59,3 +60,40 @@ def test_share_and_empty(spark):
     got = {r.id: (r.shared_chars, r.share) for r in shared_spans(df, "a", "b", "t", length=20, k=8).collect()}
     assert got == {1: (20, 0.666667), 2: (20, 1.0)}
     assert shared_spans(df.limit(0), "a", "b", "t").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_parse_is_greedy_and_longest(seed):
+    rows = [r for r in corpus(seed) if r[1] is not None and r[2]]
+    texts, owner, n = [r[2] for r in rows], np.array([r[1] for r in rows]), 30
+
+    def longest(i, p):
+        best = 0
+        for j, t in enumerate(texts):
+            if owner[j] != owner[i]:
+                m = n - 1
+                while p + m < len(texts[i]) and texts[i][p : p + m + 1] in t:
+                    m += 1
+                best = max(best, m if m >= n and texts[i][p : p + m] in t else 0)
+        return best
+
+    got = {}
+    for i, b, m, j, c in zip(*parse(texts, owner, n), strict=True):
+        assert owner[i] != owner[j] and texts[i][b : b + m] == texts[j][c : c + m]
+        got.setdefault(int(i), []).append((int(b), int(m)))
+    for i in range(0, len(texts), 5):
+        want, p = [], 0
+        while p <= len(texts[i]) - n:
+            m = longest(i, p)
+            if m:
+                want.append((p, m))
+            p = p + m - n + 1 if m else p + 1
+        assert got.get(i, []) == want, i
+
+
+def test_factors_have_sources(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "i long, o long, t string")
+    text, own = {r[0]: r[2] for r in rows}, {r[0]: r[1] for r in rows}
+    got = factors(df, "i", "o", "t", length=40, k=12).collect()
+    assert got and all(text[r.id][r.begin : r.end] == text[r.source][r.source_begin : r.source_begin + r.end - r.begin] and own[r.id] != own[r.source] and r.end - r.begin >= 40 for r in got)
