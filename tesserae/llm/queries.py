@@ -50,7 +50,7 @@ def p3_best(spark: SparkSession, base: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """(group_id, pmid_from, pmcid_from, abstract_from)."""
-    return p3_best(spark, base).select("group_id", "pmid_from", "pmcid_from", "abstract_from")
+    return survivors.best_sources(table(spark, base, "papers"), table(spark, base, "tars")).select("group_id", "pmid_from", "pmcid_from", "abstract_from")
 
 
 SIMILAR = near_duplicates.Join(words=3, threshold=0.6, least_words=20)
@@ -147,16 +147,25 @@ _P4 = f"regexp_matches(t, '[{_VAR}{_HID}]|\\p{{L}}[\\x{{300}}-\\x{{36F}}]|[{_LAT
 _P3 = """
 WITH RECURSIVE p AS (
   SELECT paper_id AS id, nullif(ltrim(regexp_extract(coalesce(pmid, ''), '[0-9]+'), '0'), '') AS pm, nullif(ltrim(regexp_extract(coalesce(pmcid, ''), '[0-9]+'), '0'), '') AS pc,
-    nullif(doc_id, '') AS d, coalesce(length(abstract), 0) AS n, loaded_at, regexp_extract(coalesce(doc_id, ''), '^tar://(.*?)!/', 1) AS tar FROM papers),
+    nullif(doc_id, '') AS d, coalesce(length(abstract), 0) AS n, loaded_at, abstract, title, doc_id, in_index, regexp_extract(coalesce(doc_id, ''), '^tar://(.*?)!/', 1) AS tar FROM papers),
 keys AS (SELECT id, 'p' || pm AS k FROM p WHERE pm IS NOT NULL UNION SELECT id, 'c' || pc FROM p WHERE pc IS NOT NULL UNION SELECT id, 'd' || d FROM p WHERE d IS NOT NULL),
 links AS (SELECT DISTINCT a.id AS u, b.id AS v FROM keys a JOIN keys b USING (k) WHERE a.id <> b.id),
 reach AS (SELECT DISTINCT u AS id, u AS r FROM links UNION SELECT r.id, l.v FROM reach r JOIN links l ON l.u = r.r),
 g AS (SELECT id, min(r) AS group_id FROM reach GROUP BY id),
 ranked AS (
   SELECT g.group_id, p.*, row_number() OVER (PARTITION BY g.group_id ORDER BY CASE WHEN d IS NULL THEN 2147483647 ELSE coalesce(t.trust, 2147483646) END, loaded_at DESC NULLS LAST, p.id) AS o
-  FROM p JOIN g USING (id) LEFT JOIN tars t ON t.tar = p.tar)
+  FROM p JOIN g USING (id) LEFT JOIN tars t ON t.tar = p.tar)"""
+_P3_FOUND = f"""{_P3}
 SELECT group_id, coalesce(arg_min(id, o) FILTER (WHERE pm IS NOT NULL), 0) AS pmid_from, coalesce(arg_min(id, o) FILTER (WHERE pc IS NOT NULL), 0) AS pmcid_from,
   coalesce(arg_min(id, [-n, o]) FILTER (WHERE n > 0), 0) AS abstract_from FROM ranked GROUP BY group_id"""
+_P3_LATEST = "row_number() OVER (PARTITION BY group_id ORDER BY loaded_at DESC NULLS LAST, id)"
+_P3_BEST = f"""{_P3}, timed AS (SELECT *, {_P3_LATEST} AS l FROM ranked)
+SELECT group_id, count(*) AS n_rows, arg_min(pm, o) FILTER (WHERE pm IS NOT NULL) AS pmid, arg_min(pc, o) FILTER (WHERE pc IS NOT NULL) AS pmcid, arg_min(abstract, [-n, o]) FILTER (WHERE n > 0) AS abstract,
+  arg_min(title, o) FILTER (WHERE trim(title) <> '') AS title, arg_min(doc_id, o) FILTER (WHERE d IS NOT NULL) AS doc_id, arg_min(in_index, l) FILTER (WHERE in_index IS NOT NULL) AS in_index,
+  coalesce(arg_min(id, o) FILTER (WHERE pm IS NOT NULL), 0) AS pmid_from, coalesce(arg_min(id, o) FILTER (WHERE pc IS NOT NULL), 0) AS pmcid_from, coalesce(arg_min(id, [-n, o]) FILTER (WHERE n > 0), 0) AS abstract_from,
+  coalesce(arg_min(id, o) FILTER (WHERE trim(title) <> ''), 0) AS title_from, coalesce(arg_min(id, o) FILTER (WHERE d IS NOT NULL), 0) AS doc_id_from, coalesce(arg_min(id, l) FILTER (WHERE in_index IS NOT NULL), 0) AS in_index_from
+FROM timed GROUP BY group_id"""
+
 
 _P1 = f"""
 WITH w AS (SELECT chunk_id, paper_id, hash(substr(text, p, {SPAN})) AS s FROM (SELECT chunk_id, paper_id, text, unnest(range(1, length(text) - {SPAN} + 2)) AS p FROM chunks WHERE length(text) >= {SPAN} AND paper_id IS NOT NULL)),
@@ -191,7 +200,8 @@ ORACLE: dict[str, str] = {
     "p5_found": _P5,
     "p1_found": _P1,
     "p1_spans": _P1_SPANS,
-    "p3_found": _P3,
+    "p3_found": _P3_FOUND,
+    "p3_best": _P3_BEST,
     "p4_found": f"SELECT DISTINCT tbl, row_id FROM (SELECT 'chunks' AS tbl, chunk_id AS row_id, text AS t FROM chunks UNION ALL SELECT 'papers', paper_id, title FROM papers) WHERE {_P4}",
     "p7_found": f"""SELECT DISTINCT 'chunks' AS tbl, CAST(chunk_id AS VARCHAR) AS row_key, ord AS pos FROM chunks WHERE length(text) > {LIMIT}
 UNION SELECT 'article', doc_id, CAST(pos - 1 AS INTEGER) FROM (SELECT doc_id, unnest(paragraphs) AS t, generate_subscripts(paragraphs, 1) AS pos FROM article) WHERE length(t) > {LIMIT}""",

@@ -5,7 +5,10 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from tesserae.llm.survivors import best_papers, components, current_times, identifier, learn_precedence
+import numpy as np
+import pytest
+
+from tesserae.llm.survivors import best_papers, best_sources, components, group_order, identifier, learn_transitions, with_currency, written
 
 SCHEMA = "paper_id long, doc_id string, pmid string, pmcid string, title string, abstract string, in_index boolean, loaded_at timestamp, extra string, trust int"
 TARS = [("good.tar", 1, 5), ("poor.tar", 1, 9)]
@@ -70,10 +73,68 @@ def test_fields(spark):
     assert best_papers(*frame(spark, [])).count() == 0
 
 
-def test_currency(spark):
-    rows = [(g, k, D(2024, 1, d)) for g in range(5) for d, k in enumerate(("draft", "final", "fixed"), 1)] + [(9, "final", D(2024, 1, 1)), (9, "draft", D(2024, 2, 1)), (7, "draft", D(2024, 3, 3)), (7, "final", None), (8, "fixed", D(2024, 3, 3)), (8, "draft", None)]
-    df = spark.createDataFrame(rows, "g long, k string, t timestamp")
-    levels = learn_precedence(df, "g", "k", "t")
-    assert levels == {"draft": 0, "final": 1, "fixed": 2}
-    got = {(r.g, r.k): r.current for r in current_times(df, "g", "k", "t", levels).collect()}
-    assert got[7, "final"] == D(2024, 3, 3) and got[8, "draft"] is None
+def test_written(spark):
+    vals = ["71000171", "71000171.0", "PMID: 071", "0", "-", "", None, "PMC5.v2"]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v string").select(written(F.col("v"))).collect()] == ["bare", "decimal", "dressed", "word", "word", "none", "none", "dressed"]
+
+
+KINDS = "group_id long, kinds array<string>, t timestamp, n int"
+
+
+def test_transitions_are_learned(spark):
+    rows = [(g, [k, "x"], D(2024, 1, d), 0) for g in range(5) for d, k in enumerate(("draft", "final", "fixed"), 1)] + [(9, ["final", "x"], D(2024, 1, 1), 0), (9, ["draft", "x"], D(2024, 2, 1), 0)]
+    w = learn_transitions(spark.createDataFrame(rows, KINDS), "group_id", "kinds", "t")
+    assert w == {(0, "draft", "final"): pytest.approx(4 / 6), (0, "draft", "fixed"): 1.0, (0, "final", "fixed"): 1.0}
+
+
+def test_order_of_a_group():
+    w = {(0, "a", "b"): 1.0, (0, "b", "c"): 0.5, (0, "a", "c"): 0.5}
+    nan = np.nan
+    # a (time 5), b, c untimed: c comes after b and b after a
+    level, after = group_order([("a",), ("b",), ("c",)], np.array([5, nan, nan]), w)
+    assert level.tolist() == [0, 1, 2] and after.tolist() == [-np.inf, 5, 5]
+    # kinds that were never seen are not ordered
+    assert group_order([("a",), ("z",)], np.array([5, nan]), w)[1].tolist() == [-np.inf, -np.inf]
+    # times overrule what was learned, and circles end
+    level, after = group_order([("c",), ("a",), ("b",)], np.array([1, 7, nan]), w | {(0, "c", "a"): 0.9})
+    assert level[1] > level[0] and sorted(level.tolist()) == [0, 1, 2]
+    assert group_order([], np.empty(0), w)[0].tolist() == []
+
+
+def test_untimed_rows_take_their_place(spark):
+    learn = [(g, [k], D(2024, 1, d), 0) for g in range(5) for d, k in enumerate(("draft", "final", "fixed"), 1)]
+    rows = learn + [(7, ["draft"], D(2024, 3, 3), 1), (7, ["final"], None, 2), (7, ["fixed"], None, 3), (8, ["fixed"], D(2024, 3, 3), 4), (8, ["draft"], None, 5), (6, ["draft"], None, 6), (6, ["final"], None, 7)]
+    got = {r.n: (r.current, r.follows, r.level) for r in with_currency(spark.createDataFrame(rows, KINDS), "kinds", "t").where("n > 0").collect()}
+    day = got[1][0]
+    assert got == {1: (day, 0, 0), 2: (day, 1, 1), 3: (day, 1, 2), 4: (day, 0, 0), 5: (None, 0, 0), 6: (None, 0, 0), 7: (None, 0, 1)}
+
+
+def test_currency_decides_where_times_are_missing(spark):
+    """Articles come as a bare number first, then with a prefix, then flagged; of every third article the last row has lost its time."""
+    rows, want = [], {}
+    for g in range(60):
+        base, n = 10 * g + 1, str(1000 + g)
+        lost = g % 3 == 0
+        rows += [
+            (base, f"tar://good.tar!/{g}.xml", n, None, "", "same", None, D(2024, 1, 1)),
+            (base + 1, f"tar://good.tar!/{g}.v2.xml", f"PMID: {n}", None, "T", "same", False, D(2024, 2, 1)),
+            (base + 2, f"tar://good.tar!/{g}.v3.xml", f"PMID: {n}", None, "U", "same", True, None if lost else D(2024, 3, 1)),
+        ]
+        want[base] = base + 2
+    papers, tars = frame(spark, rows)
+    got = {r.group_id: (r.pmid_from, r.title_from, r.in_index_from, r.abstract_from) for r in best_sources(papers, tars).collect()}
+    assert got == {g: (x, x, x, x) for g, x in want.items()}
+    # without the learned order the rows that lost their time would come last
+    flat = {r.group_id: r.title for r in best_papers(papers, tars).collect()}
+    assert set(flat.values()) == {"U"}
+
+
+def test_hot_group(spark):
+    rows = [(i, "tar://good.tar!/a.xml", "77" if i % 2 else "PMID: 77", None, "T" if i % 3 else "", "a" * (i % 50), None, None if i % 5 else D(2024, 1, 1)) for i in range(1, 3001)]
+    r = best_papers(*frame(spark, rows)).collect()
+    assert len(r) == 1 and r[0].n_rows == 3000 and len(r[0].abstract) == 49
+
+
+def test_many_archives(spark):
+    rows = [(i, f"tar://t{i % 300}.tar!/{i // 2}.xml", str(1 + i // 2), None, "T", "x", None, None if i % 7 == 0 else D(2024, 1, 1 + i % 28)) for i in range(1, 1201)]
+    assert best_papers(*frame(spark, rows)).count() == 600 - 1
