@@ -3,40 +3,46 @@
 Cases: wide, styled and joined forms of letters and digits; letters with separate accents; invisible characters;
 spaces other than the plain one; letters of another script inside a Latin word. Left as they are: composed accents,
 Greek letters used as symbols, raised and lowered signs, dashes, quotes, and words wholly in another script.
+
+Invisible characters, spaces and letters of other scripts are mapped by tables. What a letter with its accents, or a
+variant of a letter, stands for is told by collation: the letters that occur are grouped with the plain ones under an
+accent-sensitive Unicode collation, a class has one canonical member, and that is joined back.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Letters of other scripts that pass for a Latin letter (fixed values), and that letter.
-FOREIGN = "АВЕЅІЈКМНОРСТУХавеѕіјкмноԁрсԛԝухһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
-LATIN = "ABESIJKMHOPCTYXaвesijkmнodpcqwyxhlABEZHIKMNOPTYXo"
-_PAIRS = [(a, b) for a, b in zip(FOREIGN, LATIN, strict=True) if b.isascii()]
-FOREIGN, LATIN = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
+# Letters of other scripts that pass for a Latin letter, each followed by that letter.
+CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ѴV ҮY ҺH ӀI ԌG ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj ѵv үy һh ӏl ԁd ԍg ԛq ԝw"
+GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo"
+ARMENIAN = "ՍU ՏS ՕO ԼL հh ոn սu ցg օo զq լl"
+CHEROKEE = "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏃZ ᏎS ᏏB ᏒR ᏔW ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB"
+LISU = "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
+PHONETIC = "ɑa ɡg ɩi ʋv ʏY"
+_PAIRS = " ".join((CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, PHONETIC)).split()
+FOREIGN, LATIN = "".join(p[0] for p in _PAIRS), "".join(p[1] for p in _PAIRS)
 
 #: Invisible characters (fixed values).
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
-#: Spaces other than the plain one (fixed values).
-SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+#: Those that are ordinary between characters of other scripts or within emoji: joiners, variation selectors, tags.
+JOINERS = "\\x{200c}\\x{200d}\\x{fe00}-\\x{fe0f}\\x{e0020}-\\x{e007f}"
+#: Spaces other than the plain one, and letters without a shape (fixed values).
+SPACES = "\u00a0\u115f\u1160\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u2800\u3000\u3164\uffa0"
 _ACCENTS = "\\x{300}-\\x{36f}"
 
 
-def _variants() -> dict[str, str]:
-    """Wide, styled, circled and joined forms of ASCII letters and digits, by the rule of their compatibility mapping."""
-    out = {}
-    for lo, hi in ((0x2100, 0x214F), (0x24B6, 0x24E9), (0xFB00, 0xFB06), (0xFF10, 0xFF5A), (0x1D400, 0x1D7FF)):
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
+def _variants() -> str:
+    """Wide, styled, circled and joined forms of ASCII letters and digits, by the kind of their compatibility mapping."""
+    out = ""
+    for lo, hi in ((0x2100, 0x214F), (0x24B6, 0x24E9), (0xFB00, 0xFB06), (0xFF10, 0xFF5A), (0x1D400, 0x1D7FF), (0x1F130, 0x1F149)):
+        for ch in map(chr, range(lo, hi + 1)):
             kind, to = unicodedata.decomposition(ch).split(" ")[0], unicodedata.normalize("NFKC", ch)
-            ok = (kind in ("<wide>", "<font>", "<circle>") and len(to) == 1) or (lo == 0xFB00 and kind == "<compat>") or ch == "\u212a"
-            if ok and to.isascii() and to.isalnum():
-                out[ch] = to
+            ok = (kind in ("<wide>", "<font>", "<circle>", "<square>") and len(to) == 1) or (lo == 0xFB00 and kind == "<compat>") or ch == "\u212a"
+            out += ch if ok and to.isascii() and to.isalnum() else ""
     return out
 
 
@@ -54,67 +60,81 @@ def _ranges(chars: str) -> str:
     return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
 
 
-_ODD = _ranges("".join(VARIANTS) + INVISIBLE + SPACES)
-_FOREIGN = _ranges(FOREIGN)
-_LATIN_LETTER = "A-Za-z\\x{c0}-\\x{24f}"
-_HINT = f"[\\x{{a0}}-\\x{{10ffff}}&&[{_FOREIGN}{_ACCENTS}]]"
+_FOREIGN, _VARIANTS = _ranges(FOREIGN), _ranges(VARIANTS)
+_ODD = f"{_FOREIGN}{_ACCENTS}{_VARIANTS}"
+_UNSEEN = _ranges(INVISIBLE + SPACES) + JOINERS
+_LATIN_LETTER = f"A-Za-z\\x{{c0}}-\\x{{24f}}{_ranges(''.join(c for c in VARIANTS if not unicodedata.normalize('NFKC', c).isdigit()))}"
+_HINT = f"[\\x{{a0}}-\\x{{10ffff}}&&[{_ODD}]]"
+_IN_WORD = f"\\p{{L}}\\p{{M}}\\p{{N}}{_VARIANTS}"
 # a word is tried from its first letter only, and without going back
-_WORD = f"(?<![\\p{{L}}\\p{{M}}])[\\p{{L}}\\p{{M}}&&[^{_FOREIGN}{_ACCENTS}]]*+[{_FOREIGN}{_ACCENTS}][\\p{{L}}\\p{{M}}]*+"
+_WORD = f"(?<![{_IN_WORD}])[{_IN_WORD}&&[^{_ODD}]]*+[{_ODD}][{_IN_WORD}]*+"
 
 
 def suspect(text: Column) -> Column:
     """Whether text may hold a case: one scan for characters that ordinary text has not, or not inside Latin words."""
     # the first half of the class settles plain characters with one comparison
-    return text.rlike(f"[\\x{{a0}}-\\x{{10ffff}}&&[{_ODD}{_ACCENTS}{_FOREIGN}]]")
+    return text.rlike(f"[\\x{{a0}}-\\x{{10ffff}}&&[{_ODD}{_UNSEEN}]]")
 
 
-def _plain_characters(text: Column) -> Column:
-    """Variants, spaces and invisible characters replaced; accents and foreign letters are left to the words."""
-    hidden, joiners, other = _ranges(INVISIBLE.replace("\u200c", "").replace("\u200d", "")), "[\\x{200c}\\x{200d}]", "[^\\x{0}-\\x{24f}]"
-    # joiners between characters of other scripts, or within emoji, are ordinary text there
-    t = F.regexp_replace(text, f"[\\x{{a0}}-\\x{{10ffff}}&&[{hidden}]]|{joiners}(?:(?<!{other}{joiners})|(?!{other}))", "")
-    one = {a: b for a, b in VARIANTS.items() if len(b) == 1} | dict.fromkeys(SPACES, " ")
-    t = F.when(t.rlike(f"[\\x{{a0}}-\\x{{10ffff}}&&[{_ODD}]]"), F.translate(t, "".join(one), "".join(one.values()))).otherwise(t)
-    for a, b in VARIANTS.items():
-        if len(b) > 1:
-            t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+def _seen(text: Column) -> Column:
+    """text with plain spaces and without invisible characters."""
+    hidden, other = _ranges(INVISIBLE.replace("\u200c", "").replace("\u200d", "")), "[^\\x{0}-\\x{24f}]"
+    # a joiner stays between two characters of other scripts, a selector or tag behind one, or in a key cap
+    t = F.regexp_replace(text, f"[\\x{{a0}}-\\x{{10ffff}}&&[{hidden}]]|[\\x{{200c}}\\x{{200d}}](?:(?<!{other}[\\x{{200c}}\\x{{200d}}])|(?!{other}))|(?<=[\\x{{0}}-\\x{{24f}}])[\\x{{fe00}}-\\x{{fe0f}}\\x{{e0020}}-\\x{{e007f}}]+(?!\\x{{20e3}})", "")
+    return F.translate(t, SPACES, " " * len(SPACES))
 
 
-@F.pandas_udf(T.StringType())
-def _compose(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: w if w is None else unicodedata.normalize("NFC", w))
+def plain_letters(spark) -> DataFrame:
+    """(member): letters and digits that may stand for others: all composed ones of the Latin, Greek and Cyrillic scripts
+    below U+2000, by their ranges, and the spelled forms of joined ones."""
+    ch = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    letters = spark.range(0x30, 0x2000, 1, 1).select(ch.alias("member")).where(F.col("member").rlike("^[0-9\\p{IsLatin}\\p{IsGreek}\\p{IsCyrillic}&&[^ſ]]$"))
+    return letters.unionByName(spark.range(1).select(F.explode(F.array(*map(F.lit, ("ff", "fi", "fl", "ffi", "ffl", "st")))).alias("member")))
 
 
-def word_forms(words: DataFrame) -> DataFrame:
-    """(word, form) of the distinct words whose form differs.
+def letter_forms(letters: DataFrame) -> DataFrame:
+    """(letter, form) of the distinct letters, each with its accents, that have another canonical form.
 
-    Foreign letters of words that also hold Latin letters are mapped; the mapped words and their composed spelling
-    are grouped under the accent-sensitive UNICODE collation, for which composed and separate accents are equal; the
-    member with the fewest characters, then the first in binary order, stands for its class and is joined back.
+    Letters are grouped with the plain ones under UNICODE_CI, an accent-sensitive collation for which variants of a
+    letter, and composed and separate accents, are equal; capitals are kept apart. A class stands for its plain member
+    with the fewest characters, the first in binary order on ties; without a plain one it is left as it is.
     """
-    mapped = words.select("word", F.when(F.col("word").rlike(f"[{_LATIN_LETTER}]"), F.translate("word", FOREIGN, LATIN)).otherwise(F.col("word")).alias("mapped")).distinct()
-    members = mapped.select(F.explode(F.array("mapped", _compose("mapped"))).alias("member"))
-    classes = (
-        members.groupBy(F.expr("member COLLATE UNICODE").alias("class"))
-        .agg(F.min(F.struct(F.char_length("member").alias("n"), F.col("member").alias("form"))).alias("m"))
-        .select("class", "m.form")
-    )
-    return mapped.join(classes, F.expr("mapped COLLATE UNICODE") == F.col("class")).where("word <> form").select("word", "form")
+
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        return df.withColumns({"class": F.expr(f"{c} COLLATE UNICODE_CI"), "upper": F.col(c).rlike("^\\p{IsUppercase}")})
+
+    plain = keyed(plain_letters(letters.sparkSession), "member")
+    canonical = plain.groupBy("class", "upper").agg(F.min(F.struct(F.char_length("member").alias("n"), F.col("member").alias("form"))).alias("m")).select("class", "upper", "m.form")
+    return keyed(letters.select("letter"), "letter").join(canonical, ["class", "upper"]).where("letter <> form").select("letter", "form")
+
+
+def _swapped(text: Column, swaps: Column, what: str) -> Column:
+    return F.aggregate(swaps, text, lambda t, s: F.replace(t, s[what], s["form"]))
+
+
+def _swaps(what: str) -> Column:
+    """The pairs (what, form) of a group, longest first: a shorter one never cuts into a longer one."""
+    return F.sort_array(F.collect_set(F.when(F.col("form").isNotNull(), F.struct(F.char_length(what).alias("n"), F.col(what), F.col("form")))), asc=False)
+
+
+def word_forms(words: DataFrame) -> DataFrame:
+    """(word, form) of the distinct words whose form differs: foreign letters of words that also hold Latin ones are
+    mapped, then accented and variant letters take their canonical form."""
+    mapped = words.select("word", F.when(F.col("word").rlike(f"[{_LATIN_LETTER}]"), F.translate("word", FOREIGN, LATIN)).otherwise(F.col("word")).alias("mapped"))
+    letters = F.array_distinct(F.regexp_extract_all("mapped", F.lit(f"[^\\p{{M}}]\\p{{M}}+|[{_VARIANTS}]"), F.lit(0)))
+    parts = mapped.select("word", "mapped", F.explode_outer(letters).alias("letter"))
+    forms = letter_forms(parts.where("letter IS NOT NULL").select("letter").distinct())
+    per_word = parts.join(forms, "letter", "left").groupBy("word", "mapped").agg(_swaps("letter").alias("swaps"))
+    return per_word.select("word", _swapped(F.col("mapped"), F.col("swaps"), "letter").alias("form")).where("word <> form")
 
 
 def text_forms(texts: DataFrame) -> DataFrame:
     """(text, form) of the distinct suspect values of column text; the work is a few rows in a hundred."""
-    base = texts.select("text").where(suspect(F.col("text"))).distinct().select("text", _plain_characters(F.col("text")).alias("plain"))
+    base = texts.select("text").where(suspect(F.col("text"))).distinct().select("text", _seen(F.col("text")).alias("plain"))
     words = base.select("text", "plain", F.explode_outer(F.when(F.col("plain").rlike(_HINT), F.array_distinct(F.regexp_extract_all("plain", F.lit(_WORD), F.lit(0))))).alias("word"))
     forms = word_forms(words.where("word IS NOT NULL").select("word").distinct())
-    per_text = (
-        words.join(forms, "word", "left")
-        .groupBy("text", "plain")
-        # longest first: a shorter word never cuts into a longer one
-        .agg(F.sort_array(F.collect_set(F.when(F.col("form").isNotNull(), F.struct(F.char_length("word").alias("n"), "word", "form"))), asc=False).alias("swaps"))
-    )
-    return per_text.select("text", F.aggregate("swaps", F.col("plain"), lambda t, s: F.replace(t, s["word"], s["form"])).alias("form"))
+    per_text = words.join(forms, "word", "left").groupBy("text", "plain").agg(_swaps("word").alias("swaps"))
+    return per_text.select("text", _swapped(F.col("plain"), F.col("swaps"), "word").alias("form"))
 
 
 def consistent_text(df: DataFrame, text: str, form: str = "form", changed: str = "changed") -> DataFrame:

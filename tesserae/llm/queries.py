@@ -138,11 +138,11 @@ def p10_rates(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_spans": p1_spans, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_best": p3_best, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
-_VAR = "\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{1D400}-\\x{1D7FF}\\x{FB00}-\\x{FB06}\\x{24B6}-\\x{24E9}"
-_FOR = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.FOREIGN)
-_HID = "".join(f"\\x{{{ord(c):X}}}" for c in lookalikes.INVISIBLE + lookalikes.SPACES)
-_LAT = "A-Za-z\\x{C0}-\\x{24F}"
-_P4 = f"regexp_matches(t, '[{_VAR}{_HID}]|\\p{{L}}[\\x{{300}}-\\x{{36F}}]|[{_LAT}][\\p{{L}}\\p{{M}}]*[{_FOR}]|[{_FOR}][\\p{{L}}\\p{{M}}]*[{_LAT}]')"
+# lists of its own, in the form of ranges and scripts
+_P4_ODD = r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{1D400}-\x{1D7FF}\x{FB00}-\x{FB06}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{212A}\x{2102}\x{210A}-\x{2113}\x{2115}\x{2119}-\x{211D}\x{2124}\x{2128}\x{212C}\x{212D}\x{212F}-\x{2131}\x{2133}\x{2134}\x{A0}\x{AD}\x{1680}\x{2000}-\x{200B}\x{200E}\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{2066}-\x{2069}\x{2800}\x{3000}\x{3164}\x{FEFF}]"
+_P4_OTHER = r"\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Lisu}\x{391}-\x{3A1}\x{3A4}-\x{3A7}\x{3BF}\x{261}"
+_P4_LATIN = r"A-Za-z\x{C0}-\x{24F}"
+_P4 = f"regexp_matches(t, '{_P4_ODD}|[\\x{{0}}-\\x{{24F}}][\\x{{200C}}\\x{{200D}}]|[\\x{{200C}}\\x{{200D}}][\\x{{0}}-\\x{{24F}}]|\\p{{L}}[\\x{{300}}-\\x{{36F}}]|[{_P4_LATIN}][\\p{{L}}\\p{{M}}]*[{_P4_OTHER}]|[{_P4_OTHER}][\\p{{L}}\\p{{M}}]*[{_P4_LATIN}]')"
 
 _P3 = """
 WITH RECURSIVE p AS (

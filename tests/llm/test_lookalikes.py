@@ -13,6 +13,14 @@ CASES = [
     ("Институт сор 論文", None),
     ("\U0001f468‍\U0001f469", None),
     ("x̄ mean", None),
+    ("celլ ցene Ꭺnna ꓮnna ɡene Ԍene", "cell gene Anna Anna gene Gene"),
+    ("a\u3164b\u2800c\u2028d", "a b c d"),
+    ("x\ufe0fy z\U000e0041", "xy z"),
+    ("❤\ufe0f 1\ufe0f\u20e3 \U0001f3f4\U000e0067\U000e007f", None),
+    ("𝐜𝐞𝐥𝐥ѕ ａ\u0301 Ⓐⓑ K ﬀ ﬃ ﬆ 🄰", "cells á Ab K ff ffi st A"),
+    ("e\u0302\u0301 ê\u0301 \u00f1 n\u0303\u00e9", "ế ế ñ ñé"),
+    ("и\u0306 α\u0301", "й ά"),
+    ("Հայ ᏣᎳᎩ ꓡꓲꓢꓴ", None),
     ("", None),
     (None, None),
 ]
