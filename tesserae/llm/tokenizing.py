@@ -1,10 +1,10 @@
 """Encoding of whole texts with a public byte-level tokenizer, with reuse of content-defined chunks.
 
-A rolling hash over 16 characters cuts each text where the content says so, so that texts that share passages share
-chunks, wherever these stand. A chunk's inner part, between positions where the split into words is certain whatever
-stands around, is encoded once for a worker and kept. The joins between the inner parts are encoded anew, each from the
-last certain position before the cut to the first after it; where a chunk has no certain position the join takes all
-of it, so that the ids always agree exactly with those of the whole text.
+A rolling hash over the characters behind a word's start says where a text is cut, so that texts that share passages
+share chunks, wherever these stand. A chunk is encoded once in a worker process, whatever document or task brings it
+again, and kept while there is room. Where two chunks join, the words on both sides are encoded together; if that
+gives other ids than the chunks have there, the join is not right by itself, and ever more around it is encoded anew
+until both sides agree, so that the ids always equal those of the whole text.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm._arrays import code_points, gram_hashes, slices
+from tesserae.llm._arrays import code_points, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern that splits text before the merges (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-GRAM = 16
+GRAM = 12
 
 _ENCODERS: dict[str, object] = {}
 
@@ -40,87 +40,129 @@ def load(vocabulary: str = VOCABULARY):
     return _ENCODERS[vocabulary]
 
 
+class _Chunk:
+    """A chunk's ids, its first and its last word (all of it if it is a single word)."""
+
+    __slots__ = ("head", "ids", "tail")
+
+    def __init__(self, text: str, encode):
+        self.ids = encode(text)
+        a, b = text.find(" ", 1), text.rfind(" ", 1)
+        self.head, self.tail = (text[:a], text[b:]) if a > 0 else (text, text)
+
+
 class ChunkEncoder:
     """Ids of texts, with a bounded store of the chunks seen; texts longer than it holds are still whole."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, mean_chunk: int = 512, kept_chars: int = 8_000_000):
-        self.encode = load(vocabulary).encode_ordinary
-        self.mask = np.uint64((1 << max(1, (mean_chunk - 1).bit_length())) - 1)
-        self.store: dict[str, list[int]] = {}
+    def __init__(self, vocabulary: str = VOCABULARY, mean_chunk: int = 1024, kept_chars: int = 16_000_000):
+        self.encode, self.bytes_of = load(vocabulary).encode_ordinary, load(vocabulary).decode_single_token_bytes
+        # of the starts of words, some seven characters apart, one in so many is a cut
+        self.mask = np.uint32((1 << max(1, (mean_chunk // 7).bit_length() - 1)) - 1)
+        self.store: dict[str, _Chunk] = {}
+        self.joins: dict[tuple[str, str], list[int]] = {}
         self.room = self.kept_chars = kept_chars
-        self.hits = self.misses = 0
+        self.hits = self.misses = self.repaired = 0
 
-    def part(self, s: str) -> list[int]:
+    def chunk(self, s: str) -> _Chunk:
         got = self.store.get(s)
         if got is None:
             self.misses += 1
-            got = self.encode(s)
-            self.room -= len(s) + 32
+            got = _Chunk(s, self.encode)
+            self.room -= len(s) + 64
             if self.room < 0:  # a new generation
                 self.store.clear()
+                self.joins.clear()
                 self.room = self.kept_chars
             self.store[s] = got
         else:
             self.hits += 1
         return got
 
+    def agree(self, left: _Chunk, right: _Chunk) -> bool:
+        """Whether the words at a join, encoded together, have the ids that the chunks have there."""
+        key = (left.tail, right.head)
+        got = self.joins.get(key)
+        if got is None:
+            ids = self.encode(left.tail + right.head)
+            # how many ids end where the left word ends; none do if an id reaches over the join
+            n, k, end = 0, 0, len(left.tail.encode("utf-8", "surrogatepass"))
+            while n < end:
+                n += len(self.bytes_of(ids[k]))
+                k += 1
+            self.room -= len(left.tail) + len(right.head) + 32
+            self.joins[key] = got = (ids[:k], ids[k:]) if n == end else None
+        return got is not None and left.ids[-len(got[0]) :] == got[0] and right.ids[: len(got[1])] == got[1]
+
     def batch(self, texts: list[str]) -> Iterator[list[int]]:
         for a, b in slices(texts):
             yield from self._slice(texts[a:b])
 
     def _slice(self, texts: list[str]) -> Iterator[list[int]]:
         codes, off = code_points(texts)
-        h = gram_hashes(codes, GRAM)
-        # the chunk ends behind the gram
-        cuts = np.flatnonzero((h & self.mask) == 0) + GRAM
-        # certain: a single space between two plain visible characters always begins a word
-        if len(codes) > 2:
-            seen = ((codes > 0x20) & (codes < 0x7F)) | ((codes >= 0xC0) & (codes < 0x250))
-            certain = np.flatnonzero((codes[1:-1] == 0x20) & seen[:-2] & seen[2:]) + 1
-        else:
-            certain = np.empty(0, np.int64)
-        after = np.searchsorted(certain, cuts)
-        for i, t in enumerate(texts):
-            lo, hi = int(off[i]), int(off[i + 1])
-            x, y = np.searchsorted(cuts, [lo + GRAM, hi])
+        cuts = self._cuts(codes)
+        first, last = np.searchsorted(cuts, off[:-1], "right"), np.searchsorted(cuts, off[1:])
+        cuts = cuts.tolist()
+        for t, lo, x, y in zip(texts, off.tolist(), first.tolist(), last.tolist(), strict=False):
             if x == y:
-                yield self.part(t) if t else []
+                yield self.chunk(t).ids if t else []
                 continue
-            out: list[int] = []
-            at = lo  # all before it is encoded
-            for c, k in zip(cuts[x:y].tolist(), after[x:y].tolist(), strict=True):
-                left = int(certain[k - 1]) if k > 0 else lo
-                right = int(certain[k]) if k < len(certain) else hi
-                if right >= hi - 1:
-                    break
-                if right <= at or left < lo:
-                    continue
-                if right == c:
-                    left = c
-                if left > at:
-                    out += self.part(t[at - lo : left - lo])
-                    at = left
-                if right > at:
-                    out += self.part(t[at - lo : right - lo])
-                    at = right
-            out += self.part(t[at - lo :])
-            yield out
-
-
-def encode_texts(df: DataFrame, text: str, ids: str = "ids", vocabulary: str = VOCABULARY, empty_ids: tuple[int, ...] = (), null_ids: tuple[int, ...] = (), mean_chunk: int = 512) -> DataFrame:
+            ends = [c - lo for c in cuts[x:y]] + [len(t)]
+            yield self._joined(t, ends)
+
+    def _cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Places between visible characters where a space begins a word and the hash of what follows says so."""
+        if len(codes) < GRAM + 3:
+            return np.empty(0, np.int64)
+        c = codes[: len(codes) - GRAM]
+        seen = ((c > 0x20) & (c < 0x7F)) | ((c >= 0xC0) & (c < 0x250))
+        at = np.flatnonzero((c[1:-1] == 0x20) & seen[:-2] & seen[2:]) + 1
+        h = np.zeros(len(at), np.uint32)
+        for i in range(1, GRAM + 1):
+            h = h * np.uint32(0x9E3779B1) + codes[at + i]
+        h ^= h >> np.uint32(15)
+        return at[(h * np.uint32(0x85EBCA77) >> np.uint32(16)) & self.mask == 0]
+
+    def _joined(self, t: str, ends: list[int]) -> list[int]:
+        """Ids of the chunks of t that end at ends, repaired at their joins."""
+        out: list[int] = []
+        held, at = self.chunk(t[: ends[0]]), 0  # at: where the held chunk begins
+        for begin, end in zip(ends, ends[1:], strict=False):
+            nxt = self.chunk(t[begin:end])
+            if self.agree(held, nxt):
+                out += held.ids
+                held, at = nxt, begin
+            else:
+                # encoded as one: what agrees with the next chunk then is exact again
+                self.repaired += 1
+                held = _Chunk(t[at:end], self.encode)
+        return out + held.ids
+
+
+_CHUNKS: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def chunk_encoder(vocabulary: str = VOCABULARY, mean_chunk: int = 1024) -> ChunkEncoder:
+    """The encoder of this worker process; its store outlives the task."""
+    key = (vocabulary, mean_chunk)
+    if key not in _CHUNKS:
+        _CHUNKS[key] = ChunkEncoder(vocabulary, mean_chunk)
+    return _CHUNKS[key]
+
+
+def encode_texts(df: DataFrame, text: str, ids: str = "ids", vocabulary: str = VOCABULARY, empty_ids: tuple[int, ...] = (), null_ids: tuple[int, ...] = (), mean_chunk: int = 1024) -> DataFrame:
     """df without its text, with the list of token ids of each text (array<int>), without special tokens.
 
     Strings that look like special tokens are ordinary text. Empty texts get empty_ids and null texts null_ids, both
     the empty list unless told otherwise; repeated rows stay repeated; a column already called ids is replaced.
-    One pass without a shuffle: each task keeps its own chunks, since sending every text to one place for each chunk
-    would cost more than encoding it again.
+    One pass without a shuffle: each worker process keeps its own chunks, since sending every chunk to one place and
+    its ids back would cost more than encoding it again.
     """
     keep = [c for c in df.columns if c not in (text, ids)]
     src = df.select(*[f"`{c}`" for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = df.select(*[f"`{c}`" for c in keep]).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(vocabulary, mean_chunk)
+        enc = chunk_encoder(vocabulary, mean_chunk)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 rb = whole.slice(k, 1000)
