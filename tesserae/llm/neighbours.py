@@ -24,7 +24,8 @@ from tesserae.session import materialize
 class Curves:
     """count: orderings; dims and bits: of each projection (their product below 64); window: rows compared ahead;
     block: rows of one matrix product; slack: what the one-byte copies of the vectors may be off; dense: similarity from
-    which rows count as a crowd if no least one is asked for."""
+    which rows count as a crowd if no least one is asked for; words and sure: 64-bit words of a row's sketch of signs, and
+    by how many standard deviations two sketches may differ beyond what the least similarity lets expect."""
 
     count: int = 12
     dims: int = 12
@@ -33,6 +34,8 @@ class Curves:
     block: int = 256
     slack: float = 0.02
     dense: float = 0.92
+    words: int = 2
+    sure: float = 5.0
     seed: int = 20
 
 
@@ -103,35 +106,64 @@ def _on_curves(c: Curves, width: int):
     return run
 
 
-def _compare(c: Curves, width: int, least: float):
-    """(a, b), a < b: rows within the window of one curve that are similar enough."""
+def _signs(c: Curves, width: int) -> np.ndarray:
+    return np.random.default_rng(c.seed + 1).standard_normal((width, 64 * c.words)).astype(np.float32)
+
+
+def _sketches(unit: np.ndarray, c: Curves) -> np.ndarray:
+    """The signs of random projections of unit vectors, as c.words words each."""
+    return np.packbits(unit @ _signs(c, unit.shape[1]) > 0, axis=1).view(np.uint64)
+
+
+def _apart(c: Curves, least: float) -> int:
+    """Signs in which two vectors of that similarity differ at most, but for c.sure standard deviations."""
+    n, p = 64 * c.words, np.arccos(np.clip(least, -1, 1)) / np.pi
+    return int(np.ceil(n * p + c.sure * np.sqrt(n * p * (1 - p))))
+
+
+def _sketched(c: Curves, width: int):
+    """(curve, key, id, s0, s1, ...): the place of each row on each curve, with its sketch in place of its vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            unit = _matrix(rb.column(1), width).astype(np.float32)
+            keys, sk = keys_of(unit, c), _sketches(unit, c).view(np.int64)
+            for k in range(c.count):
+                cols = [pa.array(np.full(len(unit), k, np.int32)), pa.array(keys[:, k]), rb.column(0), *(pa.array(sk[:, i]) for i in range(c.words))]
+                yield pa.RecordBatch.from_arrays(cols, names=["curve", "key", "id", *(f"s{i}" for i in range(c.words))])
+
+    return run
+
+
+def _compare(c: Curves, least: float):
+    """(a, b), a < b: rows within the window of one curve whose sketches say that they may be similar enough."""
+    most = _apart(c, least)
 
     def window(curve: np.ndarray, ids: np.ndarray, v: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs whose first row is among the first fresh rows."""
         left, right = [], []
-        for s in range(0, fresh, c.block):
-            e = min(fresh, s + c.block)
-            t = min(len(v), e + c.window)
-            sim = v[s:e] @ v[s:t].T
-            ahead = np.arange(t - s)[None, :] - np.arange(e - s)[:, None]
-            r, q = np.nonzero((ahead >= 1) & (ahead <= c.window) & (curve[s:e, None] == curve[None, s:t]) & (sim >= least - c.slack))
-            left.append(ids[s + r])
-            right.append(ids[s + q])
+        for d in range(1, min(c.window, len(ids) - 1) + 1):
+            n = min(fresh, len(ids) - d)
+            at = np.flatnonzero((np.bitwise_count(v[:n] ^ v[d : n + d]).sum(1) <= most) & (curve[:n] == curve[d : n + d]))
+            left.append(ids[at])
+            right.append(ids[at + d])
         return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve, ids, v = np.empty(0, np.int32), np.empty(0, np.int64), np.empty((0, width), np.float32)
+        curve, ids, v = np.empty(0, np.int32), np.empty(0, np.int64), np.empty((0, c.words), np.uint64)
 
         def out(fresh: int) -> pa.RecordBatch:
             a, b = window(curve, ids, v, fresh)
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            p = np.unique(np.stack([lo, hi], 1), axis=0)
+            p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
         for rb in batches:
             if not rb.num_rows:
                 continue
-            curve, ids, v = _more(rb, width, curve, ids, v)
+            new = np.stack([rb.column(3 + i).to_numpy() for i in range(c.words)], 1).view(np.uint64)
+            curve, ids, v = np.concatenate([curve, rb.column(0).to_numpy()]), np.concatenate([ids, rb.column(2).to_numpy()]), np.concatenate([v, new])
             fresh = len(ids) - c.window
             if fresh > 0:
                 yield out(fresh)
@@ -389,13 +421,18 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 6
     """
     one = _classes(usable(df, key, vector, width))
     one = materialize(one.withColumn("n", F.row_number().over(Window.partitionBy("class", "way").orderBy("id"))).where(f"n <= {k + 1}").drop("n").select("id", "v"))
-    lined = one.mapInArrow(_on_curves(curves, width), "curve int, key long, id long, scale float, packed binary")
     # windows end with a partition, so a partition holds many of them
     parts = max(1, one.count() * curves.count // (64 * max(curves.window, 256)))
-    lined = lined.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "id")
+
+    def in_line(df: DataFrame) -> DataFrame:
+        return df.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "id")
+
     if least is not None:
-        pairs = lined.mapInArrow(_compare(curves, width, least), "a long, b long").distinct()
+        words = "".join(f", s{i} long" for i in range(curves.words))
+        lined = in_line(one.mapInArrow(_sketched(curves, width), f"curve int, key long, id long{words}"))
+        pairs = lined.mapInArrow(_compare(curves, least), "a long, b long").distinct()
     else:
+        lined = in_line(one.mapInArrow(_on_curves(curves, width), "curve int, key long, id long, scale float, packed binary"))
         lists = lined.mapInArrow(_nearest(curves, width, k + 2), "id long, near binary").groupBy("id").agg(F.collect_list("near").alias("near"))
         pairs = lists.mapInArrow(_merged(curves, k), "a long, b long").distinct()
     exact = _scored(pairs, one, width)
