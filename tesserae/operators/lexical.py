@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import search_form
+from tesserae.operators.vectors import first_k
 
 
 @dataclass(frozen=True)
@@ -141,5 +142,4 @@ def search(questions: DataFrame, chunks: DataFrame, papers: DataFrame, config: L
         F.desc(F.col("pmcid").isNotNull()),
         F.asc("chunk_id"),
     ]
-    ranked = rows.withColumn("lex_rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)) - 1)
-    return ranked.where(F.col("lex_rank") < config.limit).select("qid", "chunk_id", "paper_id", "lex_rank")
+    return first_k(rows, config.limit, "lex_rank", "qid", *order).select("qid", "chunk_id", "paper_id", "lex_rank")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import approx_tokens
 from tesserae.operators.lexical import Backend, Lexical, search
-from tesserae.operators.vectors import topk
+from tesserae.operators.vectors import first_k, topk
 from tesserae.session import materialize
 
 
@@ -26,7 +26,7 @@ def fuse(lexical: DataFrame, ann: DataFrame, k: int, cap: int) -> DataFrame:
     turns = lexical.where(F.col("lex_rank") < cap).select("qid", "chunk_id", (2 * F.col("lex_rank")).alias("turn"))
     turns = turns.unionByName(ann.select("qid", "chunk_id", (2 * F.col("ann_rank") + 1).alias("turn")))
     once = turns.groupBy("qid", "chunk_id").agg(F.min("turn").alias("turn"))
-    return once.withColumn("pos", _order("qid", "turn")).where(F.col("pos") < k).select("qid", "chunk_id", "pos")
+    return first_k(once, k, "pos", "qid", "turn").select("qid", "chunk_id", "pos")
 
 
 def cap_per_paper(ranked: DataFrame, cap: int) -> DataFrame:
@@ -45,7 +45,7 @@ def capped_and_filled(segments: DataFrame, k: int, cap: int) -> DataFrame:
     first = segments.groupBy("qid", "chunk_id").agg(F.min(F.struct("segment", "rank", "paper_id")).alias("m")).select("qid", "chunk_id", "m.segment", "m.rank", "m.paper_id")
     w = Window.partitionBy("qid", "paper_id").orderBy("segment", "rank")
     kept = first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
-    return kept.withColumn("pos", _order("qid", "segment", "rank")).where(F.col("pos") < k).select("qid", "chunk_id", "paper_id", "pos")
+    return first_k(kept, k, "pos", "qid", "segment", "rank").select("qid", "chunk_id", "paper_id", "pos")
 
 
 def average_chunks(shortlist: DataFrame, chunks: DataFrame) -> DataFrame:

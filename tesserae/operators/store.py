@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tesserae.operators.components import components
 from tesserae.session import materialize
 
 
@@ -47,12 +53,33 @@ def replace_chunks(current: DataFrame, fresh: DataFrame, key: str = "paper_id")
     return current.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def accept_by_identity(rows: DataFrame, order: list[str], keys: list[str], max_rounds: int = 50) -> DataFrame:
+#: Rounds over all open rows before what is left is settled component by component; entries that a component may then have.
+ROUNDS, SETTLED = 6, 200_000
+
+
+def _winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__o) of the accepted rows, from (component, __o, keys) sorted by component and order: what an accepted row holds is taken."""
+    component, taken = None, set()
+    for rb in batches:
+        out = []
+        for i, (c, keys) in enumerate(zip(rb.column(0).to_pylist(), rb.column(2).to_pylist(), strict=True)):
+            if c != component:
+                component, taken = c, set()
+            if taken.isdisjoint(keys):
+                taken.update(keys)
+                out.append(i)
+        yield pa.RecordBatch.from_arrays([rb.column(1).take(pa.array(out, pa.int64()))], names=["__o"])
+
+
+def accept_by_identity(rows: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     """The rows that a merge in the given order accepts: one is refused if any of its non-empty keys is already taken.
 
     order must tell all rows apart. Rows whose keys nobody shares are accepted at once. Of the others, each round
-    accepts those that come first on all their keys and refuses those that share a key with an accepted one, until
-    none is left; only an accepted row takes its keys, so three plain passes would not do.
+    accepts those that come first on all their keys and refuses those that share a key with an accepted one; only an
+    accepted row takes its keys, so three plain passes would not do. A hot key is settled in such a round, whatever its
+    size. Long chains would need as many rounds as they have links: after some rounds the connected components of what
+    is left are taken apart, each in one sorted pass that holds the taken keys; those with too many rows for that go on
+    in rounds.
     """
     rows = rows.withColumn("__o", F.struct(*order))
     long = rows.select("__o", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(k).cast("string").alias("v")) for i, k in enumerate(keys)])).alias("k")).where("k.v <> ''").select("__o", "k.t", "k.v")
@@ -60,35 +87,58 @@ def accept_by_identity(rows: DataFrame, order: list[str], keys: list[str], max_r
     open_keys = materialize(long.join(crowded, ["t", "v"]))
     open_rows = open_keys.select("__o").distinct()
     accepted = rows.join(open_rows, "__o", "left_anti")
-    won = None
-    for _ in range(max_rounds):
-        if not open_keys.limit(1).count():
-            break
-        first = open_keys.groupBy("t", "v").agg(F.min("__o").alias("m"))
-        marks = open_keys.join(first, ["t", "v"]).groupBy("__o").agg(F.min((F.col("__o") == F.col("m")).cast("int")).alias("all_first"))
-        winners = materialize(marks.where("all_first = 1").select("__o"))
-        won = winners if won is None else won.unionByName(winners)
-        taken = open_keys.join(winners, "__o", "left_semi").select("t", "v").distinct()
-        refused = open_keys.join(taken, ["t", "v"], "left_semi").select("__o").distinct()
-        open_keys = materialize(open_keys.join(refused, "__o", "left_anti"))
-    else:
-        raise RuntimeError("rows still undecided")
-    if won is not None:
-        accepted = accepted.unionByName(rows.join(won, "__o", "left_semi"))
+    won, rounds = [], 0
+    while open_keys.limit(1).count():
+        if rounds == ROUNDS:
+            group = components(open_keys.select(F.col("__o").alias("id"), F.struct("t", "v").alias("key")))
+            # a row alone with its keys is a component of its own
+            placed = open_keys.join(group.withColumnRenamed("id", "__o"), "__o", "left").withColumn("c", F.xxhash64(F.coalesce("group_id", "__o"))).drop("group_id")
+            small = placed.groupBy("c").count().where(F.col("count") <= SETTLED).select("c")
+            placed = materialize(placed)
+            per_row = placed.join(small, "c").groupBy("c", "__o").agg(F.collect_list(F.struct("t", "v")).alias("k")).withColumn("k", F.transform("k", lambda x: F.concat(x["t"].cast("string"), F.lit(":"), x["v"])))
+            sorted_ = per_row.select("c", "__o", "k").repartition("c").sortWithinPartitions("c", "__o")
+            won.append(materialize(sorted_.mapInArrow(_winners, T.StructType([T.StructField("__o", rows.schema["__o"].dataType)]))))
+            open_keys = materialize(placed.join(small, "c", "left_anti").drop("c"))
+        rounds += 1
+        if rounds <= ROUNDS or open_keys.limit(1).count():
+            first = open_keys.groupBy("t", "v").agg(F.min("__o").alias("m"))
+            marks = open_keys.join(first, ["t", "v"]).groupBy("__o").agg(F.min((F.col("__o") == F.col("m")).cast("int")).alias("all_first"))
+            winners = materialize(marks.where("all_first = 1").select("__o"))
+            won.append(winners)
+            taken = open_keys.join(winners, "__o", "left_semi").select("t", "v").distinct()
+            refused = open_keys.join(taken, ["t", "v"], "left_semi").select("__o").distinct()
+            open_keys = materialize(open_keys.join(refused, "__o", "left_anti"))
+    for w in won:
+        accepted = accepted.unionByName(rows.join(w, "__o", "left_semi"))
     return accepted.drop("__o")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with name (long): the place of each row in the order, from 1, without a window over all rows.
+
+    Rows are range-partitioned and sorted; a row's number is its place in its partition and the rows of those before.
+    """
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    at = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    # one row a partition
+    sizes = at.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return at.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
 def merge_papers(shards: DataFrame) -> DataFrame:
     """(shard, paper_id, new_id, ...): papers of all shards that the merge accepts, with new ids from 1 in merge order.
 
     shards: shard, paper_id, doc_id, pmcid, pmid and more. Shards merge in the order of their names.
     """
-    kept = materialize(accept_by_identity(shards, ["shard", "paper_id"], ["doc_id", "pmcid", "pmid"]))
-    # ids without one global window: numbers within a shard, and the shards' offsets
-    sizes = kept.groupBy("shard").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.shard") < F.col("a.shard"), "left").groupBy("a.shard").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    n = F.row_number().over(Window.partitionBy("shard").orderBy("paper_id"))
-    return kept.withColumn("__n", n).join(before, "shard").withColumn("new_id", F.col("before") + F.col("__n")).drop("before", "__n")
+    return numbered(accept_by_identity(shards, ["shard", "paper_id"], ["doc_id", "pmcid", "pmid"]), ["shard", "paper_id"], "new_id")
+
+
+def merge_statistics(shards: DataFrame, merged: DataFrame) -> DataFrame:
+    """(shard, rows, accepted, refused): what the merge took of each shard; shards without an accepted row as well."""
+    took = merged.groupBy("shard").agg(F.count("*").alias("accepted"))
+    per = shards.groupBy("shard").agg(F.count("*").alias("rows")).join(took, "shard", "left")
+    return per.select("shard", "rows", F.coalesce("accepted", F.lit(0)).alias("accepted"), (F.col("rows") - F.coalesce("accepted", F.lit(0))).alias("refused"))
 
 
 def merge_children(children: DataFrame, papers: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,30 +193,30 @@ def sanity(papers: DataFrame, chunks: DataFrame, files: DataFrame, index_ids: Da
     return out.unionByName(counts(files, "files", F.lit(0).cast("long"), "path")).unionByName(counts(stray, "index without passage", F.lit(1).cast("long"), "id"))
 
 
-def shard_of(sizes: Column, shards: int) -> Column:
-    """array<int>: the shard of each of an array of sizes: the largest first, each to the least loaded, the lower on ties.
+def _least_loaded(shards: int):
+    """(path, size, shard) of rows (path, size) that come in order: each to the least loaded shard, the lower on ties."""
 
-    The array is one listing of archives, a few bytes each; it is dealt out in one fold.
-    """
-    n = F.size(sizes)
-    order = F.transform(F.array_sort(F.transform(sizes, lambda s, i: F.struct((-s.cast("long")).alias("s"), i.alias("i")))), lambda x: x["i"])
-    state = "struct<loads:array<bigint>,out:array<struct<i:int,b:int>>>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heap = [(0, b) for b in range(shards)]
+        for rb in batches:
+            out = []
+            for size in rb.column(1).to_pylist():
+                load, b = heap[0]
+                heapq.heapreplace(heap, (load + (size or 0), b))
+                out.append(b)
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(out, pa.int32())], names=["path", "size", "shard"])
 
-    def step(s: Column, i: Column) -> Column:
-        b = F.array_position(s["loads"], F.array_min(s["loads"])).cast("int") - 1
-        loads = F.transform(s["loads"], lambda x, j: F.when(j == b, x + F.get(sizes, i).cast("long")).otherwise(x))
-        return F.struct(loads.alias("loads"), F.concat(s["out"], F.array(F.struct(i.alias("i"), b.alias("b")))).alias("out")).cast(state)
-
-    first = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().alias("out")).cast(state)
-    if shards <= 1:
-        return F.transform(sizes, lambda _: F.lit(0))
-    return F.when(n > 0, F.transform(F.array_sort(F.aggregate(order, first, step, lambda s: s["out"])), lambda x: x["b"])).otherwise(F.array().cast("array<int>"))
+    return run
 
 
 def assign_shards(archives: DataFrame, path: str, size: str, shards: int) -> DataFrame:
-    """(path, size, shard) by shard_of; equal sizes keep the order of their paths."""
-    one = archives.agg(F.array_sort(F.collect_list(F.struct(F.col(path).alias("path"), F.col(size).cast("long").alias("size")))).alias("a"))
-    return one.select(F.explode(F.arrays_zip(F.col("a.path").alias("path"), F.col("a.size").alias("size"), shard_of(F.col("a.size"), shards).alias("shard"))).alias("x")).select("x.*")
+    """(path, size, shard): the largest archive first, each to the least loaded shard; equal sizes by their paths.
+
+    Sizes null count as 0. The listing, one short row an archive, is dealt in one task, which holds the loads alone.
+    """
+    rows = archives.select(F.col(path).alias("path"), F.col(size).cast("long").alias("size"))
+    one = rows.repartition(1).sortWithinPartitions(F.desc_nulls_last("size"), "path")
+    return one.mapInArrow(_least_loaded(max(1, shards)), "path string, size long, shard int")
 
 
 def shard_loads(assigned: DataFrame) -> DataFrame:

@@ -89,5 +89,13 @@ def topk_in_lists(queries: DataFrame, corpus: DataFrame, k: int, width: int, ski
 def _ranked(found: DataFrame, k: int, skip_self: bool) -> DataFrame:
     if skip_self:
         found = found.where("qid <> id")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return first_k(found, k, "rank", "qid", F.desc("score"), "id")
+
+
+def first_k(df: DataFrame, k: int, name: str, by: str, *order) -> DataFrame:
+    """The first k rows of each value of by, with name, their place from 0.
+
+    The filter stands on the bare row number, so that each task cuts its groups to k before the shuffle.
+    """
+    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return df.withColumn(name, n).where(F.col(name) <= k).withColumn(name, F.col(name) - 1)

@@ -66,6 +66,12 @@ def shard_merge_chunks(spark: SparkSession, base: str) -> DataFrame:
     return store.merge_children(c, store.merge_papers(s), ["paper_id", "ord"]).select("paper_id", "ord", "chunk_id")
 
 
+def shard_statistics(spark: SparkSession, base: str) -> DataFrame:
+    """What the merge took of each archive."""
+    s = _shards(spark, base)
+    return store.merge_statistics(s, store.merge_papers(s))
+
+
 def _segments(spark: SparkSession, base: str) -> DataFrame:
     """Segment rows as another machine would have written them: documents and places instead of ids."""
     v = table(spark, base, "vectors").where("size(embedding) = 64").dropDuplicates(["id"])
@@ -164,7 +170,7 @@ _NUMS = r"""list_filter(list_transform(str_split(b, ','), lambda x: trim(x)), la
 QUERIES = {
     f.__name__: f
     for f in (
-        first_wins_dedupe, upsert_latest, insert_missing, incremental_antijoin, shard_merge, shard_merge_chunks, segment_resolve, segment_quarantine, reconcile_flags, backfill_set, index_sanity,
+        first_wins_dedupe, upsert_latest, insert_missing, incremental_antijoin, shard_merge, shard_merge_chunks, shard_statistics, segment_resolve, segment_quarantine, reconcile_flags, backfill_set, index_sanity,
         duplicate_report, shard_binpack, shard_balance, citation_normalize, citation_numbers, citation_renumber, references_render,
     )
 }
@@ -172,7 +178,19 @@ _BINS = """WITH RECURSIVE o AS (SELECT tar AS path, bytes AS size, row_number()
 r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([0, 0, 0, 0] AS BIGINT[]) AS loads, CAST('' AS VARCHAR) AS path, CAST(0 AS BIGINT) AS size, CAST(0 AS INTEGER) AS shard
   UNION ALL SELECT o.n, list_transform(r.loads, lambda x, i: CASE WHEN i = list_position(r.loads, list_min(r.loads)) THEN x + o.size ELSE x END), o.path, o.size, CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER) FROM r JOIN o ON o.n = r.n + 1),
 b AS (SELECT path, size, shard FROM r WHERE n > 0) """
+# one row after another, in the order of the merge
+_MERGED = """RECURSIVE o AS (SELECT row_number() OVER (ORDER BY shard, paper_id) AS n, shard, paper_id, list_filter([CASE WHEN doc_id <> '' THEN 'd' || doc_id END, CASE WHEN pmcid <> '' THEN 'c' || pmcid END, CASE WHEN pmid <> '' THEN 'p' || pmid END], lambda x: x IS NOT NULL) AS ks
+  FROM (SELECT *, regexp_extract(coalesce(doc_id, ''), '^tar://(.*?)!/', 1) AS shard FROM papers)),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken, false AS ok
+  UNION ALL SELECT o.n, CASE WHEN list_has_any(r.taken, o.ks) THEN r.taken ELSE list_concat(r.taken, o.ks) END, NOT list_has_any(r.taken, o.ks) FROM r JOIN o ON o.n = r.n + 1),
+m AS (SELECT shard, paper_id, row_number() OVER (ORDER BY o.n) AS new_id FROM r JOIN o USING (n) WHERE ok)"""
 ORACLE = {
+    "shard_merge": f"WITH {_MERGED} SELECT * FROM m",
+    "shard_statistics": f"WITH {_MERGED} SELECT o.shard, count(*) AS rows, count(new_id) AS accepted, count(*) - count(new_id) AS refused FROM o LEFT JOIN m USING (shard, paper_id) GROUP BY o.shard",
+    "shard_merge_chunks": f"WITH {_MERGED} SELECT new_id AS paper_id, ord, min(chunk_id) AS chunk_id FROM m JOIN chunks USING (paper_id) WHERE ord >= -1 GROUP BY new_id, ord",
+    "citation_renumber": f"""{_DOCS}, l AS (SELECT c.qid, c.pos, d.docnum FROM cited c JOIN ps USING (qid, idx) JOIN docs d USING (qid, key)),
+t AS (SELECT qid, list(docnum ORDER BY pos) FILTER (WHERE pos < 2) AS a, list(docnum ORDER BY pos) FILTER (WHERE pos > 1) AS b FROM l GROUP BY qid)
+SELECT qid, 'Both hold [' || list_aggregate(list_filter(a, lambda x, i: list_position(a, x) = i), 'string_agg', ', ') || ']; more in [' || list_aggregate(list_filter(b, lambda x, i: list_position(b, x) = i), 'string_agg', ', ') || '] and [99], not in [3 patients].' AS answer FROM t""",
     "first_wins_dedupe": f"SELECT {_F} FROM files QUALIFY row_number() OVER (PARTITION BY path ORDER BY loaded_at, size NULLS FIRST, mtime NULLS FIRST, paper_id NULLS FIRST) = 1",
     "upsert_latest": f"SELECT * FROM {_INC} UNION ALL SELECT * FROM {_OLD} WHERE path NOT IN (SELECT path FROM {_INC})",
     "insert_missing": f"SELECT * FROM {_OLD} UNION ALL SELECT * FROM {_INC} WHERE path NOT IN (SELECT path FROM {_OLD})",

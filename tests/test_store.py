@@ -188,3 +188,28 @@ def test_answers(spark):
     with pytest.raises(NotImplementedError):
         answering.rewrite("q", "other")
     assert answering.ModelConfig("o3-x").tokens == 32_000 and answering.ModelConfig("y").tokens == 8_000
+
+
+def test_chain_of_papers_that_share_identifiers(spark):
+    # each shares a key with the next: every other one is accepted, in order
+    n = 1000
+    rows = [("s", i, None, f"c{i // 2}", f"p{(i + 1) // 2}") for i in range(n)]
+    df = spark.createDataFrame(rows, "shard string, paper_id long, doc_id string, pmcid string, pmid string")
+    got = sorted((r.new_id, r.shard, r.paper_id) for r in store.merge_papers(df).collect())
+    assert [(s, p) for _, s, p in got] == greedy(rows) and len(got) == n // 2 and [g[0] for g in got] == list(range(1, n // 2 + 1))
+
+
+def test_settled_by_rounds_alone(spark, monkeypatch):
+    monkeypatch.setattr(store, "SETTLED", 3)
+    monkeypatch.setattr(store, "ROUNDS", 1)
+    rows = [("s", i, None, f"c{i // 2}", f"p{(i + 1) // 2}") for i in range(14)] + [("t", i, "hot", None, None) for i in range(40)] + [("u", 1, "a", "b", None), ("u", 2, "a", None, None)]
+    df = spark.createDataFrame(rows, "shard string, paper_id long, doc_id string, pmcid string, pmid string")
+    merged = store.merge_papers(df)
+    assert sorted((r.shard, r.paper_id) for r in merged.collect()) == sorted(greedy(rows))
+    assert {r.shard: (r.rows, r.accepted, r.refused) for r in store.merge_statistics(df, merged).collect()} == {"s": (14, 7, 7), "t": (40, 1, 39), "u": (2, 1, 1)}
+
+
+def test_many_archives_are_dealt(spark):
+    df = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("path"), (F.col("id") * 7919 % 1000).alias("size"))
+    load = [r.load for r in store.shard_loads(store.assign_shards(df, "path", "size", 7)).collect()]
+    assert len(load) == 7 and max(load) - min(load) < 1000
