@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm._arrays import mix
 from tesserae.session import materialize
 
 
@@ -34,8 +35,8 @@ class Curves:
     block: int = 256
     slack: float = 0.02
     dense: float = 0.92
-    words: int = 2
-    sure: float = 5.0
+    words: int = 4
+    sure: float = 3.5
     seed: int = 20
 
 
@@ -393,14 +394,31 @@ def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("id"), v.cast("array<float>").alias("v"), F.coalesce(ok, F.lit(False)).alias("ok")).where("ok AND id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _classes(one: DataFrame) -> DataFrame:
-    """one (id, v) with its direction to six places and a hash of that; cosines within a direction are 1 to ten places.
+def _directions(width: int):
+    """(id, v, c0, c1) with two hashes of the direction to six places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = np.random.default_rng(7).integers(1, 1 << 62, (width, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for rb in batches:
+            if rb.num_rows:
+                # adding 0 turns a negative zero into a positive one
+                way = (np.round(_matrix(rb.column(1), width), 6) + 0.0).view(np.uint64)
+                h = np.stack([(mix(way + factor[:, i]) * factor[:, i]).sum(1) for i in (0, 1)], 1)
+                yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), *(pa.array(mix(h[:, i]).view(np.int64)) for i in (0, 1))], names=["id", "v", "c0", "c1"])
+
+    return run
+
+
+CLASS = ("c0", "c1")
+
+
+def _classes(one: DataFrame, width: int) -> DataFrame:
+    """one (id, v) with the class of its direction: 128 bits of hashes of the direction to six places; cosines within a
+    direction are 1 to ten places.
 
     Copies scaled in single precision differ in the eighth place, so a crowd of them makes a few directions at most.
     """
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    # adding 0 turns a negative zero into a positive one
-    return one.withColumn("norm", norm).withColumn("way", F.transform("v", lambda x: F.round(x.cast("double") / F.col("norm"), 6) + F.lit(0.0))).drop("norm").withColumn("class", F.xxhash64("way"))
+    return one.mapInArrow(_directions(width), "id long, v array<float>, c0 long, c1 long")
 
 
 def _scored(pairs: DataFrame, one: DataFrame, width: int) -> DataFrame:
@@ -419,8 +437,8 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 6
     other crowds (k / 2 or more met at least or, without it, at the curves' dense similarity) are compared in full with
     all rows that can be so similar; the work for that grows with the square of a crowd.
     """
-    one = _classes(usable(df, key, vector, width))
-    one = materialize(one.withColumn("n", F.row_number().over(Window.partitionBy("class", "way").orderBy("id"))).where(f"n <= {k + 1}").drop("n").select("id", "v"))
+    one = _classes(usable(df, key, vector, width), width)
+    one = materialize(one.withColumn("n", F.row_number().over(Window.partitionBy(*CLASS).orderBy("id"))).where(f"n <= {k + 1}").drop("n").select("id", "v"))
     # windows end with a partition, so a partition holds many of them
     parts = max(1, one.count() * curves.count // (64 * max(curves.window, 256)))
 
@@ -450,12 +468,12 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 6
 
 def copies_beyond(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 64) -> DataFrame:
     """(id, other, similarity, rank) of the ids that neighbours leaves to their k + 1 smaller copies."""
-    one = _classes(usable(df, key, vector, width))
-    w = Window.partitionBy("class", "way").orderBy("id")
+    one = _classes(usable(df, key, vector, width), width)
+    w = Window.partitionBy(*CLASS).orderBy("id")
     heads = one.withColumn("n", F.row_number().over(w)).where(f"n <= {k + 1}")
-    full = heads.where(f"n = {k + 1}").select("class", "way", F.col("id").alias("last"))
-    tail = one.join(full, ["class", "way"]).where("id > last").select("id", "class", "way")
-    return tail.join(heads.where(f"n <= {k}").select("class", "way", F.col("id").alias("other"), F.col("n").alias("rank")), ["class", "way"]).select("id", "other", F.lit(1.0).alias("similarity"), "rank")
+    full = heads.where(f"n = {k + 1}").select(*CLASS, F.col("id").alias("last"))
+    tail = one.join(full, list(CLASS)).where("id > last").select("id", *CLASS)
+    return tail.join(heads.where(f"n <= {k}").select(*CLASS, F.col("id").alias("other"), F.col("n").alias("rank")), list(CLASS)).select("id", "other", F.lit(1.0).alias("similarity"), "rank")
 
 
 def mutual(found: DataFrame) -> DataFrame:
