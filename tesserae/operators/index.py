@@ -1,7 +1,8 @@
-"""Vector indexes as tables: flat, inverted lists, product-quantized codes; training, adding, removing, search.
+"""Vector indexes as tables: flat, inverted lists, product-quantized codes, neighbour graphs; training, adding, removing, search.
 
-An index is a directory: ``meta`` (one row), ``vectors`` (id, v, list, partitioned by list) and, where it has codes,
-``codebook`` and ``centroids``. A graph index has no table form: the kind 'hnsw' is answered by lists with many probes.
+An index is a directory: ``meta`` (one row), ``vectors`` (id, v or code, list), ``edges`` where it is a graph, and, where
+it has lists or codes, ``centroids`` and ``codebook``. How many lists there are and how many of them a question probes
+follows from the number of vectors.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators.vectors import packed, topk, topk_in_lists
+from tesserae.functions.parameters import effective_nlist, ivf_plan, pick_nprobe, safe_pq_m
+from tesserae.functions.text import cosine
+from tesserae.operators.vectors import BLOCK, SPLITS, first_k, packed, topk, topk_in_lists
+from tesserae.session import materialize
 
 
 @dataclass(frozen=True)
@@ -68,10 +72,25 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, cosine:
     return c
 
 
-def train(sample: DataFrame, width: int, kind: str = "ivfpq", nlist: int = 64, m: int = 16, bits: int = 8, rounds: int = 12, most: int = 50_000, seed: int = 314159) -> Model:
+def _value(spark: SparkSession, c):
+    """A parameter that is stated as a column expression over numbers."""
+    return spark.range(1).select(c.alias("x")).first().x
+
+
+def plan(spark: SparkSession, n: int, width: int, kind: str, nlist: int = 16_384, m: int = 16, bits: int = 8) -> tuple[str, int, int]:
+    """(kind, lists, m) of an index over n training vectors: 'flat' where they are too few for lists or codes."""
+    if kind == "ivfpq":
+        p = _value(spark, ivf_plan(n, width, nlist, m, bits))
+        return p.kind, p.nlist, p.m
+    lists = 0 if kind == "flat" or n < 256 else _value(spark, effective_nlist(n, nlist))
+    return (kind, lists, 0) if lists else ("flat", 0, 0)
+
+
+def train(sample: DataFrame, width: int, kind: str = "ivfpq", nlist: int = 16_384, m: int = 16, bits: int = 8, rounds: int = 12, most: int = 50_000, seed: int = 314159, forced: bool = False) -> Model:
     """Fit the index on a sample (id, v) of at most most rows, which reach the driver; every row is indexed later.
 
-    Falls back to 'flat' where the sample is smaller than the lists, or than the codes need.
+    The number of lists and the width of the codes follow from the sample's size (plan); with forced they are as given,
+    as long as the sample has a row for each list and code.
     """
     if kind == "flat":
         return Model("flat", width)
@@ -79,7 +98,14 @@ def train(sample: DataFrame, width: int, kind: str = "ivfpq", nlist: int = 64, m
     x = np.asarray(rows.v.tolist(), np.float64).reshape(-1, width)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(seed)
-    if len(x) < nlist or (kind == "ivfpq" and len(x) < (1 << bits)) or width % m:
+    spark = sample.sparkSession
+    if forced:
+        m = _value(spark, safe_pq_m(width, m))
+        if len(x) < nlist or (kind == "ivfpq" and len(x) < (1 << bits)):
+            kind = "flat"
+    else:
+        kind, nlist, m = plan(spark, len(x), width, kind, nlist, m, bits)
+    if kind == "flat":
         return Model("flat", width)
     cent = _means(x, nlist, rounds, rng, True)
     if kind in ("ivf", "hnsw"):
@@ -125,44 +151,132 @@ def encode(assigned: DataFrame, model: Model) -> DataFrame:
     return assigned.select("id", "v", "list").mapInArrow(run, "id long, list int, code binary")
 
 
-def decode(codes: DataFrame, model: Model) -> DataFrame:
-    """(id, v, list): the vectors that the codes stand for."""
-    cent, book = model.centroids, model.codebook
+def _code_blocks(width: int, m: int):
+    """(grp, ids, codes) from rows (id, code, grp) that come sorted by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            if rb.num_rows:
-                code = np.frombuffer(b"".join(rb.column(2).to_pylist()), np.uint8).reshape(-1, len(book))
-                x = cent[rb.column(1).to_numpy()] + np.concatenate([book[i][code[:, i]] for i in range(len(book))], 1)
-                flat = pa.array(x.astype(np.float32).ravel())
-                at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
-                yield pa.RecordBatch.from_arrays([rb.column(0), pa.ListArray.from_arrays(at, flat), rb.column(1)], names=["id", "v", "list"])
+            if not rb.num_rows:
+                continue
+            ids, group = rb.column(0).to_numpy(), rb.column(2).to_numpy()
+            code = np.frombuffer(b"".join(rb.column(1).to_pylist()), np.uint8).reshape(-1, m)
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(ids)]]), strict=True):
+                for s in range(a, b, BLOCK):
+                    e = min(b, s + BLOCK)
+                    yield pa.RecordBatch.from_arrays([pa.array([group[s]], pa.int32()), pa.array([ids[s:e].tobytes()]), pa.array([code[s:e].tobytes()])], names=["grp", "ci", "cc"])
+
+    return run
+
+
+def _by_tables(model: Model, k: int):
+    """(qid, id, score) of the k best codes of each pair of blocks (list, query ids, query vectors, ids, codes).
+
+    A query's products with all entries of the codebook are worked out once a block; a code's score is the product with
+    its list's centre and a sum of looked-up products.
+    """
+    cent, book, width = model.centroids, model.codebook, model.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for g, qi, qm, ci, cc in zip(*(rb.column(c).to_pylist() for c in range(5)), strict=True):
+                q, ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
+                x = np.frombuffer(qm, np.float64).reshape(-1, width)
+                code = np.frombuffer(cc, np.uint8).reshape(len(ids), len(book))
+                look = np.einsum("qmd,mcd->qmc", x.reshape(len(q), len(book), -1), book)
+                score = np.repeat((x @ cent[g])[:, None], len(ids), 1)
+                for i in range(len(book)):
+                    score += look[:, i][:, code[:, i]]
+                best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+                r = np.repeat(np.arange(len(q)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(ids[best.ravel()]), pa.array(score[r, best.ravel()])], names=["qid", "id", "score"])
+
+    return run
+
 
-    return codes.select("id", "list", "code").mapInArrow(run, "id long, v array<float>, list int")
+def _topk_in_codes(q: DataFrame, codes: DataFrame, model: Model, k: int) -> DataFrame:
+    rows = codes.select("id", "code", F.col("list").alias("g")).repartition("g", F.pmod(F.xxhash64("id"), F.lit(SPLITS))).sortWithinPartitions("g", "id")
+    blocks = rows.mapInArrow(_code_blocks(model.width, model.m), "grp int, ci binary, cc binary")
+    met = packed(q, model.width, "list").select("grp", F.col("ids").alias("qi"), F.col("m").alias("qm")).join(blocks, "grp").select("grp", "qi", "qm", "ci", "cc")
+    return first_k(met.mapInArrow(_by_tables(model, k), "qid long, id long, score double"), k, "rank", "qid", F.desc("score"), "id")
 
 
-def search(queries: DataFrame, indexed: DataFrame, model: Model, k: int, nprobe: int = 8, rerank: DataFrame | None = None, wider: int = 4) -> DataFrame:
+def rescored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, id, score) of pairs (qid, id), by the cosine of the stored vectors (id, v)."""
+    both = pairs.select("qid", "id").join(vectors.select("id", F.col("v").alias("cv")), "id").join(queries.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
+    return both.select("qid", "id", F.round(cosine(F.col("qv"), F.col("cv")), 9).alias("score"))
+
+
+def probes_of(spark: SparkSession, model: Model, nprobe: int | None = None) -> int:
+    """Lists that a question probes: pick_nprobe of the number of lists, or of what is asked for."""
+    return _value(spark, pick_nprobe(model.nlist, nprobe))
+
+
+def search(queries: DataFrame, indexed: DataFrame, model: Model, k: int, nprobe: int | None = None, rerank: DataFrame | None = None, wider: int = 4, edges: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): up to k neighbours of each query (id, v) from the lists it probes.
 
     indexed: (id, v, list), or (id, list, code). With codes, rerank (id, v) scores the wider times k best by their codes
-    on the stored vectors. The kind 'hnsw' probes four times as many lists.
+    on the stored vectors. A graph (edges) is followed from the best of the nearest lists, see follow.
     """
     if model.kind == "flat":
         return topk(queries, indexed.select("id", "v"), k, model.width)
-    probes = min(model.nlist, nprobe * (4 if model.kind == "hnsw" else 1))
-    q = assign(queries, model, probes)
-    rows = decode(indexed, model) if "code" in indexed.columns else indexed
+    if model.kind == "hnsw" and edges is not None:
+        return follow(queries, indexed, edges, model, k)
+    q = assign(queries, model, min(model.nlist, probes_of(queries.sparkSession, model, nprobe)))
+    if "code" not in indexed.columns:
+        return topk_in_lists(q, indexed, k, model.width)
     if rerank is None:
-        return topk_in_lists(q, rows, k, model.width)
-    from pyspark.sql import Window
+        return _topk_in_codes(q, indexed, model, k)
+    rough = _topk_in_codes(q, indexed, model, k * wider)
+    return first_k(rescored(rough, queries, rerank), k, "rank", "qid", F.desc("score"), "id")
 
-    from tesserae.functions.text import cosine
 
-    rough = topk_in_lists(q, rows, k * wider, model.width).select("qid", "id")
-    pairs = rough.join(rerank.select("id", F.col("v").alias("cv")), "id").join(queries.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
-    score = F.round(cosine(F.col("qv"), F.col("cv")), 9)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return pairs.select("qid", "id", score.alias("score")).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+#: Lists in which a graph looks for the neighbours of a vector.
+AROUND = 8
+
+
+def graph(rows: DataFrame, model: Model, links: int = 16) -> DataFrame:
+    """(id, to): for each vector (id, v, list) its links nearest in the lists around it, and back.
+
+    The lowest layer of a navigable graph; the centroids above it are the layer from which searches go down.
+    """
+    near = topk_in_lists(assign(rows.select("id", "v"), model, min(AROUND, model.nlist)), rows, links, model.width, skip_self=True)
+    out = near.select(F.col("qid").alias("id"), F.col("id").alias("to"), "score")
+    both = out.unionByName(near.select("id", F.col("qid").alias("to"), "score")).dropDuplicates(["id", "to"])
+    return first_k(both, 2 * links, "n", "id", F.desc("score"), "to").select("id", "to")
+
+
+def follow(queries: DataFrame, rows: DataFrame, edges: DataFrame, model: Model, k: int, ef: int = 64, steps: int = 4) -> DataFrame:
+    """(qid, id, score, rank): k neighbours found along a graph's edges, for all queries at once.
+
+    The beam of a query are the ef best rows known; it begins with those of its two nearest lists. Each step looks at
+    the neighbours of the beam's new rows; a query whose beam has no new row is done.
+    """
+    vectors = rows.select("id", "v")
+    beam = materialize(topk_in_lists(assign(queries, model, min(2, model.nlist)), rows, ef, model.width).select("qid", "id", "score", F.lit(True).alias("new")))
+    for _ in range(steps):
+        reached = beam.where("new").join(edges, "id").select("qid", F.col("to").alias("id")).distinct().join(beam.select("qid", "id"), ["qid", "id"], "left_anti")
+        grown = beam.withColumn("new", F.lit(False)).unionByName(rescored(reached, queries, vectors).withColumn("new", F.lit(True)))
+        beam = materialize(first_k(grown, ef, "rank", "qid", F.desc("score"), "id").drop("rank"))
+        if not beam.where("new").limit(1).count():
+            break
+    return first_k(beam.drop("new"), k, "rank", "qid", F.desc("score"), "id")
+
+
+def share_scored(queries: DataFrame, rows: DataFrame, model: Model, nprobe: int | None = None) -> DataFrame:
+    """(share): the part of the rows (id, list) that the lists which a query probes hold, on average."""
+    if model.kind == "flat":
+        return queries.sparkSession.range(1).select(F.lit(1.0).alias("share"))
+    n = rows.groupBy("list").agg(F.count("*").alias("n"))
+    met = assign(queries, model, min(model.nlist, 2 if model.kind == "hnsw" else probes_of(queries.sparkSession, model, nprobe))).join(n, "list", "left")
+    per = met.agg(F.sum(F.coalesce("n", F.lit(0))).alias("met"), F.count_distinct("id").alias("q"))
+    return per.crossJoin(n.agg(F.sum("n").alias("all"))).select(F.round(F.col("met") / (F.col("q") * F.col("all")), 6).alias("share"))
+
+
+def indexed_rows(vectors: DataFrame, model: Model) -> DataFrame:
+    """The rows of an index over vectors (id, v): (id, v, list), or (id, list, code) where the model has codes."""
+    rows = assign(vectors, model)
+    return encode(rows, model) if model.m else rows
 
 
 def add(indexed: DataFrame, new: DataFrame) -> DataFrame:
@@ -174,16 +288,27 @@ def remove(indexed: DataFrame, ids: DataFrame) -> DataFrame:
     return indexed.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def save(indexed: DataFrame, model: Model, path: str, version: int = 1) -> None:
-    """Write an index under path/v{version}; the data first, then the row that says it is complete."""
+def save(indexed: DataFrame, model: Model, path: str, version: int = 1, edges: DataFrame | None = None) -> None:
+    """Write an index under path/v{version}; the data first, then the row that says it is complete.
+
+    Rows lie by ranges of lists, so that a probe reads few files and no list is spread over many.
+    """
     spark = indexed.sparkSession
     at = f"{path}/v{version}"
-    indexed.write.mode("overwrite").partitionBy("list").parquet(f"{at}/vectors")
+    indexed.withColumn("part", F.shiftright("list", 6)).repartition("part").sortWithinPartitions("part", "list").write.mode("overwrite").partitionBy("part").parquet(f"{at}/vectors")
     for name, x in (("centroids", model.centroids), ("codebook", model.codebook)):
         if x is not None:
             spark.createDataFrame([(i, row.ravel().tolist()) for i, row in enumerate(x)], "n int, x array<double>").coalesce(1).write.mode("overwrite").parquet(f"{at}/{name}")
-    n = spark.read.parquet(f"{at}/vectors").count()
-    spark.createDataFrame([(model.kind, model.width, model.nlist, model.m, "inner_product", n)], "kind string, width int, nlist int, m int, metric string, ntotal long").coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
+    if edges is not None:
+        edges.write.mode("overwrite").parquet(f"{at}/edges")
+    n = spark.read.schema(indexed.schema).parquet(f"{at}/vectors").count()
+    row = (model.kind, model.width, model.nlist, model.m, "inner_product", n, edges is not None, "code" in indexed.columns)
+    spark.createDataFrame([row], "kind string, width int, nlist int, m int, metric string, ntotal long, graph boolean, codes boolean").coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
+
+
+def exists(spark: SparkSession, path: str, version: int = 1) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}/meta/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def load(spark: SparkSession, path: str, version: int = 1) -> tuple[DataFrame, Model]:
@@ -198,7 +323,19 @@ def load(spark: SparkSession, path: str, version: int = 1) -> tuple[DataFrame, M
 
     cent = small("centroids") if meta.nlist else None
     book = small("codebook").reshape(meta.m, -1, meta.width // meta.m) if meta.m else None
-    return spark.read.parquet(f"{at}/vectors"), Model(meta.kind, meta.width, cent, book)
+    schema = "id long, list int, code binary" if meta.codes else "id long, v array<float>, list int"
+    return spark.read.schema(schema).parquet(f"{at}/vectors"), Model(meta.kind, meta.width, cent, book)
+
+
+def load_or_create(spark: SparkSession, path: str, width: int, version: int = 1) -> tuple[DataFrame, Model]:
+    """A saved index, or an empty flat one, which is saved as well, where there is none."""
+    if not exists(spark, path, version):
+        save(spark.createDataFrame([], "id long, v array<float>, list int"), Model("flat", width), path, version)
+    return load(spark, path, version)
+
+
+def load_edges(spark: SparkSession, path: str, version: int = 1) -> DataFrame | None:
+    return spark.read.parquet(f"{path}/v{version}/edges") if spark.read.parquet(f"{path}/v{version}/meta").first().graph else None
 
 
 def describe(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
@@ -209,6 +346,3 @@ def describe(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(recall): the share of the true pairs (qid, id) that were found."""
     return truth.select("qid", "id").join(found.select("qid", "id").distinct().withColumn("hit", F.lit(1)), ["qid", "id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
-
-
-__all__ = ["Model", "add", "assign", "decode", "describe", "encode", "load", "packed", "recall", "remove", "save", "search", "train", "training_sample"]

@@ -41,12 +41,19 @@ def _pack(width: int):
     return run
 
 
+#: Tasks that pack one list, so that a crowded list is packed by several.
+SPLITS = 16
+
+
 def packed(df: DataFrame, width: int, group: str | None = None) -> DataFrame:
-    """(grp int, ids binary, m binary): rows (id, v) in blocks, by group if one is named."""
+    """(grp int, ids binary, m binary): rows (id, v) in blocks, by group if one is named.
+
+    A group is dealt to several tasks by its ids and a block holds BLOCK rows at most, so a large group is many rows.
+    """
     g = F.col(group).cast("int") if group else F.lit(0)
     rows = df.select("id", "v", g.alias("g"))
     if group:
-        rows = rows.repartition("g").sortWithinPartitions("g")
+        rows = rows.repartition("g", F.pmod(F.xxhash64("id"), F.lit(SPLITS))).sortWithinPartitions("g")
     return rows.mapInArrow(_pack(width), "grp int, ids binary, m binary")
 
 

@@ -1,4 +1,4 @@
-"""Index queries: training, lists, codes, and how much of the exact answer they find."""
+"""Index queries: training, lists, codes, graphs, and how much of the exact answer they find."""
 
 from __future__ import annotations
 
@@ -8,49 +8,66 @@ from pyspark.sql import functions as F
 from tesserae.operators import index
 from tesserae.operators.vectors import topk
 from tesserae.plans.retrieval import WIDTH, chunk_vectors
-from tesserae.session import table
+from tesserae.session import materialize, table
 
-NLIST, M, K, PROBES = 16, 16, 10, 8
+M, K = 16, 10
 #: Vectors that an index is fitted on; all are indexed.
 SAMPLE = 20_000
+EXPECTED = 5
 
 
 def train_sample(spark: SparkSession, base: str) -> DataFrame:
     """The training sample: some of each paper's passages, chosen by hash."""
     papers_of = table(spark, base, "chunks").select(F.col("chunk_id").alias("id"), "paper_id")
-    return index.training_sample(chunk_vectors(spark, base), papers_of, SAMPLE, 5).select("id")
+    return index.training_sample(chunk_vectors(spark, base), papers_of, SAMPLE, EXPECTED).select("id")
+
+
+def train_sample_counts(spark: SparkSession, base: str) -> DataFrame:
+    """(paper_id, n): how many of each paper's vectors were chosen, as long as all that the cap leaves fit the sample."""
+    papers_of = table(spark, base, "chunks").select(F.col("chunk_id").alias("id"), "paper_id")
+    v = chunk_vectors(spark, base).select("id", "v")
+    return index.training_sample(v, papers_of, 1 << 30, 1 << 26).join(papers_of, "id").groupBy("paper_id").agg(F.count("*").alias("n"))
 
 
 def _trained(spark: SparkSession, base: str, kind: str) -> tuple[DataFrame, DataFrame, index.Model]:
     v = chunk_vectors(spark, base)
     papers_of = table(spark, base, "chunks").select(F.col("chunk_id").alias("id"), "paper_id")
-    model = index.train(index.training_sample(v, papers_of, SAMPLE, 5), WIDTH, kind, NLIST, M)
+    model = index.train(index.training_sample(v, papers_of, SAMPLE, EXPECTED), WIDTH, kind, m=M)
     return v, v.where("id % 50 = 0"), model
 
 
 def ivf_topk(spark: SparkSession, base: str) -> DataFrame:
+    """10 neighbours from inverted lists."""
     v, q, model = _trained(spark, base, "ivf")
-    return index.search(q, index.assign(v, model), model, K, PROBES)
+    return index.search(q, index.assign(v, model), model, K)
 
 
 def hnsw_topk(spark: SparkSession, base: str) -> DataFrame:
+    """10 neighbours along a graph."""
     v, q, model = _trained(spark, base, "hnsw")
-    return index.search(q, index.assign(v, model), model, K, PROBES)
+    rows = materialize(index.assign(v, model))
+    return index.search(q, rows, model, K, edges=materialize(index.graph(rows, model)) if model.nlist else None)
 
 
 def ivfpq_topk(spark: SparkSession, base: str) -> DataFrame:
-    v, q, model = _trained(spark, base, "ivfpq")
-    rows = index.assign(v, model)
-    return index.search(q, index.encode(rows, model) if model.m else rows, model, K, PROBES, rerank=v if model.m else None)
+    """10 neighbours by codes, the best 80 rescored; codes are trained however few vectors there are."""
+    v = chunk_vectors(spark, base)
+    papers_of = table(spark, base, "chunks").select(F.col("chunk_id").alias("id"), "paper_id")
+    lists = max(8, min(4096, v.count() // 64))
+    model = index.train(index.training_sample(v, papers_of, SAMPLE, EXPECTED), WIDTH, "ivfpq", lists, M, forced=True)
+    return index.search(v.where("id % 50 = 0"), index.indexed_rows(v, model), model, K, rerank=v if model.m else None, wider=8)
 
 
 def index_recall(spark: SparkSession, base: str) -> DataFrame:
-    """(kind, recall) of 10 against the exact 10."""
+    """(kind, recall, share): how many of the exact 10 were found, and the part of all vectors in the lists looked at."""
     v = chunk_vectors(spark, base)
-    exact = topk(v.where("id % 50 = 0"), v, K, WIDTH)
+    q = v.where("id % 50 = 0")
+    exact = materialize(topk(q, v, K, WIDTH))
     out = None
     for kind, f in (("ivf", ivf_topk), ("hnsw", hnsw_topk), ("ivfpq", ivfpq_topk)):
-        r = index.recall(f(spark, base), exact).select(F.lit(kind).alias("kind"), "recall")
+        _, _, model = _trained(spark, base, "hnsw" if kind == "hnsw" else "ivf")
+        share = index.share_scored(q, index.assign(v, model).select("id", "list"), model)
+        r = index.recall(f(spark, base), exact).crossJoin(share).select(F.lit(kind).alias("kind"), "recall", "share")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -61,5 +78,7 @@ def kmeans_lists(spark: SparkSession, base: str) -> DataFrame:
     return index.assign(v, model).groupBy("list").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (train_sample, ivf_topk, hnsw_topk, ivfpq_topk, index_recall, kmeans_lists)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (train_sample, train_sample_counts, ivf_topk, hnsw_topk, ivfpq_topk, index_recall, kmeans_lists)}
+ORACLE: dict[str, str] = {
+    "train_sample_counts": "SELECT paper_id, least(count(*), 16) AS n FROM (SELECT DISTINCT id FROM vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0) v JOIN chunks c ON c.chunk_id = v.id GROUP BY paper_id",
+}

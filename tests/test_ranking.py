@@ -109,15 +109,31 @@ def test_exact_and_approximate_search(spark, tmp_path):
     first = exact.orderBy("qid", "rank").collect()[:10]
     i = (first[0].qid - 3) // 7
     assert [r.id for r in first] == [int(j) * 7 + 3 for j in np.argsort(-(u[i] @ u.T), kind="stable")[:10]]
-    for kind, probes, least in (("ivf", 1, 0.1), ("ivf", 12, 0.9), ("hnsw", 4, 0.9), ("ivfpq", 16, 0.9)):
-        model = index.train(df, 32, kind, nlist=16, m=16)
+    for kind, nlist, probes, least in (("ivf", 16, 1, 0.1), ("ivf", 16, 12, 0.9), ("hnsw", 64, None, 0.9), ("ivfpq", 16, 16, 0.9)):
+        model = index.train(df, 32, kind, nlist=nlist, m=16, forced=True)
         rows = index.assign(df, model)
-        found = index.search(q, index.encode(rows, model) if model.m else rows, model, 10, probes, rerank=df if model.m else None, wider=5)
+        edges = index.graph(rows, model).cache() if kind == "hnsw" else None
+        found = index.search(q, index.indexed_rows(df, model), model, 10, probes, rerank=df if model.m else None, wider=5, edges=edges)
         assert index.recall(found, exact).first().recall >= least, kind
+        if edges is not None:
+            assert edges.groupBy("id").count().agg(F.max("count")).first()[0] <= 32 and edges.where("id = to").count() == 0
+            index.save(rows, model, str(tmp_path / "graph"), edges=edges)
+            assert index.load_edges(spark, str(tmp_path / "graph")).count() == edges.count()
+    # codes alone are scored by look-up as the vectors that they stand for are
+    codes = index.indexed_rows(df, model)
+    rough = index.search(q.limit(3), codes, model, 5, 16).collect()
+    code = {r.id: (r.list, list(r.code)) for r in codes.collect()}
+    for r in rough:
+        at, c = code[r.id]
+        stands = model.centroids[at] + np.concatenate([model.codebook[i][x] for i, x in enumerate(c)])
+        assert abs(r.score - float(u[(r.qid - 3) // 7] @ stands)) < 1e-6
+    assert index.plan(spark, 3000, 32, "ivfpq")[0] == "flat" and index.plan(spark, 3000, 32, "ivf") == ("ivf", 219, 0) and index.plan(spark, 100, 32, "hnsw")[0] == "flat"
     index.save(index.encode(rows, model), model, str(tmp_path / "ix"))
     back, again = index.load(spark, str(tmp_path / "ix"))
     assert again.kind == "ivfpq" and np.allclose(again.codebook, model.codebook) and back.count() == 3000
     assert index.describe(spark, str(tmp_path / "ix")).first().ntotal == 3000
     assert index.add(df, df.limit(5)).count() == 3000 and index.remove(df, df.limit(5)).count() == 2995
-    assert index.train(df.limit(10), 32, "ivfpq", nlist=16, m=16).kind == "flat"
+    assert index.train(df.limit(10), 32, "ivfpq", nlist=16, m=16, forced=True).kind == "flat"
     assert index.search(q.limit(1), df, index.Model("flat", 32), 3).count() == 3
+    empty, flat = index.load_or_create(spark, str(tmp_path / "new"), 32)
+    assert empty.count() == 0 and flat.kind == "flat" and index.search(q.limit(1), empty, flat, 3).count() == 0
