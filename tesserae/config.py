@@ -6,8 +6,11 @@ import os
 import socket
 import sys
 import time
+from collections.abc import Mapping
 from dataclasses import dataclass
 
+from tesserae.sources.shared import SharedFiles
+
 
 @dataclass(frozen=True)
 class BuildConfig:
@@ -20,6 +23,7 @@ class BuildConfig:
     update: bool = False
     writer: bool = True
     on_duplicate: str = "first"
+    index: str = "ivfpq"
     target_chars: int = 1200
     short_chars: int = 300
     overlap_chars: int = 200
@@ -37,6 +41,8 @@ class BuildConfig:
             raise ValueError("the consumer must be the writer")
         if self.on_duplicate not in ("first", "append"):
             raise ValueError(f"no such choice: {self.on_duplicate}")
+        if self.index not in ("flat", "ivf", "ivfpq"):
+            raise ValueError(f"no such index: {self.index}")
         if not 0 <= self.overlap_chars < self.target_chars:
             raise ValueError("the overlap must be shorter than a passage")
         return self
@@ -81,29 +87,44 @@ def question_text(flag_file: str | None, argument: str | None) -> str:
 
 
 class WriterGuard:
-    """One writer of a store at a time: a file that only one process can create. It is never taken from another host."""
+    """One writer of a store at a time: a file of the store's file system that only one process can create.
+
+    It holds process, host and time, and is never taken from another host; from this one if its process is gone.
+    """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, shared: SharedFiles):
+        self.path, self.shared = path, shared
 
     def __enter__(self) -> WriterGuard:
-        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
-        try:
-            fd = os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError:
-            with open(self.path) as f:
-                pid, host, _ = [*f.read().split(), "", "", ""][:3]
-            if host == socket.gethostname() and pid.isdigit() and not os.path.exists(f"/proc/{pid}"):
-                os.unlink(self.path)  # its process is gone
-                return self.__enter__()
-            raise RuntimeError(f"{host} {pid} is writing") from None
-        with os.fdopen(fd, "w") as f:
-            f.write(f"{os.getpid()} {socket.gethostname()} {int(time.time())}")
-        return self
+        for _ in range(2):
+            if self.shared.create_new(self.path, f"{os.getpid()} {socket.gethostname()} {int(time.time())}"):
+                return self
+            pid, host, _ = [*(self.shared.text(self.path) or "").split(), "", "", ""][:3]
+            if host != socket.gethostname() or not pid.isdigit() or os.path.exists(f"/proc/{pid}"):
+                break
+            self.shared.delete(self.path)  # its process is gone
+        raise RuntimeError(f"{host} {pid} is writing")
 
     def __exit__(self, *_) -> None:
-        if os.path.exists(self.path):
-            os.unlink(self.path)
+        self.shared.delete(self.path)
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Where things are: the store, the archives, and the vocabulary of a model, each given, else named by the
+    environment (TESSERAE_STORE, TESSERAE_ARCHIVES, TESSERAE_MODELS), else under home (TESSERAE_HOME, else the working directory)."""
+
+    home: str = ""
+    store: str = ""
+    archives: str = ""
+    models: str = ""
+
+    @classmethod
+    def of(cls, env: Mapping[str, str] | None = None, **given: str | None) -> Paths:
+        env = os.environ if env is None else env
+        home = given.get("home") or env.get("TESSERAE_HOME") or os.getcwd()
+        pick = lambda name: given.get(name) or env.get(f"TESSERAE_{name.upper()}") or f"{home.rstrip('/')}/{name}"
+        return cls(home, pick("store"), pick("archives"), pick("models"))
 
 
 def human_bytes(n: float) -> str:

@@ -46,4 +46,4 @@ def build_store(articles: DataFrame, config: BuildConfig = BuildConfig()) -> Sto
     owners = owners.groupBy("key").agg(F.min("paper_id").alias("paper_id"))
     keys = good.select("doc_id", "size", "mtime", F.posexplode(F.array(F.concat(F.lit("d"), "doc_id"), F.when(F.col("pmcid") != "", F.concat(F.lit("c"), "pmcid")), F.when(F.col("pmid") != "", F.concat(F.lit("p"), "pmid")))).alias("n", "key")).where("key IS NOT NULL")
     files = keys.join(owners, "key").groupBy("doc_id", "size", "mtime").agg(F.min_by("paper_id", "n").alias("paper_id")).select(F.col("doc_id").alias("path"), "size", "mtime", "paper_id")
-    return Store(papers, chunks, files, all_.where(F.col("article").isNull()).select("tar", "member", "doc_id"))
+    return Store(papers, chunks, files, all_.where(F.col("article").isNull()).select("tar", "member", "doc_id", "fault" if "fault" in all_.columns else F.lit(None).cast("string").alias("fault")))

@@ -324,7 +324,7 @@ def load(spark: SparkSession, path: str, version: int = 1) -> tuple[DataFrame, M
     cent = small("centroids") if meta.nlist else None
     book = small("codebook").reshape(meta.m, -1, meta.width // meta.m) if meta.m else None
     schema = "id long, list int, code binary" if meta.codes else "id long, v array<float>, list int"
-    return spark.read.schema(schema).parquet(f"{at}/vectors"), Model(meta.kind, meta.width, cent, book)
+    return spark.read.schema(schema).parquet(f"{at}/vectors").drop("part"), Model(meta.kind, meta.width, cent, book)
 
 
 def load_or_create(spark: SparkSession, path: str, width: int, version: int = 1) -> tuple[DataFrame, Model]:

@@ -5,6 +5,8 @@ All are windows over batches of questions; every ranked list counts from 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,12 +93,14 @@ def search_passages(
     force_global: bool = False,
     widen: str = "candidates",
     backend: Backend | None = None,
+    find: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """(qid, chunk_id, paper_id, pos): the passages for each question.
 
     questions: qid, terms. query_vectors and vectors: id, v. shortlist: qid, paper_id. The vectors are searched once, as
     widely as the second widening would; its narrower steps are ranges of that list. widen: whether widened passages
-    must be of shortlisted papers ('candidates') or may be of any ('global'). A question whose vector search finds
+    must be of shortlisted papers ('candidates') or may be of any ('global'). find(query_vectors, k) answers from an
+    index; without it all vectors are searched. A question whose vector search finds
     nothing has no passages at all, lexical ones included.
     """
     wide = max(k * overshoot, 100)
@@ -104,7 +108,8 @@ def search_passages(
     keys = chunks.select("chunk_id", "paper_id")
     shortlist = materialize(shortlist.select("qid", "paper_id"))
     scope = materialize(scopes(questions, shortlist, chunks, threshold, force_global))
-    found = topk(query_vectors, vectors, steps[-1], width).select("qid", F.col("id").alias("chunk_id"), "rank").join(keys, "chunk_id")
+    nearest = find(query_vectors, steps[-1]) if find else topk(query_vectors, vectors, steps[-1], width)
+    found = nearest.select("qid", F.col("id").alias("chunk_id"), "rank").join(keys, "chunk_id")
     cand = shortlist.select("qid", "paper_id").distinct().withColumn("listed", F.lit(True))
     found = found.join(scope, "qid").join(cand, ["qid", "paper_id"], "left")
     found = found.withColumn("fits", (F.col("ann_scope") == "global") | F.col("listed").isNotNull()).select("qid", "chunk_id", "paper_id", "rank", "fits")

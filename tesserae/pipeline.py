@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +14,15 @@ from tesserae.config import BuildConfig, QueryConfig, WriterGuard
 from tesserae.functions import citations
 from tesserae.functions.parameters import top_papers
 from tesserae.functions.text import question_terms, rare_terms
-from tesserae.operators import ranking
+from tesserae.operators import index, ranking
 from tesserae.operators.build import Store, build_store
 from tesserae.operators.lexical import Backend, Lexical
-from tesserae.operators.store import backfill, first_wins, merge_children, merge_papers, to_process
-from tesserae.operators.vectors import usable
-from tesserae.sources.archives import read_articles, read_members
-from tesserae.sources.segments import build_step, read_shared_json, write_json, write_shared_json
+from tesserae.operators.store import backfill, first_wins, merge_children, merge_papers, merge_statistics, reconcile, resolve_segments, to_process, unresolved_segments
+from tesserae.operators.vectors import topk, usable
+from tesserae.session import materialize
+from tesserae.sources.archives import member_uri, read_articles, scan_archives
+from tesserae.sources.segments import build_step, finish, take_in, waiting, write_segments
+from tesserae.sources.shared import SharedFiles
 
 SCHEMAS = {
     "papers": "paper_id long, doc_id string, pmid string, pmcid string, title string, abstract string, in_index boolean",
@@ -28,48 +30,73 @@ SCHEMAS = {
     "files": "path string, size long, mtime double, paper_id long",
     "paper_vectors": "id long, embedding array<float>",
     "chunk_vectors": "id long, embedding array<float>",
-    "failures": "tar string, member string, doc_id string",
+    "failures": "tar string, member string, doc_id string, fault string",
 }
+INDEXES = ("paper", "chunk")
+#: Vectors that an index is fitted on at most, and vectors of a paper that are expected.
+SAMPLE, EXPECTED = 50_000, 20
 
 
 class Workspace:
-    """The store's directory: every table in numbered versions, a pointer to the current ones, one writer at a time."""
+    """The store's directory: tables and indexes in numbered versions, a pointer to the current one, one writer at a time.
+
+    A version is written whole before the pointer turns; the one before it stays for those who still read it, older
+    ones are deleted.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.shared = spark, path.rstrip("/"), SharedFiles(spark)
 
     @property
     def _pointer(self) -> str:
         return f"{self.path}/current.json"
 
     def guard(self) -> WriterGuard:
-        return WriterGuard(os.path.join(self.path, "writer.guard"))
+        return WriterGuard(f"{self.path}/writer.guard", self.shared)
 
     def read(self, name: str) -> DataFrame:
         """A table as of the last finished write; empty before the first."""
         v = self.meta().get("version")
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/v{v}/{name}") if v is not None else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def write(self, tables: dict[str, DataFrame], **meta) -> None:
-        """Write all tables of a new version, those not given as they are, then turn the pointer to it."""
+    def index(self, name: str, width: int) -> tuple[DataFrame, index.Model]:
+        """The rows and the model of an index; empty and flat before the first write."""
+        v = self.meta().get("version")
+        return index.load_or_create(self.spark, f"{self.path}/{name}_index", width, v if v is not None else 0)
+
+    def write(self, tables: dict[str, DataFrame], indexes: dict[str, tuple[DataFrame, index.Model]] | None = None, **meta) -> None:
+        """Write all tables and indexes of a new version, those not given as they are, then turn the pointer to it."""
         now = self.meta()
-        v = now.get("version", -1) + 1
+        old = now.get("version", -1)
+        v = old + 1
         for name in SCHEMAS:
             df = tables.get(name)
             (df if df is not None else self.read(name)).select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{v}/{name}")
-        write_shared_json(self.spark, self._pointer, now | meta | {"version": v})
+        for name in INDEXES:
+            at = f"{self.path}/{name}_index"
+            got = (indexes or {}).get(name) or (index.load(self.spark, at, old) if index.exists(self.spark, at, old) else None)
+            if got:
+                index.save(*got, at, v)
+        self.shared.write_json(self._pointer, now | meta | {"version": v})
+        for stale in range(max(0, now.get("kept", 0)), v - 1):
+            for at in (f"v{stale}", *(f"{n}_index/v{stale}" for n in INDEXES)):
+                self.shared.delete(f"{self.path}/{at}")
 
     def meta(self) -> dict:
-        return read_shared_json(self.spark, self._pointer)
+        return self.shared.read_json(self._pointer)
+
+    @property
+    def segments(self) -> str:
+        return f"{self.path}/segments"
 
     def wipe(self, confirm: Callable[[], bool], unread_segments: int = 0) -> bool:
         """Remove everything, if confirm says so; refused while segments of other machines wait."""
+        unread_segments = unread_segments or len(waiting(self.spark, self.segments))
         if unread_segments:
             raise RuntimeError(f"{unread_segments} segment files have not been taken in")
         if not confirm():
             return False
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.shared.delete(self.path)
         return True
 
 
@@ -79,48 +106,129 @@ def embed_missing(rows: DataFrame, vectors: DataFrame, key: str, text: str, embe
     return vectors.unionByName(embedder.encode(new, text, "embedding").select(F.col(key).alias("id"), "embedding"))
 
 
+def refresh_index(vectors: DataFrame, old: tuple[DataFrame, index.Model], papers_of: DataFrame, width: int, kind: str) -> tuple[DataFrame, index.Model]:
+    """An index of exactly the usable vectors (id, embedding): rows that are gone are removed, new ones added.
+
+    The old lists are kept while they fit; an index is trained anew when there is none yet, or when the plan for so many
+    vectors has another kind or more than twice its lists. papers_of: id, paper_id, for the training sample.
+    """
+    v = usable(vectors, "id", "embedding", width)
+    rows, model = old
+    n = v.count()
+    want, lists, _ = index.plan(v.sparkSession, min(n, SAMPLE), width, kind)
+    if want != model.kind or lists > 2 * model.nlist:
+        model = index.train(index.training_sample(v, papers_of, SAMPLE, EXPECTED), width, kind, most=SAMPLE)
+        return index.indexed_rows(v, model), model
+    gone = rows.select("id").join(v.select("id"), "id", "left_anti")
+    # a vector that was replaced has another value: its row is coded again
+    new = v.join(rows.select("id"), "id", "left_anti")
+    return index.add(index.remove(rows, gone), index.indexed_rows(new, model)), model
+
+
+def _indexed(ws: Workspace, tables: dict[str, DataFrame], width: int, kind: str, rebuild: bool, changed: DataFrame | None) -> dict[str, tuple[DataFrame, index.Model]]:
+    """Both indexes of the new tables, and in the tables the flags that say what the indexes hold."""
+    out = {}
+    for name, table, key in (("paper", "papers", "paper_id"), ("chunk", "chunks", "chunk_id")):
+        vectors = tables[f"{name}_vectors"] = materialize(tables[f"{name}_vectors"])
+        fresh = (ws.spark.createDataFrame([], "id long, v array<float>, list int"), index.Model("flat", width))
+        old = fresh if rebuild else ws.index(name, width)
+        if changed is not None and not rebuild:
+            ids = changed if name == "paper" else tables["chunks"].join(changed.withColumnRenamed("id", "paper_id"), "paper_id", "left_semi").select(F.col("chunk_id").alias("id"))
+            old = (index.remove(old[0], ids), old[1])
+        papers_of = vectors.select("id", F.col("id").alias("paper_id")) if name == "paper" else tables["chunks"].select(F.col("chunk_id").alias("id"), "paper_id")
+        rows, model = refresh_index(vectors, old, papers_of, width, kind)
+        out[name] = (materialize(rows), model)
+        tables[table] = reconcile(tables[table], out[name][0], key)
+    return out
+
+
+@dataclass(frozen=True)
+class Cycle:
+    """What a build did."""
+
+    members: int
+    parsed: int
+    failed: int
+    papers: int
+    chunks: int
+
+    @property
+    def chunks_a_paper(self) -> float:
+        return round(self.chunks / self.papers, 3) if self.papers else 0.0
+
+
+def cycle_statistics(store: Store) -> Cycle:
+    """Counts of one build: markup members seen, parsed and failed, papers accepted and passages made."""
+    one = lambda df, c: df.agg(c).first()[0] or 0
+    failed = one(store.failed, F.count("*"))
+    parsed = one(store.files, F.count("*"))
+    return Cycle(parsed + failed, parsed, failed, one(store.papers, F.count("*")), one(store.chunks.where("ord >= 0"), F.count("*")))
+
+
 def build(ws: Workspace, archives: list[str], embedder: Embedder | None = None, config: BuildConfig = BuildConfig()) -> Store:
     """Build the store from archives, or update it: members known with their size and time are not parsed again.
 
-    A changed member's paper, passages and vectors are replaced; ids of papers that stay do not change.
+    A changed member's paper, passages and vectors are replaced; ids of papers that stay do not change. A build that
+    stopped is taken up where it was: what is stored is known, the rest is not; with another number of shards than
+    before it starts anew. Every passage gets a vector, the title-and-abstract one as well; both indexes are brought up
+    to date and the flags follow them. A producer leaves its vectors as segments for the consumer, too.
     """
     config.validate()
     embedder = embedder or WordEmbedder()
     with ws.guard():
         step = build_step(ws.meta().get("build", {}), config.num_shards, config.role)
-        rebuild = config.rebuild or step == "fresh"
+        rebuild = config.rebuild or step in ("fresh", "reshard")
         known = ws.read("files")
-        heads = read_members(ws.spark, archives, content=False).withColumn("path", F.concat(F.lit("tar://"), "tar", F.lit("!/"), "member"))
+        heads = scan_archives(ws.spark, archives, content=False).where("fault IS NULL").withColumn("path", member_uri(F.col("tar"), F.col("member")))
         fresh = to_process(heads.select("path", "size", "mtime"), known, rebuild).select(F.col("path").alias("doc_id"))
-        store = build_store(read_articles(ws.spark, archives).join(fresh, "doc_id", "left_semi"), config)
+        found = read_articles(ws.spark, archives)
+        articles = found.where("fault IS NULL").join(fresh, "doc_id", "left_semi").unionByName(found.where("fault IS NOT NULL"))
+        store = build_store(articles, config)
         papers, chunks, files = store.papers, store.chunks, store.files
         pv, cv = (ws.spark.createDataFrame([], SCHEMAS[n]) for n in ("paper_vectors", "chunk_vectors"))
+        changed = None
         if not rebuild:
-            papers, chunks, files, pv, cv = _merged(ws, store)
+            papers, chunks, files, pv, cv, changed = _merged(ws, store)
         head = chunks.where("ord = -1").select("paper_id", "text")
         tables = {
             "paper_vectors": embed_missing(head, pv, "paper_id", "text", embedder),
-            "chunk_vectors": embed_missing(chunks.where("ord >= 0"), cv, "chunk_id", "text", embedder),
-            "papers": papers.withColumn("in_index", F.lit(True)),
-            "chunks": chunks.withColumn("in_index", F.col("ord") >= 0),
+            "chunk_vectors": embed_missing(chunks, cv, "chunk_id", "text", embedder),
+            "papers": papers,
+            "chunks": chunks,
             "files": files,
             "failures": store.failed,
         }
-        ws.write(tables, build={"num_shards": config.num_shards, "mode": config.role})
+        indexes = _indexed(ws, tables, embedder.width, config.index, rebuild, changed)
+        cycle = cycle_statistics(store)
+        if config.role == "producer":
+            _leave_segments(ws, tables)
+        ws.write(tables, indexes, build={"num_shards": config.num_shards, "mode": config.role}, cycle=vars(cycle) | {"chunks_a_paper": cycle.chunks_a_paper}, width=embedder.width)
     return store
 
 
+def _leave_segments(ws: Workspace, tables: dict[str, DataFrame]) -> None:
+    """A producer's vectors by documents and places, which hold on every machine."""
+    docs = tables["papers"].where("doc_id <> ''").select("paper_id", "doc_id")
+    for old in waiting(ws.spark, ws.segments):
+        ws.shared.delete(f"{ws.segments}/{old}")
+    write_segments(tables["paper_vectors"].join(docs, F.col("id") == F.col("paper_id")).select("doc_id", F.col("embedding").alias("vec")), ws.segments, "paper")
+    c = tables["chunks"].select("chunk_id", "paper_id", "ord").join(docs, "paper_id")
+    write_segments(tables["chunk_vectors"].join(c, F.col("id") == F.col("chunk_id")).select(F.col("doc_id").alias("paper_doc_id"), "ord", F.col("embedding").alias("vec")), ws.segments, "chunk")
+
+
 def _merged(ws: Workspace, new: Store) -> tuple[DataFrame, ...]:
-    """The store's rows and those of the new members: a paper known by doc_id, pmcid or pmid keeps its id and is replaced."""
+    """The store's rows and those of the new members: a paper known by pmcid, else by pmid, else by doc_id, keeps its id
+    and is replaced; and the ids (id) of those."""
     old_p, old_c, old_f = ws.read("papers"), ws.read("chunks"), ws.read("files")
 
     def keys(p: DataFrame) -> DataFrame:
-        return p.select("paper_id", F.explode(F.array(*[F.concat(F.lit(k), F.when(F.col(k) != "", F.col(k))) for k in ("doc_id", "pmcid", "pmid")])).alias("key")).where("key IS NOT NULL")
+        return p.select("paper_id", F.posexplode(F.array(*[F.concat(F.lit(k), F.when(F.col(k) != "", F.col(k))) for k in ("pmcid", "pmid", "doc_id")])).alias("n", "key")).where("key IS NOT NULL")
 
-    same = keys(new.papers).join(keys(old_p).select("key", F.col("paper_id").alias("old_id")), "key").groupBy("paper_id").agg(F.min("old_id").alias("old_id"))
+    match = keys(new.papers).join(keys(old_p).select("key", F.col("paper_id").alias("old_id")), "key")
+    same = match.groupBy("paper_id").agg(F.min(F.struct("n", "old_id")).alias("m")).select("paper_id", "m.old_id")
     top = old_p.agg(F.coalesce(F.max("paper_id"), F.lit(0)).alias("top"))
     ids = new.papers.select("paper_id").join(same, "paper_id", "left").crossJoin(F.broadcast(top)).select("paper_id", F.coalesce("old_id", F.col("paper_id") + F.col("top")).alias("to"))
-    ids = ids.groupBy("to").agg(F.min("paper_id").alias("paper_id"))
+    ids = materialize(ids.groupBy("to").agg(F.min("paper_id").alias("paper_id")))
     papers = new.papers.join(ids, "paper_id").withColumn("paper_id", F.col("to")).drop("to")
     chunks = new.chunks.join(ids, "paper_id").withColumns({"paper_id": F.col("to"), "chunk_id": F.shiftleft("to", 24) + F.col("ord") + 1}).drop("to")
     files = new.files.join(ids, "paper_id").withColumn("paper_id", F.col("to")).drop("to")
@@ -133,41 +241,92 @@ def _merged(ws: Workspace, new: Store) -> tuple[DataFrame, ...]:
         first_wins(old_f.withColumn("o", F.lit(1)).unionByName(files.withColumn("o", F.lit(0))), ["path"], "o", F.desc("mtime")).drop("o"),
         pv,
         cv,
+        gone.select(F.col("paper_id").alias("id")),
     )
 
 
-def mark_done(path: str, shard: int) -> None:
+def mark_done(spark: SparkSession, path: str, shard: int) -> None:
     """Say that a producer has written all of its shard."""
-    write_json(os.path.join(path, f"shard{shard}.done.json"), {"shard": shard})
+    SharedFiles(spark).write_json(f"{path}/shard{shard}.done.json", {"shard": shard})
 
 
-def wait_for(path: str, shards: int, timeout: float = 36_000, poll: float = 30) -> bool:
+def wait_for(spark: SparkSession, path: str, shards: int, timeout: float = 36_000, poll: float = 30) -> bool:
     """Wait until all producers are done; False after the timeout."""
-    end = time.time() + timeout
-    while not all(os.path.exists(os.path.join(path, f"shard{i}.done.json")) for i in range(shards)):
+    end, files = time.time() + timeout, SharedFiles(spark)
+    while not all(files.exists(f"{path}/shard{i}.done.json") for i in range(shards)):
         if time.time() >= end:
             return False
         time.sleep(poll)
     return True
 
 
-def consume(ws: Workspace, shards: list[Workspace]) -> None:
-    """Merge the stores that producers built, in their order: the first of an article stays, with its passages and vectors."""
+def take_segments(ws: Workspace, path: str, papers: DataFrame, chunks: DataFrame) -> tuple[DataFrame | None, DataFrame | None, list[str], dict]:
+    """(paper vectors, chunk vectors, names taken, report) of the segments that wait under path, by the store's documents."""
+    docs = papers.where("doc_id <> ''").groupBy("doc_id").agg(F.max("paper_id").alias("paper_id"))
+    n = docs.count()
+    p = take_in(ws.spark, path, "paper", lambda s: (s.join(docs, "doc_id").select(F.col("paper_id").alias("id"), F.col("vec").alias("embedding")), s.join(docs, "doc_id", "left_anti")), n)
+    c = take_in(ws.spark, path, "chunk", lambda s: (resolve_segments(s, papers, chunks).select(F.col("chunk_id").alias("id"), F.col("vec").alias("embedding")), unresolved_segments(s, papers, chunks)), n)
+    report = {"taken": len(p.taken + c.taken), "aside": len(p.aside + c.aside), "failed": p.failed | c.failed, "unresolved": p.unresolved + c.unresolved}
+    return p.rows, c.rows, p.taken + c.taken, report
+
+
+def consume(ws: Workspace, shards: list[Workspace], kind: str = "ivfpq") -> dict:
+    """Merge the stores that producers built, in their order: the first of an article stays, with its passages.
+
+    Vectors come from the producers' segments, by document and place; a segment of which nothing belongs here is set
+    aside. Gives what was taken of each shard, and of the segments; shards that cannot be read are left out and named.
+    """
     with ws.guard():
+        readable, lost = [], {}
+        for i, s in enumerate(shards):
+            try:
+                s.read("papers").limit(1).count()
+                readable.append((i, s))
+            except Exception as e:
+                lost[f"{i:08d}"] = str(e)[:500]
 
         def tagged(name: str) -> DataFrame:
             out = None
-            for i, s in enumerate(shards):
-                t = s.read(name).withColumn("shard", F.format_string("%08d", F.lit(i)))
+            for i, s in readable:
+                t = s.read(name).withColumn("shard", F.lit(f"{i:08d}"))
                 out = t if out is None else out.unionByName(t)
             return out
 
-        papers = merge_papers(tagged("papers"))
-        chunks = merge_children(tagged("chunks").withColumn("old_chunk", F.col("chunk_id")), papers, ["paper_id", "ord"]).withColumn("chunk_id", F.shiftleft("paper_id", 24) + F.col("ord") + 1)
-        files = merge_children(tagged("files"), papers, ["path"])
-        pv = tagged("paper_vectors").join(papers.select("shard", F.col("paper_id").alias("id"), "new_id"), ["shard", "id"]).select(F.col("new_id").alias("id"), "embedding")
-        cv = tagged("chunk_vectors").join(chunks.select("shard", F.col("old_chunk").alias("id"), "chunk_id"), ["shard", "id"]).select(F.col("chunk_id").alias("id"), "embedding")
-        ws.write({"papers": papers.withColumn("paper_id", F.col("new_id")), "chunks": chunks, "files": files, "paper_vectors": pv, "chunk_vectors": cv}, build={"num_shards": len(shards), "mode": "consumer"})
+        all_papers = tagged("papers")
+        merged = materialize(merge_papers(all_papers))
+        chunks = materialize(merge_children(tagged("chunks"), merged, ["paper_id", "ord"]).withColumn("chunk_id", F.shiftleft("paper_id", 24) + F.col("ord") + 1))
+        files = merge_children(tagged("files"), merged, ["path"])
+        papers = materialize(merged.withColumn("paper_id", F.col("new_id")))
+        statistics = {r.shard: {"rows": r.rows, "accepted": r.accepted} for r in merge_statistics(all_papers, merged).toLocalIterator()}
+        vectors: dict[str, list[DataFrame]] = {"paper": [], "chunk": []}
+        taken, reports, width = [], {}, 64
+        for i, s in readable:
+            p, c, names, report = take_segments(ws, s.segments, papers, chunks)
+            vectors["paper"] += [p] if p is not None else []
+            vectors["chunk"] += [c] if c is not None else []
+            taken.append((s, names))
+            reports[f"{i:08d}"] = report
+            width = s.meta().get("width", width)
+        tables = {"papers": papers, "chunks": chunks, "files": files}
+        for name, some in vectors.items():
+            union = ws.spark.createDataFrame([], SCHEMAS[f"{name}_vectors"])
+            for v in some:
+                union = union.unionByName(v)
+            tables[f"{name}_vectors"] = union.groupBy("id").agg(F.min("embedding").alias("embedding"))
+        indexes = _indexed(ws, tables, width, kind, True, None)
+        out = {"shards": statistics, "segments": reports, "unreadable": lost}
+        ws.write(tables, indexes, build={"num_shards": len(shards), "mode": "consumer"}, merge=out, width=width)
+        for s, names in taken:
+            finish(ws.spark, s.segments, names)
+    return out
+
+
+def _finder(ws: Workspace, name: str, vectors: DataFrame, width: int):
+    """Neighbours from an index, rescored on the stored vectors; exact where it is flat."""
+    rows, model = ws.index(name, width)
+    if model.kind == "flat":
+        return lambda q, k: topk(q, vectors, k, width)
+    return lambda q, k: index.search(q, rows, model, k, rerank=vectors if model.m else None)
 
 
 def ask(ws: Workspace, questions: DataFrame, embedder: Embedder | None = None, config: QueryConfig = QueryConfig(), model: ModelConfig = ModelConfig(), backend: Backend | None = None) -> tuple[DataFrame, DataFrame]:
@@ -181,8 +340,10 @@ def ask(ws: Workspace, questions: DataFrame, embedder: Embedder | None = None, c
     q = questions.select("qid", "question", rare_terms(question_terms("question")).alias("terms"))
     qv = usable(embedder.encode(questions, "question", "embedding").select(F.col("qid").alias("id"), "embedding"), "id", "embedding", width)
     n = config.top_papers or papers.agg(top_papers(F.count("*")).alias("n")).first().n
-    short = ranking.shortlist_papers(qv, pv, n, width)
-    found = ranking.search_passages(q, qv, short, chunks, papers, cv, config.top_chunks, width, config.overshoot, config.min_chunks_per_paper, config.per_paper_cap, Lexical(), config.allow_global_lexical, config.widen, backend)
+    short = _finder(ws, "paper", pv, width)(qv, n).withColumnRenamed("id", "paper_id")
+    found = ranking.search_passages(
+        q, qv, short, chunks, papers, cv, config.top_chunks, width, config.overshoot, config.min_chunks_per_paper, config.per_paper_cap, Lexical(), config.allow_global_lexical, config.widen, backend, _finder(ws, "chunk", cv, width)
+    )
     passages = ranking.hydrate(found, chunks, papers)
     return passages, ranking.pack_context(passages, questions, model.prompt or PROMPT, model.tokens, model.max_out, model.headroom)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.plans.store import _F, _NEW, _newest
 from tesserae.session import table
 from tesserae.streaming import windows
-from tesserae.streaming.ingest import VersionedTable, drain, file_stream, shared_folder
+from tesserae.streaming.ingest import VersionedTable, drain, ended, file_stream, shared_folder
 
 
 def _stream(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -24,24 +24,25 @@ def stream_ingest_update(spark: SparkSession, base: str) -> DataFrame:
     return t.read()
 
 
-def _windowed(spark: SparkSession, base: str, name: str, shape, mode: str) -> DataFrame:
+def _windowed(spark: SparkSession, base: str, name: str, shape) -> DataFrame:
+    """Windows in append mode: each is written once, when the watermark has passed it, and its state is dropped."""
     folder = shared_folder(spark, name)
-    s = shape(_stream(spark, base, "events"))
+    s = shape(ended(_stream(spark, base, "events"), "ts", folder))
     t = VersionedTable(spark, f"{folder}/table", s.schema)
-    drain(s, t.append_batch(), f"{folder}/checkpoint", mode)
+    drain(s, t.append_batch(), f"{folder}/checkpoint")
     return t.read()
 
 
 def stream_tumbling(spark: SparkSession, base: str) -> DataFrame:
-    return _windowed(spark, base, "tumbling", windows.tumbling, "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    return _windowed(spark, base, "tumbling", windows.tumbling).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 def stream_sliding(spark: SparkSession, base: str) -> DataFrame:
-    return _windowed(spark, base, "sliding", windows.sliding, "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    return _windowed(spark, base, "sliding", windows.sliding).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 def stream_sessions(spark: SparkSession, base: str) -> DataFrame:
-    return _windowed(spark, base, "sessions", windows.sessions, "complete").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "finish")})
+    return _windowed(spark, base, "sessions", windows.sessions).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "finish")})
 
 
 QUERIES = {f.__name__: f for f in (stream_ingest_update, stream_tumbling, stream_sliding, stream_sessions)}

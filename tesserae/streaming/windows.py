@@ -13,7 +13,7 @@ def tumbling(events: DataFrame, size: str = "1 day", late: str = "2 days") -> Da
 
 
 def sliding(events: DataFrame, size: str = "2 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(start, n, users): events and (approximately) users by overlapping windows."""
+    """(start, n): events by overlapping windows."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return e.groupBy(F.window("ts", size, step).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 

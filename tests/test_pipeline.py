@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae import pipeline
 from tesserae.config import BuildConfig, QueryConfig
+from tesserae.operators import index
+from tesserae.operators.vectors import topk, usable
 from tests.test_store import PARA, article, put
 
 
@@ -31,7 +34,12 @@ def test_build_update_ask(spark, tmp_path, archives):
     papers = {r.pmcid: r.paper_id for r in ws.read("papers").collect()}
     assert set(papers) == {"PMC1", "PMC2", "PMC3"} and papers.items() >= ids.items()
     assert ws.read("files").count() == 4 and ws.read("chunks").count() == ws.read("chunks").select("paper_id", "ord").distinct().count()
-    assert ws.read("chunk_vectors").count() == ws.read("chunks").where("ord >= 0").count()
+    # every passage has a vector, and the flags say what the indexes hold
+    assert ws.read("chunk_vectors").count() == ws.read("chunks").count() == ws.read("chunks").where("in_index").count()
+    assert {r.id for r in ws.index("chunk", 64)[0].collect()} == {r.chunk_id for r in ws.read("chunks").collect()} and ws.index("paper", 64)[0].count() == 3
+    assert ws.meta()["cycle"] == {"members": 2, "parsed": 2, "failed": 0, "papers": 2, "chunks": 2, "chunks_a_paper": 1.0}
+    pipeline.build(ws, [str(archives / "a.tar")], config=BuildConfig(update=True))
+    assert ws.meta()["cycle"]["members"] == 0 and ws.shared.names(ws.path) == ["chunk_index", "current.json", "paper_index", "v1", "v2"]
     q = spark.createDataFrame([(1, "How does CD4 let HIV enter?"), (2, "What is known of gefitinib resistance?")], "qid long, question string")
     passages, packed = pipeline.ask(ws, q, config=QueryConfig(top_papers=2, top_chunks=4, min_chunks_per_paper=0))
     first = {r.qid: r.paper_id for r in passages.where("pos = 0").collect()}
@@ -47,9 +55,31 @@ def test_producers_and_consumer(spark, tmp_path, archives):
     shards = [pipeline.Workspace(spark, str(tmp_path / f"s{i}")) for i in range(2)]
     for i, (s, a) in enumerate(zip(shards, "ab", strict=True)):
         pipeline.build(s, [str(archives / f"{a}.tar")], config=BuildConfig(role="producer", shard_id=i, num_shards=2))
-        pipeline.mark_done(str(tmp_path), i)
-    assert pipeline.wait_for(str(tmp_path), 2, timeout=1) and not pipeline.wait_for(str(tmp_path), 3, timeout=0.1, poll=0.1)
+        pipeline.mark_done(spark, str(tmp_path), i)
+    assert pipeline.wait_for(spark, str(tmp_path), 2, timeout=1) and not pipeline.wait_for(spark, str(tmp_path), 3, timeout=0.1, poll=0.1)
     ws = pipeline.Workspace(spark, str(tmp_path / "all"))
-    pipeline.consume(ws, shards)
+    with pytest.raises(RuntimeError):
+        shards[0].wipe(lambda: True)
+    got = pipeline.consume(ws, [*shards, pipeline.Workspace(spark, str(tmp_path / "none"))])
+    assert [s["accepted"] for s in got["shards"].values()] == [2, 1] and got["segments"]["00000001"]["unresolved"] == 3 and got["segments"]["00000000"]["taken"] == 2
+    assert ws.read("chunks").where("NOT in_index").count() == 0 and len(pipeline.waiting(spark, shards[0].segments)) == 0
     assert {r.pmcid for r in ws.read("papers").collect()} == {"PMC1", "PMC2", "PMC3"} and ws.read("paper_vectors").count() == 3
     assert ws.read("chunk_vectors").join(ws.read("chunks").withColumnRenamed("chunk_id", "id"), "id").count() == ws.read("chunk_vectors").count()
+
+
+def test_index_answers(spark, tmp_path):
+    """A store large enough for lists: its index finds what the exact search finds, and follows removals."""
+    n, width = 3000, 16
+    rows = [(i, [float((i * 7919 + j * j * 31) % 97) / 97 - 0.5 + (i % 40 == j) * 3 for j in range(width)]) for i in range(n)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    of = v.select("id", F.col("id").alias("paper_id"))
+    empty = (spark.createDataFrame([], "id long, v array<float>, list int"), index.Model("flat", width))
+    ix, model = pipeline.refresh_index(v, empty, of, width, "ivf")
+    assert model.kind == "ivf" and ix.count() == n
+    u = usable(v, "id", "embedding", width)
+    q = u.where("id % 50 = 0")
+    assert index.recall(index.search(q, ix, model, 10), topk(q, u, 10, width)).first().recall > 0.9
+    less, same = pipeline.refresh_index(v.where("id % 3 > 0"), (ix, model), of, width, "ivf")
+    assert same is model and less.count() == 2000 and less.where("id % 3 = 0").count() == 0
+    more, same = pipeline.refresh_index(v, (less, model), of, width, "ivf")
+    assert same is model and more.count() == n

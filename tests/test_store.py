@@ -1,5 +1,6 @@
 import io
 import random
+import socket
 import tarfile
 
 import pytest
@@ -9,6 +10,7 @@ from tesserae import answering, config
 from tesserae.operators import ranking, store
 from tesserae.operators.build import build_store
 from tesserae.sources import archives, segments, xml
+from tesserae.sources.shared import SharedFiles
 from tesserae.streaming.ingest import VersionedTable, drain, file_stream
 
 
@@ -58,10 +60,16 @@ def test_segments_and_flags(spark, tmp_path):
     p = spark.createDataFrame([(1, "d1"), (2, "")], "paper_id long, doc_id string")
     c = spark.createDataFrame([(10, 1, 0, True), (11, 1, 0, None), (12, 2, 0, True)], "chunk_id long, paper_id long, ord int, in_index boolean")
     s = spark.createDataFrame([("d1", 0, [1.0]), ("d1", 5, [2.0]), ("zz", 0, [3.0])], "paper_doc_id string, ord int, vec array<float>")
-    segments.write_segments(s, str(tmp_path / "seg"), "chunk")
-    s = segments.read_segments(spark, str(tmp_path / "seg"), "chunk")
+    at = f"{tmp_path}/seg"
+    half = segments.write_segments(s, at, "chunk", half=True)
+    assert sorted(r.vec for r in segments.read_segments(spark, f"{at}/{half}", "chunk").collect()) == [[1.0], [2.0], [3.0]]
+    name = segments.write_segments(s, at, "chunk")
     with pytest.raises(ValueError):
-        segments.read_segments(spark, str(tmp_path / "seg"), "paper")
+        segments.read_segments(spark, f"{at}/{name}", "paper")
+    s.withColumnsRenamed({"paper_doc_id": "doc_ids", "ord": "ords", "vec": "vecs"}).write.parquet(f"{at}/chunk-old")
+    assert segments.read_segments(spark, f"{at}/chunk-old", "chunk").count() == 3
+    assert segments.waiting(spark, at, "chunk") == sorted([half, name, "chunk-old"]) and segments.waiting(spark, at, "paper") == []
+    s = segments.read_segments(spark, f"{at}/{name}", "chunk")
     assert [r.chunk_id for r in store.resolve_segments(s, p, c).collect()] == [11]
     assert sorted((r.paper_doc_id, r.ord) for r in store.unresolved_segments(s, p, c).collect()) == [("d1", 5), ("zz", 0)]
     ids = spark.createDataFrame([(10,), (11,), (99,)], "id long")
@@ -72,8 +80,10 @@ def test_segments_and_flags(spark, tmp_path):
     assert segments.build_step({}, 2, "multi") == "fresh" and segments.build_step({"mode": "multi", "num_shards": 2}, 3, "multi") == "reshard"
     with pytest.raises(ValueError):
         segments.build_step({"mode": "single"}, 1, "multi")
-    segments.write_json(str(tmp_path / "x" / "c.json"), {"a": 1})
-    assert segments.read_json(str(tmp_path / "x" / "c.json")) == {"a": 1} and segments.read_json("/nowhere") == {}
+    files = SharedFiles(spark)
+    files.write_json(str(tmp_path / "x" / "c.json"), {"a": 1})
+    files.write_json(str(tmp_path / "x" / "c.json"), {"a": 2})
+    assert files.read_json(str(tmp_path / "x" / "c.json")) == {"a": 2} and files.read_json("/nowhere") == {}
 
 
 PARA = "This paragraph has rather more than forty characters in it, number %d."
@@ -120,7 +130,7 @@ def test_archives_to_store(spark, tmp_path):
     assert {r.tar: r.n for r in archives.member_counts(spark, found).collect()} == {"a.tar": 3, "b.tar.gz": 1}
     arts = archives.read_articles(spark, found)
     s = build_store(arts)
-    assert s.papers.count() == 2 and s.files.count() == 3 and s.failed.count() == 1
+    assert s.papers.count() == 2 and s.files.count() == 3 and s.failed.count() == 2 and s.failed.where("fault IS NOT NULL").first().tar == "c.tgz"
     assert {r.doc_id for r in s.papers.collect()} == {"tar://a.tar!/x/hiv.nxml", "tar://a.tar!/x/egfr.XML"}
     assert s.chunks.select("chunk_id").distinct().count() == s.chunks.count() == 2 + s.chunks.where("ord >= 0").count()
     assert build_store(arts, config.BuildConfig(on_duplicate="append")).papers.count() == 3
@@ -138,7 +148,26 @@ def test_stream_restarts(spark, tmp_path):
     assert sorted((r.path, r.n) for r in t.read().collect()) == [("a", 1), ("b", 5), ("c", 1)]
 
 
-def test_config(tmp_path):
+def test_segments_are_claimed_and_set_aside(spark, tmp_path):
+    at = str(tmp_path / "seg")
+    good = segments.write_segments(spark.createDataFrame([("d1", 0, [1.0]), ("zz", 0, [2.0])], "paper_doc_id string, ord int, vec array<float>"), at, "chunk")
+    lost = segments.write_segments(spark.createDataFrame([("zz", 0, [2.0])], "paper_doc_id string, ord int, vec array<float>"), at, "chunk")
+    segments.write_segments(spark.createDataFrame([("d1", [2.0])], "doc_id string, vec array<float>"), at, "paper")
+    bad = "chunk-broken"
+    spark.range(1).write.parquet(f"{at}/{bad}")
+    known = spark.createDataFrame([("d1",)], "paper_doc_id string")
+    resolve = lambda s: (s.join(known, "paper_doc_id"), s.join(known, "paper_doc_id", "left_anti"))
+    with pytest.raises(RuntimeError):
+        segments.take_in(spark, at, "chunk", resolve, 0)
+    assert segments.claim(spark, at, good) == good + segments.CLAIMED and segments.claim(spark, at, good) is None
+    got = segments.take_in(spark, at, "chunk", resolve, 1)
+    # what a crash left claimed is taken over
+    assert (got.taken, got.unresolved, list(got.failed), got.rows.count()) == ([good + segments.CLAIMED], 1, [bad], 1) and [n.split(".")[0] for n in got.aside] == [lost]
+    segments.finish(spark, at, got.taken)
+    assert segments.waiting(spark, at, "chunk") == [bad] and SharedFiles(spark).names(f"{at}/quarantine") == [lost] and len(segments.waiting(spark, at)) == 2
+
+
+def test_config(spark, tmp_path):
     assert config.BuildConfig(role="producer", num_shards=2, shard_id=1).validate()
     for bad in (dict(rebuild=True, update=True), dict(shard_id=3), dict(role="producer"), dict(role="x"), dict(on_duplicate="x")):
         with pytest.raises(ValueError):
@@ -146,8 +175,19 @@ def test_config(tmp_path):
     f = tmp_path / "q.txt"
     f.write_text(" why? \n")
     assert config.question_text(None, f"@{f}") == config.question_text(str(f), None) == "why?" and config.question_text(None, "how") == "how"
-    with config.WriterGuard(str(tmp_path / "g")), pytest.raises(RuntimeError), config.WriterGuard(str(tmp_path / "g")):
+    assert config.question_text(None, "@nobody knows") == "@nobody knows"
+    files = SharedFiles(spark)
+    with config.WriterGuard(str(tmp_path / "g"), files), pytest.raises(RuntimeError), config.WriterGuard(str(tmp_path / "g"), files):
         pass
+    assert not files.exists(str(tmp_path / "g"))
+    files.create_new(str(tmp_path / "g"), f"999999999 {socket.gethostname()} 1")
+    with config.WriterGuard(str(tmp_path / "g"), files):
+        pass
+    files.create_new(str(tmp_path / "g"), "1 elsewhere 1")
+    with pytest.raises(RuntimeError), config.WriterGuard(str(tmp_path / "g"), files):
+        pass
+    p = config.Paths.of({"TESSERAE_HOME": "/h/", "TESSERAE_ARCHIVES": "/a"}, models="/m")
+    assert (p.store, p.archives, p.models) == ("/h/store", "/a", "/m")
     assert config.human_bytes(2048) == "2.0 KB"
 
 
@@ -213,3 +253,33 @@ def test_many_archives_are_dealt(spark):
     df = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("path"), (F.col("id") * 7919 % 1000).alias("size"))
     load = [r.load for r in store.shard_loads(store.assign_shards(df, "path", "size", 7)).collect()]
     assert len(load) == 7 and max(load) - min(load) < 1000
+
+
+def test_damaged_archives_are_reported(spark, tmp_path):
+    docs = [(f"{i}.xml", article(f"PMC{i}", str(i), f"Title {random.Random(i).random()}", 3) + random.Random(i).randbytes(3000).hex().encode()) for i in range(40)]
+    for ending, mode in ((".tar", "w"), (".tar.gz", "w:gz"), (".tar.xz", "w:xz"), (".tar.bz2", "w:bz2")):
+        put(tmp_path / f"good{ending}", docs, mode)
+        data = (tmp_path / f"good{ending}").read_bytes()
+        for k in range(3):
+            cut = len(data) * (k + 1) // 5
+            (tmp_path / f"cut{k}{ending}").write_bytes(data[:cut])
+            (tmp_path / f"bad{k}{ending}").write_bytes(data[:cut] + bytes(200) + data[cut + 200 :])
+    found = archives.list_archives(str(tmp_path))
+    counts = {r.tar: r.n for r in archives.member_counts(spark, found).collect()}
+    assert all(counts[f"good{e}"] == 40 for e in (".tar", ".tar.gz", ".tar.xz", ".tar.bz2"))
+    rows = archives.scan_archives(spark, found).select("tar", "member", "fault", F.length("content").alias("n")).collect()
+    assert sum(r.tar.startswith("good") and r.n > 0 for r in rows) == 160
+    faulty = {r.tar for r in rows if r.fault}
+    assert {f"cut{k}{e}" for k in range(3) for e in (".tar.gz", ".tar.xz", ".tar.bz2")} <= faulty and not any(t.startswith("good") for t in faulty)
+    told = {r.tar: r.members for r in archives.archive_faults(spark, found).collect()}
+    assert all(m < 40 for m in told.values()) and told["cut2.tar.gz"] > 0
+    s = build_store(archives.read_articles(spark, [f for f in found if "cut2.tar.gz" in f]))
+    assert s.failed.where("member IS NULL").count() == 1 and told["cut2.tar.gz"] - s.papers.count() in (0, 1)
+
+
+def test_members_are_dealt_by_their_places(spark, tmp_path):
+    put(tmp_path / "big.tar", [(f"{i:03}.xml", b"x" * (i * 50)) for i in range(100)] + [("note.txt", b"no")])
+    df = archives.scan_archives(spark, str(tmp_path / "big.tar"), a_task=10)
+    got = df.withColumn("p", F.spark_partition_id()).collect()
+    assert sorted((r.member_seq, r.member, len(r.content)) for r in got) == [(i, f"{i:03}.xml", i * 50) for i in range(100)] and len({r.p for r in got}) > 5
+    assert archives.scan_archives(spark, []).count() == 0
