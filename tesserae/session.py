@@ -20,6 +20,8 @@ def build_session(app: str = "tesserae", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints that nothing refers to any more are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import index, ranking
-from tesserae.operators.lexical import Automaton, Contains, Lexical, search
+from tesserae.operators.lexical import Automaton, Contains, Lexical, _by_words, _finder, search
 from tesserae.operators.vectors import topk
 
 
@@ -28,7 +28,7 @@ def test_cap(spark):
 LEX = [(10, 1, 0, "body mentions IL–6 (en dash)"), (11, 2, 0, "il-6 plain"), (12, 2, -1, "abstract about IL-6"), (13, 3, 0, "no match"), (14, 3, 1, "IL-6 again"), (15, 1, 1, "IL-60 (substring hit)")]
 
 
-@pytest.mark.parametrize("backend", [Contains(), Automaton(), Automaton(block=1)])
+@pytest.mark.parametrize("backend", [Contains(), Automaton(), Automaton(block=1, most=0)])
 def test_lexical_order(spark, backend):
     chunks = spark.createDataFrame(LEX, "chunk_id long, paper_id long, ord int, text string")
     papers = spark.createDataFrame([(1, "Unrelated title", "1", "P1"), (2, "IL-6 in fibrosis", "2", "P2"), (3, "Another paper", "3", "P3")], "paper_id long, title string, pmid string, pmcid string")
@@ -40,6 +40,14 @@ def test_lexical_order(spark, backend):
     assert search(q, chunks, papers, Lexical(enabled=False), None, backend).count() == 0
 
 
+def test_finding_without_the_library():
+    rng = random.Random(4)
+    terms = sorted({"".join(rng.choice("ab-") for _ in range(rng.randint(1, 6))) for _ in range(60)})
+    for _ in range(40):
+        text = "".join(rng.choice("ab- ") for _ in range(rng.randint(0, 40)))
+        assert _by_words(terms)(text) == _finder(terms)(text) == {x for x in terms if x in text}
+
+
 def straight(fused, ann, wider, paper, k, cap):
     out, n = [], {}
     for c in fused:
