@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import indexes, references, retrieval, store, streams, text
+from tesserae.plans import indexes, markup, references, retrieval, store, streams, text
 
-MODULES = (references, text, retrieval, store, indexes, streams)
+MODULES = (references, text, retrieval, store, indexes, streams, markup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -71,6 +71,15 @@ def opened(path: str):
     return system.open_input_file(name)
 
 
+def created(path: str):
+    """A new file of any file system, open for writing; its directory is made."""
+    from pyarrow import fs
+
+    system, name = (fs.LocalFileSystem(), path) if "://" not in path and not path.startswith("file:") else fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(name, compression=None)
+
+
 def _walk(path: str, content: bool, endings: tuple[str, ...]) -> Iterator[tuple]:
     """(tar, member, size, mtime, member_seq, at, fault, content) of the members of an archive, then a row for its fault.
 
