@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import abuse, lookalikes, near_duplicates, neighbours, packing, shared_spans, splitting, survivors, tokenizing
@@ -96,6 +96,17 @@ def p7_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.split_oversized(big, "text", LIMIT, OVERLAP)
 
 
+def p7_rebuilt(spark: SparkSession, base: str) -> DataFrame:
+    """(tbl, row_key, pos, text, fits, overlaps): the items put together again from their pieces without the overlaps, and
+    whether all pieces keep the limit and begin with the stated overlap."""
+    p = p7_pieces(spark, base)
+    own = F.when(F.col("piece") == 0, F.col("piece_text")).otherwise(F.substring("piece_text", OVERLAP + 1, LIMIT))
+    piece = F.struct("piece", own.alias("own"), F.col("piece_text").alias("t"))
+    per = p.groupBy("tbl", "row_key", "pos").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    pairs = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: F.right(a["t"], F.lit(OVERLAP)) == F.left(b["t"], F.lit(OVERLAP)))
+    return per.select("tbl", "row_key", "pos", F.array_join("p.own", "").alias("text"), F.forall("p", lambda x: F.char_length(x["t"]) <= LIMIT).alias("fits"), F.forall(pairs, lambda x: x).alias("overlaps"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     """(tbl, row_key, pos) of the items that came out in pieces, each once."""
     return p7_pieces(spark, base).where("piece = 1").select("tbl", "row_key", "pos").distinct()
@@ -106,6 +117,11 @@ def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokenizing.encode_texts(table(spark, base, "documents").select("doc_id", "text"), "text")
 
 
+def p8_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, digest) of what the ids of each document stand for; those of null and empty texts for nothing."""
+    return tokenizing.decode_ids(p8_ids(spark, base), "ids", "text").select("doc_id", F.md5("text").alias("digest"))
+
+
 CAPACITY, SHARD_ITEMS = 2048, 50_000
 
 
@@ -121,6 +137,18 @@ def p9_fill(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, base), CAPACITY)
 
 
+def p9_layout(spark: SparkSession, base: str) -> DataFrame:
+    """One row: documents laid out, places that overlap or leave a gap, containers over the capacity, and texts that were cut
+    without being too long."""
+    p = p9_containers(spark, base)
+    before = F.lag(F.col("start") + F.col("length"), 1, 0).over(Window.partitionBy("container").orderBy("start", "length"))
+    per = p.withColumn("off", (F.col("start") != before).cast("long")).groupBy("container").agg(F.sum("off").alias("off"), (F.sum("length") > CAPACITY).cast("long").alias("over"))
+    boxes = per.agg(F.coalesce(F.sum("off"), F.lit(0)).alias("misplaced"), F.coalesce(F.sum("over"), F.lit(0)).alias("over"))
+    docs = p.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max("n_tokens").alias("n"), F.sum("length").alias("laid"))
+    wrong = ((F.col("laid") != F.col("n")) | ((F.col("pieces") > 1) & (F.col("n") <= CAPACITY))).cast("long")
+    return docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(wrong), F.lit(0)).alias("cut")).crossJoin(boxes)
+
+
 def p10_scores(spark: SparkSession, base: str) -> DataFrame:
     """(doc_id, source, score, flagged) of every document."""
     return abuse.score_documents(table(spark, base, "documents").select("doc_id", "source", "text"), "text")
@@ -136,7 +164,7 @@ def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     return abuse.rates(p10_scores(spark, base), "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_spans": p1_spans, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_best": p3_best, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_spans": p1_spans, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_best": p3_best, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_forms": p4_forms, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_rebuilt": p7_rebuilt, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p9_layout": p9_layout, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 # lists of its own, in the form of ranges and scripts
 _P4_ODD = r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{1D400}-\x{1D7FF}\x{FB00}-\x{FB06}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{212A}\x{2102}\x{210A}-\x{2113}\x{2115}\x{2119}-\x{211D}\x{2124}\x{2128}\x{212C}\x{212D}\x{212F}-\x{2131}\x{2133}\x{2134}\x{A0}\x{AD}\x{1680}\x{2000}-\x{200B}\x{200E}\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{2066}-\x{2069}\x{2800}\x{3000}\x{3164}\x{FEFF}]"
@@ -188,6 +216,21 @@ n AS (SELECT tbl, id, count(*) AS n FROM s GROUP BY ALL),
 c AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS m FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT c.tbl, id_a, id_b FROM c JOIN n x ON x.tbl = c.tbl AND x.id = id_a JOIN n y ON y.tbl = c.tbl AND y.id = id_b WHERE m >= 0.6 * (x.n + y.n - m)"""
 
+# classes of equal word sequences, the linked ones, and the connected groups of these
+_P5_GROUPS = """
+WITH RECURSIVE d AS (SELECT 'chunks' AS tbl, chunk_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM chunks WHERE ord >= 0
+  UNION ALL SELECT 'papers', paper_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}]+') FROM papers),
+m AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, w) AS rep, count(*) OVER (PARTITION BY tbl, w) AS copies, w FROM d WHERE len(w) >= 20),
+s AS (SELECT DISTINCT tbl, id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM m WHERE id = rep)),
+n AS (SELECT tbl, id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.tbl, a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY ALL),
+p AS (SELECT c.tbl, a, b FROM c JOIN n x ON x.tbl = c.tbl AND x.id = a JOIN n y ON y.tbl = c.tbl AND y.id = b WHERE k >= 0.6 * (x.n + y.n - k)),
+e AS (SELECT tbl, a AS u, b AS v FROM p UNION ALL SELECT tbl, b, a FROM p),
+l AS (SELECT tbl, u AS rep, count(*) AS links FROM e GROUP BY ALL),
+r AS (SELECT DISTINCT tbl, u AS id, u AS to_ FROM e UNION SELECT r.tbl, r.id, e.v FROM r JOIN e ON e.tbl = r.tbl AND e.u = r.to_),
+g AS (SELECT tbl, id AS rep, min(to_) AS group_id FROM r GROUP BY ALL)
+SELECT m.tbl, m.id, coalesce(group_id, m.rep) AS group_id, coalesce(links, 0) AS links FROM m LEFT JOIN g USING (tbl, rep) LEFT JOIN l USING (tbl, rep) WHERE copies > 1 OR links IS NOT NULL"""
+
 _P2 = """
 WITH v AS (SELECT id, min(CAST(embedding AS DOUBLE[])) AS e FROM vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY id),
 u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
@@ -195,7 +238,15 @@ s AS (SELECT a.id, b.id AS other, list_dot_product(a.e, b.e) AS similarity FROM
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM s WHERE similarity >= 0.92 QUALIFY rank <= 10)
 SELECT x.id AS id_a, x.other AS id_b FROM k x JOIN k y ON x.id = y.other AND x.other = y.id WHERE x.id < x.other"""
 
+_P7 = f"""WITH big AS (SELECT 'chunks' AS tbl, CAST(chunk_id AS VARCHAR) AS row_key, ord AS pos, text FROM chunks
+  UNION SELECT 'article', doc_id, CAST(pos - 1 AS INTEGER), t FROM (SELECT doc_id, unnest(paragraphs) AS t, generate_subscripts(paragraphs, 1) AS pos FROM article))
+SELECT tbl, row_key, pos, text, true AS fits, true AS overlaps FROM big WHERE length(text) > {LIMIT}"""
+
 ORACLE: dict[str, str] = {
+    "p5_groups": _P5_GROUPS,
+    "p7_rebuilt": _P7,
+    "p8_texts": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p9_layout": "SELECT count(*) AS documents, 0 AS cut, 0 AS misplaced, 0 AS over FROM documents",
     "p2_found": _P2,
     "p5_found": _P5,
     "p1_found": _P1,

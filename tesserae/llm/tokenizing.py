@@ -182,3 +182,17 @@ def encode_texts(df: DataFrame, text: str, ids: str = "ids", vocabulary: str = V
 def count_tokens(df: DataFrame, text: str, count: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """df without its text, with the number of token ids (0 for null and empty texts)."""
     return encode_texts(df, text, "__ids", vocabulary).withColumn(count, F.size("__ids")).drop("__ids")
+
+
+def decode_ids(df: DataFrame, ids: str, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """df without its ids, with the text that they stand for; null ids give null, bytes that are no text are replaced."""
+    keep = [c for c in df.columns if c not in (ids, text)]
+    src = df.select(*[f"`{c}`" for c in keep], F.col(f"`{ids}`").alias("__ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = load(vocabulary).decode
+        for rb in batches:
+            texts = [None if x is None else decode(x) for x in rb.column(rb.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(texts, pa.string())], names=[*keep, text])
+
+    return src.mapInArrow(run, df.select(*[f"`{c}`" for c in keep]).schema.add(text, T.StringType()))
