@@ -256,7 +256,8 @@ def _exact(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             if rb.num_rows:
-                sim = (_matrix(rb.column(2), width) * _matrix(rb.column(3), width)).sum(1)
+                # nine places, so that equal similarities are ties
+                sim = np.round((_matrix(rb.column(2), width) * _matrix(rb.column(3), width)).sum(1), 9)
                 yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(sim)], names=["a", "b", "similarity"])
 
     return run

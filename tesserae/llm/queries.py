@@ -34,7 +34,7 @@ def p2_neighbours(spark: SparkSession, base: str) -> DataFrame:
     """(id, other, similarity, rank): the 10 most similar other vectors of every vector, nearest first."""
     v = table(spark, base, "vectors").select("id", "embedding")
     near = neighbours.neighbours(v, "id", "embedding", NEAREST, curves=FAR)
-    return near.unionByName(neighbours.copies_beyond(v, "id", "embedding", NEAREST))
+    return near.unionByName(neighbours.copies_beyond(v, "id", "embedding", NEAREST)).withColumn("similarity", F.round("similarity", 6))
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -242,12 +242,19 @@ _P7 = f"""WITH big AS (SELECT 'chunks' AS tbl, CAST(chunk_id AS VARCHAR) AS row_
   UNION SELECT 'article', doc_id, CAST(pos - 1 AS INTEGER), t FROM (SELECT doc_id, unnest(paragraphs) AS t, generate_subscripts(paragraphs, 1) AS pos FROM article))
 SELECT tbl, row_key, pos, text, true AS fits, true AS overlaps FROM big WHERE length(text) > {LIMIT}"""
 
+_P2_NEAR = """
+WITH v AS (SELECT id, min(CAST(embedding AS DOUBLE[])) AS e FROM vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY id),
+u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+s AS (SELECT a.id, b.id AS other, round(list_dot_product(a.e, b.e), 9) AS similarity FROM u a JOIN u b ON a.id <> b.id)
+SELECT id, other, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
+
 ORACLE: dict[str, str] = {
     "p5_groups": _P5_GROUPS,
     "p7_rebuilt": _P7,
     "p8_texts": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "p9_layout": "SELECT count(*) AS documents, 0 AS cut, 0 AS misplaced, 0 AS over FROM documents",
     "p2_found": _P2,
+    "p2_neighbours": _P2_NEAR,
     "p5_found": _P5,
     "p1_found": _P1,
     "p1_spans": _P1_SPANS,
