@@ -48,6 +48,16 @@ def after_checkpoint(members: DataFrame, done: DataFrame) -> DataFrame:
     return members.join(done.select("tar", "members_done"), "tar", "left").where(F.col("member_seq") >= F.coalesce("members_done", F.lit(0))).drop("members_done")
 
 
+def numbered_within(df: DataFrame, group: str, by: str, name: str) -> DataFrame:
+    """df with name (long): each row's place in its group, from 0, in the order of a column without ties.
+
+    Rows are sorted as a whole and numbered by partition; a row's place is its number less that of its group's first.
+    """
+    all_ = numbered(df, [group, by], "__all")
+    first = all_.groupBy(F.col(group).alias("__g")).agg(F.min("__all").alias("__first"))
+    return all_.join(first, F.col(group) == F.col("__g")).withColumn(name, F.col("__all") - F.col("__first")).drop("__g", "__first", "__all")
+
+
 def replace_chunks(current: DataFrame, fresh: DataFrame, key: str = "paper_id") -> DataFrame:
     """current without the passages of the papers that fresh brings, and fresh."""
     return current.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
@@ -141,6 +151,18 @@ def merge_statistics(shards: DataFrame, merged: DataFrame) -> DataFrame:
     return per.select("shard", "rows", F.coalesce("accepted", F.lit(0)).alias("accepted"), (F.col("rows") - F.coalesce("accepted", F.lit(0))).alias("refused"))
 
 
+def match_identity(new: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("pmcid", "pmid", "doc_id")) -> DataFrame:
+    """(paper_id, old_id): for each new paper the known one it is, by the first of the keys that matches, in their order; the
+    smallest id on ties. Empty and null keys match nothing."""
+
+    def long(p: DataFrame, name: str) -> DataFrame:
+        return p.select(F.col("paper_id").alias(name), F.posexplode(F.array(*[F.when(F.col(k) != "", F.concat(F.lit(f"{k}:"), F.col(k))) for k in keys])).alias("n", "key")).where("key IS NOT NULL")
+
+    # known ids are combined by key first, so a hot key is one row
+    once = long(known, "old_id").groupBy("key").agg(F.min("old_id").alias("old_id"))
+    return long(new, "paper_id").join(once, "key").groupBy("paper_id").agg(F.min(F.struct("n", "old_id")).alias("m")).select("paper_id", "m.old_id")
+
+
 def merge_children(children: DataFrame, papers: DataFrame, keys: list[str]) -> DataFrame:
     """Child rows (shard, paper_id, ...) of accepted papers under their new ids, the first of each key in shard order."""
     ids = papers.select("shard", "paper_id", "new_id")

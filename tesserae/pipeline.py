@@ -17,7 +17,7 @@ from tesserae.functions.text import question_terms, rare_terms
 from tesserae.operators import index, ranking
 from tesserae.operators.build import Store, build_store
 from tesserae.operators.lexical import Backend, Lexical
-from tesserae.operators.store import backfill, first_wins, merge_children, merge_papers, merge_statistics, reconcile, resolve_segments, to_process, unresolved_segments
+from tesserae.operators.store import backfill, first_wins, match_identity, merge_children, merge_papers, merge_statistics, reconcile, resolve_segments, to_process, unresolved_segments
 from tesserae.operators.vectors import topk, usable
 from tesserae.session import materialize
 from tesserae.sources.archives import member_uri, read_articles, scan_archives
@@ -220,12 +220,7 @@ def _merged(ws: Workspace, new: Store) -> tuple[DataFrame, ...]:
     """The store's rows and those of the new members: a paper known by pmcid, else by pmid, else by doc_id, keeps its id
     and is replaced; and the ids (id) of those."""
     old_p, old_c, old_f = ws.read("papers"), ws.read("chunks"), ws.read("files")
-
-    def keys(p: DataFrame) -> DataFrame:
-        return p.select("paper_id", F.posexplode(F.array(*[F.concat(F.lit(k), F.when(F.col(k) != "", F.col(k))) for k in ("pmcid", "pmid", "doc_id")])).alias("n", "key")).where("key IS NOT NULL")
-
-    match = keys(new.papers).join(keys(old_p).select("key", F.col("paper_id").alias("old_id")), "key")
-    same = match.groupBy("paper_id").agg(F.min(F.struct("n", "old_id")).alias("m")).select("paper_id", "m.old_id")
+    same = match_identity(new.papers, old_p)
     top = old_p.agg(F.coalesce(F.max("paper_id"), F.lit(0)).alias("top"))
     ids = new.papers.select("paper_id").join(same, "paper_id", "left").crossJoin(F.broadcast(top)).select("paper_id", F.coalesce("old_id", F.col("paper_id") + F.col("top")).alias("to"))
     ids = materialize(ids.groupBy("to").agg(F.min("paper_id").alias("paper_id")))

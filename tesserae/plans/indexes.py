@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import unit
 from tesserae.operators import index
 from tesserae.operators.vectors import topk
-from tesserae.plans.retrieval import WIDTH, chunk_vectors
+from tesserae.plans.retrieval import WIDTH, chunk_vectors, usable_sql
 from tesserae.session import materialize, table
 
 M, K = 16, 10
@@ -78,7 +79,32 @@ def kmeans_lists(spark: SparkSession, base: str) -> DataFrame:
     return index.assign(v, model).groupBy("list").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (train_sample, train_sample_counts, ivf_topk, hnsw_topk, ivfpq_topk, index_recall, kmeans_lists)}
+def unit_vectors(spark: SparkSession, base: str) -> DataFrame:
+    """(id, v): the usable vectors at length one."""
+    return chunk_vectors(spark, base).select("id", F.transform(unit(F.col("v")), lambda x: F.round(x, 6)).alias("v"))
+
+
+def _halves(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    v = chunk_vectors(spark, base).select("id", F.col("v")[0].alias("x"))
+    return v.where("id % 3 < 2").withColumn("source", F.lit("old")), v.where("id % 3 > 0").withColumn("source", F.lit("new"))
+
+
+def index_add(spark: SparkSession, base: str) -> DataFrame:
+    """(id, source) after two thirds have been added to two thirds: each id once, the newer one where both have it."""
+    old, new = _halves(spark, base)
+    return index.add(old, new.unionByName(new)).select("id", "source")
+
+
+def index_remove(spark: SparkSession, base: str) -> DataFrame:
+    """(id) of what is left after the newer third has been removed."""
+    old, new = _halves(spark, base)
+    return index.remove(old, new).select("id")
+
+
+QUERIES = {f.__name__: f for f in (train_sample, train_sample_counts, ivf_topk, hnsw_topk, ivfpq_topk, index_recall, kmeans_lists, unit_vectors, index_add, index_remove)}
 ORACLE: dict[str, str] = {
+    "unit_vectors": f"SELECT id, list_transform(v, lambda x: round(x, 6)) AS v FROM ({usable_sql('vectors', 'id')})",
+    "index_add": f"SELECT id, CASE WHEN id % 3 > 0 THEN 'new' ELSE 'old' END AS source FROM ({usable_sql('vectors', 'id')})",
+    "index_remove": f"SELECT id FROM ({usable_sql('vectors', 'id')}) WHERE id % 3 = 0",
     "train_sample_counts": "SELECT paper_id, least(count(*), 16) AS n FROM (SELECT DISTINCT id FROM vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0) v JOIN chunks c ON c.chunk_id = v.id GROUP BY paper_id",
 }

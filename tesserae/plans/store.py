@@ -72,6 +72,26 @@ def shard_statistics(spark: SparkSession, base: str) -> DataFrame:
     return store.merge_statistics(s, store.merge_papers(s))
 
 
+def resume_skip(spark: SparkSession, base: str) -> DataFrame:
+    """(tar, member_seq): members beyond what a checkpoint says is done of each archive, half of them here."""
+    p = table(spark, base, "papers").select(F.regexp_extract("doc_id", "^tar://(.*?)!/", 1).alias("tar"), "paper_id").where("tar <> ''")
+    members = store.numbered_within(p, "tar", "paper_id", "member_seq")
+    done = members.groupBy("tar").agg(F.floor(F.count("*") / 2).alias("members_done"))
+    return store.after_checkpoint(members.select("tar", "member_seq"), done)
+
+
+def replace_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Passages after those of papers that came again have been replaced."""
+    c = table(spark, base, "chunks").select("chunk_id", "paper_id", "ord", "loaded_at")
+    return store.replace_chunks(c.where(F.col("loaded_at") < CUT), c.where(F.col("loaded_at") >= CUT)).select("chunk_id", "paper_id", "ord")
+
+
+def identity_lookup(spark: SparkSession, base: str) -> DataFrame:
+    """Papers loaded after the cut that were known before, by pmcid, else pmid, else document."""
+    p = table(spark, base, "papers").select("paper_id", "pmcid", "pmid", "doc_id", "loaded_at")
+    return store.match_identity(p.where(F.col("loaded_at") >= CUT), p.where(F.col("loaded_at") < CUT))
+
+
 def _segments(spark: SparkSession, base: str) -> DataFrame:
     """Segment rows as another machine would have written them: documents and places instead of ids."""
     v = table(spark, base, "vectors").where("size(embedding) = 64").dropDuplicates(["id"])
@@ -170,7 +190,7 @@ _NUMS = r"""list_filter(list_transform(str_split(b, ','), lambda x: trim(x)), la
 QUERIES = {
     f.__name__: f
     for f in (
-        first_wins_dedupe, upsert_latest, insert_missing, incremental_antijoin, shard_merge, shard_merge_chunks, shard_statistics, segment_resolve, segment_quarantine, reconcile_flags, backfill_set, index_sanity,
+        first_wins_dedupe, upsert_latest, insert_missing, incremental_antijoin, resume_skip, replace_chunks, identity_lookup, shard_merge, shard_merge_chunks, shard_statistics, segment_resolve, segment_quarantine, reconcile_flags, backfill_set, index_sanity,
         duplicate_report, shard_binpack, shard_balance, citation_normalize, citation_numbers, citation_renumber, references_render,
     )
 }
@@ -185,6 +205,12 @@ r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken, false AS ok
   UNION ALL SELECT o.n, CASE WHEN list_has_any(r.taken, o.ks) THEN r.taken ELSE list_concat(r.taken, o.ks) END, NOT list_has_any(r.taken, o.ks) FROM r JOIN o ON o.n = r.n + 1),
 m AS (SELECT shard, paper_id, row_number() OVER (ORDER BY o.n) AS new_id FROM r JOIN o USING (n) WHERE ok)"""
 ORACLE = {
+    "resume_skip": """SELECT tar, member_seq FROM (SELECT tar, row_number() OVER (PARTITION BY tar ORDER BY paper_id) - 1 AS member_seq, count(*) OVER (PARTITION BY tar) AS n
+  FROM (SELECT regexp_extract(doc_id, '^tar://(.*?)!/', 1) AS tar, paper_id FROM papers) WHERE tar <> '') WHERE member_seq >= n // 2""",
+    "replace_chunks": f"""SELECT chunk_id, paper_id, ord FROM chunks WHERE loaded_at >= TIMESTAMP '{CUT}' UNION ALL SELECT chunk_id, paper_id, ord FROM chunks c WHERE loaded_at < TIMESTAMP '{CUT}'
+  AND NOT EXISTS (SELECT 1 FROM chunks f WHERE f.loaded_at >= TIMESTAMP '{CUT}' AND f.paper_id = c.paper_id)""",
+    "identity_lookup": f"""WITH n AS (SELECT * FROM papers WHERE loaded_at >= TIMESTAMP '{CUT}'), o AS (SELECT * FROM papers WHERE loaded_at < TIMESTAMP '{CUT}')
+SELECT * FROM (SELECT paper_id, coalesce((SELECT min(o.paper_id) FROM o WHERE o.pmcid = n.pmcid AND n.pmcid <> ''), (SELECT min(o.paper_id) FROM o WHERE o.pmid = n.pmid AND n.pmid <> ''), (SELECT min(o.paper_id) FROM o WHERE o.doc_id = n.doc_id AND n.doc_id <> '')) AS old_id FROM n) WHERE old_id IS NOT NULL""",
     "shard_merge": f"WITH {_MERGED} SELECT * FROM m",
     "shard_statistics": f"WITH {_MERGED} SELECT o.shard, count(*) AS rows, count(new_id) AS accepted, count(*) - count(new_id) AS refused FROM o LEFT JOIN m USING (shard, paper_id) GROUP BY o.shard",
     "shard_merge_chunks": f"WITH {_MERGED} SELECT new_id AS paper_id, ord, min(chunk_id) AS chunk_id FROM m JOIN chunks USING (paper_id) WHERE ord >= -1 GROUP BY new_id, ord",
