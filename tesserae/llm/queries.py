@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -172,6 +173,24 @@ _P4_OTHER = r"\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Lisu}\x{391}-\x{3A1}\x{3A4}
 _P4_LATIN = r"A-Za-z\x{C0}-\x{24F}"
 _P4 = f"regexp_matches(t, '{_P4_ODD}|[\\x{{0}}-\\x{{24F}}][\\x{{200C}}\\x{{200D}}]|[\\x{{200C}}\\x{{200D}}][\\x{{0}}-\\x{{24F}}]|\\p{{L}}[\\x{{300}}-\\x{{36F}}]|[{_P4_LATIN}][\\p{{L}}\\p{{M}}]*[{_P4_OTHER}]|[{_P4_OTHER}][\\p{{L}}\\p{{M}}]*[{_P4_LATIN}]')"
 
+
+
+def _p4_forms() -> str:
+    """Each text by SQL functions alone: what is unseen dropped, variants by their compatibility form, look-alikes in words with a Latin letter, composed as a whole."""
+    odd = "".join(c for c in map(chr, [*range(0x2100, 0x2150), *range(0x24B6, 0x24EA), *range(0xFF10, 0xFF5B), *range(0x1D400, 0x1D800)]) if (n := unicodedata.normalize("NFKC", c)) != c and n.isascii() and n.isalnum() and len(n) == 1)
+    plain = unicodedata.normalize("NFKC", odd)
+    spaces = "".join(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) in ("Zs", "Zl", "Zp"))
+    t = r"regexp_replace(t, '[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')"
+    t = f"regexp_replace({t}, '([\\x{{0}}-\\x{{24F}}])[\\x{{200C}}\\x{{200D}}]+', '\\1', 'g')"
+    t = f"regexp_replace({t}, '[\\x{{200C}}\\x{{200D}}]+([\\x{{0}}-\\x{{24F}}])', '\\1', 'g')"
+    t = f"translate({t}, '{spaces + odd}', '{' ' * len(spaces) + plain}')"
+    for joined in "ﬀﬁﬂﬃﬄﬅﬆ":
+        t = f"replace({t}, '{joined}', '{unicodedata.normalize('NFKC', joined)}')"
+    word = f"CASE WHEN regexp_matches(w, '[{_P4_LATIN}]') THEN translate(w, '{lookalikes.FOREIGN}', '{lookalikes.LATIN}') ELSE w END"
+    form = f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({t}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: {word}), ''))"
+    return f"SELECT tbl, row_id, form, coalesce(form <> t, false) AS changed FROM (SELECT *, {form} AS form FROM (SELECT 'chunks' AS tbl, chunk_id AS row_id, text AS t FROM chunks UNION ALL SELECT 'papers', paper_id, title FROM papers))"
+
+
 _P3 = """
 WITH RECURSIVE p AS (
   SELECT paper_id AS id, nullif(ltrim(regexp_extract(coalesce(pmid, ''), '[0-9]+'), '0'), '') AS pm, nullif(ltrim(regexp_extract(coalesce(pmcid, ''), '[0-9]+'), '0'), '') AS pc,
@@ -260,6 +279,7 @@ ORACLE: dict[str, str] = {
     "p1_spans": _P1_SPANS,
     "p3_found": _P3_FOUND,
     "p3_best": _P3_BEST,
+    "p4_forms": _p4_forms(),
     "p4_found": f"SELECT DISTINCT tbl, row_id FROM (SELECT 'chunks' AS tbl, chunk_id AS row_id, text AS t FROM chunks UNION ALL SELECT 'papers', paper_id, title FROM papers) WHERE {_P4}",
     "p7_found": f"""SELECT DISTINCT 'chunks' AS tbl, CAST(chunk_id AS VARCHAR) AS row_key, ord AS pos FROM chunks WHERE length(text) > {LIMIT}
 UNION SELECT 'article', doc_id, CAST(pos - 1 AS INTEGER) FROM (SELECT doc_id, unnest(paragraphs) AS t, generate_subscripts(paragraphs, 1) AS pos FROM article) WHERE length(t) > {LIMIT}""",
