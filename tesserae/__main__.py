@@ -38,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--on-duplicate", default="first", choices=("first", "append"))
         c.add_argument("--yes", action="store_true", help="do not ask before a store is replaced")
         c.add_argument("--done", help="directory where a producer says that it is done")
+    c = sub.add_parser("follow", help="take in archives that text files in a directory name, as they appear")
+    c.add_argument("inbox")
+    c.add_argument("--checkpoint", required=True)
     c = sub.add_parser("merge", help="merge the stores of producers")
     c.add_argument("shards", nargs="+")
     c.add_argument("--done", help="wait until all producers have said so there")
@@ -100,6 +103,9 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(ws.meta()["cycle"]))
         if a.role == "producer" and a.done:
             pipeline.mark_done(spark, a.done, a.shard)
+    elif a.command == "follow":
+        pipeline.follow(ws, a.inbox, a.checkpoint, embedder_for(a.embedder))
+        print(json.dumps(ws.meta().get("cycle", {})))
     elif a.command == "merge":
         if a.done and not pipeline.wait_for(spark, a.done, len(a.shards), a.timeout):
             print("not all producers are done", file=sys.stderr)

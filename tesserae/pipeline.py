@@ -23,6 +23,7 @@ from tesserae.session import materialize
 from tesserae.sources.archives import member_uri, read_articles, scan_archives
 from tesserae.sources.segments import build_step, finish, take_in, waiting, write_segments
 from tesserae.sources.shared import SharedFiles
+from tesserae.streaming.ingest import drain
 
 SCHEMAS = {
     "papers": "paper_id long, doc_id string, pmid string, pmcid string, title string, abstract string, in_index boolean",
@@ -206,6 +207,25 @@ def build(ws: Workspace, archives: list[str], embedder: Embedder | None = None,
     return store
 
 
+def follow(ws: Workspace, inbox: str, checkpoint: str, embedder: Embedder | None = None, config: BuildConfig = BuildConfig(update=True), timeout: int = 36_000) -> None:
+    """Take in archives as they are announced: every line of a text file that appears in inbox names one.
+
+    A stream over the inbox; each batch of names is an update of the store. It stops when nothing is left and goes on
+    where it was when called again with the same checkpoint; a batch that comes twice changes nothing, since its members
+    are known by then.
+    """
+    spark = ws.spark
+    names = spark.readStream.text(inbox).where("trim(value) <> '' AND NOT startswith(trim(value), '#')").select(F.trim("value").alias("path"))
+
+    def step(batch: DataFrame, _: int) -> None:
+        # one short row an archive
+        found = sorted({r.path for r in batch.collect()})
+        if found:
+            build(ws, found, embedder, config)
+
+    drain(names, step, checkpoint, timeout=timeout)
+
+
 def _leave_segments(ws: Workspace, tables: dict[str, DataFrame]) -> None:
     """A producer's vectors by documents and places, which hold on every machine."""
     docs = tables["papers"].where("doc_id <> ''").select("paper_id", "doc_id")

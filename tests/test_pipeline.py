@@ -51,6 +51,19 @@ def test_build_update_ask(spark, tmp_path, archives):
         ws.wipe(lambda: True, unread_segments=1)
 
 
+def test_archives_as_they_are_announced(spark, tmp_path, archives):
+    ws, inbox = pipeline.Workspace(spark, str(tmp_path / "ws")), tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "one.txt").write_text(f"# first\n{archives}/a.tar\n")
+    go = lambda: pipeline.follow(ws, str(inbox), str(tmp_path / "ck"))
+    go()
+    assert ws.read("papers").count() == 2 and ws.meta()["version"] == 0
+    (inbox / "two.txt").write_text(f"{archives}/b.tar\n\n")
+    go()
+    go()
+    assert ws.read("papers").count() == 3 and ws.meta()["version"] == 1
+
+
 def test_producers_and_consumer(spark, tmp_path, archives):
     shards = [pipeline.Workspace(spark, str(tmp_path / f"s{i}")) for i in range(2)]
     for i, (s, a) in enumerate(zip(shards, "ab", strict=True)):
