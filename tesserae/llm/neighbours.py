@@ -438,8 +438,12 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, width: int = 6
     other crowds (k / 2 or more met at least or, without it, at the curves' dense similarity) are compared in full with
     all rows that can be so similar; the work for that grows with the square of a crowd.
     """
-    one = _classes(usable(df, key, vector, width), width)
-    one = materialize(one.withColumn("n", F.row_number().over(Window.partitionBy(*CLASS).orderBy("id"))).where(f"n <= {k + 1}").drop("n").select("id", "v"))
+    one = materialize(_classes(usable(df, key, vector, width), width))
+    # only ids and classes travel; copies beyond the first k + 1 then leave, which are few or none
+    beyond = materialize(one.select("id", *CLASS).withColumn("n", F.row_number().over(Window.partitionBy(*CLASS).orderBy("id"))).where(f"n > {k + 1}").select("id"))
+    one = one.select("id", "v")
+    if beyond.limit(1).count():
+        one = materialize(one.join(beyond, "id", "left_anti"))
     # windows end with a partition, so a partition holds many of them
     parts = max(1, one.count() * curves.count // (64 * max(curves.window, 256)))
 
