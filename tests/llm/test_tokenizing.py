@@ -40,3 +40,16 @@ def test_frame(spark):
     assert {r.doc_id: list(r.ids) for r in encode_texts(df, "text", empty_ids=(7,), null_ids=(9,)).collect()}[3] == [9]
     assert sum(r.n_tokens for r in count_tokens(df, "text").collect()) == sum(len(x) for _, x in got)
     assert encode_texts(df.limit(0), "text").count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(WORDS), st.text(max_size=5)), min_size=1, max_size=60).map("".join), st.lists(st.integers(1, 200), max_size=6))
+def test_joins_are_repaired_wherever_a_text_is_cut(text, cuts):
+    ends = [*sorted({c for c in cuts if c < len(text)}), len(text)]
+    if text:
+        assert ChunkEncoder()._joined(text, ends) == load().encode_ordinary(text)
+
+
+def test_repairs_happen():
+    enc = ChunkEncoder()
+    assert enc._joined("hello world", [3, 8, 11]) == load().encode_ordinary("hello world") and enc.repaired == 2
