@@ -24,11 +24,11 @@ from tesserae.llm import abuse_lexicon as lex
 from tesserae.llm.lookalikes import FOREIGN, INVISIBLE, LATIN
 
 _CLASSES = (
-    "INSULT", "SCORN", "CRUDE", "SLUR", "HARM", "HARM_YOU", "HARMED", "DYING", "PLACE", "GROUP", "BASE", "CONTEMPT", "EXPEL", "SEXUAL", "BODY", "SEXUAL_YOU", "ASKED", "USED", "AIMED",
+    "INSULT", "SCORN", "CRUDE", "SLUR", "HARM", "HARM_YOU", "HARMED", "DYING", "PLACE", "GROUP", "GROUP_OF", "BASE", "CONTEMPT", "EXPEL", "SEXUAL", "BODY", "SEXUAL_YOU", "ASKED", "USED", "AIMED",
     "YOU", "YOURS", "PERSON", "SELF", "INTENT", "WISH", "SHOULD", "BE", "FILL", "DEAR", "REPORT",
 )
 (
-    INSULT, SCORN, CRUDE, SLUR, HARM, HARM_YOU, HARMED, DYING, PLACE, GROUP, BASE, CONTEMPT, EXPEL, SEXUAL, BODY, SEXUAL_YOU, ASKED, USED, AIMED,
+    INSULT, SCORN, CRUDE, SLUR, HARM, HARM_YOU, HARMED, DYING, PLACE, GROUP, GROUP_OF, BASE, CONTEMPT, EXPEL, SEXUAL, BODY, SEXUAL_YOU, ASKED, USED, AIMED,
     YOU, YOURS, PERSON, SELF, INTENT, WISH, SHOULD, BE, FILL, DEAR, REPORT,
 ) = (1 << i for i in range(len(_CLASSES)))
 LIKE, ALL, ANCHOR = 1 << 40, 1 << 41, 1 << 42
@@ -301,6 +301,8 @@ class _Sentence:
     def group(self) -> float:
         out = 0.0
         for g, c in enumerate(self.cls):
+            if c & GROUP_OF and g + 1 < len(self.tok) and (self.tok[g + 1].endswith("s") or self.tok[g + 1] in ("people", "men", "women", "leute", "menschen")):
+                c |= GROUP
             many = c & ALL and g + 2 < len(self.tok) and self.tok[g + 1].endswith("s") and self.cls[g + 2] & BE
             if not c & GROUP and not many:
                 continue
@@ -343,7 +345,7 @@ class _Sentence:
         out = self.rude() if self.all & RUDE else 0.0
         if self.all & (HARM | HARM_YOU | HARMED | DYING | PLACE):
             out += self.harm()
-        if self.all & (GROUP | ALL):
+        if self.all & (GROUP | GROUP_OF | ALL):
             out += self.group()
         if self.all & (SEXUAL | BODY | SEXUAL_YOU | USED):
             out += self.sexual()
@@ -362,7 +364,7 @@ _GATES = (
     (HARM | HARM_YOU, SELF, YOU | YOURS),
     (PLACE, YOU, SELF),
     (HARMED | DYING, WISH | SHOULD, YOU | PERSON | GROUP),
-    (GROUP | ALL, BASE | CONTEMPT | EXPEL),
+    (GROUP | GROUP_OF | ALL, BASE | CONTEMPT | EXPEL),
     (SEXUAL | BODY | SEXUAL_YOU, YOU | YOURS, SELF | ASKED),
     (AIMED,),
 )

@@ -52,10 +52,10 @@ HARM_YOU = "find cut hit kick regret pay cry beg scream crawl suffer finden krie
 HARMED = (
     """beaten shot dragged hanged hung whipped drowned burned burnt strangled flogged binned gassed exterminated stabbed lynched
 erschossen erschlagen vergast aufgehängt verprügelt pendus fusillés gazés fusilados ahorcados""".split()
-    + _all("put down, left to rot, scraped off, thrown out with, kicked out, spat on")
+    + _all("put down, left to rot, kicked out, spat on")
 )
 #: The same, after a word that wishes it.
-DYING = "die died dead rot drop drown choke choked vanish vanished disappear disappeared abort aborted suffer hang burn".split()
+DYING = "die died dead rot drown choke choked vanish vanished disappear disappeared abort aborted suffer hang burn".split() + _all("drop you, dropped you, smother you, smothered you")
 #: Where a threatened person ends.
 PLACE = "ambulance hospital wheelchair coffin morgue grave stretcher krankenhaus sarg grab ambulance cercueil tombe hospital ataúd tumba".split() + _all("body bag, intensive care")
 GROUP = (
@@ -64,8 +64,10 @@ mexicans romanians poles turks indians chinese pakistanis
 frauen ausländer ausländerinnen flüchtlinge alte schwule behinderte mütter juden muslime türken araber migranten
 femmes étrangers étrangères vieux vieilles immigrés réfugiés homosexuels handicapés mères juifs musulmans arabes noirs
 mujeres extranjeros extranjeras viejos viejas inmigrantes refugiados refugiadas gays discapacitados discapacitadas negros negras moros gitanos judíos""".split()
-    + _all("single mothers, old people, disabled people, disabled students, gay people, gay colleagues, people from, people of, people like, those people, these people, such people")
+    + _all("people from, people of, people like, those people, these people, such people")
 )
+#: Words that make a group of the noun of many behind them.
+GROUP_OF = "gay lesbian trans disabled muslim jewish black brown asian african arab foreign immigrant old elderly single homeless poor fat schwule behinderte ausländische alte arme".split()
 #: Nouns that, said of a group, deny its worth.
 BASE = (
     """subhuman subhumans animals animal vermin parasites parasite rats cockroaches filth scum trash garbage thieves criminals liars rapists savages monkeys apes dogs pigs maggots disease plague
@@ -101,11 +103,11 @@ ASKED = _all("show me, send me, let me see, keep thinking about you, keep thinki
 #: Phrases that abuse by themselves if someone is meant (YOU or PERSON near), and what they count.
 AIMED: dict[str, float] = dict.fromkeys(
     _all(
-        """know where you live, know where you work, know where you park, know which bus, know which car park, know which corridor, know which school, know your address, watch your back, kill yourself, hang yourself, drown yourself, shoot yourself, drop dead,
+        """know where you live, know where you work, know where you park, know where you sleep, know your address, watch your back, kill yourself, hang yourself, drown yourself, shoot yourself, drop dead,
 go to hell, rot in hell, burn in hell, end your life, end it all, want you dead, wish you were dead, hope you die, hope you rot, hope you get cancer, better off dead, make you bleed, make you suffer, make you pay, make you regret, leave in an ambulance,
-world a favour, world a favor, us all a favour, us all a favor, everyone a favour, everyone a favor, world is worse for, world is poorer for, better place without, world would be better without, world would be a better,
+world a favour, world a favor, us all a favour, us all a favor, everyone a favour, everyone a favor, worse for having, poorer for having, better off without, better place without, be better without,
 would weep if you, would notice if you, would miss you, would care if you, would cry if you, dance on the grave, dance on your grave, spit on your grave,
-pity your mother, pity the midwife, pity your father, pity your parents, mother should have, should have been aborted, drown you at birth, drop you harder, never been born,
+should have been aborted, should have swallowed, had never been born,
 niemand will dich, niemand will euch, niemand will sie hier, personne ne veut de toi, personne ne veut de vous, nadie te quiere, nadie os quiere, nadie la quiere, nadie lo quiere,
 halt die fresse, halt dein maul, halt die schnauze, halten sie die fresse, halten sie ihr maul, fermez votre gueule, fermez vos gueules, ferme ta gueule, ta gueule, cierra el pico, cierra la boca, cállate, muérete, lárgate, va te faire, vai te faire, verpiss dich, fahr zur hölle,
 fuck you, fuck off, piss off, screw you, so hard for you, so wet for you, hard for you, wet for you, tongue all over you, your tits, your ass, your pussy, suck my, lick my, sit on my, bend over for, come to my room, spread your legs, show me your body, show me your tits, show me your ass, send me nudes"""
