@@ -129,9 +129,8 @@ def main(argv: list[str] | None = None) -> int:
         rows = ws.index("chunk", ws.meta().get("width", 64))[0]
         show(sanity(ws.read("papers"), ws.read("chunks"), ws.read("files"), rows.select("id")))
         for name in pipeline.INDEXES:
-            v = ws.meta().get("version")
-            if v is not None:
-                show(index.describe(spark, f"{ws.path}/{name}_index", v))
+            if ws.meta():
+                show(index.describe(spark, *ws.index_dir(name)))
         print(json.dumps(ws.meta()))
     elif a.command == "recall":
         width = ws.meta().get("width", 64)

@@ -17,7 +17,7 @@ from tesserae.functions.text import question_terms, rare_terms
 from tesserae.operators import index, ranking
 from tesserae.operators.build import Store, build_store
 from tesserae.operators.lexical import Backend, Lexical
-from tesserae.operators.store import backfill, first_wins, match_identity, merge_children, merge_papers, merge_statistics, reconcile, resolve_segments, to_process, unresolved_segments
+from tesserae.operators.store import backfill, match_identity, merge_children, merge_papers, merge_statistics, reconcile, resolve_segments, to_process, unresolved_segments
 from tesserae.operators.vectors import topk, usable
 from tesserae.session import materialize
 from tesserae.sources.archives import member_uri, read_articles, scan_archives
@@ -38,11 +38,15 @@ INDEXES = ("paper", "chunk")
 SAMPLE, EXPECTED = 50_000, 20
 
 
+#: Directories of one table at most; beyond that it is written anew as one.
+MOST_PARTS = 64
+
+
 class Workspace:
-    """The store's directory: tables and indexes in numbered versions, a pointer to the current one, one writer at a time.
+    """The store's directory: tables of one or more directories, indexes in versions, a pointer that names them, one writer.
 
-    A version is written whole before the pointer turns; the one before it stays for those who still read it, older
-    ones are deleted.
+    A version's directories are written before the pointer turns; what the pointer named before stays for those who
+    still read it, what it named before that is deleted. Rows that are only added cost no more than themselves.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -55,33 +59,49 @@ class Workspace:
     def guard(self) -> WriterGuard:
         return WriterGuard(f"{self.path}/writer.guard", self.shared)
 
+    def _read(self, name: str, dirs: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path}/{d}" for d in dirs)) if dirs else self.spark.createDataFrame([], SCHEMAS[name])
+
     def read(self, name: str) -> DataFrame:
         """A table as of the last finished write; empty before the first."""
-        v = self.meta().get("version")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/v{v}/{name}") if v is not None else self.spark.createDataFrame([], SCHEMAS[name])
+        return self._read(name, self.meta().get("dirs", {}).get(name, []))
+
+    def index_dir(self, name: str) -> tuple[str, int]:
+        return f"{self.path}/{name}_index", self.meta().get("index", {}).get(name, 0)
 
     def index(self, name: str, width: int) -> tuple[DataFrame, index.Model]:
         """The rows and the model of an index; empty and flat before the first write."""
-        v = self.meta().get("version")
-        return index.load_or_create(self.spark, f"{self.path}/{name}_index", width, v if v is not None else 0)
-
-    def write(self, tables: dict[str, DataFrame], indexes: dict[str, tuple[DataFrame, index.Model]] | None = None, **meta) -> None:
-        """Write all tables and indexes of a new version, those not given as they are, then turn the pointer to it."""
-        now = self.meta()
-        old = now.get("version", -1)
-        v = old + 1
-        for name in SCHEMAS:
-            df = tables.get(name)
-            (df if df is not None else self.read(name)).select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{v}/{name}")
-        for name in INDEXES:
-            at = f"{self.path}/{name}_index"
-            got = (indexes or {}).get(name) or (index.load(self.spark, at, old) if index.exists(self.spark, at, old) else None)
-            if got:
-                index.save(*got, at, v)
-        self.shared.write_json(self._pointer, now | meta | {"version": v})
-        for stale in range(max(0, now.get("kept", 0)), v - 1):
-            for at in (f"v{stale}", *(f"{n}_index/v{stale}" for n in INDEXES)):
-                self.shared.delete(f"{self.path}/{at}")
+        at, version = self.index_dir(name)
+        return index.load_or_create(self.spark, at, width, version)
+
+    def write(self, tables: dict[str, DataFrame], indexes: dict[str, tuple[DataFrame, index.Model]] | None = None, added: dict[str, DataFrame] | None = None, **meta) -> None:
+        """Write a new version: tables are replaced, added rows join what is there, the rest is as it was; then turn the pointer."""
+        now, added = self.meta(), added or {}
+        v = now.get("version", -1) + 1
+        old = now.get("dirs", {})
+        dirs, versions = {}, dict(now.get("index", {}))
+        for name, schema in SCHEMAS.items():
+            df, held = tables.get(name), old.get(name, [])
+            if df is None and name in added:
+                df = added[name]
+                if len(held) >= MOST_PARTS:
+                    df, held = self._read(name, held).unionByName(df.select(*[c.split()[0] for c in schema.split(", ")])), []
+            else:
+                held = held if df is None else []
+            if df is not None or not held:
+                df = df if df is not None else self.spark.createDataFrame([], schema)
+                df.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{v}/{name}")
+                held = [*held, f"v{v}/{name}"]
+            dirs[name] = held
+        for name, got in (indexes or {}).items():
+            index.save(*got, f"{self.path}/{name}_index", v)
+            versions[name] = v
+        before = {"dirs": sum(old.values(), []), "index": [f"{n}_index/v{x}" for n, x in now.get("index", {}).items()]}
+        self.shared.write_json(self._pointer, now | meta | {"version": v, "dirs": dirs, "index": versions, "before": before})
+        kept = {*sum(dirs.values(), []), *before["dirs"], *before["index"], *(f"{n}_index/v{x}" for n, x in versions.items())}
+        last = now.get("before", {})
+        for stale in {*last.get("dirs", []), *last.get("index", [])} - kept:
+            self.shared.delete(f"{self.path}/{stale}")
 
     def meta(self) -> dict:
         return self.shared.read_json(self._pointer)
@@ -136,13 +156,33 @@ def _indexed(ws: Workspace, tables: dict[str, DataFrame], width: int, kind: str,
         if changed is not None and not rebuild:
             ids = changed if name == "paper" else tables["chunks"].join(changed.withColumnRenamed("id", "paper_id"), "paper_id", "left_semi").select(F.col("chunk_id").alias("id"))
             old = (index.remove(old[0], ids), old[1])
-        papers_of = vectors.select("id", F.col("id").alias("paper_id")) if name == "paper" else tables["chunks"].select(F.col("chunk_id").alias("id"), "paper_id")
-        rows, model = refresh_index(vectors, old, papers_of, width, kind)
+        rows, model = refresh_index(vectors, old, _papers_of(name, tables["chunks"], vectors), width, kind)
         out[name] = (materialize(rows), model)
         tables[table] = reconcile(tables[table], out[name][0], key)
     return out
 
 
+def _papers_of(name: str, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    return vectors.select("id", F.col("id").alias("paper_id")) if name == "paper" else chunks.select(F.col("chunk_id").alias("id"), "paper_id")
+
+
+def _index_more(ws: Workspace, added: dict[str, DataFrame], width: int, kind: str) -> dict[str, tuple[DataFrame, index.Model]]:
+    """Both indexes with the vectors of the added rows, and the flags of these rows; only an index whose plan changes is built anew."""
+    out = {}
+    for name, table, key in (("paper", "papers", "paper_id"), ("chunk", "chunks", "chunk_id")):
+        vectors = added[f"{name}_vectors"] = materialize(added[f"{name}_vectors"])
+        rows, model = ws.index(name, width)
+        v = usable(vectors, "id", "embedding", width)
+        want, lists, _ = index.plan(ws.spark, min(rows.count() + v.count(), SAMPLE), width, kind)
+        if want != model.kind or lists > 2 * model.nlist:
+            every = ws.read(f"{name}_vectors").unionByName(vectors)
+            out[name] = refresh_index(every, (rows.limit(0), index.Model("flat", width)), _papers_of(name, ws.read("chunks").unionByName(added["chunks"]), every), width, kind)
+        else:
+            out[name] = (index.add(rows, index.indexed_rows(v, model)), model)
+        added[table] = reconcile(added[table], v.select("id"), key)
+    return out
+
+
 @dataclass(frozen=True)
 class Cycle:
     """What a build did."""
@@ -185,25 +225,24 @@ def build(ws: Workspace, archives: list[str], embedder: Embedder | None = None,
         found = read_articles(ws.spark, archives)
         articles = found.where("fault IS NULL").join(fresh, "doc_id", "left_semi").unionByName(found.where("fault IS NOT NULL"))
         store = build_store(articles, config)
-        papers, chunks, files = store.papers, store.chunks, store.files
-        pv, cv = (ws.spark.createDataFrame([], SCHEMAS[n]) for n in ("paper_vectors", "chunk_vectors"))
-        changed = None
-        if not rebuild:
-            papers, chunks, files, pv, cv, changed = _merged(ws, store)
-        head = chunks.where("ord = -1").select("paper_id", "text")
-        tables = {
-            "paper_vectors": embed_missing(head, pv, "paper_id", "text", embedder),
-            "chunk_vectors": embed_missing(chunks, cv, "chunk_id", "text", embedder),
-            "papers": papers,
-            "chunks": chunks,
-            "files": files,
-            "failures": store.failed,
-        }
-        indexes = _indexed(ws, tables, embedder.width, config.index, rebuild, changed)
         cycle = cycle_statistics(store)
+        meta = {"build": {"num_shards": config.num_shards, "mode": config.role}, "cycle": vars(cycle) | {"chunks_a_paper": cycle.chunks_a_paper}, "width": embedder.width}
+        none = {n: ws.spark.createDataFrame([], SCHEMAS[n]) for n in ("paper_vectors", "chunk_vectors")}
+        if rebuild:
+            rows, replaced = {"papers": store.papers, "chunks": store.chunks, "files": store.files}, None
+        else:
+            rows, replaced = _renumbered(ws, store)
+        if rebuild or replaced is not None:
+            held = none if rebuild else _without(ws, rows, replaced)
+            tables = dict(rows) if rebuild else {n: held[n].unionByName(rows[n]) for n in rows}
+            tables |= _vectors(tables["chunks"], held, embedder) | {"failures": store.failed}
+            indexes = _indexed(ws, tables, embedder.width, config.index, rebuild, replaced)
+            ws.write(tables, indexes, **meta)
+        else:
+            added = rows | _vectors(rows["chunks"], none, embedder)
+            ws.write({"failures": store.failed}, _index_more(ws, added, embedder.width, config.index), added, **meta)
         if config.role == "producer":
-            _leave_segments(ws, tables)
-        ws.write(tables, indexes, build={"num_shards": config.num_shards, "mode": config.role}, cycle=vars(cycle) | {"chunks_a_paper": cycle.chunks_a_paper}, width=embedder.width)
+            _leave_segments(ws, {n: ws.read(n) for n in SCHEMAS})
     return store
 
 
@@ -236,28 +275,46 @@ def _leave_segments(ws: Workspace, tables: dict[str, DataFrame]) -> None:
     write_segments(tables["chunk_vectors"].join(c, F.col("id") == F.col("chunk_id")).select(F.col("doc_id").alias("paper_doc_id"), "ord", F.col("embedding").alias("vec")), ws.segments, "chunk")
 
 
-def _merged(ws: Workspace, new: Store) -> tuple[DataFrame, ...]:
-    """The store's rows and those of the new members: a paper known by pmcid, else by pmid, else by doc_id, keeps its id
-    and is replaced; and the ids (id) of those."""
-    old_p, old_c, old_f = ws.read("papers"), ws.read("chunks"), ws.read("files")
+def _vectors(chunks: DataFrame, held: dict[str, DataFrame], embedder: Embedder) -> dict[str, DataFrame]:
+    """Vectors of papers, which are those of their first passages' texts, and of all passages."""
+    head = chunks.where("ord = -1").select("paper_id", "text")
+    return {"paper_vectors": embed_missing(head, held["paper_vectors"], "paper_id", "text", embedder), "chunk_vectors": embed_missing(chunks, held["chunk_vectors"], "chunk_id", "text", embedder)}
+
+
+def _renumbered(ws: Workspace, new: Store) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """The new members' rows under the store's ids, and the ids (id) of papers and the papers of files that they replace;
+    None if they replace nothing.
+
+    A paper known by pmcid, else by pmid, else by doc_id, keeps its id; others get the next ones.
+    """
+    old_p, old_f = ws.read("papers"), ws.read("files")
     same = match_identity(new.papers, old_p)
     top = old_p.agg(F.coalesce(F.max("paper_id"), F.lit(0)).alias("top"))
-    ids = new.papers.select("paper_id").join(same, "paper_id", "left").crossJoin(F.broadcast(top)).select("paper_id", F.coalesce("old_id", F.col("paper_id") + F.col("top")).alias("to"))
-    ids = materialize(ids.groupBy("to").agg(F.min("paper_id").alias("paper_id")))
-    papers = new.papers.join(ids, "paper_id").withColumn("paper_id", F.col("to")).drop("to")
-    chunks = new.chunks.join(ids, "paper_id").withColumns({"paper_id": F.col("to"), "chunk_id": F.shiftleft("to", 24) + F.col("ord") + 1}).drop("to")
-    files = new.files.join(ids, "paper_id").withColumn("paper_id", F.col("to")).drop("to")
-    gone = papers.select("paper_id")
-    pv = ws.read("paper_vectors").join(gone.select(F.col("paper_id").alias("id")), "id", "left_anti")
-    cv = ws.read("chunk_vectors").join(old_c.join(gone, "paper_id", "left_semi").select(F.col("chunk_id").alias("id")), "id", "left_anti")
-    return (
-        old_p.join(gone, "paper_id", "left_anti").unionByName(papers),
-        old_c.join(gone, "paper_id", "left_anti").unionByName(chunks),
-        first_wins(old_f.withColumn("o", F.lit(1)).unionByName(files.withColumn("o", F.lit(0))), ["path"], "o", F.desc("mtime")).drop("o"),
-        pv,
-        cv,
-        gone.select(F.col("paper_id").alias("id")),
-    )
+    ids = new.papers.select("paper_id").join(same, "paper_id", "left").crossJoin(F.broadcast(top)).select("paper_id", "old_id", F.coalesce("old_id", F.col("paper_id") + F.col("top")).alias("to"))
+    ids = materialize(ids.groupBy("to").agg(F.min("paper_id").alias("paper_id"), F.max("old_id").alias("old_id")))
+    to = ids.select("paper_id", "to")
+    rows = {
+        "papers": new.papers.join(to, "paper_id").withColumn("paper_id", F.col("to")).drop("to"),
+        "chunks": new.chunks.join(to, "paper_id").withColumns({"paper_id": F.col("to"), "chunk_id": F.shiftleft("to", 24) + F.col("ord") + 1}).drop("to"),
+        "files": new.files.join(to, "paper_id").withColumn("paper_id", F.col("to")).drop("to"),
+    }
+    replaced = materialize(ids.where("old_id IS NOT NULL").select(F.col("old_id").alias("id")))
+    if replaced.limit(1).count() or rows["files"].join(old_f.select("path"), "path", "left_semi").limit(1).count():
+        return rows, replaced
+    return rows, None
+
+
+def _without(ws: Workspace, rows: dict[str, DataFrame], replaced: DataFrame) -> dict[str, DataFrame]:
+    """The store's rows but for those of replaced papers and of files that came again."""
+    old_c = ws.read("chunks")
+    gone = replaced.select(F.col("id").alias("paper_id"))
+    return {
+        "papers": ws.read("papers").join(gone, "paper_id", "left_anti"),
+        "chunks": old_c.join(gone, "paper_id", "left_anti"),
+        "files": ws.read("files").join(rows["files"].select("path").distinct(), "path", "left_anti"),
+        "paper_vectors": ws.read("paper_vectors").join(replaced, "id", "left_anti"),
+        "chunk_vectors": ws.read("chunk_vectors").join(old_c.join(gone, "paper_id", "left_semi").select(F.col("chunk_id").alias("id")), "id", "left_anti"),
+    }
 
 
 def mark_done(spark: SparkSession, path: str, shard: int) -> None:

@@ -39,7 +39,9 @@ def test_build_update_ask(spark, tmp_path, archives):
     assert {r.id for r in ws.index("chunk", 64)[0].collect()} == {r.chunk_id for r in ws.read("chunks").collect()} and ws.index("paper", 64)[0].count() == 3
     assert ws.meta()["cycle"] == {"members": 2, "parsed": 2, "failed": 0, "papers": 2, "chunks": 2, "chunks_a_paper": 1.0}
     pipeline.build(ws, [str(archives / "a.tar")], config=BuildConfig(update=True))
-    assert ws.meta()["cycle"]["members"] == 0 and ws.shared.names(ws.path) == ["chunk_index", "current.json", "paper_index", "v1", "v2"]
+    assert ws.meta()["cycle"]["members"] == 0 and ws.read("papers").count() == 3
+    # what no pointer names any more is deleted
+    assert ws.shared.names(f"{ws.path}/chunk_index") == ["v1", "v2"] and ws.shared.names(f"{ws.path}/v0") == []
     q = spark.createDataFrame([(1, "How does CD4 let HIV enter?"), (2, "What is known of gefitinib resistance?")], "qid long, question string")
     passages, packed = pipeline.ask(ws, q, config=QueryConfig(top_papers=2, top_chunks=4, min_chunks_per_paper=0))
     first = {r.qid: r.paper_id for r in passages.where("pos = 0").collect()}
@@ -64,6 +66,26 @@ def test_archives_as_they_are_announced(spark, tmp_path, archives):
     assert ws.read("papers").count() == 3 and ws.meta()["version"] == 1
 
 
+def test_added_rows_cost_only_themselves(spark, tmp_path, monkeypatch):
+    ws = pipeline.Workspace(spark, str(tmp_path / "ws"))
+    for i in range(4):
+        put(tmp_path / f"{i}.tar", [("x.xml", doc(f"PMC{i}", f"Title {i} of kinases", f"Topic {i}", 2))])
+    pipeline.build(ws, [str(tmp_path / "0.tar")])
+    for i in (1, 2):
+        pipeline.build(ws, [str(tmp_path / f"{j}.tar") for j in range(i + 1)], config=BuildConfig(update=True))
+    assert ws.meta()["dirs"]["chunks"] == ["v0/chunks", "v1/chunks", "v2/chunks"] and ws.read("papers").count() == 3
+    assert ws.read("chunks").where("NOT in_index").count() == 0 and ws.index("chunk", 64)[0].count() == ws.read("chunks").count() == ws.read("chunk_vectors").count()
+    assert sorted(r.paper_id for r in ws.read("papers").collect()) == [1, 2, 3]
+    monkeypatch.setattr(pipeline, "MOST_PARTS", 3)
+    pipeline.build(ws, [str(tmp_path / "3.tar")], config=BuildConfig(update=True))
+    assert ws.meta()["dirs"]["chunks"] == ["v3/chunks"] and ws.read("papers").count() == 4 and ws.read("files").count() == 4
+    # a changed member replaces its paper, under the same id
+    put(tmp_path / "3.tar", [("x.xml", doc("PMC3", "Another title of kinases", "Topic 3", 3))])
+    pipeline.build(ws, [str(tmp_path / "3.tar")], config=BuildConfig(update=True))
+    assert {r.paper_id: r.title for r in ws.read("papers").collect()}[4] == "Another title of kinases" and ws.read("files").count() == 4 and ws.meta()["dirs"]["papers"] == ["v4/papers"]
+    assert ws.index("chunk", 64)[0].count() == ws.read("chunks").count()
+
+
 def test_producers_and_consumer(spark, tmp_path, archives):
     shards = [pipeline.Workspace(spark, str(tmp_path / f"s{i}")) for i in range(2)]
     for i, (s, a) in enumerate(zip(shards, "ab", strict=True)):
