@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm._arrays import code_points, gram_hashes, slices, sliding
+from tesserae.session import materialize
 
 _BIG = np.int64(np.iinfo(np.int64).max)
 
@@ -63,7 +64,7 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def _phrase_owners(length: int, k: int):
-    """(phrase, low, high, n) of each batch: phrases with their least and greatest owner."""
+    """(phrase, low, high) of each batch: phrases with their least and greatest owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -73,8 +74,7 @@ def _phrase_owners(length: int, k: int):
                 o = np.argsort(h, kind="stable")
                 h, own = h[o], owner[t[o]]
                 r = _runs(h)
-                n = np.diff(np.append(r, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[r]), pa.array(np.minimum.reduceat(own, r)), pa.array(np.maximum.reduceat(own, r)), pa.array(n)], names=["phrase", "low", "high", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[r]), pa.array(np.minimum.reduceat(own, r)), pa.array(np.maximum.reduceat(own, r))], names=["phrase", "low", "high"])
 
     return run
 
@@ -93,18 +93,18 @@ def _phrase_places(length: int, k: int):
 
 
 def _surroundings(length: int, k: int):
-    """(phrase, n, id, owner, chars, begin, around): the text around each phrase that a span through it can reach."""
+    """(phrase, id, owner, chars, begin, around): the text around each phrase that a span through it can reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for i, owner, text, places in zip(*(rb.column(c).to_pylist() for c in range(4)), strict=True):
                 for s in places:
                     begin = max(0, s["pos"] - (length - k))
-                    for x, v in zip(out, (s["phrase"], s["n"], i, owner, len(text), begin, text[begin : s["pos"] + length]), strict=True):
+                    for x, v in zip(out, (s["phrase"], i, owner, len(text), begin, text[begin : s["pos"] + length]), strict=True):
                         x.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["phrase", "n", "id", "owner", "chars", "begin", "around"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["phrase", "id", "owner", "chars", "begin", "around"])
 
     return run
 
@@ -303,7 +303,7 @@ def factors(df: DataFrame, key: str, owner: str, text: str, length: int = 160, k
 
     Scale: the owners of each phrase are combined within each batch and again before the shuffle; only phrases of
     several owners are joined back to their places, whose hot phrases adaptive execution can split; only texts with
-    such a phrase are read in full. Blocks hold up to crowd texts a phrase. Of a phrase of more texts than that each
+    such a phrase are read in full. Copies of a text are two texts to the parse at most. Blocks hold up to crowd texts a phrase. Of a phrase of more texts than that each
     distinct surrounding is looked at once and goes by its windows, with the same combining and joining, so no group is
     ever gathered in one task and a crowd of copies costs little more than its places.
     """
@@ -311,23 +311,48 @@ def factors(df: DataFrame, key: str, owner: str, text: str, length: int = 160, k
         raise ValueError("k must be from 8 to length")
     src = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{owner}`").cast("long").alias("owner"), F.col(f"`{text}`").alias("text"))
     src = src.where(f"id IS NOT NULL AND owner IS NOT NULL AND char_length(text) >= {length}")
-    owners = src.mapInArrow(_phrase_owners(length, k), "phrase long, low long, high long, n long")
-    index = owners.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low <> high").select("phrase", "n")
+    owners = src.mapInArrow(_phrase_owners(length, k), "phrase long, low long, high long")
+    index = owners.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("phrase")
     places = src.mapInArrow(_phrase_places(length, k), "phrase long, id long, pos int").join(index, "phrase")
-    wanted = places.groupBy("id").agg(F.collect_set(F.struct("phrase", "n", "pos")).alias("places"))
+    members, idle = _copies(src)
+    wanted = places.groupBy("id").agg(F.collect_set(F.struct("phrase", "pos")).alias("places")).join(idle, "id", "left_anti")
     around = src.join(wanted, "id").select("id", "owner", "text", "places")
-    around = around.mapInArrow(_surroundings(length, k), "phrase long, n long, id long, owner long, chars int, begin int, around string")
-    return _parse(around, length, crowd)
+    around = around.mapInArrow(_surroundings(length, k), "phrase long, id long, owner long, chars int, begin int, around string")
+    found = _parse(around, length, crowd)
+    if not members.limit(1).count():
+        return found
+    # copies whose owners differ are shared as a whole; those of one owner have the factors of the one that was parsed
+    whole = members.where("low <> high").select("id", "chars", F.lit(0).alias("begin"), F.col("chars").alias("end"), F.when(F.col("owner") != F.col("low"), F.col("first")).otherwise(F.col("last")).alias("source"), F.lit(0).alias("source_begin"))
+    follow = members.where("low = high AND id <> first").select(F.col("id").alias("copy"), "first")
+    found = materialize(found)
+    same = follow.join(found, F.col("first") == F.col("id")).select(F.col("copy").alias("id"), "chars", "begin", "end", "source", "source_begin")
+    return found.unionByName(whole).unionByName(same)
+
+
+def _copies(src: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, owner, chars, low, first, high, last) of texts that occur more than once, and the ids (id) that need no parse.
+
+    Texts are told apart by 128 bits of hashes and their length. Of the copies of a text the one of the least owner
+    (first) and the one of the greatest (last) stand for all others: whatever owner another text has, one of them
+    differs. So a crowd of copies of any size is two texts to the parse; only ids and hashes are shuffled here.
+    """
+    text = src.select("id", "owner", F.char_length("text").alias("chars"), F.xxhash64("text").alias("c0"), F.xxhash64(F.lit(1), "text").alias("c1"))
+    key = ["c0", "c1", "chars"]
+    several = text.groupBy(*key).agg(F.min(F.struct("owner", "id")).alias("lo"), F.max(F.struct("owner", "id")).alias("hi"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(text.join(several, key).select("id", "owner", "chars", F.col("lo.owner").alias("low"), F.col("lo.id").alias("first"), F.col("hi.owner").alias("high"), F.col("hi.id").alias("last")).distinct())
+    return members, members.where("id <> first AND NOT (low <> high AND id = last)").select("id").distinct()
 
 
 def _parse(around: DataFrame, length: int, crowd: int) -> DataFrame:
     """Factors of the texts around phrases; those of crowded phrases by their windows."""
-    from tesserae.session import materialize
-
     around = materialize(around)
-    few = around.where(F.col("n") <= crowd).repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_parse_blocks(length), _FACTOR)
-    # a crowd is mostly copies: each distinct surrounding is looked at once, with the range of its owners
-    many = around.where(F.col("n") > crowd).withColumn("text", F.col("around")).withColumn("around", F.xxhash64("text"))
+    crowded = materialize(around.groupBy("phrase").count().where(F.col("count") > crowd).select("phrase"))
+    some = crowded.limit(1).count() > 0
+    few = (around.join(crowded, "phrase", "left_anti") if some else around).repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_parse_blocks(length), _FACTOR)
+    if not some:
+        return few
+    # a crowd is mostly alike: each distinct surrounding is looked at once, with the range of its owners
+    many = around.join(crowded, "phrase").withColumn("text", F.col("around")).withColumn("around", F.xxhash64("text"))
     once = many.groupBy("phrase", "around").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.any_value("text").alias("text"))
     loose = once.select("phrase", "around", "low", "high", "text").mapInArrow(_loose_windows(length), "window long, phrase long, around long, low long, high long, start int")
     mixed = loose.groupBy("window").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("window")

@@ -97,3 +97,17 @@ def test_factors_have_sources(spark):
     text, own = {r[0]: r[2] for r in rows}, {r[0]: r[1] for r in rows}
     got = factors(df, "i", "o", "t", length=40, k=12).collect()
     assert got and all(text[r.id][r.begin : r.end] == text[r.source][r.source_begin : r.source_begin + r.end - r.begin] and own[r.id] != own[r.source] and r.end - r.begin >= 40 for r in got)
+
+
+def test_crowd_of_copies(spark):
+    """Copies under one owner and under many, beside texts that share a part with them."""
+    a, b, c = ("".join(random.Random(x).choice("abcdefgh ") for _ in range(120)) for x in "xyz")
+    rows = [(i, 1, a) for i in range(300)] + [(1000 + i, i % 7, b) for i in range(300)] + [(2000 + i, 5, c) for i in range(50)]
+    rows += [(3000, 1, "zz" + a[10:70]), (3001, 2, a[50:110] + "qq"), (3002, 9, b[:45] + "--"), (3003, 5, c[:60]), (3004, 6, c[20:80]), (3004, 6, c[20:80])]
+    df = spark.createDataFrame(rows, "i long, o long, t string")
+    for crowd in (4096, 2):
+        got = {r.id: [(s.begin, s.end) for s in r.spans] for r in shared_spans(df, "i", "o", "t", length=40, k=12, crowd=crowd).collect()}
+        assert got == brute(rows, 40)
+    text, own = {r[0]: r[2] for r in rows}, {r[0]: r[1] for r in rows}
+    for r in factors(df, "i", "o", "t", length=40, k=12).collect():
+        assert own[r.id] != own[r.source] and text[r.id][r.begin : r.end] == text[r.source][r.source_begin : r.source_begin + r.end - r.begin]
