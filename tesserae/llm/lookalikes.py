@@ -16,6 +16,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.session import materialize
+
 # Letters of other scripts that pass for a Latin letter, each followed by that letter.
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ѴV ҮY ҺH ӀI ԌG ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj ѵv үy һh ӏl ԁd ԍg ԛq ԝw"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo"
@@ -64,16 +66,20 @@ _FOREIGN, _VARIANTS = _ranges(FOREIGN), _ranges(VARIANTS)
 _ODD = f"{_FOREIGN}{_ACCENTS}{_VARIANTS}"
 _UNSEEN = _ranges(INVISIBLE + SPACES) + JOINERS
 _LATIN_LETTER = f"A-Za-z\\x{{c0}}-\\x{{24f}}{_ranges(''.join(c for c in VARIANTS if not unicodedata.normalize('NFKC', c).isdigit()))}"
-_HINT = f"[\\x{{a0}}-\\x{{10ffff}}&&[{_ODD}]]"
-_IN_WORD = f"\\p{{L}}\\p{{M}}\\p{{N}}{_VARIANTS}"
+# no case lies between: the commonest letters and signs beyond ASCII are settled by two comparisons
+_BEYOND = "\\x{a0}\\x{ad}\\x{250}-\\x{10ffff}"
+_HINT = f"[{_BEYOND}&&[{_ODD}]]"
+# ASCII is settled by the first part of each class; the long second part is tried beyond it only
+_WIDE = "\\x{a0}-\\x{10ffff}"
+_IN_WORD = f"A-Za-z0-9[{_WIDE}&&[\\p{{L}}\\p{{M}}\\p{{N}}{_VARIANTS}]]"
+_ORDINARY = f"A-Za-z0-9[{_WIDE}&&[\\p{{L}}\\p{{M}}\\p{{N}}]&&[^{_ODD}]]"
 # a word is tried from its first letter only, and without going back
-_WORD = f"(?<![{_IN_WORD}])[{_IN_WORD}&&[^{_ODD}]]*+[{_ODD}][{_IN_WORD}]*+"
+_WORD = f"(?<![{_IN_WORD}])[{_ORDINARY}]*+[{_WIDE}&&[{_ODD}]][{_IN_WORD}]*+"
 
 
 def suspect(text: Column) -> Column:
     """Whether text may hold a case: one scan for characters that ordinary text has not, or not inside Latin words."""
-    # the first half of the class settles plain characters with one comparison
-    return text.rlike(f"[\\x{{a0}}-\\x{{10ffff}}&&[{_ODD}{_UNSEEN}]]")
+    return text.rlike(f"[{_BEYOND}&&[{_ODD}{_UNSEEN}]]")
 
 
 def _seen(text: Column) -> Column:
@@ -129,8 +135,8 @@ def word_forms(words: DataFrame) -> DataFrame:
 
 
 def text_forms(texts: DataFrame) -> DataFrame:
-    """(text, form) of the distinct suspect values of column text; the work is a few rows in a hundred."""
-    base = texts.select("text").where(suspect(F.col("text"))).distinct().select("text", _seen(F.col("text")).alias("plain"))
+    """(text, form) of the distinct values of column text, which are suspects; the work is a few rows in a hundred."""
+    base = texts.select("text").distinct().select("text", _seen(F.col("text")).alias("plain"))
     words = base.select("text", "plain", F.explode_outer(F.when(F.col("plain").rlike(_HINT), F.array_distinct(F.regexp_extract_all("plain", F.lit(_WORD), F.lit(0))))).alias("word"))
     forms = word_forms(words.where("word IS NOT NULL").select("word").distinct())
     per_text = words.join(forms, "word", "left").groupBy("text", "plain").agg(_swaps("word").alias("swaps"))
@@ -148,7 +154,8 @@ def consistent_text(df: DataFrame, text: str, form: str = "form", changed: str =
     df = df.drop(form, changed) if text not in (form, changed) else df
     t = F.col(f"`{text}`")
     plain = df.where(t.isNull() | ~suspect(t)).withColumns({form: t, changed: F.lit(False)})
-    forms = text_forms(df.select(t.alias("text"))).select(F.col("text").alias("__text"), F.col("form").alias("__form"))
-    odd = df.where(suspect(t))
-    odd = odd.join(forms, t == F.col("__text"), "left").withColumns({form: F.coalesce("__form", t), changed: F.coalesce(F.col("__form") != t, F.lit(False))}).drop("__text", "__form")
+    # the few suspect rows are found once
+    suspects = materialize(df.where(suspect(t)))
+    forms = text_forms(suspects.select(t.alias("text"))).select(F.col("text").alias("__text"), F.col("form").alias("__form"))
+    odd = suspects.join(forms, t == F.col("__text"), "left").withColumns({form: F.coalesce("__form", t), changed: F.coalesce(F.col("__form") != t, F.lit(False))}).drop("__text", "__form")
     return plain.unionByName(odd)
