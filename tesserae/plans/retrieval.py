@@ -127,7 +127,8 @@ def context_text(spark: SparkSession, base: str) -> DataFrame:
 
 
 def retry_schedule(spark: SparkSession, base: str) -> DataFrame:
-    n = spark.range(1, 101).select(F.col("id").cast("int").alias("chunks"))
+    """What each attempt would send for as many passages as a paper has, for every such number."""
+    n = table(spark, base, "chunks").groupBy("paper_id").agg(F.count("*").cast("int").alias("chunks")).select("chunks").distinct()
     return n.select("chunks", F.explode(ranking.retry_schedule(F.col("chunks"), F.lit(3000))).alias("s")).select(F.col("chunks").alias("asked"), "s.attempt", "s.chunks", "s.max_out")
 
 
@@ -206,6 +207,6 @@ ORACLE = {
     "hydrate_chunks": f"{_ALL}{_ANN}, {_LEX}, {_FUSE}, {_HYD} SELECT * FROM hy",
     "context_pack": f"{_ALL}{_ANN}, {_LEX}, {_FUSE}, {_HYD}, {_PACK} SELECT qid, idx, chunk_id, block, cost, used FROM pk",
     "context_text": f"{_ALL}{_ANN}, {_LEX}, {_FUSE}, {_HYD}, {_PACK} SELECT q.qid, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY idx), '(no context)') AS context, CAST(count(block) AS INTEGER) AS n_used FROM q LEFT JOIN pk ON pk.qid = q.qid GROUP BY q.qid",
-    "retry_schedule": """WITH RECURSIVE r AS (SELECT CAST(n AS INTEGER) AS asked, 0 AS attempt, CAST(n AS INTEGER) AS chunks, 3000 AS max_out FROM range(1, 101) t(n)
+    "retry_schedule": """WITH RECURSIVE r AS (SELECT CAST(n AS INTEGER) AS asked, 0 AS attempt, CAST(n AS INTEGER) AS chunks, 3000 AS max_out FROM (SELECT DISTINCT count(*) AS n FROM chunks GROUP BY paper_id)
 UNION ALL SELECT asked, attempt + 1, CAST(CASE WHEN chunks > 1 THEN greatest(1, CASE WHEN attempt = 0 THEN floor(chunks * CAST(0.7 AS DOUBLE)) ELSE chunks // 2 END) ELSE chunks END AS INTEGER), CAST(greatest(128, floor(max_out * 0.75)) AS INTEGER) FROM r WHERE attempt < 3) SELECT * FROM r""",
 }

@@ -57,19 +57,33 @@ def error_classes(spark: SparkSession, base: str) -> DataFrame:
     return e.select("event_id", errors.error_class(msg).alias("class"))
 
 
+def message_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Classes of all documents, each taken as the message of a failed call."""
+    d = table(spark, base, "documents")
+    return d.select("doc_id", errors.error_class(F.col("text")).alias("class"))
+
+
+def _counts(spark: SparkSession, base: str, name: str, most: int) -> DataFrame:
+    """(name): numbers from 1 to most that the sizes of all files stand for, each once."""
+    f = table(spark, base, "files").where("size IS NOT NULL")
+    return f.select((F.abs("size") % most + 1).cast("int").alias(name)).distinct()
+
+
 def nprobe_pick(spark: SparkSession, base: str) -> DataFrame:
-    n = spark.range(0, 18).select((F.lit(1) * F.pow(F.lit(2), F.col("id"))).cast("int").alias("nlist"))
+    """Probes for as many lists as the files' sizes stand for."""
+    n = _counts(spark, base, "nlist", 131_072)
     return n.select("nlist", parameters.pick_nprobe(F.col("nlist")).alias("nprobe"), parameters.auto_nprobe(F.col("nlist")).alias("auto"), parameters.pick_nprobe(F.col("nlist"), 2000).alias("forced"))
 
 
 def pq_m_pick(spark: SparkSession, base: str) -> DataFrame:
-    n = spark.range(1, 65).select(F.col("id").cast("int").alias("wanted"))
+    """Widths of codes for what the files' sizes stand for."""
+    n = _counts(spark, base, "wanted", 64)
     return n.select("wanted", parameters.safe_pq_m(768, F.col("wanted")).alias("m768"), parameters.safe_pq_m(30, F.col("wanted")).alias("m30"))
 
 
 def nlist_pick(spark: SparkSession, base: str) -> DataFrame:
-    """Index plans for corpora from nothing to a million."""
-    n = spark.range(0, 101).select((F.col("id") * F.col("id") * 100).cast("int").alias("n"))
+    """Index plans for as many vectors as the files' sizes stand for."""
+    n = _counts(spark, base, "n", 1_000_000)
     p, s = parameters.ivf_plan(F.col("n"), 768, 16384, 64), parameters.safe_ivfpq(F.col("n"), 768, 16384, 64)
     return n.select("n", parameters.effective_nlist(F.col("n"), 16384).alias("nlist"), p["kind"].alias("kind"), p["nlist"].alias("lists"), s["nlist"].alias("safe"), s["use_flat"].alias("flat"))
 
@@ -127,12 +141,16 @@ def _pick(n: str, target: str) -> str:
     return f"CAST(least({n}, greatest(CASE WHEN {n} >= 16384 THEN 32 ELSE 8 END, least(CASE WHEN {n} >= 65536 THEN 1024 ELSE 512 END, {target}))) AS INTEGER)"
 
 
+def _counts_sql(name: str, most: int) -> str:
+    return f"SELECT DISTINCT CAST(abs(size) % {most} + 1 AS INTEGER) AS {name} FROM files WHERE size IS NOT NULL"
+
+
 _ROOT = "CAST(floor(sqrt(greatest(nlist, 1))) AS INTEGER)"
 _EFF = "CASE WHEN n <= 0 THEN 0 ELSE greatest(least(n, CASE WHEN n >= 100000 THEN 128 ELSE 16 END), least(16384, n, greatest(1, CAST(floor(4 * sqrt(n)) AS INTEGER)))) END"
 
 QUERIES = {
     "chunk_pack": chunk_pack, "chunk_sizes": chunk_sizes, "paper_texts": paper_texts, "normalize_text": normalize_text, "query_terms": query_terms, "query_rare_terms": query_rare_terms,
-    "word_vectors": word_vectors, "error_classes": error_classes, "nprobe_pick": nprobe_pick, "pq_m_pick": pq_m_pick, "nlist_pick": nlist_pick, "top_papers_pick": top_papers_pick,
+    "word_vectors": word_vectors, "error_classes": error_classes, "message_classes": message_classes, "nprobe_pick": nprobe_pick, "pq_m_pick": pq_m_pick, "nlist_pick": nlist_pick, "top_papers_pick": top_papers_pick,
 }
 ORACLE = {
     "chunk_pack": f"WITH a AS ({ARTICLES_SQL}) {PASSAGES_SQL}",
@@ -144,10 +162,12 @@ ORACLE = {
     "word_vectors": "SELECT paper_id, list_transform(range(16), lambda b: CAST(len(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 16 = b)) AS DOUBLE)) AS v FROM papers WHERE title IS NOT NULL",
     "error_classes": f"""SELECT event_id, CASE WHEN {_has(errors.NO_MODEL)} AND contains(m, 'model') THEN 'model' WHEN {_has(errors.AUTH)} THEN 'auth' WHEN {_has(errors.UNSUPPORTED)} THEN 'unsupported'
 WHEN {_has(errors.OVERFLOW)} THEN 'overflow' ELSE 'other' END AS class FROM (SELECT event_id, lower({_MSG}) AS m FROM events)""",
-    "nprobe_pick": f"SELECT nlist, {_pick('nlist', _ROOT)} AS nprobe, greatest(8, least(512, {_pick('nlist', _ROOT)})) AS auto, {_pick('nlist', '2000')} AS forced FROM (SELECT CAST(pow(2, i) AS INTEGER) AS nlist FROM range(18) t(i))",
-    "pq_m_pick": "SELECT CAST(w AS INTEGER) AS wanted, CAST(list_max(list_filter(range(1, w + 1), lambda x: 768 % x = 0)) AS INTEGER) AS m768, CAST(list_max(list_filter(range(1, w + 1), lambda x: 30 % x = 0)) AS INTEGER) AS m30 FROM range(1, 65) t(w)",
+    "message_classes": f"""SELECT doc_id, CASE WHEN {_has(errors.NO_MODEL)} AND contains(m, 'model') THEN 'model' WHEN {_has(errors.AUTH)} THEN 'auth' WHEN {_has(errors.UNSUPPORTED)} THEN 'unsupported'
+WHEN {_has(errors.OVERFLOW)} THEN 'overflow' ELSE 'other' END AS class FROM (SELECT doc_id, lower(coalesce(text, '')) AS m FROM documents)""",
+    "nprobe_pick": f"SELECT nlist, {_pick('nlist', _ROOT)} AS nprobe, greatest(8, least(512, {_pick('nlist', _ROOT)})) AS auto, {_pick('nlist', '2000')} AS forced FROM ({_counts_sql('nlist', 131072)})",
+    "pq_m_pick": f"SELECT w AS wanted, CAST(list_max(list_filter(range(1, w + 1), lambda x: 768 % x = 0)) AS INTEGER) AS m768, CAST(list_max(list_filter(range(1, w + 1), lambda x: 30 % x = 0)) AS INTEGER) AS m30 FROM ({_counts_sql('w', 64)})",
     "nlist_pick": f"""SELECT n, CAST(e AS INTEGER) AS nlist, CASE WHEN few THEN 'flat' ELSE 'ivfpq' END AS kind, CASE WHEN few THEN 0 ELSE lists END AS lists,
 CASE WHEN n < 9984 THEN 0 ELSE CAST(greatest(1, least(16384, n // 39)) AS INTEGER) END AS safe, n < 9984 AS flat
-FROM (SELECT *, n < 9984 OR lists < 8 OR n < 50 * lists AS few FROM (SELECT *, CAST(least(e, greatest(1, n // 40)) AS INTEGER) AS lists FROM (SELECT n, {_EFF} AS e FROM (SELECT CAST(i * i * 100 AS INTEGER) AS n FROM range(101) t(i)))))""",
+FROM (SELECT *, n < 9984 OR lists < 8 OR n < 50 * lists AS few FROM (SELECT *, CAST(least(e, greatest(1, n // 40)) AS INTEGER) AS lists FROM (SELECT n, {_EFF} AS e FROM ({_counts_sql('n', 1000000)}))))""",
     "top_papers_pick": "SELECT n, CASE WHEN n < 50000 THEN 500 WHEN n < 500000 THEN 1000 WHEN n < 2000000 THEN 2000 ELSE 4000 END AS top FROM (SELECT count(*) AS n FROM papers)",
 }
