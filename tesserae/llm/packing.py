@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.operators.store import numbered
+
 
 class _Room:
     """Open containers by the room left; the tightest that holds a size is found with one bit scan."""
@@ -81,7 +82,7 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return box, start
 
 
-def fill_containers(df: DataFrame, size: str, capacity: int, shards: int) -> DataFrame:
+def fill_containers(df: DataFrame, size: str, capacity: int, a_shard: int = 50_000) -> DataFrame:
     """df with piece (int), container (long), start and length (int): every item's container and place in it.
 
     An item is cut only if it alone exceeds the capacity: into full containers of its own and a rest that is packed
@@ -89,8 +90,9 @@ def fill_containers(df: DataFrame, size: str, capacity: int, shards: int) -> Dat
     as well. Repeated rows are items of their own. An empty table gives no rows. Columns of df with the new names are
     dropped.
 
-    Items are dealt in turn to the given number of shards, whatever their keys, and each shard is packed in one task;
-    choose it so that a shard has some ten thousands of items. Each shard leaves a few containers unfilled at most.
+    Items are numbered in the order of a hash of their rows and dealt in turn to shards of a_shard items at most, each
+    packed in one task, so hot keys and repeated rows spread evenly and the same rows give the same containers however
+    they come. Each shard leaves a few containers unfilled at most.
     """
     new = ("piece", "container", "start", "length")
     keep = [c for c in df.columns if c not in new]
@@ -99,11 +101,8 @@ def fill_containers(df: DataFrame, size: str, capacity: int, shards: int) -> Dat
     for name, kind in zip(new, (T.IntegerType(), T.LongType(), T.IntegerType(), T.IntegerType()), strict=True):
         schema = schema.add(name, kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        if not t.num_rows:
-            return
-        sizes = t.column("__size").to_numpy()
+    def packed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sizes, shard = t.column("__size").to_numpy(), t.column("__shard")[0].as_py()
         full, rest = sizes // capacity, sizes % capacity
         own = (rest == 0) & (full > 0)  # an exact multiple has no rest
         rows = np.flatnonzero(~own)
@@ -112,15 +111,33 @@ def fill_containers(df: DataFrame, size: str, capacity: int, shards: int) -> Dat
         n_full = int(full.sum())
         row = np.concatenate([np.repeat(np.arange(len(sizes)), full), rows])
         piece = np.concatenate([np.arange(n_full) - np.repeat(np.cumsum(full) - full, full), full[rows]])
-        box = np.concatenate([used + np.arange(n_full), box]) + (np.int64(TaskContext.get().partitionId()) << np.int64(32))
+        box = np.concatenate([used + np.arange(n_full), box]) + (np.int64(shard) << np.int64(32))
         start = np.concatenate([np.zeros(n_full, np.int64), start])
         length = np.concatenate([np.full(n_full, capacity), rest[rows]])
-        out = t.drop_columns(["__size"]).take(pa.array(row))
+        out = t.drop_columns(["__size", "__shard"]).take(pa.array(row))
         for name, x, kind in (("piece", piece, pa.int32()), ("container", box, pa.int64()), ("start", start, pa.int32()), ("length", length, pa.int32())):
             out = out.append_column(name, pa.array(x.astype(kind.to_pandas_dtype())))
         yield from out.to_batches(max_chunksize=10000)
 
-    return src.repartition(shards).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for rb in batches:
+            shard = rb.column(rb.num_columns - 1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and a < b and held[-1].column(rb.num_columns - 1)[0].as_py() != shard[a]:
+                    yield from packed(pa.Table.from_batches(held))
+                    held = []
+                if a < b:
+                    held.append(rb.slice(a, b - a))
+        if held:
+            yield from packed(pa.Table.from_batches(held))
+
+    placed = numbered(src.withColumn("__hash", F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in src.columns])), ["__hash", "__size"], "__n")
+    shards = max(1, -(-(placed.agg(F.max("__n")).first()[0] or 0) // a_shard))
+    dealt = placed.withColumn("__shard", F.pmod("__n", F.lit(shards)).cast("int"))
+    ordered = dealt.repartition(shards, "__shard").sortWithinPartitions("__shard", "__n").drop("__hash", "__n")
+    return ordered.mapInArrow(run, schema)
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

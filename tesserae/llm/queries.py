@@ -129,8 +129,7 @@ CAPACITY, SHARD_ITEMS = 2048, 50_000
 def p9_containers(spark: SparkSession, base: str) -> DataFrame:
     """(doc_id, n_tokens, piece, container, start, length) of every document."""
     docs = table(spark, base, "documents").select("doc_id", "text")
-    shards = max(1, -(-docs.count() // SHARD_ITEMS))
-    return packing.fill_containers(tokenizing.count_tokens(docs, "text"), "n_tokens", CAPACITY, shards)
+    return packing.fill_containers(tokenizing.count_tokens(docs, "text"), "n_tokens", CAPACITY, SHARD_ITEMS)
 
 
 def p9_fill(spark: SparkSession, base: str) -> DataFrame:

@@ -32,7 +32,10 @@ def test_large_pairs():
 def test_frame(spark):
     rows = [(1, 250), (2, 0), (3, None), (4, 100), (5, 30), (5, 30), (6, 70), (7, -4), (None, 5)]
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, n int, start string")
-    got = fill_containers(df, "n", 100, 2).collect()
+    got = fill_containers(df, "n", 100, 4).collect()
+    # the same rows, split otherwise, give the same containers
+    again = fill_containers(df.orderBy("n").repartition(5), "n", 100, 4).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len({r.container >> 32 for r in got}) == 3
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append((r.piece, r.length))
@@ -46,7 +49,7 @@ def test_frame(spark):
             assert s == at
             at += n
         assert at <= 100
-    rep = fill_report(fill_containers(df, "n", 100, 1), 100).first()
+    rep = fill_report(fill_containers(df, "n", 100), 100).first()
     assert rep.tokens == 485 and rep.containers >= rep.least == 5
-    assert fill_containers(df.limit(0), "n", 100, 1).count() == 0
-    assert fill_report(fill_containers(df.limit(0), "n", 100, 1), 100).first().filled is None
+    assert fill_containers(df.limit(0), "n", 100).count() == 0
+    assert fill_report(fill_containers(df.limit(0), "n", 100), 100).first().filled is None
