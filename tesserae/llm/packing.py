@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.operators.store import numbered
+from tesserae.session import materialize
 
 
 class _Room:
@@ -133,7 +134,8 @@ def fill_containers(df: DataFrame, size: str, capacity: int, a_shard: int = 50_0
         if held:
             yield from packed(pa.Table.from_batches(held))
 
-    placed = numbered(src.withColumn("__hash", F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in src.columns])), ["__hash", "__size"], "__n")
+    # ranges are found by a look at the rows, which must not work out their sizes twice
+    placed = numbered(materialize(src).withColumn("__hash", F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in src.columns])), ["__hash", "__size"], "__n")
     shards = max(1, -(-(placed.agg(F.max("__n")).first()[0] or 0) // a_shard))
     dealt = placed.withColumn("__shard", F.pmod("__n", F.lit(shards)).cast("int"))
     ordered = dealt.repartition(shards, "__shard").sortWithinPartitions("__shard", "__n").drop("__hash", "__n")
