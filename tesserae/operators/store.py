@@ -139,9 +139,12 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 def merge_papers(shards: DataFrame) -> DataFrame:
     """(shard, paper_id, new_id, ...): papers of all shards that the merge accepts, with new ids from 1 in merge order.
 
-    shards: shard, paper_id, doc_id, pmcid, pmid and more. Shards merge in the order of their names.
+    shards: shard, paper_id, doc_id, pmcid, pmid and more. Shards merge in the order of their names. Only keys go through
+    the rounds and the numbering; the rows themselves are shuffled once, to their new ids.
     """
-    return numbered(accept_by_identity(shards, ["shard", "paper_id"], ["doc_id", "pmcid", "pmid"]), ["shard", "paper_id"], "new_id")
+    place = ["shard", "paper_id"]
+    taken = accept_by_identity(shards.select(*place, "doc_id", "pmcid", "pmid"), place, ["doc_id", "pmcid", "pmid"]).select(*place)
+    return shards.join(numbered(taken, place, "new_id"), place)
 
 
 def merge_statistics(shards: DataFrame, merged: DataFrame) -> DataFrame:
