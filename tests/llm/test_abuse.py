@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -167,3 +169,18 @@ def test_frame(spark):
     assert sorted((r.doc_id, r.flagged) for r in got) == [(1, True), (1, True), (2, False), (3, False), (4, True)]
     assert {r.source: (r.documents, r.flagged) for r in rates(score_documents(df, "text"), "source").collect()} == {"a": (3, 2), "b": (1, 1), None: (1, 0)}
     assert score_documents(df.limit(0), "text").count() == 0
+
+
+def test_gate_lets_through_whatever_counts():
+    """A sentence that scores is always looked at, whatever words it is made of."""
+    rng = random.Random(5)
+    pools = [getattr(lex, n) for n in ("INSULT", "SCORN", "CRUDE", "SLUR", "HARM", "HARM_YOU", "HARMED", "DYING", "PLACE", "GROUP", "GROUP_OF", "BASE", "CONTEMPT", "EXPEL", "SEXUAL", "BODY", "SEXUAL_YOU", "ASKED", "USED", "YOU", "YOURS", "PERSON", "SELF", "INTENT", "WISH", "SHOULD", "BE", "FILL", "DEAR")]
+    pools += [list(lex.AIMED), ["all", "authors", "cells", "ever", "again", "like", ",", ":", "."]]
+    seen = 0
+    for _ in range(6000):
+        s = " ".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(2, 9))).replace(" .", ";")
+        got = sentence_score(s)
+        if got >= 0.5:
+            seen += 1
+            assert abs(document_score(s) - got) < 1e-9, s
+    assert seen > 1000
