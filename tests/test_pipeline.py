@@ -114,6 +114,12 @@ def test_index_answers(spark, tmp_path):
     u = usable(v, "id", "embedding", width)
     q = u.where("id % 50 = 0")
     assert index.recall(index.search(q, ix, model, 10), topk(q, u, 10, width)).first().recall > 0.9
+    ws = pipeline.Workspace(spark, str(tmp_path / "ws"))
+    ws.write({"chunk_vectors": v}, {"chunk": (ix, model)})
+    stored = pipeline._finder(ws, "chunk", u, width)(q, 10)
+    assert index.recall(stored, topk(q, u, 10, width)).first().recall > 0.9 and ws.index("chunk", width)[1].kind == "ivf"
+    coded, pq = pipeline.refresh_index(v, (empty[0], index.Model("flat", width)), of, width, "ivfpq")
+    assert pq.kind == "flat" and coded.count() == n  # too few for codes
     less, same = pipeline.refresh_index(v.where("id % 3 > 0"), (ix, model), of, width, "ivf")
     assert same is model and less.count() == 2000 and less.where("id % 3 = 0").count() == 0
     more, same = pipeline.refresh_index(v, (less, model), of, width, "ivf")
