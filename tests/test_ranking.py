@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -145,3 +146,23 @@ def test_exact_and_approximate_search(spark, tmp_path):
     assert index.search(q.limit(1), df, index.Model("flat", 32), 3).count() == 3
     empty, flat = index.load_or_create(spark, str(tmp_path / "new"), 32)
     assert empty.count() == 0 and flat.kind == "flat" and index.search(q.limit(1), empty, flat, 3).count() == 0
+
+
+def test_training_holds_blocks_of_products(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((20_000, 8))
+    c = x[:1000]
+    assert (index._closest(x[:3000], c) == (x[:3000] @ c.T).argmax(1)).all()
+    assert (index._closest(x[:3000], c, False) == ((x[:3000, None] - c[None]) ** 2).sum(2).argmin(1)).all()
+    for cosine in (True, False):
+        tracemalloc.start()
+        index._means(x, 1000, 1, np.random.default_rng(2), cosine)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # all products at once are 160 MB
+        assert peak < 60e6
+    # several blocks in a task
+    rows = {r.id: r.list for r in index.assign(vectors(spark, x[:5000].astype(np.float32)).coalesce(1), index.Model("ivf", 8, c)).collect()}
+    assert [rows[i * 7 + 3] for i in range(5000)] == (x[:5000].astype(np.float32).astype(np.float64) @ c.T).argmax(1).tolist()
+    two = index.assign(vectors(spark, x[:5000].astype(np.float32)).coalesce(1), index.Model("ivf", 8, c), 2)
+    assert two.count() == 10_000 and two.join(two.groupBy("id").agg(F.count_distinct("list").alias("n")).where("n <> 2"), "id").count() == 0
