@@ -54,6 +54,25 @@ def test_equals_brute_force(spark, seed, crowd):
     assert got == brute(rows, 40)
 
 
+def test_phrases_beside_a_crowd_stay_together(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(60)
+    rows = [(i, i, text(30) + shared + text(30)) for i in range(40)]
+    for p in range(60):
+        span = text(60)
+        rows += [(1000 + 2 * p + i, 2 * p + i, text(20) + span + text(20)) for i in (0, 1)]
+    rng.shuffle(rows)
+    # several tasks, as with large tables
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "a long, b long, t string")
+        got = {r.id for r in factors(df, "a", "b", "t", length=40, k=12, crowd=20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {r[0] for r in rows}
+
+
 def test_share_and_empty(spark):
     rows = [(1, 1, "x" * 10 + "abcdefghij" * 2), (2, 2, "abcdefghij" * 2)]
     df = spark.createDataFrame(rows, "a long, b long, t string")
