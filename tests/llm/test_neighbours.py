@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import numpy as np
 
 from tesserae.llm import queries
@@ -98,3 +101,41 @@ def test_scaled_copies_are_one_direction(spark):
     searched, left = {r.id for r in near}, {r.id for r in rest}
     assert len(searched) <= 20 and not searched & left and searched | left == set(range(60))
     assert len(rest) == 3 * len(left) and all(r.other in searched for r in rest)
+
+
+def test_vectors_stay_in_place(spark, tmp_path):
+    """What a search writes are sketches and ids, not all vectors again and again; repeated ids count by their least vector."""
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((6000, 64)).astype(np.float32)
+    m[5000:] = m[:1000] + 0.1 * rng.standard_normal((1000, 64)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(m)]
+    rows += [(i, (x + 9).tolist()) for i, x in list(enumerate(m))[:100]] + [(i, x.tolist()) for i, x in list(enumerate(m))[200:300]]
+    spark.createDataFrame(rows, "id long, embedding array<float>").write.parquet(f"{tmp_path}/vectors.parquet")
+    sc = spark.sparkContext
+    before, kept = sc._jsc.sc().getCheckpointDir(), f"{tmp_path}/kept"
+    sc.setCheckpointDir(kept)
+    written = lambda: sc._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    try:
+        began = written()
+        got = {(r.id_a, r.id_b) for r in queries.p2_found(spark, str(tmp_path)).collect()}
+        time.sleep(1)
+        disk = written() - began + sum(p.stat().st_size for p in Path(kept).rglob("part-*"))
+    finally:
+        if before.isDefined():
+            sc.setCheckpointDir(before.get())
+    assert got == {(i, 5000 + i) for i in range(1000)}
+    # 588 of them are sketches
+    assert disk < 1000 * len(m)
+
+
+def test_many_small_crowds_stay_apart(spark):
+    """Each crowd meets the rows near it, however many crowds there are."""
+    rng = np.random.default_rng(9)
+    m = np.repeat(rng.standard_normal((1300, 64)), 6, 0) + 0.1 * rng.standard_normal((7800, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m.astype(np.float32))], "id long, embedding array<float>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    began = written()
+    got = {(r.id_a, r.id_b) for r in mutual(neighbours(df, "id", "embedding", 10, least=0.92)).collect()}
+    time.sleep(1)
+    assert got == {(a, b) for g in range(1300) for a in range(6 * g, 6 * g + 6) for b in range(a + 1, 6 * g + 6)}
+    assert written() - began < 3000 * len(m)
