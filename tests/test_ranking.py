@@ -1,4 +1,5 @@
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -6,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import index, ranking
+from tesserae.operators import vectors as knn
 from tesserae.operators.lexical import Automaton, Contains, Lexical, _by_words, _finder, search
-from tesserae.operators.vectors import topk
+from tesserae.operators.vectors import topk, topk_in_lists
+from tesserae.plans import indexes
 
 
 def ranked(spark, ids, name):
@@ -166,3 +169,76 @@ def test_training_holds_blocks_of_products(spark):
     assert [rows[i * 7 + 3] for i in range(5000)] == (x[:5000].astype(np.float32).astype(np.float64) @ c.T).argmax(1).tolist()
     two = index.assign(vectors(spark, x[:5000].astype(np.float32)).coalesce(1), index.Model("ivf", 8, c), 2)
     assert two.count() == 10_000 and two.join(two.groupBy("id").agg(F.count_distinct("list").alias("n")).where("n <> 2"), "id").count() == 0
+
+
+def test_training_gathers_the_sample_only(spark):
+    df = vectors(spark, np.eye(8, dtype=np.float32).repeat(50, 0)).cache()
+    of = df.select("id", F.pmod("id", F.lit(40)).alias("paper_id"))
+    sample = index.training_sample(df, of, 100, 5)
+    # a root that takes ordered rows sends the first 100 of each task to the driver
+    assert not re.match(r"\W*(AdaptiveSparkPlan[^\n]*\W+)?TakeOrdered", sample.limit(500)._jdf.queryExecution().executedPlan().toString())
+    rows = sample.collect()
+    first = df.join(of, "id").orderBy(F.xxhash64("id", F.lit(314159)), "id").limit(100).collect()
+    assert len(rows) == 100 and {(r.id, *r.v) for r in rows} == {(r.id, *r.v) for r in first}
+    assert index.train(sample.limit(0), 8, "ivf").kind == "flat"
+
+
+@pytest.mark.parametrize("share, held", [(4096, 1 << 16), (64, 100)])
+def test_lists_in_cells(spark, monkeypatch, share, held):
+    """Crowded lists are several cells; copies are ties, of which the smaller ids stay; floors leave the same neighbours."""
+    monkeypatch.setattr(knn, "SHARE", share)
+    monkeypatch.setattr(knn, "HELD", held)
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((1200, 16)).astype(np.float32)
+    m[:60] = m[0]
+    df = vectors(spark, m)
+    model = index.Model("hnsw", 16, rng.standard_normal((6, 16)))
+    rows = index.assign(df, model).cache()
+    probed = index.assign(df, model, 3)
+    lists = {r.id: r.list for r in rows.collect()}
+    probes = {}
+    for r in probed.collect():
+        probes.setdefault(r.id, set()).add(r.list)
+    u = m.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    want = set()
+    for i in range(len(m)):
+        q = i * 7 + 3
+        near = sorted((-sim[i, j], j * 7 + 3) for j in range(len(m)) if j != i and lists[j * 7 + 3] in probes[q])
+        want |= {(q, c, rank) for rank, (_, c) in enumerate(near[:5])}
+    for queries in (probed, index.assign(knn.floored(rows, 6, 16), model, 3)):
+        assert {(r.qid, r.id, r.rank) for r in topk_in_lists(queries, rows, 5, 16, skip_self=True).collect()} == want
+    edges = index.graph(rows, model, 5)
+    assert edges.groupBy("id").count().agg(F.max("count")).first()[0] <= 10 and edges.count() == edges.distinct().count()
+
+
+def test_lists_meet_in_little_memory():
+    import pyarrow as pa
+
+    x = np.random.default_rng(4).standard_normal((6000, 8)).astype(np.float32)
+    v = pa.ListArray.from_arrays(np.arange(0, 8 * 6000 + 1, 8, dtype=np.int32), x.ravel())
+    ids = np.arange(6000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(6000, np.int64)), pa.array(np.full(6000, side, np.int32)), pa.array(ids), v, pa.array(np.full(6000, -2.0))], names=["cell", "side", "id", "v", "floor"]) for side in (0, 1)]
+    tracemalloc.start()
+    n = sum(rb.num_rows for rb in knn._in_cells(10, 8)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all products at once are 288 MB
+    assert n == 60_000 and peak < 80e6
+
+
+def test_recall_trains_once_for_a_kind_of_model(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((1500, 64)).astype(np.float32)
+    vectors(spark, m).select("id", F.col("v").alias("embedding")).write.parquet(f"{tmp_path}/vectors.parquet")
+    vectors(spark, m).select(F.col("id").alias("chunk_id"), F.pmod("id", F.lit(300)).alias("paper_id")).write.parquet(f"{tmp_path}/chunks.parquet")
+    made, train = [], index.train
+    monkeypatch.setattr(index, "train", lambda *a, **kw: made.append(train(*a, **kw)) or made[-1])
+    got = {r.kind: r for r in indexes.index_recall(spark, str(tmp_path)).collect()}
+    # six samples came to the driver when each search and each share trained anew
+    assert [x.kind for x in made] == ["ivf", "ivfpq"] and [*got] == ["ivf", "hnsw", "ivfpq"]
+    q = indexes.chunk_vectors(spark, str(tmp_path))
+    exact = topk(q.where("id % 50 = 0"), q, 10, 64).cache()
+    for kind, f in (("ivf", indexes.ivf_topk), ("hnsw", indexes.hnsw_topk), ("ivfpq", indexes.ivfpq_topk)):
+        assert got[kind].recall == index.recall(f(spark, str(tmp_path)), exact).first().recall and 0 < got[kind].share < 1
