@@ -221,7 +221,7 @@ def test_lists_meet_in_little_memory():
     ids = np.arange(6000)
     batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(6000, np.int64)), pa.array(np.full(6000, side, np.int32)), pa.array(ids), v, pa.array(np.full(6000, -2.0))], names=["cell", "side", "id", "v", "floor"]) for side in (0, 1)]
     tracemalloc.start()
-    n = sum(rb.num_rows for rb in knn._in_cells(10, 8)(iter(batches)))
+    n = sum(rb.num_rows for rb in knn._in_lists(10, 8)(iter(batches)))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     # all products at once are 288 MB
@@ -242,3 +242,18 @@ def test_recall_trains_once_for_a_kind_of_model(spark, monkeypatch, tmp_path):
     exact = topk(q.where("id % 50 = 0"), q, 10, 64).cache()
     for kind, f in (("ivf", indexes.ivf_topk), ("hnsw", indexes.hnsw_topk), ("ivfpq", indexes.ivfpq_topk)):
         assert got[kind].recall == index.recall(f(spark, str(tmp_path)), exact).first().recall and 0 < got[kind].share < 1
+
+
+def test_pairs_are_scored_by_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    m = rng.standard_normal((400, 8)).astype(np.float32)
+    df = vectors(spark, m)
+    pairs = {(int(q) * 7 + 3, int(c) * 7 + 3) for q, c in rng.integers(0, 400, (3000, 2)) if q % 4 == 0}
+    u = m.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(q, c): float(u[(q - 3) // 7] @ u[(c - 3) // 7]) for q, c in pairs}
+    asked = df.where("pmod((id - 3) / 7, 4) = 0")
+    for most in (8192, 30):
+        monkeypatch.setattr(index, "ASKED", most)
+        got = index.rescored(spark.createDataFrame(sorted(pairs), "qid long, id long"), asked, df, 8).collect()
+        assert len(got) == len(want) and all(abs(r.score - want[r.qid, r.id]) < 1e-8 for r in got)
